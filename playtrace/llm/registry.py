@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from playtrace.llm import mixing
 from playtrace.llm import queries as q
 
 
@@ -10,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_mixing": mixing.ORACLE}
