@@ -2,7 +2,7 @@
 scorer learns the posterior labels.
 
 Each heuristic votes good, bad or nothing on every whole document. The votes of all documents are counted by pattern (a
-table of at most 3^8 rows), and EM on those counts estimates each heuristic's vote probabilities given the hidden label.
+table of at most 3^11 rows), and EM on those counts estimates each heuristic's vote probabilities given the hidden label.
 The posterior of each pattern labels a bounded sample of documents, on which logistic regression over hashed words and
 measures is fitted. Every document is scored by it. No given label is used.
 
@@ -38,12 +38,16 @@ HEURISTICS = (
     ("variety", "variety", 0.2, None, 0.3, None),
     ("repeats", "repeats", None, 0.3, None, 0.1),
     ("sentences", "sentences", 0.008, None, 0.03, 0.4),
+    ("plain", "plain", 0.7, None, 0.9, None),
+    ("letters", "letters", 0.92, None, 0.95, None),
+    ("echo", "echo", None, 0.2, None, 0.05),
 )
-MEASURES = ("n_words", "symbols", "capitals", "marks", "word_length", "variety", "repeats", "sentences")
+MEASURES = ("n_words", "symbols", "capitals", "marks", "word_length", "variety", "repeats", "sentences", "plain", "letters", "echo")
 #: Bounds by which the scorer bins each measure.
 STEPS = {
     "n_words": [20, 50, 100, 400, 2000], "symbols": [0.005, 0.02, 0.06, 0.15], "capitals": [0.1, 0.2, 0.45, 0.7], "marks": [0.01, 0.03, 0.08],
     "word_length": [2.2, 3.0, 6.0, 9.5, 11.5], "variety": [0.1, 0.2, 0.3, 0.6], "repeats": [0.02, 0.1, 0.3, 0.6], "sentences": [0.003, 0.008, 0.03, 0.1, 0.4],
+    "plain": [0.3, 0.7, 0.9], "letters": [0.8, 0.92, 0.95], "echo": [0.05, 0.2, 0.5],
 }
 N_BINS = sum(len(x) + 1 for x in STEPS.values())
 
@@ -68,11 +72,19 @@ class Measured:
         distinct = np.bincount(words.text[self.pair], minlength=len(n))
         ends = np.zeros(len(hashes), bool) if not len(hashes) else quality.STOPS[data[words.ends - 1]]
         some = np.maximum(n, 1)
+        odd = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((quality.SYMBOLS | quality.MARKS)[data], out=odd[1:])
+        echo = np.zeros(len(hashes), bool)
+        echo[1:] = (hashes[1:] == hashes[:-1]) & (words.text[1:] == words.text[:-1])
+        plain = odd[words.ends] == odd[words.starts]
+        solid = textops.sums(~textops.SPACE[data], bounds)
         # long texts repeat common words, so variety is taken against the square root of their length beyond 400 words
         self.values = {
             "n_words": n, "symbols": share(quality.SYMBOLS), "capitals": upper / np.maximum(upper + lower, 1), "marks": share(quality.MARKS),
-            "word_length": textops.sums(~textops.SPACE[data], bounds) / some, "variety": distinct / np.minimum(some, np.sqrt(some * 400.0)),
+            "word_length": solid / some, "variety": distinct / np.minimum(some, np.sqrt(some * 400.0)),
             "repeats": quality.repeated_windows(words, hashes) / some, "sentences": np.bincount(words.text, ends, minlength=len(n)) / some,
+            "plain": np.bincount(words.text, plain, minlength=len(n)) / some, "letters": textops.sums((quality.UPPER | quality.LOWER | quality.HIGH)[data], bounds) / np.maximum(solid, 1),
+            "echo": np.bincount(words.text, echo, minlength=len(n)) / some,
         }
 
     def votes(self) -> np.ndarray:
