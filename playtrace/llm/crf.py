@@ -41,12 +41,12 @@ def _steps(lengths: np.ndarray):
     return first, live
 
 
-def marginals(chain: Chain, scores: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Forward-backward: P(label) of each item, the expected count of each move, and the summed log partition."""
+def marginals(chain: Chain, scores: np.ndarray, lengths: np.ndarray, moves: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Forward-backward: P(label) of each item, and the expected count of each move unless ``moves`` is false."""
     lengths = lengths[lengths > 0]
     n = len(scores)
     if not n:
-        return np.zeros((0, 2)), np.zeros((2, 2)), 0.0
+        return np.zeros((0, 2)), np.zeros((2, 2))
     top = scores.max(1)
     e = np.exp(scores - top[:, None])
     t = np.exp(chain.moves)
@@ -64,12 +64,14 @@ def marginals(chain: Chain, scores: np.ndarray, lengths: np.ndarray) -> tuple[np
         backward[at - 1] = ((e[at] * backward[at]) @ t.T) / scale[at][:, None]
     p = forward * backward
     p /= p.sum(1, keepdims=True)
+    if not moves:
+        return p, np.zeros((2, 2))
     later = np.ones(n, bool)
     later[first] = False
     at = np.flatnonzero(later)
     pairs = forward[at - 1][:, :, None] * t * (e[at] * backward[at] / scale[at][:, None])[:, None, :]
     pairs /= np.maximum(pairs.sum((1, 2), keepdims=True), 1e-300)
-    return p, pairs.sum(0), float(np.log(scale).sum() + top.sum())
+    return p, pairs.sum(0)
 
 
 def viterbi(chain: Chain, scores: np.ndarray, lengths: np.ndarray) -> np.ndarray:
@@ -117,7 +119,7 @@ def fit(active: np.ndarray, labels: np.ndarray, lengths: np.ndarray, n_features:
     params = [chain.weights, chain.moves, chain.begin]
     m1, m2 = [np.zeros_like(x) for x in params], [np.zeros_like(x) for x in params]
     for k in range(1, rounds + 1):
-        p, moved, _ = marginals(chain, chain.emissions(active), lengths)
+        p, moved = marginals(chain, chain.emissions(active), lengths)
         miss = np.repeat(truth - p, active.shape[1], axis=0)
         slope = np.stack([np.bincount(flat, miss[:, j], n_features) for j in (0, 1)], 1)
         begin = seen_begin - np.stack([p[first, 0].sum(), p[first, 1].sum()])

@@ -75,7 +75,7 @@ class Tagger:
         place = np.searchsorted(self.index, active)
         place[place == len(self.index)] = 0
         place = np.where(self.index[place] == active, place, len(self.index))
-        return crf.marginals(self.chain, self.chain.emissions(place), tokens.lines)[0][:, 1]
+        return crf.marginals(self.chain, self.chain.emissions(place), tokens.lines, moves=False)[0][:, 1]
 
     def score(self, p: np.ndarray, tokens: Tokens) -> np.ndarray:
         x = evidence(p, tokens)
@@ -92,52 +92,74 @@ def evidence(p: np.ndarray, tokens: Tokens) -> np.ndarray:
     return np.stack([(tokens.words.counts > 0).astype(float), np.log(most / (1 - most)), np.log1p(likely)], 1)
 
 
-def sign_tokens(tokens: Tokens, y: np.ndarray, group: np.ndarray) -> np.ndarray:
-    """Whether each token carries a sign of toxicity. ``group`` joins near copies, which count as one document."""
-    toxic = np.zeros(len(tokens.words.text), bool)
+def signs_of_toxicity(pairs: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray, group: np.ndarray) -> list[np.ndarray]:
+    """For each kind of sign, the significant ones, sorted. ``pairs``: for each kind (sign, text) without repeats.
+
+    ``group`` joins near copies, which count as one document.
+    """
     groups, place = np.unique(group, return_inverse=True)
     bad = np.zeros(len(groups), bool)
     np.logical_or.at(bad, place, y == 1)
     n_bad, n_good = max(int(bad.sum()), 1), max(int((~bad).sum()), 1)
-    for j in range(tokens.signs.shape[1]):
-        sign = tokens.signs[:, j]
+    out = []
+    for sign, text in pairs:
         names, inverse = np.unique(sign, return_inverse=True)
-        pair = np.unique(inverse.astype(np.int64) * len(groups) + place[tokens.words.text])
+        pair = np.unique(inverse.astype(np.int64) * len(groups) + place[text])
         in_bad = bad[pair % len(groups)]
         a = np.bincount((pair // len(groups))[in_bad], minlength=len(names)).astype(float)
         b = np.bincount((pair // len(groups))[~in_bad], minlength=len(names)).astype(float)
         rate = (a + b) / (n_bad + n_good)
         with np.errstate(divide="ignore", invalid="ignore"):
             ratio = 2 * (np.where(a > 0, a * np.log(a / (n_bad * rate)), 0) + np.where(b > 0, b * np.log(b / (n_good * rate)), 0))
-        strong = (ratio >= LEAST_RATIO) & (a / n_bad > b / n_good) & (a >= LEAST_PRECISION * (a + b)) & (names != 0)
-        toxic |= strong[inverse]
-    return toxic
+        out.append(names[(ratio >= LEAST_RATIO) & (a / n_bad > b / n_good) & (a >= LEAST_PRECISION * (a + b)) & (names != 0)])
+    return out
 
 
 def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, folds: int = FOLDS, held_out: int = HELD_OUT) -> Tagger:
-    """The tagger, from at most ``most`` labelled documents outside the held-out fold."""
+    """The tagger, from at most ``most`` labelled documents outside the held-out fold.
+
+    The sample is gone through three times in slices, so that the driver holds tokens of one slice at a time: for the
+    signs, for the lines that the field is fitted on, and for the score.
+    """
     rows = sampling.labelled(docs, labels, "toxic", most, lambda key: F.coalesce(sampling.fold(key, folds) != held_out, F.lit(False)))
     y = np.array([y for _, _, y in rows], int)
     if not y.any():
         return Tagger(np.zeros(0, np.int64), crf.Chain.zero(1), np.zeros(3))
-    tokens = Tokens(pa.array([x for _, x, _ in rows], pa.string()))
-    shingled = textops.shingles(tokens.words, tokens.signs[:, 0], 5)
+    sample = pa.RecordBatch.from_arrays([pa.array([x for _, x, _ in rows], pa.string())], ["text"])
+
+    def slices() -> Iterator[tuple[int, Tokens]]:
+        begin = 0
+        for x in textops.slices(sample):
+            yield begin, Tokens(x.column(0))
+            begin += x.num_rows
+
     least = np.full(len(rows), np.iinfo(np.uint64).max, np.uint64)
-    np.minimum.at(least, *shingled)
-    label = (sign_tokens(tokens, y, least) & (y[tokens.words.text] == 1)).astype(int)
-    line = np.repeat(np.arange(len(tokens.lines)), tokens.lines)
-    hot = np.zeros(len(tokens.lines), bool)
-    hot[line[label == 1]] = True
-    order = np.concatenate([np.flatnonzero(hot)[: FIT_LINES // 2], np.flatnonzero(~hot)[:: max(1, int((~hot).sum()) // (FIT_LINES // 2))]])
-    chosen = np.zeros(len(tokens.lines), bool)
-    chosen[order] = True
-    inside = chosen[line]
-    active = tokens.features()
-    index, place = np.unique(active[inside], return_inverse=True)
-    place = place.reshape(-1, active.shape[1])
-    chain = crf.fit(place, label[inside], tokens.lines[chosen], len(index) + 1, rounds=40, rate=0.5, ridge=1e-6)
+    found: list[list[np.ndarray]] = [[] for _ in range(4)]
+    of: list[list[np.ndarray]] = [[] for _ in range(4)]
+    for begin, tokens in slices():
+        text, shingle = textops.shingles(tokens.words, tokens.signs[:, 0], 5)
+        np.minimum.at(least, text + begin, shingle)
+        for j in range(4):
+            _, first = np.unique(textops.mix(tokens.signs[:, j]) ^ textops.mix(tokens.words.text.astype(np.uint64)), return_index=True)
+            found[j].append(tokens.signs[first, j])
+            of[j].append(tokens.words.text[first] + begin)
+    signs = signs_of_toxicity([(np.concatenate(a), np.concatenate(b)) for a, b in zip(found, of, strict=True)], y, least)
+    del found, of
+    active, label, lengths, hot_lines, cold_lines = [], [], [], 0, 0
+    every = max(1, sum(x.count("\n") + 1 for _, x, _ in rows) // (FIT_LINES // 2))
+    for begin, tokens in slices():
+        hit = (y[tokens.words.text + begin] == 1) & np.logical_or.reduce([np.isin(tokens.signs[:, j], signs[j]) for j in range(4)])
+        line = np.repeat(np.arange(len(tokens.lines)), tokens.lines)
+        hot = np.bincount(line[hit], minlength=len(tokens.lines)) > 0
+        chosen = (hot & (hot_lines + np.cumsum(hot) <= FIT_LINES // 2)) | (~hot & ((cold_lines + np.cumsum(~hot)) % every == 0))
+        hot_lines, cold_lines = hot_lines + int(hot.sum()), cold_lines + int((~hot).sum())
+        active.append(tokens.features()[chosen[line]])
+        label.append(hit[chosen[line]].astype(int))
+        lengths.append(tokens.lines[chosen])
+    index, place = np.unique(np.concatenate(active), return_inverse=True)
+    chain = crf.fit(place.reshape(-1, active[0].shape[1]), np.concatenate(label), np.concatenate(lengths), len(index) + 1, rounds=40, rate=0.5, ridge=1e-6)
     tagger = Tagger(index, chain, np.zeros(3))
-    x = evidence(tagger.marginal(tokens), tokens)
+    x = np.concatenate([evidence(tagger.marginal(tokens), tokens) for _, tokens in slices()])
     held = x[:, 0] > 0
     tagger.coefficients = logistic(x[held], y[held])
     return tagger
