@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from playtrace.llm import mixing
+from playtrace.llm import line_dedup, mixing
 from playtrace.llm import queries as q
 
 
@@ -11,4 +11,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_mixing": mixing.ORACLE}
+    return {"op2_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
