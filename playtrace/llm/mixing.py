@@ -19,6 +19,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from playtrace.shared import written
+
 #: Weights of the sources in their order, repeating; the mix as a share of all sizes; the cap as a multiple of a source.
 WEIGHTS, TOTAL_SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2
 #: Cells that the rows of one size class are dealt to; a class is a size's bit length and its first four bits.
@@ -29,9 +31,7 @@ WORDS = r"[\x20\x09-\x0D]+"
 
 def n_words(text: Column) -> Column:
     """Runs of bytes other than ASCII white space; null: 0."""
-    bare = F.regexp_replace(text, r"^[\x20\x09-\x0D]+", "")
-    parts = F.size(F.split(bare, WORDS)) - F.when(bare.rlike(r"[\x20\x09-\x0D]\z"), 1).otherwise(0)
-    return F.when(text.isNull() | (bare == ""), 0).otherwise(parts).cast("long")
+    return F.coalesce(F.size(F.array_remove(F.split(text, WORDS), "")), F.lit(0)).cast("long")
 
 
 def offset(source: Column, seed: str = SEED) -> Column:
@@ -60,21 +60,29 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     return filled.select("source", "source_size", "weight", target.alias("target"))
 
 
-def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, keep: DataFrame | None = None, **goal) -> DataFrame:
+def plan(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **goal) -> DataFrame:
     """One row per document: key, size, source_size, target, copies, taken (words that the mix takes of it)."""
-    sized = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text).cast("string")).alias("size"))
-    return planned(sized, seed, **goal).withColumnRenamed("key", key)
+    sized = written(sized_rows(docs, key, text, source), "sizes")
+    return planned(sized, sized, seed, **goal).withColumnRenamed("key", key)
+
+
+def sized_rows(docs: DataFrame, key: str, text: str, source: str, *more: Column) -> DataFrame:
+    return docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text).cast("string")).alias("size"), *more)
 
 
-def planned(sized: DataFrame, seed: str = SEED, **goal) -> DataFrame:
-    """``plan`` from (key, source, size) and any further columns, which stay."""
+def placed_rows(sized: DataFrame) -> DataFrame:
     bits = F.length(F.bin("size"))
     step = (bits * 16 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 4, F.lit(0)))).cast("long")
     digest = F.conv(F.substring(F.md5(F.col("key").cast("string").cast("binary")), 1, 4), 16, 10).cast("long")
     cell = F.coalesce(digest % CELLS, F.lit(0)).cast("long")
-    placed = sized.withColumn("class", step).withColumn("cell", cell)
-    goals = targets(sized.select("source", "size"), **goal)
-    counts = placed.groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"))
+    return sized.withColumn("class", step).withColumn("cell", cell)
+
+
+def planned(sized: DataFrame, counted: DataFrame, seed: str = SEED, **goal) -> DataFrame:
+    """``plan`` from (key, source, size) and any further columns, which stay; ``counted`` has the same rows, for the counts."""
+    placed = placed_rows(sized)
+    goals = targets(counted.select("source", "size"), **goal)
+    counts = placed_rows(counted).groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("source").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
     cells = counts.select("source", "class", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
     begun = cells.alias("c").join(goals.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select(
@@ -97,8 +105,8 @@ def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str
     The whole row travels with its size through the ranking, so keys need not be unique.
     """
     names = docs.columns
-    sized = docs.select(F.col(key).alias("key"), F.col(source).cast("string").alias("source"), n_words(F.col(text).cast("string")).alias("size"), F.struct(*[F.col(f"`{x}`") for x in names]).alias("row"))
-    full = planned(sized, seed, **goal)
+    counted = written(sized_rows(docs, key, text, source), "sizes")
+    full = planned(sized_rows(docs, key, text, source, F.struct(*[F.col(f"`{x}`") for x in names]).alias("row")), counted, seed, **goal)
     return full.filter("copies > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select("row.*")
 
 
