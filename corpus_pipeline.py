@@ -1,4 +1,55 @@
-"""The corpus pipeline: operators in order, each over all that the one before kept."""
+"""The corpus pipeline: five operators in order, each over all that the one before kept.
 
-STAGES = []
+Quality rules reject documents; line dedup cuts lines that match an earlier line, and documents left without a word; near
+dedup keeps one document of each class; mixing takes documents by their sources' weights, some twice; packing cuts the
+rest into windows. Every stage but the last returns the columns of ``documents``, with ``n_chars`` as the text now has.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from playtrace.llm import line_dedup, mixing, near_dup, packing, quality
+from playtrace.shared import written
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality.keep(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    left = line_dedup.deduped(docs).filter(F.col("text").rlike(r"[^\x20\x09-\x0D]"))
+    return left.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+
+
+def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dup.deduped(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return mixing.mixed(docs)
+
+
+def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return packing.pack(docs).drop("ids")
+
+
+STAGES = [
+    ("quality_rules", quality_rules),
+    ("line_dedup", dedup_lines),
+    ("near_dedup", dedup_near),
+    ("mixing", mix_sources),
+    ("packing", pack_windows),
+]
+
+#: Viterbi decoding, hashing into signatures and tokenizing are beyond SQL; the stages are tested against plain versions.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over ``documents``; between stages the rows are written and read again."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        rows = written(stage(spark, rows, sf_dir), name)
+    return STAGES[-1][1](spark, rows, sf_dir)

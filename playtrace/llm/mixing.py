@@ -48,12 +48,13 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float
     ranked = by_source.withColumn("weight", weight).withColumn("cap", F.col("source_size") * F.lit(float(most)))
     ratio = Window.orderBy(F.col("cap") / F.col("weight"), F.col("source").isNull(), F.col("source").cast("binary"))
     every = Window.partitionBy()
+    # treating one more source than needed as capped only lowers the level, so the largest level that fits is the right one
     filled = (
         ranked.withColumn("capped", F.coalesce(F.sum("cap").over(ratio.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0)))
         .withColumn("open", F.sum("weight").over(ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)))
         .withColumn("total", F.sum("source_size").over(every) * F.lit(float(share)))
         .withColumn("level", (F.col("total") - F.col("capped")) / F.col("open"))
-        .withColumn("level", F.min(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
+        .withColumn("level", F.max(F.when(F.col("level") * F.col("weight") <= F.col("cap"), F.col("level"))).over(every))
     )
     # no source is left open only if the total reaches all caps
     target = F.when(F.col("level").isNull(), F.col("cap")).otherwise(F.least(F.col("level") * F.col("weight"), F.col("cap")))
@@ -122,7 +123,7 @@ WITH sized AS (
       - coalesce(sum(cap) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
     / (sum(weight) OVER (ORDER BY cap / weight, source IS NULL, source ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)) AS own_level FROM weighed
 ), leveled AS (
-  SELECT source, source_size, weight, cap, min(CASE WHEN own_level * weight <= cap THEN own_level END) OVER () AS level FROM filled
+  SELECT source, source_size, weight, cap, max(CASE WHEN own_level * weight <= cap THEN own_level END) OVER () AS level FROM filled
 ), goals AS (
   SELECT source, source_size, CASE WHEN level IS NULL THEN cap ELSE least(level * weight, cap) END AS target,
     ('0x' || substr(md5('mix:' || coalesce('s' || source, 'null')), 1, 13))::BIGINT::DOUBLE / 4503599627370496.0::DOUBLE AS shift FROM leveled

@@ -64,7 +64,7 @@ def signatures(n_texts: int, text: np.ndarray, element: np.ndarray, count: np.nd
     while len(count) and (above := count > start).any():
         width = max(start, 1)
         k = int(above.sum())
-        blocks.append((text[above], textops.mix(element[above] + np.uint64(start) * np.uint64(0x9E3779B97F4A7C15)), count[above], np.full(k, start, np.int64), np.full(k, width, np.int64)))
+        blocks.append((text[above], textops.mix(element[above] + np.uint64(start * 0x9E3779B97F4A7C15 % (1 << 64))), count[above], np.full(k, start, np.int64), np.full(k, width, np.int64)))
         start += width
     if blocks:
         where, seed, most, low, wide = (np.concatenate(x) for x in zip(*blocks, strict=True))
@@ -208,25 +208,32 @@ def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
 
 def classes(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, class_id, class_size, text_id (hex name of its text; null for a null text)."""
+    return _classes(docs, key, text).select(F.col("key").alias(key), "class_id", "class_size", F.lower(F.hex("node")).alias("text_id"))
+
+
+def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(key, node, th, root, class_id, class_size): th is a hash of the text that needs no Python."""
     every = written(fingerprints(docs, key, text), "fingerprints")
     usable = every.filter("node IS NOT NULL AND words")
     one = written(usable.groupBy("node").agg(F.min(F.struct("signature", "q0", "q1", "q2", "q3")).alias("s")).select("node", "s.*"), "nodes")
     roots = link_nodes(one, usable.select("node", "text"))
-    rooted = _rooted(every.select("key", "node"), roots)
+    rooted = _rooted(every.select("key", "node", F.xxhash64("text").alias("th")), roots)
     sizes = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
-    out = rooted.join(sizes, "root", "left")
-    return out.select(
-        F.col("key").alias(key), F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size"), F.lower(F.hex("node")).alias("text_id"),
+    return rooted.join(sizes, "root", "left").select(
+        "key", "node", "th", "root", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class_id")).alias("class_id"), F.coalesce("class_size", F.lit(1)).cast("long").alias("class_size")
     )
 
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose key is their class's least; rows that repeat that key with the same text stay once.
+    """One row of each class: that with the least key, then the least hash of its text. Rows with null texts all stay.
 
-    The decision is made on keys alone: the texts stay where they are but for one join.
+    Only keys and hashes decide; the texts move once, to meet the decision.
     """
-    found = classes(docs, key, text)
-    first = found.filter(F.col(key).eqNullSafe(F.col("class_id"))).select(F.col(key).alias("kept_key")).distinct()
-    rows = docs.join(first, docs[key].eqNullSafe(first["kept_key"]), "left_semi")
-    return rows
+    found = written(_classes(docs, key, text), "classes")
+    chosen = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("key", "th")).alias("x")).select(F.col("x.key").alias("kept_key"), F.col("x.th").alias("kept_th"))
+    rows = docs.withColumn("kept_th", F.xxhash64(F.col(text).cast("string"))).withColumn("kept_key", F.col(key))
+    same = rows["kept_key"].eqNullSafe(chosen["kept_key"]) & (rows["kept_th"] == chosen["kept_th"])
+    kept = rows.filter(F.col(text).isNotNull()).join(chosen, same, "left_semi")
+    if not found.filter("root IS NOT NULL").groupBy("key", "th").count().filter("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["kept_key", "kept_th"])
+    return kept.union(rows.filter(F.col(text).isNull())).select(*docs.columns)

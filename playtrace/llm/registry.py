@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from playtrace.llm import line_dedup, mixing
 from playtrace.llm import queries as q
 
 
 def queries() -> dict:
-    return {name: getattr(q, name) for name in sorted(dir(q)) if name.startswith("op")}
+    return {name: getattr(q, name) for name in sorted(dir(q)) if name.startswith("op")} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+    sql = {"op2_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
