@@ -5,6 +5,7 @@ Only where that setting is unset (tests, a laptop) a folder of our own is used.
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,3 +38,12 @@ def cut(df: DataFrame) -> DataFrame:
     """An eager ``checkpoint()`` in the shared folder, for small tables inside loops."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more.
+
+    The cleaner acts when the driver's JVM collects the plans; left alone, that may come long after a chain of large jobs.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
