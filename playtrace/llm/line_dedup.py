@@ -21,7 +21,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.shared import written
+from playtrace.shared import release, written
 
 #: The least similarity as a fraction.
 NUM, DEN = 4, 5
@@ -44,15 +44,19 @@ def rarity(docs: DataFrame, text: str) -> bytes:
     return bytes(out)
 
 
+def hashes(line: Column) -> Column:
+    """The set of a line's words, as 64-bit hashes."""
+    return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+
+
 def tokens(line: Column, classes: Column) -> Column:
     """The sorted set of a line's tokens: rarity class above, hash below, one long each."""
-    hashes = F.transform(F.array_remove(F.array_distinct(F.split(line, SPACE)), ""), lambda w: F.xxhash64(w))
 
     def ranked(h: Column) -> Column:
         place = h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int") + 1
         return F.shiftleft(F.ascii(F.substring(classes, place, F.lit(1)).cast("string")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
-    return F.sort_array(F.transform(hashes, ranked))
+    return F.sort_array(F.transform(hashes(line), ranked))
 
 
 def parity(items: Column) -> Column:
@@ -92,13 +96,13 @@ def candidates(found: DataFrame) -> DataFrame:
     return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
 
 
-def verified(pairs: DataFrame, found: DataFrame, rows: DataFrame, classes: Column) -> DataFrame:
+def verified(pairs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose sets match, checked on the words of their first lines."""
     wanted = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{x}").alias(x) for x in SET]) for s in "ab"])).alias("s")).select("s.*").distinct()
     places = found.join(wanted, SET, "left_semi").groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), *SET)).alias("wanted"))
     # repeated rows would each give the same sets again
     once = rows.join(places, rows["id"].eqNullSafe(places["id"]) & (rows["th"] == places["th"])).select("text", F.explode("wanted").alias("w"))
-    items = once.select("w.*", tokens(F.element_at(F.split("text", "\n"), F.col("w.line") + 1), classes).alias("items")).select(*SET, "items")
+    items = once.select("w.*", hashes(F.element_at(F.split("text", "\n"), F.col("w.line") + 1)).alias("items")).select(*SET, "items")
     held = items.dropDuplicates(SET)
     left = pairs.join(held.select(*[F.col(x).alias(f"a_{x}") for x in SET], F.col("items").alias("a_items")), [f"a_{x}" for x in SET])
     both = left.join(held.select(*[F.col(x).alias(f"b_{x}") for x in SET], F.col("items").alias("b_items")), [f"b_{x}" for x in SET])
@@ -111,7 +115,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[Da
     rows = keyed(docs, key, text)
     classes = F.lit(bytearray(rarity(rows, "text")))
     found = written(sets(rows, classes), "line-sets")
-    links = written(verified(candidates(found), found, rows, classes), "line-links")
+    release(found.sparkSession)
+    pairs = written(candidates(found), "line-pairs")
+    release(found.sparkSession)
+    links = written(verified(pairs, found, rows), "line-links")
+    release(found.sparkSession)
     return found, links
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtrace.llm import textops
-from playtrace.shared import cut, written
+from playtrace.shared import cut, release, written
 
 #: Words of a shingle; similarity of a link; components of a signature; components of a band.
 SHINGLE, SIMILARITY, COMPONENTS, BAND = 5, 0.8, 128, 4
@@ -173,6 +173,7 @@ def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = written(banded.join(shared, "bucket"), "buckets")
     held = written(texts.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "held-texts")
+    release(held.sparkSession)
     known = roots = None
 
     def check(pairs: DataFrame) -> None:
@@ -182,6 +183,7 @@ def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
         if not links.isEmpty():
             known = links if known is None else known.union(links)
             roots = components(known)
+        release(held.sparkSession)
 
     for turn in range(ROUNDS):
         # a leader is the least node of a bucket by an order that changes with the round; it travels with its bits

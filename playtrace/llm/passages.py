@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.llm import textops
-from playtrace.shared import written
+from playtrace.shared import release, written
 
 #: Fewest words of a passage; words of a gram; positions of a window; words that a match is extended by on each side.
 LEAST_WORDS, GRAM = 50, 25
@@ -194,6 +194,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     held = rows.join(placed, ["h1", "h2"]).filter(F.col("id").eqNullSafe(F.col("first")))
     ordered = _contexts(held).repartitionByRange("suffix", "h1", "h2", "item").sortWithinPartitions("suffix", "left", "h1", "h2", "item")
     found = written(_neighbours(ordered), "matches")
+    release(spark)
     inner = found.filter("edge = 0").select(*NAMES[:7])
     edges = found.filter("edge <> 0").select("edge", *COLUMNS).toPandas()  # two rows per partition
     edges["part"] = edges["edge"].abs()
