@@ -1,21 +1,458 @@
-"""Every query of the engine's own operators, by key, with the SQL that states its result."""
+"""Every query of the engine's own operators, by key. ``statements`` has the SQL that states each result."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from playtrace.config import DAY_MS, GRAVEYARD_NOW, LOST_NOW
+from playtrace.functions import predicates as p
+from playtrace.functions.curves import rounded
+from playtrace.operators import eras, peaks, rollups, rules, scores, search, sequences, sessions
+from playtrace.plans import statements
+from playtrace.sources import history
+from playtrace.sources.testbed import long_view, short_view, table
 
 Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+
+
+def query(name: str) -> Callable[[Query], Query]:
+    def put(f: Query) -> Query:
+        QUERIES[name] = f
+        return f
+
+    return put
+
+
+def on_long(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(long_view(spark, sf_dir))
+
+
+def on_short(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(short_view(spark, sf_dir))
+
+
+def rounds(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
+    return df.withColumns({c: rounded(F.col(c), digits) for c in columns})
+
+
+def longs(df: DataFrame, *columns: str) -> DataFrame:
+    return df.withColumns({c: F.col(c).cast("long") for c in columns})
+
+
+# rollups
+on_long("g01_track_stats", lambda e: rollups.track_stats(e, LOST_NOW))
+on_long("g02_artist_stats", lambda e: rollups.artist_stats(e, LOST_NOW))
+on_long("g03_album_stats", lambda e: rollups.album_stats(e, LOST_NOW))
+on_long("g04_monthly_tracks", lambda e: rollups.monthly(e, "track"))
+on_long("g05_monthly_artists", lambda e: rollups.monthly(e, "artist"))
+on_long("g06_daily", rollups.daily)
+on_short("g07_hourly", rollups.hourly)
+on_long("g08_yearly", rollups.yearly)
+on_long("g09_album_breadth", lambda e: rounds(rollups.album_breadth(e), "breadth", "top3_share"))
+on_long("g10_year_from_month", lambda e: rollups.yearly_from_monthly(rollups.monthly(e, "track")))
+on_short("g11_hours_dense", lambda e: rollups.dense_hours(e.filter("local_date = '2024-01-03'")))
+on_long("g12_lifetime", lambda e: rounds(rollups.lifetime(e), "skip_rate"))
+on_short("g13_dayparts", lambda e: rounds(rollups.dayparts(rollups.hourly(e)), "share"))
+on_short("g13_clock", lambda e: rounds(rollups.clock(rollups.hourly(e)), "after_midnight_share"))
+on_long("g18_month_totals", lambda e: rollups.month_totals(e, "1998-05"))
+
+
+@query("g14_facets")
+def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = long_view(spark, sf_dir)
+    years = e.filter(~F.col("incognito")).select(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value")).distinct().withColumn("n", F.lit(0).cast("long"))
+    top = rollups.artist_stats(e, LOST_NOW).orderBy(F.desc("q_plays"), "artist_id").limit(200)
+    return years.unionByName(top.select(F.lit("artist").alias("facet"), F.col("artist_id").cast("string").alias("value"), F.col("q_plays").alias("n")))
+
+
+@query("g15_usage_counts")
+def usage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nations = table(spark, sf_dir, "nation")
+    used = table(spark, sf_dir, "supplier").filter("s_acctbal > 5000").groupBy("s_nationkey").agg(F.count(F.lit(1)).alias("uses"))
+    return nations.join(used, nations["n_nationkey"] == used["s_nationkey"], "left").select("n_name", F.coalesce("uses", F.lit(0)).alias("uses"))
+
+
+@query("g16_joined_names")
+def joined_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollups.joined_names(table(spark, sf_dir, "nation"), "n_regionkey", "n_name")
+
+
+# rankings
+on_long("w01_track_peak_month", lambda e: peaks.peak_month(e, "track"))
+on_long("w02_artist_peak_month", lambda e: peaks.peak_month(e, "artist"))
+on_long("w03_track_peak_year", lambda e: peaks.peak_year(e, "track"))
+on_long("w04_artist_peak_year", lambda e: peaks.peak_year(e, "artist"))
+on_long("w05_album_peak", peaks.album_peak)
+on_long("w06_canonical_album", lambda e: peaks.canonical_album(e, "supplier_id"))
+on_long("w07_rank_in_year", lambda e: longs(peaks.rank_in_year(e, "track"), "rank_in_year"))
+for _kind, _days in (("artist", 7), ("album", 30), ("track", 90)):
+    on_long(f"w08_densest_{_kind}_{_days}d", lambda e, k=_kind, d=_days: sequences.densest(sequences.qualifying_plays(e, k), d))
+on_long("w09_longest_gap", lambda e: sequences.longest_gap(sequences.qualifying_plays(e, "track")))
+on_long("w10_days_to_nth", lambda e: sequences.days_to_nth(sequences.qualifying_plays(e, "album"), (5, 50)))
+on_long("w11_plays_after", lambda e: sequences.densest(sequences.qualifying_plays(e, "artist"), 30).select("id", "to_ts", "plays_after"))
+on_long("w12_monthly_run", lambda e: sequences.monthly_run(sequences.qualifying_plays(e, "album")))
+on_long("w13_streak", lambda e: sequences.daily_streak(rollups.daily(e)))
+on_long("w14_milestones", lambda e: sequences.milestones(sequences.qualifying_plays(e, "track"), (10, 25, 50)))
+on_short("w15_top_per_day", lambda e: peaks.top_per_day(e, "artist"))
+on_long("w17_year_span", lambda e: peaks.tight_span(peaks.plays_by_year(e, "track"), "track_id"))
+on_long("w18_previous_year", lambda e: peaks.versus_previous_year(rollups.yearly(e)))
+
+
+@query("w16_diversified")
+def diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = long_view(spark, sf_dir)
+    owner = e.select("track_id", "artist_id").distinct()
+    order = [F.desc("score"), F.desc("q_plays"), F.asc("id")]
+    page = scores.lost_favourites(e, LOST_NOW).filter("score >= 30").orderBy(*order).limit(200)
+    out = peaks.diversified(page.join(owner, page["id"] == owner["track_id"]), "artist_id", order, 2)
+    return longs(out.select("position", "id", "artist_id", "score"), "position")
+
+
+# sessions
+on_short("q03_sessions_global", lambda e: sessions.sessionised(e.withColumn("listener", F.lit(1)), 10).groupBy("session").agg(F.min("ts_ms").alias("start_ts"), F.max("ts_ms").alias("end_ts"), F.count(F.lit(1)).alias("events")))
+on_short("q03_sessions_by_listener", lambda e: sessions.by_session_window(e, 360))
+on_short("q04_session_stats", lambda e: rounds(sessions.session_stats(e, 360), "diversity"))
+on_short("g17_session_averages", lambda e: rounds(sessions.session_averages(sessions.session_stats(e, 360)), "mean_events", "mean_ms"))
+on_short("l07_session_list", lambda e: sessions.session_list(sessions.session_stats(e, 360), "longest", 50, 10).select("listener", "session", "start_ts", "ms_played", "events"))
+
+# scores
+on_long("q06_obsessions_artist", lambda e: rounds(scores.obsessions(e, "artist"), "share", "plays_per_day", "after_share"))
+on_long("q06_obsessions_album", lambda e: rounds(scores.obsessions(e, "album"), "share", "plays_per_day", "after_share"))
+_LOST = ["id", "q_plays", "peak_plays", "longest_gap_days", "days_since", "rejected_by", "affinity", "dormancy", "peak", "engagement", "consistency", "score"]
+on_long("q08_lost_favourites", lambda e: rounds(scores.lost_favourites(e, LOST_NOW).select(*_LOST), "affinity", "dormancy", "peak", "engagement", "consistency"))
+on_long("r06_lost_count", lambda e: scores.lost_favourites(e, LOST_NOW).filter("score >= 30").agg(F.count(F.lit(1)).alias("n")))
+for _kind in ("track", "artist", "album"):
+    on_long(f"q10_graveyard_{_kind}", lambda e, k=_kind: scores.graveyard(e, k, GRAVEYARD_NOW))
+on_long("l06_graveyard_page", lambda e: reduce(DataFrame.unionByName, [scores.graveyard(e, k, GRAVEYARD_NOW).withColumn("id", F.col("id").cast("string")) for k in ("track", "album")]).filter("days_missing >= 800").orderBy(F.desc("score"), F.desc("q_plays"), "kind", "id").limit(100).select("kind", "id", "q_plays", "days_missing", "score"))
+on_long("q20_comebacks", lambda e: sequences.comebacks(sequences.qualifying_plays(e, "track")))
+
+
+@query("l05_obsession_sections")
+def obsession_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = long_view(spark, sf_dir)
+    found = scores.obsessions(e, "album").withColumn("id", F.col("id").cast("string")).unionByName(scores.obsessions(e, "artist").withColumn("id", F.col("id").cast("string")))
+    return rounds(scores.sections(found, 10, of="album"), "value")
+
+
+@query("r05_deep_cuts")
+def deep_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lost favourites well below their artist's most played track."""
+    e = long_view(spark, sf_dir)
+    owner = e.select(F.col("track_id").alias("id"), "artist_id").distinct()
+    rows = scores.lost_favourites(e, LOST_NOW).select("id", "q_plays", "score").join(owner, "id")
+    return rows.withColumn("best", F.max("q_plays").over(Window.partitionBy("artist_id"))).filter((F.col("score") >= 30) & (F.col("q_plays") < 0.6 * F.col("best")))
+
+
+# eras, over track vectors
+def _era_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
+    months = rollups.monthly(long_view(spark, sf_dir), "track")
+    vectors, every = eras.month_vectors(months, "track_id"), eras.calendar_months(months)
+    distances = eras.boundaries(vectors, every)
+    return months, vectors, every, distances
+
+
+QUERIES["q11_month_vectors"] = lambda spark, sf_dir: rounds(_era_parts(spark, sf_dir)[1], "w", digits=4)
+QUERIES["q12_boundaries"] = lambda spark, sf_dir: rounds(_era_parts(spark, sf_dir)[3], "distance")
+QUERIES["q13_change_points"] = lambda spark, sf_dir: rounds(eras.change_points(_era_parts(spark, sf_dir)[3]), "distance")
+
+
+@query("q19_eras")
+def era_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    months, vectors, every, distances = _era_parts(spark, sf_dir)
+    found = eras.segments(vectors, every, distances, eras.change_points(distances))
+    return eras.era_measures(found, months, "track_id")
+
+
+@query("f04_cosine_pairs")
+def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each vector with an id divisible by 50 against all: similarity of 0.25 or more."""
+    v = table(spark, sf_dir, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double")).alias("x"))
+
+    def dot(a: str, b: str):
+        return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
+
+    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
+    pairs = v.join(q, F.col("vec_id") != F.col("query_id"))
+    cosine = dot("x", "q") / F.sqrt(dot("x", "x") * dot("q", "q"))
+    return rounds(pairs.select("query_id", "vec_id", cosine.alias("cosine")).filter("cosine >= 0.25"), "cosine")
+
+
+# joins
+@query("j01_inner_dims")
+def inner_dims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, n, r = (table(spark, sf_dir, x) for x in ("customer", "nation", "region"))
+    named = c.join(n, c["c_nationkey"] == n["n_nationkey"]).join(r, n["n_regionkey"] == r["r_regionkey"])
+    return named.groupBy("r_name").agg(F.count(F.lit(1)).alias("customers"))
+
+
+@query("j02_left_join")
+def left_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "customer")
+    spent = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count(F.lit(1)).alias("orders"))
+    return c.join(spent, "c_custkey", "left").select("c_custkey", F.coalesce("orders", F.lit(0)).alias("orders"))
+
+
+@query("j03_semi")
+def semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_totalprice > 400000")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_semi").select("c_custkey", "c_name")
+
+
+@query("j04_anti")
+def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c, o = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").filter("o_totalprice > 400000")
+    return c.join(o, c["c_custkey"] == o["o_custkey"], "left_anti").select("c_custkey", "c_name")
+
+
+@query("j05_share_of_best")
+def share_of_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each track's plays beside its artist's most played track."""
+    per = rollups_by_owner(long_view(spark, sf_dir))
+    return per.withColumn("best", F.max("q_plays").over(Window.partitionBy("artist_id")))
+
+
+def rollups_by_owner(e: DataFrame) -> DataFrame:
+    return p.visible(e).groupBy("artist_id", "track_id").agg(p.count_if(p.qualifying()).alias("q_plays"))
+
+
+@query("j06_top_track_of_artist")
+def top_track(spark: SparkSession, sf_dir: str) -> DataFrame:
+    per = rollups_by_owner(long_view(spark, sf_dir))
+    return per.groupBy("artist_id").agg(F.max_by("track_id", F.struct("q_plays", -F.col("track_id"))).alias("top_track"))
+
+
+@query("j08_events_in_sessions")
+def events_in_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of all listeners inside each of the 20 longest sessions, by a range join with a small side."""
+    e = short_view(spark, sf_dir)
+    long_ones = sessions.session_list(sessions.session_stats(e, 360), "longest", 20).select(F.col("listener").alias("owner"), "session", "start_ts", "end_ts")
+    inside = e.join(F.broadcast(long_ones), (F.col("ts_ms") >= F.col("start_ts")) & (F.col("ts_ms") <= F.col("end_ts")))
+    return inside.groupBy("owner", "session").agg(F.count(F.lit(1)).alias("events"), F.sum((F.col("listener") == F.col("owner")).cast("long")).alias("own"))
+
+
+# lists and pages
+on_long("l01_top_tracks", lambda e: rollups.track_stats(e, LOST_NOW).orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(50).select("track_id", "q_plays", "ms_played"))
+on_long("l01_top_tracks_year", lambda e: p.visible(e).filter("year = 1998").groupBy("track_id").agg(p.count_if(p.qualifying()).alias("q_plays"), F.sum("ms_played").alias("ms_played")).orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(50))
+on_long("l02_top_artists", lambda e: rollups.artist_stats(e, LOST_NOW).orderBy(F.desc("ms_played"), "artist_id").limit(10).select("artist_id", "q_plays", "ms_played"))
+on_long("l03_top_albums", lambda e: rollups.album_stats(e, LOST_NOW).orderBy(F.desc("ms_played"), "album_id").limit(50).select("album_id", "q_plays", "ms_played"))
+on_long("r02_yearly_points", lambda e: rollups.yearly(e).select("year", "plays", "q_plays", "ms_played"))
+on_long("r10_months", lambda e: e.select("ym").distinct())
+on_long("r11_heatmap", lambda e: rollups.daily(e).filter("local_date BETWEEN '1998-01-01' AND '1998-12-31'").select("local_date", F.col("tracks").alias("value")))
+on_long("r12_bounds", lambda e: rollups.daily(e).agg(F.min("local_date").alias("first_date"), F.max("local_date").alias("last_date")))
+
+
+@query("l04_records")
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Superlatives as (record, id, value); one that nothing qualifies for is left out."""
+    e = long_view(spark, sf_dir)
+    tracks, artists, albums, days = rollups.track_stats(e, LOST_NOW), rollups.artist_stats(e, LOST_NOW), rollups.album_stats(e, LOST_NOW), rollups.daily(e)
+    lost = scores.lost_favourites(e, LOST_NOW).filter("score > 0")
+    album_obsessions = scores.obsessions(e, "album")
+    streak = sequences.daily_streak(days)
+    tops = [
+        ("mostPlayedTrack", tracks, "track_id", F.desc("q_plays"), "q_plays"), ("mostPlayedArtist", artists, "artist_id", F.desc("ms_played"), "ms_played"), ("mostPlayedAlbum", albums, "album_id", F.desc("ms_played"), "q_plays"),
+        ("longestDay", days, "local_date", F.desc("ms_played"), "ms_played"), ("busiestDay", days, "local_date", F.desc("plays"), "plays"), ("longestStreak", streak, "from_date", F.desc("days"), "days"),
+        ("fastestFifty", album_obsessions.filter("days_to_50 IS NOT NULL"), "id", F.asc("days_to_50"), "days_to_50"), ("biggestComeback", lost_gap(e), "id", F.desc("gap_days"), "gap_days"),
+        ("longestLost", lost, "id", F.asc("last_ts"), "days_since"), ("biggestObsession", album_obsessions, "id", F.desc("intensity"), "window_plays"), ("mostActiveYear", rollups.yearly(e), "year", F.desc("ms_played"), "plays"),
+    ]
+    rows = [df.orderBy(order, F.asc(key)).limit(1).select(F.lit(name).alias("record"), F.col(key).cast("string").alias("id"), F.col(value).cast("long").alias("value")) for name, df, key, order, value in tops]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def lost_gap(e: DataFrame) -> DataFrame:
+    stats = rollups.track_stats(e, LOST_NOW).filter("q_plays >= 15").select(F.col("track_id").alias("id"))
+    return sequences.longest_gap(sequences.qualifying_plays(e, "track")).join(stats, "id").filter("gap_days >= 180")
+
+
+@query("r03_rediscovery")
+def rediscovery(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The day's pick among the 60 best lost favourites. The date's digest chooses, so a day always gives the same one."""
+    top = scores.lost_favourites(long_view(spark, sf_dir), LOST_NOW).filter("score >= 30").orderBy(F.desc("score"), F.desc("q_plays"), "id").limit(60)
+    order = Window.orderBy(F.desc("score"), F.desc("q_plays"), "id")
+    digest = F.conv(F.substring(F.md5(F.lit("2002-08-01").cast("binary")), 1, 8), 16, 10).cast("long")
+    numbered = top.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).withColumn("i", F.row_number().over(order) - 1)
+    years = F.floor(F.col("days_since") / 365)
+    reason = F.when(years >= 5, "years5").when(years >= 2, "years2").otherwise("quiet")
+    return numbered.filter(F.col("i") == F.pmod(digest, F.col("n"))).select("id", "score", "days_since", reason.alias("reason"))
+
+
+@query("r04_on_this_day")
+def on_this_day(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dates of other years with today's month and day, with the most played track of each by all plays."""
+    e = long_view(spark, sf_dir)
+    days = rollups.daily(e).filter(F.col("local_date").endswith("-06-15") & (F.col("local_date") != "2001-06-15"))
+    top = peaks.top_per_day(e.filter(F.substring("local_date", 6, 5) == "06-15"), "track").select("local_date", F.col("track_id").alias("top_track"))
+    return days.join(top, "local_date", "left").select("local_date", "plays", "ms_played", "top_track")
+
+
+@query("r07_rewind_year")
+def rewind_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row for 1998: totals, best month and day, late share, new tracks, and the year before."""
+    e = long_view(spark, sf_dir)
+    year = F.col("year") == 1998
+    totals = rollups.yearly(e).filter(year)
+    months = rollups.monthly(e.filter(year), "artist").groupBy("ym").agg(F.sum("ms_played").alias("ms"))
+    best_month = months.agg(F.max_by("ym", F.struct("ms", -F.regexp_replace("ym", "-", "").cast("int"))).alias("best_month"))
+    best_day = rollups.daily(e.filter(year)).agg(F.max_by("local_date", F.struct("ms_played", -F.regexp_replace("local_date", "-", "").cast("int"))).alias("best_day"))
+    late = e.filter(year).agg((p.count_if(p.night()) / F.count(F.lit(1))).alias("late_share"))
+    first = rollups.track_stats(e, LOST_NOW).filter(F.year(F.timestamp_millis("first_ts")) == 1998).agg(F.count(F.lit(1)).alias("new_tracks"))
+    before = rollups.yearly(e).filter("year = 1997").agg(F.max("plays").alias("previous_plays"))
+    # every side is one row
+    return rounds(totals.crossJoin(best_month).crossJoin(best_day).crossJoin(late).crossJoin(first).crossJoin(before), "late_share")
+
+
+@query("r07_vanished")
+def vanished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks of 2001 that were played often and last that year, a year or more ago."""
+    e = long_view(spark, sf_dir)
+    per = rollups.monthly(e.filter("year = 2001"), "track").groupBy("track_id").agg(F.sum("q_plays").alias("year_plays")).filter("year_plays >= 5")
+    low, high = 978_307_200_000, 1_009_843_200_000
+    last = rollups.track_stats(e, GRAVEYARD_NOW).filter((F.col("last_ts") >= low) & (F.col("last_ts") < high) & (F.col("last_ts") <= GRAVEYARD_NOW - 365 * DAY_MS))
+    return per.join(last.select("track_id", "last_ts"), "track_id").orderBy(F.desc("year_plays"), "track_id").limit(12)
+
+
+@query("r08_rewind_month")
+def rewind_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = long_view(spark, sf_dir).filter("ym = '1998-05'")
+    return e.groupBy("track_id").agg(p.count_if(p.qualifying()).alias("q_plays"), F.sum("ms_played").alias("ms_played")).orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(12)
+
+
+@query("r09_random_month")
+def random_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The month that seed 4242 picks of those with 20 qualifying plays."""
+    months = rollups.monthly(long_view(spark, sf_dir), "artist").groupBy("ym").agg(F.sum("q_plays").alias("q_plays")).filter("q_plays >= 20")
+    numbered = months.withColumn("i", F.row_number().over(Window.orderBy("ym")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
+    return numbered.filter(F.col("i") == F.lit(4242) % F.col("n")).select("ym", "q_plays")
+
+
+on_short("r13_day_detail", lambda e: e.filter("local_date = '2024-01-03'").groupBy("track_id").agg(F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms_played")).orderBy(F.desc("plays"), F.desc("ms_played"), "track_id").limit(20))
+
+
+@query("r14_session_detail")
+def session_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = sessions.sessionised(short_view(spark, sf_dir), 360)
+    return rows.filter("listener = 8 AND session = 3").select("event_id", "ts_ms", "track_id", "ms_played", p.skip().cast("long").alias("skip"))
+
+
+@query("r15_track_detail")
+def track_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Track 7 in one row, and its gap and comeback."""
+    e = long_view(spark, sf_dir).filter("track_id = 7")
+    gap = sequences.longest_gap(sequences.qualifying_plays(e, "track")).select("gap_days", "gap_from", "gap_to")
+    return rollups.track_stats(e, LOST_NOW).crossJoin(gap)  # one row each
+
+
+@query("r16_insights")
+def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What stands out about each artist: plays at night, and one track that outweighs the others."""
+    e = long_view(spark, sf_dir)
+    best = rollups_by_owner(e).groupBy("artist_id").agg(F.max("q_plays").alias("best"), F.sum("q_plays").alias("total"))
+    rows = rollups.artist_stats(e, LOST_NOW).join(best, "artist_id")
+    return rows.select("artist_id", ((F.col("night_plays") >= 40) & (F.col("night_plays") >= 0.4 * F.col("plays"))).alias("nocturnal"), (F.col("best") >= 0.3 * F.col("total")).alias("one_track"), "night_plays", "best")
+
+
+@query("r17_album_detail")
+def album_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = long_view(spark, sf_dir).filter("album_id = 'Brand#2|ECONOMY'")
+    return e.groupBy("track_id").agg(F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms_played")).orderBy(F.desc("plays"), "track_id").limit(25)
+
+
+@query("r19_library")
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tracks whose name holds a text in any case, by name."""
+    stats = rollups.track_stats(long_view(spark, sf_dir), LOST_NOW)
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("name"))
+    return stats.join(parts, "track_id").filter(F.col("name").ilike("%RED%")).orderBy(F.lower("name"), "track_id").limit(100).select("track_id", "name", "q_plays")
+
+
+# rules
+def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = long_view(spark, sf_dir)
+    lost = scores.lost_favourites(e, LOST_NOW).select(F.col("id").alias("track_id"), "q_plays", "plays", "ms_played", "skips", "first_ts", "last_ts", "score")
+    parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.when(F.col("p_size") > 25, F.col("p_name")).alias("tags"), (F.col("p_size") % 2).alias("favorite"))
+    best = peaks.peak_year(e, "track").select("track_id", "peak_year")
+    return lost.join(parts, "track_id").join(best, "track_id", "left").withColumn("retired", F.lit(None).cast("int"))
+
+
+def _collected(spark: SparkSession, sf_dir: str, match: str, *rows: rules.Rule) -> DataFrame:
+    return rules.collection(_tracks(spark, sf_dir), list(rows), match, LOST_NOW).select("track_id", "q_plays")
+
+
+R = rules.Rule
+QUERIES["c01_rules_all"] = lambda s, d: _collected(s, d, "all", R("qualifyingPlays", "gte", 20), R("skipRate", "lt", 60), R("firstHeardYear", "between", 1990, 1996), R("favorite", "isTrue", True))
+QUERIES["c02_rules_any"] = lambda s, d: _collected(s, d, "any", R("msPlayed", "gt", 120), R("peakYear", "eq", 1999), R("daysSinceLastPlay", "gte", 900))
+QUERIES["c03_rules_text"] = lambda s, d: _collected(s, d, "all", R("artist", "contains", "brand#1"), R("tag", "notContains", "RED"), R("album", "neq", "economy"))
+
+
+# search
+def _index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    parts = table(spark, sf_dir, "part")
+    tracks = parts.select(F.lit("track").alias("kind"), F.col("p_partkey").cast("string").alias("id"), F.concat_ws(" ", "p_name", "p_brand").alias("body"))
+    artists = parts.select(F.lit("artist").alias("kind"), F.col("p_brand").alias("id"), F.col("p_brand").alias("body")).distinct()
+    return search.postings(tracks.unionByName(artists))
+
+
+QUERIES["t03_search_match"] = lambda s, d: search.matching(_index(s, d), "red brand 1").select("kind", "id")
+QUERIES["t04_search_rank"] = lambda s, d: rounds(search.ranked(_index(s, d), "small ring").select("kind", "id", "text_score", "score"), "text_score", "score")
+
+
+@query("t02_document_tokens")
+def document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 100 most frequent tokens of all documents."""
+    words = table(spark, sf_dir, "documents").select(F.explode(search.tokens(F.col("text"))).alias("token"))
+    return words.groupBy("token").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "token").limit(100)
+
+
+# ingest
+def _as_import(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = long_view(spark, sf_dir)
+    return e.select("ts_ms", F.col("artist_id").alias("artist_key"), F.col("track_id").alias("track_key"), "ms_played", F.lit(None).cast("string").alias("platform"), "reason_end", F.lit("first").alias("file"), F.col("supplier_id").alias("row"), "year")
+
+
+@query("s16_dedup")
+def dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An import that brings every event of 1998 twice: events kept by year."""
+    rows = _as_import(spark, sf_dir)
+    twice = rows.unionByName(rows.filter("year = 1998").withColumn("file", F.lit("second")))
+    return history.merged(twice).groupBy("year").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("x01_incremental_merge")
+def incremental_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an import of 1998 and 1999 adds to an archive that ends with 1998."""
+    rows = _as_import(spark, sf_dir)
+    added = history.merged(rows.filter("year >= 1998 AND year <= 1999"), rows.filter("year <= 1998"))
+    return added.groupBy("year").agg(F.count(F.lit(1)).alias("events"))
+
+
+@query("s20_reject_tally")
+def reject_tally(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and documents as export records, some broken on purpose: rejects by reason."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("event_id") % 7
+    made = {
+        "ts": F.when(n == 1, F.lit(None)).when(n == 2, F.lit("nonsense")).otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss'Z'")), "ms_played": (F.col("value") * 1000).cast("string"),
+        "master_metadata_track_name": F.when(n == 3, F.lit("  ")).otherwise(F.col("props")), "master_metadata_album_artist_name": F.when(n == 4, F.lit(None)).otherwise(F.col("event_type")), "episode_name": F.when(n == 5, F.lit("show")),
+    }
+    raw = e.select(F.lit("f").alias("file"), F.lit("h").alias("file_hash"), F.col("event_id").alias("row"), (n != 6).alias("is_object"), *[made.get(f, F.lit(None)).cast("string").alias(f) for f in history.FIELDS])
+    return history.tally(history.normalised(raw))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    """The 50 most played tracks with their best month."""
+    e = long_view(spark, sf_dir)
+    top = rollups.track_stats(e, LOST_NOW).orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(50)
+    return top.join(peaks.peak_month(e, "track"), "track_id", "left")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: v for k, v in statements.STATEMENTS.items() if k in QUERIES}
