@@ -17,26 +17,31 @@ def _q(s: Settings):
     return p.count_if(p.qualifying(s)).alias("q_plays")
 
 
-PLAYS, MS = F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms_played")
+def _plays():
+    return F.count(F.lit(1)).alias("plays")
+
+
+def _ms():
+    return F.sum("ms_played").alias("ms_played")
 
 
 def track_stats(events: DataFrame, now: int, s: Settings = DEFAULTS) -> DataFrame:
     return p.visible(events, s).groupBy("track_id").agg(
-        PLAYS, _q(s), p.count_if(~p.qualifying(s)).alias("short_plays"), F.sum(p.skip(s)).alias("skips"), MS, F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"),
+        _plays(), _q(s), p.count_if(~p.qualifying(s)).alias("short_plays"), F.sum(p.skip(s)).alias("skips"), _ms(), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"),
         F.countDistinct("local_date").alias("distinct_days"), F.countDistinct("ym").alias("active_months"), p.count_if(p.recent(now, s)).alias("recent_plays"),
     )
 
 
 def artist_stats(events: DataFrame, now: int, s: Settings = DEFAULTS) -> DataFrame:
     return p.visible(events, s).groupBy("artist_id").agg(
-        PLAYS, _q(s), F.sum(p.skip(s)).alias("skips"), MS, F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.countDistinct("track_id").alias("tracks"),
+        _plays(), _q(s), F.sum(p.skip(s)).alias("skips"), _ms(), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.countDistinct("track_id").alias("tracks"),
         F.countDistinct("album_id").alias("albums"), F.countDistinct("local_date").alias("distinct_days"), p.count_if(p.recent(now, s)).alias("recent_plays"), p.count_if(p.night()).alias("night_plays"),
     )
 
 
 def album_stats(events: DataFrame, now: int, s: Settings = DEFAULTS) -> DataFrame:
     return p.visible(events, s).filter(F.col("album_id").isNotNull()).groupBy("album_id").agg(
-        PLAYS, _q(s), F.sum(p.skip(s)).alias("skips"), MS, F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.countDistinct("track_id").alias("tracks"), p.count_if(p.recent(now, s)).alias("recent_plays"),
+        _plays(), _q(s), F.sum(p.skip(s)).alias("skips"), _ms(), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), F.countDistinct("track_id").alias("tracks"), p.count_if(p.recent(now, s)).alias("recent_plays"),
     )
 
 
@@ -45,22 +50,22 @@ def stats(events: DataFrame, kind: str, now: int, s: Settings = DEFAULTS) -> Dat
 
 
 def monthly(events: DataFrame, kind: str, s: Settings = DEFAULTS) -> DataFrame:
-    return p.visible(events, s).filter(F.col(KEYS[kind]).isNotNull()).groupBy(KEYS[kind], "ym").agg(PLAYS, _q(s), MS)
+    return p.visible(events, s).filter(F.col(KEYS[kind]).isNotNull()).groupBy(KEYS[kind], "ym").agg(_plays(), _q(s), _ms())
 
 
 def daily(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return p.visible(events, s).groupBy("local_date").agg(
-        PLAYS, _q(s), MS, F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts")
+        _plays(), _q(s), _ms(), F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts")
     )
 
 
 def hourly(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    return p.visible(events, s).groupBy("hour", "dow").agg(PLAYS, MS)
+    return p.visible(events, s).groupBy("hour", "dow").agg(_plays(), _ms())
 
 
 def yearly(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return p.visible(events, s).groupBy("year").agg(
-        PLAYS, _q(s), MS, F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"), F.countDistinct("album_id").alias("albums"), F.countDistinct("local_date").alias("distinct_days")
+        _plays(), _q(s), _ms(), F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"), F.countDistinct("album_id").alias("albums"), F.countDistinct("local_date").alias("distinct_days")
     )
 
 
@@ -81,7 +86,7 @@ def yearly_from_monthly(months: DataFrame) -> DataFrame:
 
 def dense_hours(events: DataFrame) -> DataFrame:
     """24 rows, hours without plays included; private plays count, as in every point query."""
-    seen = events.groupBy("hour").agg(PLAYS, MS)
+    seen = events.groupBy("hour").agg(_plays(), _ms())
     return events.sparkSession.range(24).select(F.col("id").cast("int").alias("hour")).join(F.broadcast(seen), "hour", "left").select("hour", F.coalesce("plays", F.lit(0)).alias("plays"), F.coalesce("ms_played", F.lit(0)).alias("ms_played"))
 
 
@@ -120,7 +125,7 @@ def clock(hours: DataFrame) -> DataFrame:
 
 
 def month_totals(events: DataFrame, ym: str, s: Settings = DEFAULTS) -> DataFrame:
-    return events.filter(F.col("ym") == ym).agg(PLAYS, _q(s), MS, F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"))
+    return events.filter(F.col("ym") == ym).agg(_plays(), _q(s), _ms(), F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"))
 
 
 def joined_names(df: DataFrame, key: str, name: str, separator: str = " | ") -> DataFrame:

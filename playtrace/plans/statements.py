@@ -300,7 +300,7 @@ STATEMENTS: dict[str, str] = {
     "c03_rules_text": _with("SELECT id AS track_id, q_plays FROM ruled WHERE artist ILIKE '%brand#1%' AND NOT coalesce(tags, '') ILIKE '%RED%' AND lower(album) <> 'economy'", *_RULED),
     "t02_document_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS token FROM documents) WHERE token <> '' GROUP BY token ORDER BY n DESC, token LIMIT 100",
     "t03_search_match": """SELECT kind, id FROM (SELECT 'track' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_brand AS body FROM part UNION SELECT DISTINCT 'artist', p_brand, p_brand FROM part)
-      WHERE list_contains(string_split_regex(lower(body), '[^a-z0-9]+'), 'red') AND list_contains(string_split_regex(lower(body), '[^a-z0-9]+'), 'brand') AND len(list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), x -> starts_with(x, '1'))) > 0""",
+      WHERE list_contains(string_split_regex(lower(body), '[^a-z0-9]+'), 'red') AND list_contains(string_split_regex(lower(body), '[^a-z0-9]+'), 'brand') AND len(list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda x: starts_with(x, '1'))) > 0""",
     "s16_dedup": _with("SELECT year, count(*) AS events FROM (SELECT DISTINCT year, ts_ms, artist_id, track_id, ms_played, reason_end FROM a) GROUP BY year"),
     "x01_incremental_merge": _with("SELECT year, count(*) AS events FROM (SELECT DISTINCT year, ts_ms, artist_id, track_id, ms_played, reason_end FROM a WHERE year = 1999) GROUP BY year"),
     "s20_reject_tally": f"SELECT {_STAMP} AS reject_reason, count(*) AS n FROM events WHERE event_id % 7 <> 0 GROUP BY ALL",
