@@ -159,6 +159,20 @@ def components(links: DataFrame) -> DataFrame:
         label = fresh.select("node", "root")
 
 
+def contracted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """(node, root) of all nodes in links so far: new links only join the components that there are, each pair of them once."""
+    if roots is None:
+        return components(links)
+    side = roots.withColumnRenamed("node", "n")
+    between = links.join(side.withColumnsRenamed({"n": "a", "root": "ra"}), "a", "left").join(side.withColumnsRenamed({"n": "b", "root": "rb"}), "b", "left")
+    between = cut(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    if between.isEmpty():
+        return roots
+    moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
+    fresh = moved.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
+    return cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(fresh))
+
+
 def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     if roots is None:
         return nodes.withColumn("root", F.col("node"))
@@ -174,15 +188,14 @@ def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
     buckets = written(banded.join(shared, "bucket"), "buckets")
     held = written(texts.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "held-texts")
     release(held.sparkSession)
-    known = roots = None
+    roots = None
 
     def check(pairs: DataFrame) -> None:
-        nonlocal known, roots
+        nonlocal roots
         joined = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
         links = cut(similarities(joined).filter(F.col("similarity") >= SIMILARITY).select("a", "b"))
         if not links.isEmpty():
-            known = links if known is None else known.union(links)
-            roots = components(known)
+            roots = contracted(links, roots)
         release(held.sparkSession)
 
     for turn in range(ROUNDS):
