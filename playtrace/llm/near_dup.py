@@ -9,7 +9,9 @@ in a component with a probability equal to their weighted Jaccard similarity.
 Search. Equal texts are one node. Nodes that share a band of the signature share a bucket. No bucket is gathered: a few
 rounds compare each node with one leader of its buckets, and verified links join nodes to components; then every pair of
 one bucket that is still in different components, and whose signatures don't exclude a link, is verified too. So pairs
-within a component are not expanded, and no link between components is left out. Verification counts both multisets.
+within a component are not expanded, and no link between components is left out. Before that, the shingles that only one
+text of the remaining buckets has are counted: they can't be part of an overlap, so they bound each text's similarity, and
+variants of one text that differ too much for a link are never paired. Verification counts both multisets.
 
 A class is a component of links of similarity 0.8 or more; its id is the least key of its documents.
 
@@ -139,6 +141,24 @@ def similarities(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def reach(texts: DataFrame) -> DataFrame:
+    """(node, n, common) of rows (node, text), one per node: shingles, and those of them that another node has too."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in textops.slices(whole):
+                words = textops.words_of(batch.column(1))
+                row, shingle, count = bag(words, words.hashes())
+                total = np.bincount(row, count, minlength=batch.num_rows).astype(np.int64)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(shingle.view(np.int64)), pa.array(count), pa.array(total[row])], ["node", "shingle", "count", "n"])
+
+    bags = texts.select("node", "text").mapInArrow(run, "node binary, shingle long, count long, n long")
+    alone = bags.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min(F.struct("node", "count", "n")).alias("x")).filter("nodes = 1")
+    own = alone.groupBy("x.node").agg(F.sum("x.count").alias("own"))
+    sizes = bags.groupBy("node").agg(F.first("n").alias("n"))
+    return sizes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+
+
 def different(a: str, b: str):
     """Components whose two low bits differ."""
     x = [F.col(f"{a}.q{i}").bitwiseXOR(F.col(f"{b}.q{i}")) for i in range(4)]
@@ -198,25 +218,37 @@ def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
             roots = contracted(links, roots)
         release(held.sparkSession)
 
+    def star(members: DataFrame, order, more=F.lit(True)) -> None:
+        """Each node against the likeliest of its buckets' leaders: the least nodes by an order. A leader travels with its values."""
+        values = [x for x in members.columns if x != "bucket" and x != "band"]
+        leaders = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), *values)).alias("l")).select("bucket", "l.*")
+        pairs = members.alias("o").join(leaders.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= MOST_DIFFERENT) & more)
+        near = pairs.select(F.col("o.node").alias("a"), F.col("i.node").alias("b"), different("o", "i").alias("d"))
+        check(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
+
     for turn in range(ROUNDS):
-        # a leader is the least node of a bucket by an order that changes with the round; it travels with its bits
-        order = F.xxhash64("node", F.lit(turn))
-        members = _rooted(buckets, roots)
-        leaders = members.groupBy("bucket").agg(F.min(F.struct(order.alias("o"), "node", "root", *bits)).alias("l")).select("bucket", "l.*")
-        star = members.alias("m").join(leaders.alias("l"), (F.col("m.bucket") == F.col("l.bucket")) & (F.col("m.root") != F.col("l.root")) & (different("m", "l") <= MOST_DIFFERENT))
-        star = star.select(F.col("m.node").alias("a"), F.col("l.node").alias("b"), different("m", "l").alias("d"))
-        best = star.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b"))
-        check(best)
+        star(_rooted(buckets, roots), F.xxhash64("node", F.lit(turn)))
     # what is left: pairs of a bucket in different components; a pair counts in the first band that it shares
     members = _rooted(buckets, roots)
     mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = written(members.join(mixed, "bucket", "left_semi"), "open-buckets")
+    open_ = members.join(mixed, "bucket", "left_semi")
+    bounds = reach(held.join(open_.select("node").distinct(), "node", "left_semi"))
+    # a text whose similarity to any other is below the least has no link here
+    open_ = written(open_.join(bounds.filter(F.col("common") >= SIMILARITY * F.col("n")), "node").drop("root"), "open-buckets")
+    release(held.sparkSession)
+    overlap = F.least("o.common", "i.common")
+    may = overlap >= SIMILARITY * (F.col("o.n") + F.col("i.n") - overlap)
+    # variants of one text are nearest to those with least of their own
+    star(_rooted(open_, roots), F.col("common") / F.col("n") * -1, may)
+    star(_rooted(open_, roots), F.floor(F.col("common") / F.col("n") * -16) * (1 << 30) + F.hash("node"), may)
+    open_ = written(_rooted(open_, roots), "open-buckets")
     # of each bucket's components the one with most nodes is only compared with the others
-    sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("n", "root")).alias("x")).select("bucket", F.col("x.root").alias("main"))
-    outer = open_.join(largest, "bucket").filter("root <> main")
+    sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("bucket", F.col("x.root").alias("main"))
     inner = open_.join(largest, "bucket")
-    rest = outer.alias("o").join(inner.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= MOST_DIFFERENT) & ((F.col("i.root") == F.col("i.main")) | (F.col("o.node") < F.col("i.node"))))
+    outer = inner.filter("root <> main")
+    once = (F.col("i.root") == F.col("i.main")) | (F.col("o.node") < F.col("i.node"))
+    rest = outer.alias("o").join(inner.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= MOST_DIFFERENT) & may & once)
     check(rest.select(F.least("o.node", "i.node").alias("a"), F.greatest("o.node", "i.node").alias("b")).distinct())
     return roots
 
