@@ -2,11 +2,12 @@
 
 A line is the set of its words (runs of bytes other than ASCII white space). Two lines match if their Jaccard similarity is
 at least NUM / DEN. Equal sets are first folded into one, with the place of its first line. Each set's tokens are ordered
-by rarity and only its prefix is indexed: two matching sets share a token of their prefixes. The join on that token keeps
-pairs that pass the length filter, the positional filter and a bound from the parity bitmaps of the sets; what remains is
-verified on the token sets themselves. A line goes if an earlier line (by key, then line number) matches it.
+by rarity and only its prefix is indexed: two matching sets share a token of the longer one's prefix and of the first half
+or so of the shorter one's. The join on that token keeps pairs that pass the length filter, the positional filter and a
+bound from the parity bitmaps of the sets; what remains is verified on the token sets themselves. A line goes if an earlier
+line (by key, then line number) matches it.
 
-Rarity comes from counts of all words in 2^18 hash buckets, so what the driver gathers and the plan carries has a fixed
+Rarity comes from counts of all words in 2^14 hash buckets, so what the driver gathers and the plan carries has a fixed
 size; the result doesn't depend on it, as any order of tokens is exact.
 
 Defined results: null and empty texts have no lines with words; lines without words always stay and match nothing;
@@ -26,11 +27,13 @@ from playtrace.shared import release, written
 #: The least similarity as a fraction.
 NUM, DEN = 4, 5
 #: Buckets of the rarity counts.
-SKETCH_BITS = 18
+SKETCH_BITS = 14
 #: Low bits of a token that hold its hash; the bits above hold its rarity class.
 HASH_BITS = 55
 SPACE = r"[\x20\x09-\x0D]+"
-SET = ["k", "sig", "n"]
+SET = ["k", "sig"]
+#: Words from which a line is long.
+LONG = 64
 
 
 def rarity(docs: DataFrame, text: str) -> bytes:
@@ -59,9 +62,15 @@ def tokens(line: Column, classes: Column) -> Column:
     return F.sort_array(F.transform(hashes(line), ranked))
 
 
-def parity(items: Column) -> Column:
-    """64 bits, each the parity of the tokens that fall on it; sets that differ in d tokens differ in at most d bits."""
-    return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), x.bitwiseAND(63).cast("int"))))
+def parity(items: Column, one) -> Column:
+    """64 bits, each the parity of the tokens that fall on it by their low bits; sets that differ in d tokens differ in at most d bits."""
+    return F.aggregate(items, F.lit(0).cast("long"), lambda a, x: a.bitwiseXOR(F.call_function("shiftleft", one(x), x.bitwiseAND(63).cast("int"))))
+
+
+def bitmaps(items: Column) -> list[Column]:
+    """One bitmap of all tokens; for long lines, which fill it, two more of the tokens with and without bit 6."""
+    halves = [F.when(F.size(items) >= LONG, parity(items, lambda x, half=half: (x.bitwiseAND(64) == half).cast("long"))).otherwise(0) for half in (0, 64)]
+    return [parity(items, lambda x: F.lit(1).cast("long")).alias("sig"), *(h.cast("long").alias(f"sig{j}") for j, h in enumerate(halves, 1))]
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -71,27 +80,33 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sets(rows: DataFrame, classes: Column) -> DataFrame:
-    """One row per distinct set of words of a line: k, sig, n, first (id, th, line), lines (how many), prefix."""
-    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "body")).select("id", "th", "line", tokens(F.col("body"), classes).alias("items"))
+    """One row per distinct set of words of a line: k, sig, n, the other bitmaps, first (id, th, line, prefix)."""
+    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "body"))
+    # exploding an array of one keeps the optimizer from computing the tokens anew for each use
+    held = lines.select("id", "th", "line", F.explode(F.array(tokens(F.col("body"), classes))).alias("items"))
     n = F.size("items")
-    measured = lines.filter(n > 0).select(
-        "id", "th", "line", F.xxhash64("items").alias("k"), parity(F.col("items")).alias("sig"), n.alias("n"),
+    measured = held.filter(n > 0).select(
+        "id", "th", "line", F.xxhash64("items").alias("k"), *bitmaps(F.col("items")), n.alias("n"),
         F.transform(F.slice("items", F.lit(1), n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1), lambda x: F.xxhash64(x).bitwiseAND((1 << 31) - 1).cast("int")).alias("prefix"),
     )
-    return measured.groupBy(*SET).agg(F.min(F.struct("id", "th", "line", "prefix")).alias("first"), F.count(F.lit(1)).alias("lines"))
+    return measured.groupBy(*SET).agg(*[F.min(x).alias(x) for x in ("n", "sig1", "sig2")], F.min(F.struct("id", "th", "line", "prefix")).alias("first"))
 
 
 def candidates(found: DataFrame) -> DataFrame:
-    """Pairs of sets (a before b in no particular order) that share a prefix token and pass all filters."""
-    index = found.select(*SET, F.posexplode("first.prefix").alias("at", "token"))
+    """Pairs of sets (a the shorter one) that share a prefix token and pass all filters."""
+    index = found.select(*SET, "sig1", "sig2", "n", F.posexplode("first.prefix").alias("at", "token"))
     a, b = index.alias("a"), index.alias("b")
     na, nb, ia, ib = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
-    # overlap >= (na + nb) * NUM / (NUM + DEN), in whole numbers
+    # overlap >= (na + nb) * NUM / (NUM + DEN), in whole numbers; with na <= nb that leaves na / 9 tokens of a outside at most
     need = F.floor(((na + nb) * NUM + NUM + DEN - 1) / (NUM + DEN))
-    ordered = (F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.sig") < F.col("b.sig")))
-    fits = (na * NUM <= nb * DEN) & (nb * NUM <= na * DEN)
+    tie = (na == nb) & ((F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.sig") < F.col("b.sig"))))
+    # one condition on both sides, so that both are read from one shuffle
+    ordered = F.when((ia + 1) * (NUM + DEN) <= na * (DEN - NUM) + NUM + DEN, (na < nb) | tie)
+    fits = nb * NUM <= na * DEN
     reach = F.least(ia, ib) + F.least(na - ia, nb - ib) >= need
-    near = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) <= na + nb - 2 * need
+    apart = {x: F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in ("sig", "sig1", "sig2")}
+    # bitmaps of a long and a short line tell nothing
+    near = (apart["sig"] <= na + nb - 2 * need) & ((na < LONG) | (apart["sig1"] + apart["sig2"] <= na + nb - 2 * need))
     pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & fits & reach & near)
     return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
 
@@ -100,14 +115,15 @@ def verified(pairs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
     """The pairs whose sets match, checked on the words of their first lines."""
     wanted = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{x}").alias(x) for x in SET]) for s in "ab"])).alias("s")).select("s.*").distinct()
     places = found.join(wanted, SET, "left_semi").groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), *SET)).alias("wanted"))
+    once = rows.join(places, rows["id"].eqNullSafe(places["id"]) & (rows["th"] == places["th"])).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    items = once.select("w.*", hashes(F.element_at("lines", F.col("w.line") + 1)).alias("items")).select(*SET, "items")
     # repeated rows would each give the same sets again
-    once = rows.join(places, rows["id"].eqNullSafe(places["id"]) & (rows["th"] == places["th"])).select("text", F.explode("wanted").alias("w"))
-    items = once.select("w.*", hashes(F.element_at(F.split("text", "\n"), F.col("w.line") + 1)).alias("items")).select(*SET, "items")
-    held = items.dropDuplicates(SET)
+    held = written(items.dropDuplicates(SET), "line-items")
+    release(held.sparkSession)
     left = pairs.join(held.select(*[F.col(x).alias(f"a_{x}") for x in SET], F.col("items").alias("a_items")), [f"a_{x}" for x in SET])
     both = left.join(held.select(*[F.col(x).alias(f"b_{x}") for x in SET], F.col("items").alias("b_items")), [f"b_{x}" for x in SET])
     shared = F.size(F.array_intersect("a_items", "b_items"))
-    return both.filter(shared * (NUM + DEN) >= (F.col("a_n") + F.col("b_n")) * NUM).select(*pairs.columns)
+    return both.filter(shared * (NUM + DEN) >= (F.size("a_items") + F.size("b_items")) * NUM).select(*pairs.columns)
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
@@ -144,7 +160,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     found, links = linked(docs, key, text)
     marks = kept_lines(found, links)
     body = F.col(text).cast("string")
-    worded = F.size(F.filter(F.split(body, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
+    worded = F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D][^\n]*"))  # one match for each line with a word
     counted = docs.select(F.col(key).alias(key), F.xxhash64(body).alias("th"), F.when(body.isNull(), 0).otherwise(worded).alias("n_lines"))
     out = counted.alias("d").join(marks.alias("m"), F.col(f"d.{key}").eqNullSafe(F.col("m.id")) & (F.col("d.th") == F.col("m.th")), "left")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
