@@ -33,7 +33,7 @@ HASH_BITS = 55
 SPACE = r"[\x20\x09-\x0D]+"
 SET = ["k", "sig"]
 #: Words from which a line is long.
-LONG = 64
+LONG = 20
 
 
 def rarity(docs: DataFrame, text: str) -> bytes:
@@ -52,14 +52,14 @@ def hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def tokens(line: Column, classes: Column) -> Column:
-    """The sorted set of a line's tokens: rarity class above, hash below, one long each."""
+def tokens(words: Column, classes: Column) -> Column:
+    """The sorted tokens of hashed words: rarity class above, hash below, one long each."""
 
     def ranked(h: Column) -> Column:
         place = h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int") + 1
         return F.shiftleft(F.ascii(F.substring(classes, place, F.lit(1)).cast("string")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
-    return F.sort_array(F.transform(hashes(line), ranked))
+    return F.sort_array(F.transform(words, ranked))
 
 
 def parity(items: Column, one) -> Column:
@@ -80,34 +80,60 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def sets(rows: DataFrame, classes: Column) -> DataFrame:
-    """One row per distinct set of words of a line: k, sig, n, the other bitmaps, first (id, th, line, prefix)."""
+    """One row per distinct set of words of a line: k, sig, n, the other bitmaps, its least and greatest hash, first (id, th, line, prefix)."""
     lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     # exploding an array of one keeps the optimizer from computing the tokens anew for each use
-    held = lines.select("id", "th", "line", F.explode(F.array(tokens(F.col("body"), classes))).alias("items"))
+    hashed = lines.select("id", "th", "line", F.explode(F.array(hashes(F.col("body")))).alias("words"))
+    held = hashed.select("id", "th", "line", F.array_min("words").alias("lo"), F.array_max("words").alias("hi"), F.explode(F.array(tokens(F.col("words"), classes))).alias("items"))
     n = F.size("items")
     measured = held.filter(n > 0).select(
-        "id", "th", "line", F.xxhash64("items").alias("k"), *bitmaps(F.col("items")), n.alias("n"),
+        "id", "th", "line", "lo", "hi", F.xxhash64("items").alias("k"), *bitmaps(F.col("items")), n.alias("n"),
         F.transform(F.slice("items", F.lit(1), n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1), lambda x: F.xxhash64(x).bitwiseAND((1 << 31) - 1).cast("int")).alias("prefix"),
     )
-    return measured.groupBy(*SET).agg(*[F.min(x).alias(x) for x in ("n", "sig1", "sig2")], F.min(F.struct("id", "th", "line", "prefix")).alias("first"))
+    return measured.groupBy(*SET).agg(*[F.min(x).alias(x) for x in ("n", "sig1", "sig2", "lo", "hi")], F.count(F.lit(1)).alias("lines"), F.min(F.struct("id", "th", "line", "prefix")).alias("first"))
 
 
-def candidates(found: DataFrame) -> DataFrame:
-    """Pairs of sets (a the shorter one) that share a prefix token and pass all filters."""
-    index = found.select(*SET, "sig1", "sig2", "n", F.posexplode("first.prefix").alias("at", "token"))
+def candidates(found: DataFrame, done: DataFrame | None = None) -> DataFrame:
+    """Pairs of sets (a the shorter one) that share a prefix token and pass all filters; none of two sets that are in ``done`` (k, sig)."""
+    closed = F.lit(False)
+    if done is not None:
+        found, closed = found.join(done.withColumn("closed", F.lit(True)), SET, "left"), F.coalesce("closed", F.lit(False))
+    index = found.select(*SET, "sig1", "sig2", "n", closed.alias("closed"), F.posexplode("first.prefix").alias("at", "token"))
     a, b = index.alias("a"), index.alias("b")
     na, nb, ia, ib = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
-    # overlap >= (na + nb) * NUM / (NUM + DEN), in whole numbers; with na <= nb that leaves na / 9 tokens of a outside at most
-    need = F.floor(((na + nb) * NUM + NUM + DEN - 1) / (NUM + DEN))
     tie = (na == nb) & ((F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.sig") < F.col("b.sig"))))
-    # one condition on both sides, so that both are read from one shuffle
+    # with na <= nb at most na / 9 tokens of a are outside b; one condition on both sides, so that both are read from one shuffle
     ordered = F.when((ia + 1) * (NUM + DEN) <= na * (DEN - NUM) + NUM + DEN, (na < nb) | tie)
-    fits = nb * NUM <= na * DEN
-    reach = F.least(ia, ib) + F.least(na - ia, nb - ib) >= need
-    apart = {x: F.bit_count(F.col(f"a.{x}").bitwiseXOR(F.col(f"b.{x}"))) for x in ("sig", "sig1", "sig2")}
-    # bitmaps of a long and a short line tell nothing
-    near = (apart["sig"] <= na + nb - 2 * need) & ((na < LONG) | (apart["sig1"] + apart["sig2"] <= na + nb - 2 * need))
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & fits & reach & near)
+    reach = F.least(ia, ib) + F.least(na - ia, nb - ib) >= need(na, nb)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & near("a", "b") & reach & ~(F.col("a.closed") & F.col("b.closed")))
+    return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
+
+
+def need(na: Column, nb: Column) -> Column:
+    """The least overlap of matching sets: (na + nb) * NUM / (NUM + DEN), in whole numbers."""
+    return F.floor(((na + nb) * NUM + NUM + DEN - 1) / (NUM + DEN))
+
+
+def near(a: str, b: str) -> Column:
+    """Whether lengths and bitmaps allow a match."""
+    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+    most = na + nb - 2 * need(na, nb)
+    apart = {x: F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in ("sig", "sig1", "sig2")}
+    # the further bitmaps of a long and a short line tell nothing
+    return (na * NUM <= nb * DEN) & (nb * NUM <= na * DEN) & (apart["sig"] <= most) & ((F.least(na, nb) < LONG) | (apart["sig1"] + apart["sig2"] <= most))
+
+
+def place() -> Column:
+    return F.struct("first.id", "first.th", "first.line")
+
+
+def first_candidates(found: DataFrame) -> DataFrame:
+    """Each set (a) with the earliest and the most frequent set (b) of those with the same least or greatest hash, if it is earlier and can match: four pairs a set at most."""
+    blocks = found.select(*SET, "sig1", "sig2", "n", "lines", place().alias("place"), F.explode(F.array("lo", "hi")).alias("block"))
+    leader = F.struct("place", *SET, "sig1", "sig2", "n")
+    leaders = F.array(F.min(leader), F.min(F.struct(-F.col("lines"), leader.alias("l")))["l"])
+    first = blocks.groupBy("block").agg(leaders.alias("f")).select("block", F.explode(F.array_distinct("f")).alias("f")).select("block", "f.*")
+    pairs = blocks.alias("a").join(first.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("b.place") < F.col("a.place")) & near("a", "b"))
     return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
 
 
@@ -126,29 +152,40 @@ def verified(pairs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
     return both.filter(shared * (NUM + DEN) >= (F.size("a_items") + F.size("b_items")) * NUM).select(*pairs.columns)
 
 
-def linked(docs: DataFrame, key: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
-    """(sets, links): every distinct line set with its first place, and every pair of different sets that match."""
+def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = True) -> tuple[DataFrame, DataFrame]:
+    """(sets, links): every distinct line set with its first place, and pairs of different sets that match.
+
+    All pairs with ``every``; otherwise as many as tell which sets have an earlier match: each set is first compared with
+    the earliest and the most frequent of those with its least or greatest hash, and two sets that both have an earlier match are left unpaired.
+    """
     rows = keyed(docs, key, text)
     classes = F.lit(bytearray(rarity(rows, "text")))
     found = written(sets(rows, classes), "line-sets")
     release(found.sparkSession)
-    pairs = written(candidates(found), "line-pairs")
-    release(found.sparkSession)
-    links = written(verified(pairs, found, rows), "line-links")
-    release(found.sparkSession)
-    return found, links
+
+    def checked(pairs: DataFrame) -> DataFrame:
+        pairs = written(pairs, "line-pairs")
+        release(found.sparkSession)
+        links = written(verified(pairs, found, rows), "line-links")
+        release(found.sparkSession)
+        return links
+
+    if every:
+        return found, checked(candidates(found))
+    links = checked(first_candidates(found))
+    done = written(links.select(F.col("a_k").alias("k"), F.col("a_sig").alias("sig")).distinct(), "line-matched")
+    return found, links.union(checked(candidates(found, done)))
 
 
 def kept_lines(found: DataFrame, links: DataFrame) -> DataFrame:
     """(id, th, kept, n_links): for each document the lines that stay because they come first, and links of its first lines."""
-    place = F.struct("first.id", "first.th", "first.line")
     ends = links.select(F.explode(F.array(
         F.struct(*[F.col(f"a_{x}").alias(x) for x in SET], *[F.col(f"b_{x}").alias(f"o_{x}") for x in SET]),
         F.struct(*[F.col(f"b_{x}").alias(x) for x in SET], *[F.col(f"a_{x}").alias(f"o_{x}") for x in SET]),
     )).alias("e")).select("e.*")
-    others = found.select(*[F.col(x).alias(f"o_{x}") for x in SET], place.alias("other"))
+    others = found.select(*[F.col(x).alias(f"o_{x}") for x in SET], place().alias("other"))
     first_match = ends.join(others, [f"o_{x}" for x in SET]).groupBy(*SET).agg(F.min("other").alias("earliest"), F.count(F.lit(1)).alias("links"))
-    judged = found.select(*SET, place.alias("place")).join(first_match, SET, "left")
+    judged = found.select(*SET, place().alias("place")).join(first_match, SET, "left")
     stays = F.col("earliest").isNull() | (F.col("place") < F.col("earliest"))
     return judged.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(
         F.sort_array(F.collect_list(F.when(stays, F.col("place.line")))).alias("kept"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links")
@@ -169,7 +206,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed lines cut from the text, all other columns as they were; no row goes."""
-    found, links = linked(docs, key, text)
+    found, links = linked(docs, key, text, every=False)
     marks = kept_lines(found, links)
     body = F.col(f"d.{text}").cast("string")
     kept = F.coalesce(F.col("m.kept"), F.array().cast("array<int>"))

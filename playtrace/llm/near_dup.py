@@ -277,10 +277,13 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     Only keys and hashes decide; the texts move once, to meet the decision.
     """
     found = written(_classes(docs, key, text), "classes")
-    chosen = found.filter("root IS NOT NULL").groupBy("root").agg(F.min(F.struct("key", "th")).alias("x")).select(F.col("x.key").alias("kept_key"), F.col("x.th").alias("kept_th"))
+    named = found.filter("root IS NOT NULL")
+    chosen = named.groupBy("root").agg(F.min(F.struct("key", "th")).alias("x"))
+    # rows that go are often few: written down, their size is known, so Spark can broadcast them and leave the texts where they are
+    gone = named.join(chosen, "root").filter(~(F.col("key").eqNullSafe(F.col("x.key")) & (F.col("th") == F.col("x.th")))).select(F.col("key").alias("gone_key"), F.col("th").alias("gone_th"))
+    gone = written(gone.distinct(), "near-copies")
     rows = docs.withColumn("kept_th", F.xxhash64(F.col(text).cast("string"))).withColumn("kept_key", F.col(key))
-    same = rows["kept_key"].eqNullSafe(chosen["kept_key"]) & (rows["kept_th"] == chosen["kept_th"])
-    kept = rows.filter(F.col(text).isNotNull()).join(chosen, same, "left_semi")
-    if not found.filter("root IS NOT NULL").groupBy("key", "th").count().filter("count > 1").isEmpty():
+    kept = rows.filter(F.col(text).isNotNull()).join(gone, F.col("kept_key").eqNullSafe(F.col("gone_key")) & (F.col("kept_th") == F.col("gone_th")), "left_anti")
+    if not named.groupBy("key", "th").count().filter("count > 1").isEmpty():
         kept = kept.dropDuplicates(["kept_key", "kept_th"])
     return kept.union(rows.filter(F.col(text).isNull())).select(*docs.columns)

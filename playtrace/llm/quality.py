@@ -128,10 +128,17 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> crf.Chain:
     rows = sampling.labelled(docs, labels, "quality", most)
     if len({y for _, _, y in rows}) < 2:
         return crf.Chain.zero(N_FEATURES)
-    words = textops.words_of(pa.array([x for _, x, _ in rows], pa.string()))
-    lines = Lines(words, words.hashes())
-    y = 1 - np.array([y for _, _, y in rows])
-    return crf.fit(lines.features(), y[lines.text], np.bincount(lines.text, minlength=len(rows)), N_FEATURES)
+    marks = 1 - np.array([y for _, _, y in rows])
+    sample, begin = pa.RecordBatch.from_arrays([pa.array([x for _, x, _ in rows], pa.string())], ["text"]), 0
+    features, label, lengths = [], [], []
+    for piece in textops.slices(sample):  # the driver holds the words of one slice at a time
+        words = textops.words_of(piece.column(0))
+        lines = Lines(words, words.hashes())
+        features.append(lines.features())
+        label.append(marks[lines.text + begin])
+        lengths.append(np.bincount(lines.text, minlength=piece.num_rows))
+        begin += piece.num_rows
+    return crf.fit(np.concatenate(features), np.concatenate(label), np.concatenate(lengths), N_FEATURES)
 
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, n_lines long, n_content_lines long, content_share double"

@@ -71,6 +71,8 @@ class Tagger:
     coefficients: np.ndarray
 
     def marginal(self, tokens: Tokens) -> np.ndarray:
+        if not len(self.index):
+            return np.zeros(len(tokens.signs))
         active = tokens.features()
         place = np.searchsorted(self.index, active)
         place[place == len(self.index)] = 0

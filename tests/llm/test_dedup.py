@@ -161,3 +161,13 @@ def test_later_occurrences_go(spark):
     out = {r["doc_id"]: r["text"] for r in passages.without_later(docs).collect()}
     assert out[0] == f"{passage} a b" and out[1].split() == ["c", "d"] and out[2] == "e f" and out[3] is None
     assert passages.without_later(docs).columns == docs.columns
+
+
+def test_deduped_equals_report(spark):
+    texts = [*some_lines(seed=11, n=80), None, ""]
+    docs = table(spark, texts)
+    kept = {r["doc_id"]: set(r["kept"]) for r in line_dedup.line_report(docs).collect()}
+    for r in line_dedup.deduped(docs).collect():
+        text = texts[r["doc_id"]]
+        want = None if text is None else "\n".join(x for j, x in enumerate(text.split("\n")) if j in kept[r["doc_id"]] or not x.split())
+        assert r["text"] == want
