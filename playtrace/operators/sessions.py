@@ -33,7 +33,7 @@ def favourite(events: DataFrame, keys: list[str], column: str) -> DataFrame:
     total = F.sum("n").over(Window.partitionBy(*keys))
     share = F.col("n") / total
     ranked = counts.withColumn("e", -share * F.log(share))
-    best = F.min_by(column, F.struct((-F.col("n")).alias("n"), "first"))
+    best = F.min_by(column, F.struct((-F.col("n")).alias("n"), "first", column))
     entropy = F.when(F.count(F.lit(1)) > 1, F.least(F.greatest(F.sum("e") / F.log(F.count(F.lit(1)).cast("double")), F.lit(0.0)), F.lit(1.0))).otherwise(0.0)
     return ranked.groupBy(*keys).agg(best.alias("top"), F.max("n").alias("repeats"), F.count(F.lit(1)).alias("kinds"), entropy.alias("diversity"))
 
