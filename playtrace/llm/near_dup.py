@@ -74,7 +74,8 @@ def signatures(n_texts: int, text: np.ndarray, element: np.ndarray, count: np.nd
         while len(where):
             points = int(np.clip(30_000 // len(where), 1, 64))
             draws = textops.mix(seed[:, None] + np.arange(step + 1, step + points + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03))
-            at = x[:, None] + np.cumsum(-np.log(_uniform(draws)) / wide[:, None], axis=1)
+            # one sum from left to right, however the points are cut into chunks: the last bits of a point are hashed below
+            at = np.cumsum(np.concatenate([x[:, None], -np.log(_uniform(draws)) / wide[:, None]], axis=1), axis=1)[:, 1:]
             more = textops.mix(draws ^ np.uint64(0xA0761D6478BD642F))
             # the low half chooses the component, the high half the unit cell of the interval
             component = (more & np.uint64(0xFFFFFFFF)) % np.uint64(components)

@@ -1,9 +1,11 @@
 import random
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
-from playtrace.llm import line_dedup, near_dup, passages
+from playtrace.llm import line_dedup, near_dup, passages, textops
 
 SCHEMA = "doc_id long, text string, root string, n int"
 
@@ -57,6 +59,20 @@ def test_near_classes_equal_brute_force(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+def signed(texts):
+    words = textops.words_of(pa.array(texts, pa.string()))
+    return near_dup.signatures(words.n_texts, *near_dup.bag(words, words.hashes()))
+
+
+def test_signature_is_the_same_in_every_slice():
+    draw = random.Random(4)
+    body = lambda n: " ".join(f"s{draw.randrange(3000)}" for _ in range(n))
+    texts = [body(n) for n in (5, 24, 30, 40, 54, 54, 90, 200)] + ["again and " * 40]
+    alone = np.concatenate([signed([x]) for x in texts])
+    for extra in ([], [body(300) for _ in range(8)], [body(2000)], [body(12000), "x " * 5000], [body(40000)]):
+        assert (signed([*texts, *extra])[: len(texts)] == alone).all()
+
+
 def test_one_of_each_class_stays(spark):
     texts = ["same text here"] * 3 + variants(n_texts=2, n_copies=2) + [None, None]
     docs = table(spark, texts)
