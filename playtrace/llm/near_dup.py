@@ -37,8 +37,10 @@ from playtrace.shared import cut, release, written
 SHINGLE, SIMILARITY, COMPONENTS, BAND = 5, 0.8, 128, 4
 #: Rounds against leaders before the remaining pairs are compared.
 ROUNDS = 2
-#: Two bits of each component are compared first. At the least similarity 19 of 128 differ on average, with a deviation of 4; a link has more than this many in one of a thousand cases.
-MOST_DIFFERENT = 32
+#: Two bits of each component are compared first. At the least similarity 19 of 128 differ on average, with a deviation of 4; a link has more than this many with a probability of 4.3e-8, less than that of sharing no band (4.7e-8).
+MOST_DIFFERENT = 43
+#: A leader is tried first only up to this many; a pair beyond is left to the comparison of what remains.
+LIKELY = 32
 
 
 def bag(words: textops.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -223,7 +225,7 @@ def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
         """Each node against the likeliest of its buckets' leaders: the least nodes by an order. A leader travels with its values."""
         values = [x for x in members.columns if x != "bucket" and x != "band"]
         leaders = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), *values)).alias("l")).select("bucket", "l.*")
-        pairs = members.alias("o").join(leaders.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= MOST_DIFFERENT) & more)
+        pairs = members.alias("o").join(leaders.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= LIKELY) & more)
         near = pairs.select(F.col("o.node").alias("a"), F.col("i.node").alias("b"), different("o", "i").alias("d"))
         check(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
 

@@ -73,6 +73,21 @@ def test_signature_is_the_same_in_every_slice():
         assert (signed([*texts, *extra])[: len(texts)] == alone).all()
 
 
+def test_links_with_unlike_signatures_are_found(spark):
+    """Pairs of similarity 89 / 111 of which 34 to 36 components differ in their two lowest bits."""
+    texts = []
+    for seed in (313, 606, 929):
+        draw = random.Random(seed)
+        base = [f"s{draw.randrange(10**6)}" for _ in range(104)]
+        copy = list(base)
+        for at in (30, 60, 103):
+            copy[at] = f"x{draw.randrange(10**6)}"
+        texts += [" ".join(base), " ".join(copy)]
+        assert similarity(bag(texts[-2]), bag(texts[-1])) >= 0.8
+    got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(table(spark, texts)).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+
+
 def test_one_of_each_class_stays(spark):
     texts = ["same text here"] * 3 + variants(n_texts=2, n_copies=2) + [None, None]
     docs = table(spark, texts)
