@@ -186,6 +186,36 @@ def test_passages_equal_brute_force(spark):
     assert got == spans_of(texts)
 
 
+def edited(seed, n_variants, n_edits, n_words=200):
+    draw = random.Random(seed)
+    base = [f"e{seed}-{i}" for i in range(n_words)]
+    out = []
+    for _ in range(n_variants):
+        copy = list(base)
+        for _ in range(n_edits):
+            copy[draw.randrange(n_words)] = f"y{draw.randrange(10**9)}"
+        out.append(" ".join(copy))
+    return out
+
+
+def test_passages_of_edited_variants_equal_brute_force(spark):
+    """All repeated words, and those of them in runs of 50 words that an earlier place holds, or that no earlier one does."""
+    texts = [*edited(1, 12, 1), *edited(2, 12, 2), *edited(3, 12, 4), " ".join(f"z{i % 70}" for i in range(260))]
+    random.Random(2).shuffle(texts)
+    places = {}
+    for i, w in enumerate(x.split() for x in texts):
+        for at in range(len(w) - 49):
+            places.setdefault(tuple(w[at : at + 50]), []).append((i, at))
+    want = {(i, x): set() for i in range(len(texts)) for x in (False, True)}
+    for found in (x for x in places.values() if len(x) > 1):
+        for i, at in found:
+            want[i, (i, at) != min(found)].update(range(at, at + 50))
+    got = {x: set() for x in want}
+    for r in passages.passages(table(spark, texts)).collect():
+        got[r["doc_id"], r["later"]].update(range(r["begin"], r["end"]))
+    assert got == want
+
+
 def test_later_occurrences_go(spark):
     passage = " ".join(f"q{i}" for i in range(60))
     docs = table(spark, [f"{passage} a b", f"c {passage} d", "e f", None])
