@@ -216,6 +216,17 @@ def test_passages_of_edited_variants_equal_brute_force(spark):
     assert got == want
 
 
+def test_a_part_in_an_earlier_document_makes_no_passage_later(spark):
+    """Document k holds 40 words of a passage of 60 that documents 20 + k and 40 + k hold: the first of these keeps it."""
+    passage = [[f"r{k}-{i}" for i in range(60)] for k in range(20)]
+    texts = [" ".join(x[:40]) + f" a{k} b{k} " + " ".join(f"o{k}-{i}" for i in range(60)) for k, x in enumerate(passage)]
+    texts += [" ".join(["head", str(n), *x, str(n), "tail"]) for n in (1, 2) for x in passage]
+    out = {r["doc_id"]: r["text"].split() for r in passages.without_later(table(spark, texts)).collect()}
+    for k in range(20):
+        assert out[k] == texts[k].split() and out[20 + k] == texts[20 + k].split()
+        assert out[40 + k] == ["head", "2", "2", "tail"]
+
+
 def test_later_occurrences_go(spark):
     passage = " ".join(f"q{i}" for i in range(60))
     docs = table(spark, [f"{passage} a b", f"c {passage} d", "e f", None])
