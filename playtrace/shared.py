@@ -1,6 +1,7 @@
 """Where jobs cut lineage: the folder that the cluster names in ``spark.checkpoint.dir``.
 
-Only where that setting is unset (tests, a laptop) a folder of our own is used.
+Only where that setting is unset and the session is local (tests, a laptop) a folder of our own is used. Tables lie in one
+folder per application, which ``sweep`` deletes; operators ``discard`` those that nothing will read again.
 """
 
 from __future__ import annotations
@@ -10,40 +11,59 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-#: Used where the session names no shared folder, as in local tests.
+#: Used where a local session names no shared folder, as in tests.
 LOCAL_FOLDER = "/tmp/checkpoints/playtrace"
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that driver and executors share; sets the checkpoint directory if none is set."""
-    named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    if not named and not (context.master == "local" or context.master.startswith("local[")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     folder = named or LOCAL_FOLDER
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(folder)
+    if context._jsc.sc().getCheckpointDir().isEmpty():
+        context.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def _tables(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/tables/{spark.sparkContext.applicationId}"
+
+
 def written(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: lineage ends there, and a lost executor loses nothing.
 
     Use it where several later jobs read the same computed rows. Each call has a folder of its own.
     """
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tables/{name}-{uuid.uuid4().hex}"
+    path = f"{_tables(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.written_to = path
+    return back
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that no frame in use reads any more."""
+    for table in tables:
+        _delete(table.sparkSession, table.written_to)
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """An eager ``checkpoint()`` in the shared folder, for small tables inside loops."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+def sweep(spark: SparkSession) -> None:
+    """Delete all tables that this application has written; results that still read them must be stored first."""
+    _delete(spark, _tables(spark))
 
 
 def release(spark: SparkSession) -> None:
-    """Let Spark's cleaner delete the shuffle files of finished jobs that nothing refers to any more.
+    """Ask Spark's cleaner to delete the shuffle files of finished jobs that nothing refers to any more.
 
-    The cleaner acts when the driver's JVM collects the plans; left alone, that may come long after a chain of large jobs.
+    Left alone, the driver's JVM may collect the finished plans long after a chain of large jobs. Results don't depend on it.
     """
     gc.collect()
     spark.sparkContext._jvm.System.gc()
