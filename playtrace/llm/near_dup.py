@@ -6,12 +6,13 @@ its width, and inside an interval a point falls on a unit cell. Points come in a
 components, which keeps the least; a process ends at the first point above the text's largest component. Two texts agree
 in a component with a probability equal to their weighted Jaccard similarity.
 
-Search. Equal texts are one node. Nodes that share a band of the signature share a bucket. No bucket is gathered: a few
-rounds compare each node with one leader of its buckets, and verified links join nodes to components; then every pair of
+Search. Equal texts are one node. Nodes that share a band of the signature share a bucket. No bucket is gathered:
+each node is compared with leaders of its buckets, and verified links join nodes to components; then every pair of
 one bucket that is still in different components, and whose signatures don't exclude a link, is verified too. So pairs
 within a component are not expanded, and no link between components is left out. Before that, the shingles that only one
-text of the remaining buckets has are counted: they can't be part of an overlap, so they bound each text's similarity, and
-variants of one text that differ too much for a link are never paired. Verification counts both multisets.
+text of the remaining buckets has are counted: they can't be part of an overlap, so they bound each text's similarity; and
+parities of each multiset bound the difference of two. Neither bound excludes a link, and variants of one text that differ
+too much for one are never paired. Verification counts both multisets.
 
 A class is a component of links of similarity 0.8 or more; its id is the least key of its documents.
 
@@ -31,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtrace.llm import textops
-from playtrace.shared import cut, release, written
+from playtrace.shared import discard, release, written
 
 #: Words of a shingle; similarity of a link; components of a signature; components of a band.
 SHINGLE, SIMILARITY, COMPONENTS, BAND = 5, 0.8, 128, 4
@@ -39,6 +40,9 @@ SHINGLE, SIMILARITY, COMPONENTS, BAND = 5, 0.8, 128, 4
 ROUNDS = 2
 #: Two bits of each component are compared first. At the least similarity 19 of 128 differ on average, with a deviation of 4; a link has more than this many with a probability of 4.3e-8, less than that of sharing no band (4.7e-8).
 MOST_DIFFERENT = 43
+#: 64-bit words of parities that bound the difference of two texts; they tell most for texts of up to as many shingles as they have bits.
+PARITIES = 16
+SUMS = [f"p{j}" for j in range(PARITIES)]
 #: A leader is tried first only up to this many; a pair beyond is left to the comparison of what remains.
 LIKELY = 32
 
@@ -144,22 +148,48 @@ def similarities(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, similarity double")
 
 
+def parities(text: np.ndarray, shingle: np.ndarray, count: np.ndarray, n_texts: int) -> np.ndarray:
+    """texts x PARITIES 64-bit words: each bit is the parity of the occurrences that fall on it, so that multisets that differ in d occurrences differ in at most d bits."""
+    again = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    place = textops.mix(np.repeat(shingle, count) + again.astype(np.uint64) * np.uint64(0xD1B54A32D192ED03)) % np.uint64(64 * PARITIES)
+    cell, times = np.unique(np.repeat(text, count) * (64 * PARITIES) + place.astype(np.int64), return_counts=True)
+    flags = np.zeros(n_texts * 64 * PARITIES, np.uint8)
+    flags[cell[times % 2 == 1]] = 1
+    return np.packbits(flags.reshape(n_texts, -1), axis=1).view(">i8").astype(np.int64)
+
+
 def reach(texts: DataFrame) -> DataFrame:
-    """(node, n, common) of rows (node, text), one per node: shingles, and those of them that another node has too."""
+    """(node, n, common, p0, p1, ..) of rows (node, text), one per node: shingles, those of them that another node has too, and parities."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in textops.slices(whole):
+                words = textops.words_of(batch.column(1))
+                row, shingle, count = bag(words, words.hashes())
+                bits = parities(row, shingle, count, batch.num_rows)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.bincount(row, count, minlength=batch.num_rows).astype(np.int64)), *(pa.array(x) for x in bits.T.copy())], ["node", "n", *SUMS])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in textops.slices(whole):
                 words = textops.words_of(batch.column(1))
                 row, shingle, count = bag(words, words.hashes())
-                total = np.bincount(row, count, minlength=batch.num_rows).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(shingle.view(np.int64)), pa.array(count), pa.array(total[row])], ["node", "shingle", "count", "n"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row)), pa.array(shingle.view(np.int64)), pa.array(count)], ["node", "shingle", "count"])
 
-    bags = texts.select("node", "text").mapInArrow(run, "node binary, shingle long, count long, n long")
-    alone = bags.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min(F.struct("node", "count", "n")).alias("x")).filter("nodes = 1")
+    bags = texts.select("node", "text").mapInArrow(run, "node binary, shingle long, count long")
+    alone = bags.groupBy("shingle").agg(F.count(F.lit(1)).alias("nodes"), F.min(F.struct("node", "count")).alias("x")).filter("nodes = 1")
     own = alone.groupBy("x.node").agg(F.sum("x.count").alias("own"))
-    sizes = bags.groupBy("node").agg(F.first("n").alias("n"))
-    return sizes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"))
+    sizes = texts.select("node", "text").mapInArrow(measure, "node binary, n long, " + ", ".join(f"{x} long" for x in SUMS))
+    return sizes.join(own, "node", "left").select("node", "n", (F.col("n") - F.coalesce("own", F.lit(0))).alias("common"), *SUMS)
+
+
+def possible(a: str, b: str):
+    """Whether two texts can be a link: neither bound of their overlap, by shared shingles and by parities, forbids it."""
+    total = F.col(f"{a}.n") + F.col(f"{b}.n")
+    overlap = F.least(f"{a}.common", f"{b}.common")
+    apart = sum((F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in SUMS[1:]), F.bit_count(F.col(f"{a}.{SUMS[0]}").bitwiseXOR(F.col(f"{b}.{SUMS[0]}"))))
+    # a link's multisets differ in (1 - s) / (1 + s) of all their shingles at most
+    return (overlap >= SIMILARITY * (total - overlap)) & (apart <= total * ((1 - SIMILARITY) / (1 + SIMILARITY)) + 1e-6)
 
 
 def different(a: str, b: str):
@@ -170,16 +200,18 @@ def different(a: str, b: str):
 
 def components(links: DataFrame) -> DataFrame:
     """(node, root) of every node in a link: the least node of its component, by label passing and pointer jumping."""
-    both = cut(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    label = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")))
+    both = written(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
+    label = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), "labels")
     while True:
-        near = both.join(label.withColumnsRenamed({"node": "b", "root": "r"}), "b").groupBy(F.col("a").alias("node")).agg(F.min("r").alias("r"))
-        step = label.join(near, "node").select("node", "root", F.least("root", "r").alias("new"))
+        near = both.join(label.withColumnsRenamed({"node": "b", "root": "r"}), "b").select(F.col("a").alias("node"), "r", F.lit(None).cast("binary").alias("old"))
+        step = near.union(label.select("node", F.col("root").alias("r"), F.col("root").alias("old"))).groupBy("node").agg(F.min("r").alias("new"), F.max("old").alias("old"))
         jump = label.select(F.col("node").alias("new"), F.col("root").alias("far"))
-        fresh = cut(step.join(jump, "new", "left").select("node", F.col("root").alias("old"), F.least("new", F.coalesce("far", "new")).alias("root")))
+        fresh = written(step.join(jump, "new").select("node", "old", F.least("new", "far").alias("root")), "labels")
+        discard(label)
+        label = fresh
         if fresh.filter("root <> old").isEmpty():
+            discard(both)
             return fresh.select("node", "root")
-        label = fresh.select("node", "root")
 
 
 def contracted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -188,12 +220,13 @@ def contracted(links: DataFrame, roots: DataFrame | None) -> DataFrame:
         return components(links)
     side = roots.withColumnRenamed("node", "n")
     between = links.join(side.withColumnsRenamed({"n": "a", "root": "ra"}), "a", "left").join(side.withColumnsRenamed({"n": "b", "root": "rb"}), "b", "left")
-    between = cut(between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    between = between.select(F.coalesce("ra", "a").alias("a"), F.coalesce("rb", "b").alias("b")).filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    between = written(between, "links-between")
     if between.isEmpty():
         return roots
     moved = components(between).select(F.col("node").alias("root"), F.col("root").alias("to"))
     fresh = moved.join(roots.select("root").distinct(), "root", "left_anti").select(F.col("root").alias("node"), F.col("to").alias("root"))
-    return cut(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(fresh))
+    return written(roots.join(moved, "root", "left").select("node", F.coalesce("to", "root").alias("root")).union(fresh), "roots")
 
 
 def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
@@ -202,57 +235,70 @@ def _rooted(nodes: DataFrame, roots: DataFrame | None) -> DataFrame:
     return nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
+def _led(members: DataFrame, order, more=None) -> DataFrame:
+    """(a, b): each node with the likeliest of its buckets' leaders in other components. A leader is the least node of a bucket and travels with its values."""
+    values = [x for x in members.columns if x != "bucket"]
+    leaders = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), *values)).alias("l")).select("bucket", "l.*")
+    pairs = members.alias("o").join(leaders.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= LIKELY) & (F.lit(True) if more is None else more))
+    near = pairs.select(F.col("o.node").alias("a"), F.col("i.node").alias("b"), different("o", "i").alias("d"))
+    best = near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x"))
+    return best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
+
+
 def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
-    """(node, root) of all nodes in links, or None. ``prints``: one row per node; ``texts``: (node, text), repeats allowed."""
+    """(node, root) of all nodes in links, or None. ``prints``: one row per node; ``texts``: (node, text), repeats allowed.
+
+    Rounds against leaders of all buckets, then of the buckets that still hold several components, then all pairs that are
+    left. Each round ends in written tables, so that no plan carries the one before.
+    """
     bits = ["q0", "q1", "q2", "q3"]
     n_bands, width = COMPONENTS // BAND, 4 * BAND
-    banded = prints.select("node", *bits, F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda j: F.xxhash64(j, F.substring(F.col("signature"), j * width + 1, F.lit(width))))).alias("band", "bucket"))
+    banded = prints.select("node", *bits, F.explode(F.transform(F.sequence(F.lit(0), F.lit(n_bands - 1)), lambda j: F.xxhash64(j, F.substring(F.col("signature"), j * width + 1, F.lit(width))))).alias("bucket"))
     shared = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("bucket")
     buckets = written(banded.join(shared, "bucket"), "buckets")
     held = written(texts.join(buckets.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("text").alias("text")), "held-texts")
     release(held.sparkSession)
     roots = None
 
-    def check(pairs: DataFrame) -> None:
+    def check(pairs: DataFrame, name: str) -> None:
         nonlocal roots
+        pairs = written(pairs, name)
         joined = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        links = cut(similarities(joined).filter(F.col("similarity") >= SIMILARITY).select("a", "b"))
+        links = written(similarities(joined).filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links")
         if not links.isEmpty():
             roots = contracted(links, roots)
+        discard(pairs, links)
         release(held.sparkSession)
 
-    def star(members: DataFrame, order, more=F.lit(True)) -> None:
-        """Each node against the likeliest of its buckets' leaders: the least nodes by an order. A leader travels with its values."""
-        values = [x for x in members.columns if x != "bucket" and x != "band"]
-        leaders = members.groupBy("bucket").agg(F.min(F.struct(order.alias("order"), *values)).alias("l")).select("bucket", "l.*")
-        pairs = members.alias("o").join(leaders.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= LIKELY) & more)
-        near = pairs.select(F.col("o.node").alias("a"), F.col("i.node").alias("b"), different("o", "i").alias("d"))
-        check(near.groupBy("a").agg(F.min(F.struct("d", "b")).alias("x")).select("a", F.col("x.b").alias("b")))
-
     for turn in range(ROUNDS):
-        star(_rooted(buckets, roots), F.xxhash64("node", F.lit(turn)))
-    # what is left: pairs of a bucket in different components; a pair counts in the first band that it shares
-    members = _rooted(buckets, roots)
+        check(_led(_rooted(buckets, roots), F.xxhash64("node", F.lit(turn))), "led-pairs")
+    # what is left: pairs of a bucket in different components
+    members = written(_rooted(buckets, roots), "members")
+    discard(buckets)
     mixed = members.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo <> hi").select("bucket")
-    open_ = members.join(mixed, "bucket", "left_semi")
+    open_ = written(members.join(mixed, "bucket", "left_semi"), "mixed-buckets")
+    discard(members)
     bounds = reach(held.join(open_.select("node").distinct(), "node", "left_semi"))
     # a text whose similarity to any other is below the least has no link here
-    open_ = written(open_.join(bounds.filter(F.col("common") >= SIMILARITY * F.col("n")), "node").drop("root"), "open-buckets")
+    left = written(open_.join(bounds.filter(F.col("common") >= SIMILARITY * F.col("n")), "node").drop("root"), "open-buckets")
+    discard(open_)
     release(held.sparkSession)
-    overlap = F.least("o.common", "i.common")
-    may = overlap >= SIMILARITY * (F.col("o.n") + F.col("i.n") - overlap)
+    may = possible("o", "i")
     # variants of one text are nearest to those with least of their own
-    star(_rooted(open_, roots), F.col("common") / F.col("n") * -1, may)
-    star(_rooted(open_, roots), F.floor(F.col("common") / F.col("n") * -16) * (1 << 30) + F.hash("node"), may)
-    open_ = written(_rooted(open_, roots), "open-buckets")
+    own = F.col("common") / F.col("n")
+    for order in (own * -1, F.floor(own * -16) * (1 << 30) + F.hash("node")):
+        check(_led(_rooted(left, roots), order, may), "led-pairs")
+    open_ = written(_rooted(left, roots), "open-buckets")
+    discard(left)
     # of each bucket's components the one with most nodes is only compared with the others
     sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
     largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("bucket", F.col("x.root").alias("main"))
-    inner = open_.join(largest, "bucket")
-    outer = inner.filter("root <> main")
+    inner = written(open_.join(largest, "bucket"), "rest-buckets")
+    discard(open_)
     once = (F.col("i.root") == F.col("i.main")) | (F.col("o.node") < F.col("i.node"))
-    rest = outer.alias("o").join(inner.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= MOST_DIFFERENT) & may & once)
-    check(rest.select(F.least("o.node", "i.node").alias("a"), F.greatest("o.node", "i.node").alias("b")).distinct())
+    rest = inner.filter("root <> main").alias("o").join(inner.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= MOST_DIFFERENT) & may & once)
+    check(rest.select(F.least("o.node", "i.node").alias("a"), F.greatest("o.node", "i.node").alias("b")).distinct(), "rest-pairs")
+    discard(inner, held)
     return roots
 
 
@@ -267,6 +313,7 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
     usable = every.filter("node IS NOT NULL AND words")
     one = written(usable.groupBy("node").agg(F.min(F.struct("signature", "q0", "q1", "q2", "q3")).alias("s")).select("node", "s.*"), "nodes")
     roots = link_nodes(one, usable.select("node", "text"))
+    discard(one)
     rooted = _rooted(every.select("key", "node", F.xxhash64("text").alias("th")), roots)
     sizes = rooted.filter("root IS NOT NULL").groupBy("root").agg(F.min("key").alias("class_id"), F.count(F.lit(1)).alias("class_size"))
     return rooted.join(sizes, "root", "left").select(
@@ -277,7 +324,8 @@ def _classes(docs: DataFrame, key: str, text: str) -> DataFrame:
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of each class: that with the least key, then the least hash of its text. Rows with null texts all stay.
 
-    Only keys and hashes decide; the texts move once, to meet the decision.
+    Only keys and hashes decide; the texts move once, to meet the decision. A row travels as one struct, so no column of
+    ``docs`` can clash with ours.
     """
     found = written(_classes(docs, key, text), "classes")
     named = found.filter("root IS NOT NULL")
@@ -285,8 +333,9 @@ def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFra
     # rows that go are often few: written down, their size is known, so Spark can broadcast them and leave the texts where they are
     gone = named.join(chosen, "root").filter(~(F.col("key").eqNullSafe(F.col("x.key")) & (F.col("th") == F.col("x.th")))).select(F.col("key").alias("gone_key"), F.col("th").alias("gone_th"))
     gone = written(gone.distinct(), "near-copies")
-    rows = docs.withColumn("kept_th", F.xxhash64(F.col(text).cast("string"))).withColumn("kept_key", F.col(key))
-    kept = rows.filter(F.col(text).isNotNull()).join(gone, F.col("kept_key").eqNullSafe(F.col("gone_key")) & (F.col("kept_th") == F.col("gone_th")), "left_anti")
+    body = F.col(f"`{text}`").cast("string")
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"), F.col(f"`{key}`").alias("key"), F.xxhash64(body).alias("th"), body.isNull().alias("none"))
+    kept = rows.filter("NOT none").join(gone, F.col("key").eqNullSafe(F.col("gone_key")) & (F.col("th") == F.col("gone_th")), "left_anti")
     if not named.groupBy("key", "th").count().filter("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["kept_key", "kept_th"])
-    return kept.union(rows.filter(F.col(text).isNull())).select(*docs.columns)
+        kept = kept.dropDuplicates(["key", "th"])
+    return kept.union(rows.filter("none")).select("row.*")
