@@ -17,34 +17,42 @@ texts are told apart by the text's hash; ties don't arise in the order of lines;
 
 from __future__ import annotations
 
-import math
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.shared import release, written
+from playtrace.shared import discard, release, written
 
 #: The least similarity as a fraction.
 NUM, DEN = 4, 5
 #: Buckets of the rarity counts.
-SKETCH_BITS = 14
+SKETCH_BITS = 17
 #: Low bits of a token that hold its hash; the bits above hold its rarity class.
 HASH_BITS = 55
 SPACE = r"[\x20\x09-\x0D]+"
 SET = ["k", "sig"]
 #: Words from which a line is long.
-LONG = 20
+LONG = 48
+#: A token in the prefixes of more sets than this is hot: its sets are compared in chunks of about this many.
+HOT, CHUNK = 512, 128
 
 
-def rarity(docs: DataFrame, text: str) -> bytes:
-    """A class of 0 to 127 for each bucket of words, growing with the number of its words in all documents."""
-    words = docs.select(F.explode(F.split(F.col(text), SPACE)).alias("w"))
-    counts = words.select((F.xxhash64("w").bitwiseAND((1 << SKETCH_BITS) - 1)).cast("int").alias("bucket")).groupBy("bucket").count()
-    out = bytearray(1 << SKETCH_BITS)
-    got = counts.toPandas()
-    for bucket, n in zip(got["bucket"].tolist(), got["count"].tolist(), strict=True):
-        out[bucket] = min(127, int(4 * math.log2(n + 1)))
-    return bytes(out)
+def rarity(docs: DataFrame, text: str) -> Column:
+    """An array with a class of 0 to 15 for each bucket of words, growing with the number of its words in all documents.
+
+    The array is one constant of 2^SKETCH_BITS small numbers, whatever the table's size; classes are even steps of the
+    logarithm, up to the fullest bucket's.
+    """
+    spark = docs.sparkSession
+    words = docs.select(F.explode(F.split(F.col(text), SPACE)).alias("w")).select(F.xxhash64("w").bitwiseAND((1 << SKETCH_BITS) - 1).alias("bucket"))
+    counts = written(words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "word-buckets")
+    most = counts.agg(F.log2(F.max("n") + 2).alias("most"))  # one row
+    classes = counts.crossJoin(most).select("bucket", F.floor(16 * F.log2(F.col("n") + 1) / F.col("most")).alias("class"))
+    every = spark.range(1 << SKETCH_BITS).withColumnRenamed("id", "bucket").join(classes, "bucket", "left").select("bucket", F.coalesce("class", F.lit(0)).alias("class"))
+    listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"].cast("string")), ",").alias("classes")).first()
+    discard(counts)
+    return F.split(F.lit(listed["classes"]), ",").cast("array<bigint>")
 
 
 def hashes(line: Column) -> Column:
@@ -52,14 +60,15 @@ def hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def tokens(words: Column, classes: Column) -> Column:
-    """The sorted tokens of hashed words: rarity class above, hash below, one long each."""
+def token(word: Column, classes: Column) -> Column:
+    """Rarity class above, hash below, in one long."""
+    h = F.xxhash64(word)
+    return F.shiftleft(F.get(classes, h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
-    def ranked(h: Column) -> Column:
-        place = h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int") + 1
-        return F.shiftleft(F.ascii(F.substring(classes, place, F.lit(1)).cast("string")).cast("long"), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
-    return F.sort_array(F.transform(words, ranked))
+def tokens(line: Column, classes: Column) -> Column:
+    """The sorted distinct tokens of a line's words, the rarest first."""
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: token(w, classes))), token(F.lit(""), classes)))
 
 
 def parity(items: Column, one) -> Column:
@@ -79,33 +88,36 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(F.col(key).alias("id"), F.xxhash64(body).alias("th"), body.alias("text"))
 
 
-def sets(rows: DataFrame, classes: Column) -> DataFrame:
-    """One row per distinct set of words of a line: k, sig, n, the other bitmaps, its least and greatest hash, first (id, th, line, prefix)."""
+def sets(rows: DataFrame, classes: Column, ends: bool) -> DataFrame:
+    """One row per distinct set of words of a line: k, sig, n, the other bitmaps, prefix, lines, first (id, th, line); with ``ends`` its least and greatest hash."""
     lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "body"))
     # exploding an array of one keeps the optimizer from computing the tokens anew for each use
-    hashed = lines.select("id", "th", "line", F.explode(F.array(hashes(F.col("body")))).alias("words"))
-    held = hashed.select("id", "th", "line", F.array_min("words").alias("lo"), F.array_max("words").alias("hi"), F.explode(F.array(tokens(F.col("words"), classes))).alias("items"))
+    lines = lines.select("id", "th", "line", F.explode(F.array(tokens(F.col("body"), classes))).alias("items"))
     n = F.size("items")
-    measured = held.filter(n > 0).select(
-        "id", "th", "line", "lo", "hi", F.xxhash64("items").alias("k"), *bitmaps(F.col("items")), n.alias("n"),
-        F.transform(F.slice("items", F.lit(1), n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1), lambda x: F.xxhash64(x).bitwiseAND((1 << 31) - 1).cast("int")).alias("prefix"),
+    # the low bits of a token are the word's hash
+    low = F.transform("items", lambda x: x.bitwiseAND((1 << HASH_BITS) - 1))
+    more = {"lo": F.array_min(low), "hi": F.array_max(low)} if ends else {}
+    measured = lines.filter(n > 0).select(
+        "id", "th", "line", *[x.alias(name) for name, x in more.items()], F.xxhash64("items").alias("k"), *bitmaps(F.col("items")), n.alias("n"),
+        F.slice("items", F.lit(1), n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1).alias("prefix"),
     )
-    return measured.groupBy(*SET).agg(*[F.min(x).alias(x) for x in ("n", "sig1", "sig2", "lo", "hi")], F.count(F.lit(1)).alias("lines"), F.min(F.struct("id", "th", "line", "prefix")).alias("first"))
+    return measured.groupBy(*SET).agg(*[F.min(x).alias(x) for x in ("n", "sig1", "sig2", *more)], F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("lines"), F.min(F.struct("id", "th", "line")).alias("first"))
+
 
+def postings(found: DataFrame, *more: str) -> DataFrame:
+    """(token, at, k, sig, sig1, sig2, n, more): the prefix of each set that can match another; one of under DEN - 1 words can't."""
+    return found.filter(F.col("n") >= DEN - 1).select(*SET, "sig1", "sig2", "n", *more, F.posexplode("prefix").alias("at", "token"))
 
-def candidates(found: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """Pairs of sets (a the shorter one) that share a prefix token and pass all filters; none of two sets that are in ``done`` (k, sig)."""
-    closed = F.lit(False)
-    if done is not None:
-        found, closed = found.join(done.withColumn("closed", F.lit(True)), SET, "left"), F.coalesce("closed", F.lit(False))
-    index = found.select(*SET, "sig1", "sig2", "n", closed.alias("closed"), F.posexplode("first.prefix").alias("at", "token"))
+
+def candidates(index: DataFrame, both_closed: Column | None = None) -> DataFrame:
+    """Pairs of sets (a the shorter one) that share a token of ``index`` and pass all filters."""
     a, b = index.alias("a"), index.alias("b")
     na, nb, ia, ib = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
     tie = (na == nb) & ((F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.sig") < F.col("b.sig"))))
     # with na <= nb at most na / 9 tokens of a are outside b; one condition on both sides, so that both are read from one shuffle
     ordered = F.when((ia + 1) * (NUM + DEN) <= na * (DEN - NUM) + NUM + DEN, (na < nb) | tie)
     reach = F.least(ia, ib) + F.least(na - ia, nb - ib) >= need(na, nb)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & near("a", "b") & reach & ~(F.col("a.closed") & F.col("b.closed")))
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & near(side("a"), side("b")) & reach & (F.lit(True) if both_closed is None else ~both_closed))
     return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
 
 
@@ -114,78 +126,158 @@ def need(na: Column, nb: Column) -> Column:
     return F.floor(((na + nb) * NUM + NUM + DEN - 1) / (NUM + DEN))
 
 
-def near(a: str, b: str) -> Column:
-    """Whether lengths and bitmaps allow a match."""
-    na, nb = F.col(f"{a}.n"), F.col(f"{b}.n")
+def side(name: str) -> Callable[[str], Column]:
+    """The columns of one side of a join by name."""
+    return lambda x: F.col(f"{name}.{x}")
+
+
+def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
+    """Whether lengths and bitmaps allow a match; ``a`` and ``b`` give a side's values by name."""
+    na, nb = a("n"), b("n")
     most = na + nb - 2 * need(na, nb)
-    apart = {x: F.bit_count(F.col(f"{a}.{x}").bitwiseXOR(F.col(f"{b}.{x}"))) for x in ("sig", "sig1", "sig2")}
+    apart = {x: F.bit_count(a(x).bitwiseXOR(b(x))) for x in ("sig", "sig1", "sig2")}
     # the further bitmaps of a long and a short line tell nothing
     return (na * NUM <= nb * DEN) & (nb * NUM <= na * DEN) & (apart["sig"] <= most) & ((F.least(na, nb) < LONG) | (apart["sig1"] + apart["sig2"] <= most))
 
 
-def place() -> Column:
-    return F.struct("first.id", "first.th", "first.line")
-
-
 def first_candidates(found: DataFrame) -> DataFrame:
     """Each set (a) with the earliest and the most frequent set (b) of those with the same least or greatest hash, if it is earlier and can match: four pairs a set at most."""
-    blocks = found.select(*SET, "sig1", "sig2", "n", "lines", place().alias("place"), F.explode(F.array("lo", "hi")).alias("block"))
+    blocks = found.select(*SET, "sig1", "sig2", "n", "lines", F.col("first").alias("place"), F.explode(F.array("lo", "hi")).alias("block"))
     leader = F.struct("place", *SET, "sig1", "sig2", "n")
     leaders = F.array(F.min(leader), F.min(F.struct(-F.col("lines"), leader.alias("l")))["l"])
     first = blocks.groupBy("block").agg(leaders.alias("f")).select("block", F.explode(F.array_distinct("f")).alias("f")).select("block", "f.*")
-    pairs = blocks.alias("a").join(first.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("b.place") < F.col("a.place")) & near("a", "b"))
+    pairs = blocks.alias("a").join(first.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("b.place") < F.col("a.place")) & near(side("a"), side("b")))
     return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
 
 
-def verified(pairs: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs whose sets match, checked on the words of their first lines."""
-    wanted = pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{x}").alias(x) for x in SET]) for s in "ab"])).alias("s")).select("s.*").distinct()
+def items_of(wanted: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(k, sig, items) of the wanted sets: the hashed words of their first lines."""
     places = found.join(wanted, SET, "left_semi").groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), *SET)).alias("wanted"))
     once = rows.join(places, rows["id"].eqNullSafe(places["id"]) & (rows["th"] == places["th"])).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
     items = once.select("w.*", hashes(F.element_at("lines", F.col("w.line") + 1)).alias("items")).select(*SET, "items")
     # repeated rows would each give the same sets again
     held = written(items.dropDuplicates(SET), "line-items")
     release(held.sparkSession)
-    left = pairs.join(held.select(*[F.col(x).alias(f"a_{x}") for x in SET], F.col("items").alias("a_items")), [f"a_{x}" for x in SET])
-    both = left.join(held.select(*[F.col(x).alias(f"b_{x}") for x in SET], F.col("items").alias("b_items")), [f"b_{x}" for x in SET])
-    shared = F.size(F.array_intersect("a_items", "b_items"))
-    return both.filter(shared * (NUM + DEN) >= (F.size("a_items") + F.size("b_items")) * NUM).select(*pairs.columns)
+    return held
+
+
+def ends(pairs: DataFrame) -> DataFrame:
+    """(k, sig) of both sides of pairs."""
+    return pairs.select(F.explode(F.array(*[F.struct(*[F.col(f"{s}_{x}").alias(x) for x in SET]) for s in "ab"])).alias("s")).select("s.*")
+
+
+def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """The pairs whose sets match; those of two sets with a hot token in common, which ``tallied`` compares, are left out."""
+    hots = "hots" in held.columns
+    for s in "ab":
+        known = held.select(*[F.col(x).alias(f"{s}_{x}") for x in SET], F.col("items").alias(f"{s}_items"), *([F.col("hots").alias(f"{s}_hots")] if hots else []))
+        pairs = pairs.join(known, [f"{s}_{x}" for x in SET])
+    if hots:
+        pairs = pairs.filter(~F.coalesce(F.arrays_overlap("a_hots", "b_hots"), F.lit(False)))
+    return pairs.filter(matches(F.col("a_items"), F.col("b_items"))).select(*[f"{s}_{x}" for s in "ab" for x in SET])
+
+
+def matches(a: Column, b: Column) -> Column:
+    """Whether the Jaccard similarity of two sets is NUM / DEN or more."""
+    return F.size(F.array_intersect(a, b)) * (NUM + DEN) >= (F.size(a) + F.size(b)) * NUM
+
+
+def ended(links: DataFrame, found: DataFrame) -> DataFrame:
+    """(k, sig, earliest, links) of linked pairs: of each set the first place that matches it, and the number of its links."""
+    sides = links.select(F.explode(F.array(
+        F.struct(*[F.col(f"a_{x}").alias(x) for x in SET], *[F.col(f"b_{x}").alias(f"o_{x}") for x in SET]),
+        F.struct(*[F.col(f"b_{x}").alias(x) for x in SET], *[F.col(f"a_{x}").alias(f"o_{x}") for x in SET]),
+    )).alias("e")).select("e.*")
+    others = found.select(*[F.col(x).alias(f"o_{x}") for x in SET], F.col("first").alias("other"))
+    return sides.join(others, [f"o_{x}" for x in SET]).groupBy(*SET).agg(F.min("other").alias("earliest"), F.count(F.lit(1)).alias("links"))
+
+
+def tallied(hot: DataFrame, members: DataFrame) -> DataFrame:
+    """(k, sig, earliest, links) of all links between sets that share a hot token, compared in blocks.
+
+    ``hot`` has (token, sets); ``members`` (token, k, sig, sig1, sig2, n, first, items, hots), hots being the sorted hot
+    tokens of the set's prefix. The sets of a token are dealt to chunks of about CHUNK by their hash, and each pair of chunks
+    is one row, in which every set of one chunk is compared with every set of the other: links are counted there, and no row
+    is made for a pair. A pair counts at the least hot token that it shares.
+    """
+    chunks = F.ceil(F.col("sets") / CHUNK)
+    dealt = members.join(hot, "token").withColumn("chunk", F.pmod(F.xxhash64(*SET), chunks).cast("int"))
+    sides = dealt.groupBy("token", "chunk", "sets").agg(F.collect_list(F.struct(*SET, "sig1", "sig2", "n", "first", "items", "hots", F.get("hots", F.lit(0)).alias("least"))).alias("side"))
+    sides = written(sides, "hot-chunks")
+    other = sides.select("token", F.col("chunk").alias("o_chunk"), F.col("side").alias("o_side"))
+    pairs = sides.join(other, "token").filter("chunk <= o_chunk").repartition(F.col("token"), F.col("chunk"), F.col("o_chunk"))
+
+    def alike(a: Column, b: Column) -> Column:
+        """Whether the bitmaps allow a match: its sets differ in a ninth of their words at most."""
+        return F.bit_count(a["sig"].bitwiseXOR(b["sig"])) * (NUM + DEN) <= (a["n"] + b["n"]) * (DEN - NUM)
+
+    def against(mine: Column, theirs: Column) -> Column:
+        def one(a: Column) -> Column:
+            def hit(b: Column) -> Column:
+                """Whether two sets match and count here; the cheap tests stand first."""
+                same = a["least"] == b["least"]
+                here = same | (F.array_min(F.array_intersect(a["hots"], b["hots"])) == F.col("token"))
+                return (~same | (a["least"] == F.col("token"))) & (a["n"] * NUM <= b["n"] * DEN) & (b["n"] * NUM <= a["n"] * DEN) & alike(a, b) & here & ((a["k"] != b["k"]) | (a["sig"] != b["sig"])) & matches(a["items"], b["items"])
+
+            hits = F.filter(theirs, hit)
+            return F.struct(a["k"].alias("k"), a["sig"].alias("sig"), F.array_min(F.transform(hits, lambda b: b["first"])).alias("earliest"), F.size(hits).cast("long").alias("links"))
+
+        return F.filter(F.transform(mine, one), lambda x: x["links"] > 0)
+
+    told = F.concat(against(F.col("side"), F.col("o_side")), F.when(F.col("chunk") < F.col("o_chunk"), against(F.col("o_side"), F.col("side"))).otherwise(F.array()))
+    return pairs.select(F.explode(told).alias("t")).select("t.*")
 
 
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = True) -> tuple[DataFrame, DataFrame]:
-    """(sets, links): every distinct line set with its first place, and pairs of different sets that match.
+    """(sets, ends): every distinct line set with its first place; of those with links the earliest match and the number of links.
 
-    All pairs with ``every``; otherwise as many as tell which sets have an earlier match: each set is first compared with
+    All links with ``every``; otherwise as many as tell which sets have an earlier match: each set is first compared with
     the earliest and the most frequent of those with its least or greatest hash, and two sets that both have an earlier match are left unpaired.
     """
     rows = keyed(docs, key, text)
-    classes = F.lit(bytearray(rarity(rows, "text")))
-    found = written(sets(rows, classes), "line-sets")
+    classes = rarity(rows, "text")
+    found = written(sets(rows, classes, not every), "line-sets")
     release(found.sparkSession)
+    if every:
+        return found, every_link(found, rows)
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "line-pairs")
         release(found.sparkSession)
-        links = written(verified(pairs, found, rows), "line-links")
+        held = items_of(ends(pairs).distinct(), found, rows)
+        links = written(verified(pairs, held), "line-links")
+        discard(pairs, held)
         release(found.sparkSession)
         return links
 
-    if every:
-        return found, checked(candidates(found))
     links = checked(first_candidates(found))
-    done = written(links.select(F.col("a_k").alias("k"), F.col("a_sig").alias("sig")).distinct(), "line-matched")
-    return found, links.union(checked(candidates(found, done)))
+    done = written(links.select(F.col("a_k").alias("k"), F.col("a_sig").alias("sig"), F.lit(True).alias("closed")).distinct(), "line-matched")
+    index = postings(found.join(done, SET, "left").withColumn("closed", F.coalesce("closed", F.lit(False))), "closed")
+    return found, ended(links.union(checked(candidates(index, F.col("a.closed") & F.col("b.closed")))), found)
+
 
+def every_link(found: DataFrame, rows: DataFrame) -> DataFrame:
+    """(k, sig, earliest, links) over all links. Tokens in the prefixes of over HOT sets are compared in blocks, others by a join."""
+    posts = postings(found)
+    hot = written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > HOT), "hot-tokens")
+    pairs = written(candidates(posts.join(hot, "token", "left_anti")), "line-pairs")
+    release(found.sparkSession)
+    marked = written(posts.join(hot.select("token"), "token").groupBy(*SET).agg(F.sort_array(F.collect_list("token")).alias("hots")), "hot-sets")
+    held = items_of(ends(pairs).union(marked.select(*SET)).distinct(), found, rows)
+    named = held.join(marked, SET, "left")
+    links = written(verified(pairs, named), "line-links")
+    discard(pairs)
+    release(found.sparkSession)
+    out = ended(links, found)
+    if not hot.isEmpty():
+        members = held.join(marked, SET).join(found.select(*SET, "sig1", "sig2", "n", "first"), SET).withColumn("token", F.explode("hots"))
+        out = out.union(written(tallied(hot, members), "hot-links").select(*out.columns))
+    return out.groupBy(*SET).agg(F.min("earliest").alias("earliest"), F.sum("links").alias("links"))
 
-def kept_lines(found: DataFrame, links: DataFrame) -> DataFrame:
+
+def kept_lines(found: DataFrame, linked_ends: DataFrame) -> DataFrame:
     """(id, th, kept, n_links): for each document the lines that stay because they come first, and links of its first lines."""
-    ends = links.select(F.explode(F.array(
-        F.struct(*[F.col(f"a_{x}").alias(x) for x in SET], *[F.col(f"b_{x}").alias(f"o_{x}") for x in SET]),
-        F.struct(*[F.col(f"b_{x}").alias(x) for x in SET], *[F.col(f"a_{x}").alias(f"o_{x}") for x in SET]),
-    )).alias("e")).select("e.*")
-    others = found.select(*[F.col(x).alias(f"o_{x}") for x in SET], place().alias("other"))
-    first_match = ends.join(others, [f"o_{x}" for x in SET]).groupBy(*SET).agg(F.min("other").alias("earliest"), F.count(F.lit(1)).alias("links"))
-    judged = found.select(*SET, place().alias("place")).join(first_match, SET, "left")
+    judged = found.select(*SET, F.col("first").alias("place")).join(linked_ends, SET, "left")
     stays = F.col("earliest").isNull() | (F.col("place") < F.col("earliest"))
     return judged.groupBy(F.col("place.id").alias("id"), F.col("place.th").alias("th")).agg(
         F.sort_array(F.collect_list(F.when(stays, F.col("place.line")))).alias("kept"), F.sum(F.coalesce("links", F.lit(0))).alias("n_links")
@@ -194,8 +286,7 @@ def kept_lines(found: DataFrame, links: DataFrame) -> DataFrame:
 
 def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, n_lines (with a word), n_removed, n_links, kept (line numbers, from 0)."""
-    found, links = linked(docs, key, text)
-    marks = kept_lines(found, links)
+    marks = kept_lines(*linked(docs, key, text))
     body = F.col(text).cast("string")
     worded = F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D][^\n]*"))  # one match for each line with a word
     counted = docs.select(F.col(key).alias(key), F.xxhash64(body).alias("th"), F.when(body.isNull(), 0).otherwise(worded).alias("n_lines"))
@@ -206,8 +297,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
 
 def deduped(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with the removed lines cut from the text, all other columns as they were; no row goes."""
-    found, links = linked(docs, key, text, every=False)
-    marks = kept_lines(found, links)
+    marks = kept_lines(*linked(docs, key, text, every=False))
     body = F.col(f"d.{text}").cast("string")
     kept = F.coalesce(F.col("m.kept"), F.array().cast("array<int>"))
     stays = F.filter(F.split(body, "\n"), lambda x, i: F.array_contains(kept, i) | ~x.rlike(r"[^\x20\x09-\x0D]"))

@@ -243,3 +243,27 @@ def test_deduped_equals_report(spark):
         text = texts[r["doc_id"]]
         want = None if text is None else "\n".join(x for j, x in enumerate(text.split("\n")) if j in kept[r["doc_id"]] or not x.split())
         assert r["text"] == want
+
+
+def test_lines_that_share_hot_tokens_are_linked_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT", 3)
+    monkeypatch.setattr(line_dedup, "CHUNK", 4)
+    base = [f"w{i}" for i in range(20)]
+    texts = [" ".join(base[: j % 20] + [f"x{j}"] + base[j % 20 + 1 :]) for j in range(30)] + [" ".join(base), "a b c d", "a b c d e", "a b c d f"]
+    sets = [frozenset(t.split()) for t in texts]
+    links = {i: sum(len(a & b) * 9 >= (len(a) + len(b)) * 4 for j, b in enumerate(sets) if j != i) for i, a in enumerate(sets)}
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_links"], r["n_removed"]) for r in line_dedup.line_report(docs).collect()}
+    assert got == {i: (links[i], int(any(len(sets[i] & b) * 9 >= (len(sets[i]) + len(b)) * 4 for b in sets[:i]))) for i in range(len(texts))}
+
+
+def test_parities_never_exceed_the_difference_of_two_multisets():
+    rng = np.random.default_rng(5)
+    for _ in range(50):
+        bags = [rng.integers(0, 60, rng.integers(1, 300)) for _ in range(2)]
+        parts = [np.unique(b, return_counts=True) for b in bags]
+        text = np.concatenate([np.full(len(p[0]), j) for j, p in enumerate(parts)])
+        element, count = (np.concatenate([p[i] for p in parts]) for i in (0, 1))
+        bits = near_dup.parities(text, textops.mix(element.astype(np.uint64)), count, 2)
+        counts = [np.bincount(b, minlength=60) for b in bags]
+        assert sum(bin(int(x) & (2**64 - 1)).count("1") for x in bits[0] ^ bits[1]) <= np.abs(counts[0] - counts[1]).sum()
