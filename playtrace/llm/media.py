@@ -115,19 +115,28 @@ def npy_bytes(tile: np.ndarray) -> bytes:
     return out.getvalue()
 
 
+def read_npy(stored: bytes) -> np.ndarray:
+    return np.load(io.BytesIO(stored), allow_pickle=False)
+
+
 def store(payload: bytes, form: str = "bmp") -> bytes:
-    """The payload, a multiple of 576 bytes, as the samples of an image 24 pixels wide."""
+    """The payload, a multiple of 576 bytes, as the samples of an image 24 pixels wide.
+
+    ``form`` is ``bmp``, ``netpbm`` or ``either``, by which the payload's checksum chooses, so that equal texts agree.
+    """
     pixels = np.frombuffer(payload, np.uint8).reshape(-1, WIDTH, 3)
-    return encode_bmp(pixels) if form == "bmp" else encode_netpbm(pixels)
+    bmp = form == "bmp" or form == "either" and zlib.crc32(payload) % 2 == 0
+    return encode_bmp(pixels) if bmp else encode_netpbm(pixels)
 
 
-SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary, tile binary"
+SCHEMA = "n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, form string, tile_sha256 string, media binary, tile binary"
 
 
-def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", form: str = "bmp", keep: tuple[str, ...] = ()) -> DataFrame:
+def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", form: str = "either", keep: tuple[str, ...] = ()) -> DataFrame:
     """One row per document with the stored image's measures; ``keep`` adds ``media`` (the image) and ``tile`` (NPY bytes).
 
-    ``form`` is ``bmp`` or ``netpbm``. The measures come from the stored bytes as decoded again, not from the text.
+    ``form`` is as for ``store``; the column ``form`` says which was used. The measures come from the stored bytes as
+    decoded again, not from the text, and the difference hash from the tile as read back from its NPY bytes.
     """
     source = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     names = [x.split()[0] for x in SCHEMA.split(", ")]
@@ -143,12 +152,13 @@ def media_columns(docs: DataFrame, key: str = "doc_id", text: str = "text", form
                     stored = store(padded(raw), form)
                     pixels = decode(stored)
                     read = pixels.tobytes()
-                    tile = tile_of(pixels)
-                    values = (len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), difference_hash(tile), stored, npy_bytes(tile) if "tile" in keep else None)
+                    tile = npy_bytes(tile_of(pixels))
+                    feature = difference_hash(read_npy(tile))
+                    values = (len(raw), len(read), hashlib.sha256(read).hexdigest(), zlib.crc32(read[-32:]), len(stored), hashlib.sha256(stored).hexdigest(), feature, "bmp" if stored[:2] == b"BM" else "netpbm", hashlib.sha256(tile).hexdigest(), stored, tile)
                     for name, value in zip(names, values, strict=True):
                         if name in wanted:
                             rows[name].append(value)
-                kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "media": pa.binary(), "tile": pa.binary()}
+                kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string(), "form": pa.string(), "tile_sha256": pa.string(), "media": pa.binary(), "tile": pa.binary()}
                 yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(rows[x], kinds.get(x, pa.int64())) for x in wanted)], ["key", *wanted])
 
     schema = f"key {source.schema['key'].dataType.simpleString()}, " + ", ".join(x for x in SCHEMA.split(", ") if x.split()[0] in wanted)

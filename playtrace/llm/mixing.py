@@ -6,8 +6,7 @@ Sampling: each document of a source is expected target / size times. Along the s
 prefix-summed, one offset is added, and a document is emitted once for each integer boundary that its step crosses.
 
 The order along a source runs from small to large documents, so that every stretch of sizes is sampled evenly. A source is
-not sorted in one task: documents are counted by (source, size class, share of the ids), those few counts are
-prefix-summed, and only the rows of one such cell are ranked together.
+not sorted in one task: rows are sorted by range over all tasks, and only the counts of partitions are prefix-summed.
 
 Defined results: null texts have size 0 and are never taken more often than others; a null source is a source of its own,
 last in order; repeated rows are separate documents, of which ties in order may go either way; a source without words has
@@ -23,7 +22,7 @@ from playtrace.shared import written
 
 #: Weights of the sources in their order, repeating; the mix as a share of all sizes; the cap as a multiple of a source.
 WEIGHTS, TOTAL_SHARE, MOST_TIMES = (5, 2, 1), 1.5, 2
-#: Cells that the rows of one size class are dealt to; a class is a size's bit length and its first four bits.
+#: Cells that mix the order within a size class; a class is a size's bit length and its first four bits.
 CELLS = 64
 SEED = "mix"
 WORDS = r"[\x20\x09-\x0D]+"
@@ -72,32 +71,35 @@ def sized_rows(docs: DataFrame, key: str, text: str, source: str, *more: Column)
 
 
 def placed_rows(sized: DataFrame) -> DataFrame:
+    """``sized`` with the place of each row in its source, from 1, in the order of size class, cell, size and key.
+
+    Rows are dealt by range of that order and numbered within their partition; the counts of each partition and source are
+    prefix-summed. So no source, class or key is ranked in one task; the row's number in the input splits equal rows.
+    """
     bits = F.length(F.bin("size"))
     step = (bits * 16 + F.call_function("shiftright", F.col("size"), F.greatest(bits - 4, F.lit(0)))).cast("long")
     digest = F.conv(F.substring(F.md5(F.col("key").cast("string").cast("binary")), 1, 4), 16, 10).cast("long")
     cell = F.coalesce(digest % CELLS, F.lit(0)).cast("long")
-    return sized.withColumn("class", step).withColumn("cell", cell)
+    order = ["source", "class", "cell", "size", "key", "row_number"]
+    dealt = sized.withColumns({"class": step, "cell": cell, "row_number": F.monotonically_increasing_id()}).repartitionByRange(*order).sortWithinPartitions(*order)
+    numbered = written(dealt.drop("class", "cell", "row_number").withColumn("number", F.monotonically_increasing_id()), "numbered")
+    part = F.shiftright("number", 33).alias("part")
+    parts = numbered.groupBy("source", part).agg(F.min("number").alias("begin"), F.count(F.lit(1)).alias("n"))
+    before = Window.partitionBy("source").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    begun = parts.select(F.col("source").alias("part_source"), F.col("part").alias("of_part"), (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("begin")).alias("shift"))
+    joined = numbered.join(begun, F.col("source").eqNullSafe(F.col("part_source")) & (F.shiftright("number", 33) == F.col("of_part")))
+    return joined.withColumn("place", F.col("number") + F.col("shift") + 1).drop("part_source", "of_part", "shift", "number")
 
 
 def planned(sized: DataFrame, counted: DataFrame, seed: str = SEED, **goal) -> DataFrame:
     """``plan`` from (key, source, size) and any further columns, which stay; ``counted`` has the same rows, for the counts."""
-    placed = placed_rows(sized)
-    goals = targets(counted.select("source", "size"), **goal)
-    counts = placed_rows(counted).groupBy("source", "class", "cell").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("source").orderBy("class", "cell").rowsBetween(Window.unboundedPreceding, -1)
-    cells = counts.select("source", "class", "cell", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    begun = cells.alias("c").join(goals.alias("g"), F.col("c.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("c.source").alias("cell_source"), F.col("class").alias("cell_class"), F.col("cell").alias("cell_cell"), "before", "source_size", "target"
-    )
-    rank = F.row_number().over(Window.partitionBy("source", "class", "cell").orderBy("size", "key"))
-    ranked = placed.withColumn("rank", rank)
-    joined = ranked.join(begun, F.col("source").eqNullSafe(F.col("cell_source")) & (F.col("class") == F.col("cell_class")) & (F.col("cell") == F.col("cell_cell")))
+    goals = targets(counted.select("source", "size"), **goal).select(F.col("source").alias("goal_source"), "source_size", "target")
+    joined = placed_rows(sized).join(goals, F.col("source").eqNullSafe(F.col("goal_source")))
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    last = F.floor((F.col("before") + F.col("rank")) * F.col("rate") + F.col("offset"))
-    first = F.floor((F.col("before") + F.col("rank") - 1) * F.col("rate") + F.col("offset"))
-    taken = joined.withColumn("rate", rate).withColumn("offset", offset(F.col("source"), seed)).withColumn("copies", (last - first).cast("long"))
+    shift = offset(F.col("source"), seed)
+    copies = (F.floor(F.col("place") * rate + shift) - F.floor((F.col("place") - 1) * rate + shift)).cast("long")
     extra = [x for x in sized.columns if x not in ("key", "source", "size")]
-    return taken.select("key", *extra, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return joined.withColumn("copies", copies).select("key", *extra, "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
 
 
 def mixed(docs: DataFrame, key: str = "doc_id", text: str = "text", source: str = "source", seed: str = SEED, **goal) -> DataFrame:

@@ -389,5 +389,7 @@ def without_later(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
             out.append(words.data[keep].tobytes().decode())
         return pd.Series(out)
 
-    joined = docs.join(spans, docs[key].eqNullSafe(spans["cut_key"]), "left")
-    return joined.select(*[cut(docs[text].cast("string"), F.col("cuts")).alias(x) if x == text else docs[x] for x in docs.columns])
+    # the row travels as one struct, so that no column of its own can clash
+    rows = docs.select(F.struct(*[F.col(f"`{x}`") for x in docs.columns]).alias("row"))
+    joined = rows.join(spans, F.col(f"row.`{key}`").eqNullSafe(F.col("cut_key")), "left")
+    return joined.select(*[cut(F.col(f"row.`{x}`").cast("string"), F.col("cuts")).alias(x) if x == text else F.col(f"row.`{x}`").alias(x) for x in docs.columns])

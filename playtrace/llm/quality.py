@@ -1,8 +1,8 @@
 """Quality rules: lines labelled content or boilerplate by a linear-chain conditional random field.
 
 A line's features are binned measures of its form (symbols, capitals, words, repeats within the document). The field is
-fitted on a bounded sample of documents with a quality label: lines of low-quality documents are boilerplate, others
-content. Viterbi decoding labels the lines of every whole document; the words in content lines, as a share of all words,
+fitted on a bounded sample of documents with a quality label: lines of low-quality documents and lines that stood in the
+same document before are boilerplate, others content. Viterbi decoding labels the lines of every whole document; the words in content lines, as a share of all words,
 decide whether it stays.
 
 Defined results: a null or empty text has no words and fails the base rules; lines without a word are not labelled;
@@ -135,7 +135,8 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS) -> crf.Chain:
         words = textops.words_of(piece.column(0))
         lines = Lines(words, words.hashes())
         features.append(lines.features())
-        label.append(marks[lines.text + begin])
+        # in a good document too, a line that stood there before is boilerplate
+        label.append(np.maximum(marks[lines.text + begin], lines.repeated))
         lengths.append(np.bincount(lines.text, minlength=piece.num_rows))
         begin += piece.num_rows
     return crf.fit(np.concatenate(features), np.concatenate(label), np.concatenate(lengths), N_FEATURES)

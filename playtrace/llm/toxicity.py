@@ -148,12 +148,19 @@ def fit(docs: DataFrame, labels: DataFrame, most: int = FIT_ROWS, folds: int = F
     signs = signs_of_toxicity([(np.concatenate(a), np.concatenate(b)) for a, b in zip(found, of, strict=True)], y, least)
     del found, of
     active, label, lengths, hot_lines, cold_lines = [], [], [], 0, 0
-    every = max(1, sum(x.count("\n") + 1 for _, x, _ in rows) // (FIT_LINES // 2))
-    for begin, tokens in slices():
+
+    def marked(begin: int, tokens: Tokens) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Tokens with a sign in toxic documents, each token's line, lines with such a token."""
         hit = (y[tokens.words.text + begin] == 1) & np.logical_or.reduce([np.isin(tokens.signs[:, j], signs[j]) for j in range(4)])
         line = np.repeat(np.arange(len(tokens.lines)), tokens.lines)
-        hot = np.bincount(line[hit], minlength=len(tokens.lines)) > 0
-        chosen = (hot & (hot_lines + np.cumsum(hot) <= FIT_LINES // 2)) | (~hot & ((cold_lines + np.cumsum(~hot)) % every == 0))
+        return hit, line, np.bincount(line[hit], minlength=len(tokens.lines)) > 0
+
+    # both kinds of lines are taken evenly over the whole sample
+    total = sum(int(marked(begin, tokens)[2].sum()) for begin, tokens in slices())
+    every, every_hot = (max(1, -(-n // (FIT_LINES // 2))) for n in (sum(x.count("\n") + 1 for _, x, _ in rows), total))
+    for begin, tokens in slices():
+        hit, line, hot = marked(begin, tokens)
+        chosen = (hot & ((hot_lines + np.cumsum(hot)) % every_hot == 0)) | (~hot & ((cold_lines + np.cumsum(~hot)) % every == 0))
         hot_lines, cold_lines = hot_lines + int(hot.sum()), cold_lines + int((~hot).sum())
         active.append(tokens.features()[chosen[line]])
         label.append(hit[chosen[line]].astype(int))

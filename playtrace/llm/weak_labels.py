@@ -179,8 +179,7 @@ def classify(docs: DataFrame, key: str = "doc_id", text: str = "text", most: int
         return source.select(F.col("key").alias(key), *(F.lit(None).cast(t).alias(n) for n, t in (("n_votes", "int"), ("n_bad_votes", "int"), ("posterior", "double"), ("score", "double"), ("kept", "boolean"))))
     _, good, _ = estimate(counts)
     eligible = source.filter(F.col("text").isNotNull() & (F.length("text") <= sampling.LONGEST))
-    share = min(1.0, 1.1 * most / sum(counts.values()))
-    picked = eligible.filter(F.pmod(F.xxhash64("key", F.lit(29)), F.lit(1 << 20)) < int(share * (1 << 20))).limit(most)
+    picked = sampling.spread(eligible, "key", most, sum(counts.values()))
     texts = sorted(picked.select("text").toPandas()["text"].tolist())
     patterns = Measured(pa.array(texts, pa.string())).patterns() if texts else np.zeros(0, np.int64)
     weights = learn(texts, np.array([good.get(int(x), 0.5) for x in patterns]))
