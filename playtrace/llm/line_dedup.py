@@ -7,8 +7,9 @@ or so of the shorter one's. The join on that token keeps pairs that pass the len
 bound from the parity bitmaps of the sets; what remains is verified on the token sets themselves. A line goes if an earlier
 line (by key, then line number) matches it.
 
-Rarity comes from counts of all words in 2^14 hash buckets, so what the driver gathers and the plan carries has a fixed
-size; the result doesn't depend on it, as any order of tokens is exact.
+Rarity comes from counts of all words in 2^17 hash buckets, so what the driver gathers and the plan carries has a fixed
+size; the result doesn't depend on it, as any order of tokens is exact. Words rarer than a bucket's noise (a 2^17th of all
+words) are ordered by hash.
 
 Defined results: null and empty texts have no lines with words; lines without words always stay and match nothing;
 repeated rows (same key and text) share one result, so their lines stay or go together; rows of one key with different
@@ -17,6 +18,7 @@ texts are told apart by the text's hash; ties don't arise in the order of lines;
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -34,12 +36,12 @@ SPACE = r"[\x20\x09-\x0D]+"
 SET = ["k", "sig"]
 #: Words from which a line is long.
 LONG = 48
-#: A token in the prefixes of more sets than this is hot: its sets are compared in chunks of about this many.
-HOT, CHUNK = 512, 128
+#: A hot token is in the prefixes of more sets than this, and than one set in so many; its sets are compared in chunks of about so many.
+HOT, HOT_SHARE, CHUNK = 128, 256, 128
 
 
-def rarity(docs: DataFrame, text: str) -> Column:
-    """An array with a class of 0 to 15 for each bucket of words, growing with the number of its words in all documents.
+def rarity(docs: DataFrame, text: str) -> tuple[Column, float]:
+    """An array with a class of 0 to 15 for each bucket of words, growing with the number of its words in all documents; and the logarithm of class 16.
 
     The array is one constant of 2^SKETCH_BITS small numbers, whatever the table's size; classes are even steps of the
     logarithm, up to the fullest bucket's.
@@ -50,9 +52,10 @@ def rarity(docs: DataFrame, text: str) -> Column:
     most = counts.agg(F.log2(F.max("n") + 2).alias("most"))  # one row
     classes = counts.crossJoin(most).select("bucket", F.floor(16 * F.log2(F.col("n") + 1) / F.col("most")).alias("class"))
     every = spark.range(1 << SKETCH_BITS).withColumnRenamed("id", "bucket").join(classes, "bucket", "left").select("bucket", F.coalesce("class", F.lit(0)).alias("class"))
+    top = most.first()["most"] or 1.0
     listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"].cast("string")), ",").alias("classes")).first()
     discard(counts)
-    return F.split(F.lit(listed["classes"]), ",").cast("array<bigint>")
+    return F.split(F.lit(listed["classes"]), ",").cast("array<bigint>"), top
 
 
 def hashes(line: Column) -> Column:
@@ -235,11 +238,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool
     the earliest and the most frequent of those with its least or greatest hash, and two sets that both have an earlier match are left unpaired.
     """
     rows = keyed(docs, key, text)
-    classes = rarity(rows, "text")
+    classes, most = rarity(rows, "text")
     found = written(sets(rows, classes, not every), "line-sets")
     release(found.sparkSession)
     if every:
-        return found, every_link(found, rows)
+        return found, every_link(found, rows, most)
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "line-pairs")
@@ -256,13 +259,19 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool
     return found, ended(links.union(checked(candidates(index, F.col("a.closed") & F.col("b.closed")))), found)
 
 
-def every_link(found: DataFrame, rows: DataFrame) -> DataFrame:
-    """(k, sig, earliest, links) over all links. Tokens in the prefixes of over HOT sets are compared in blocks, others by a join."""
+def every_link(found: DataFrame, rows: DataFrame, most: float) -> DataFrame:
+    """(k, sig, earliest, links) over all links. Hot tokens are compared in blocks, others by a join; ``most`` is as from ``rarity``.
+
+    A token is hot that is in the prefixes of over HOT sets and of one set in HOT_SHARE, so that few tokens ever are.
+    """
     posts = postings(found)
-    hot = written(posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > HOT), "hot-tokens")
+    least = max(HOT, found.count() // HOT_SHARE)
+    # a bucket of words has at least as many as its token has sets, so tokens of rarer classes can't be hot
+    frequent = posts.filter(F.col("token") >= (min(15, int(16 * math.log2(least + 1) / most)) << HASH_BITS))
+    hot = written(frequent.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > least), "hot-tokens")
     pairs = written(candidates(posts.join(hot, "token", "left_anti")), "line-pairs")
     release(found.sparkSession)
-    marked = written(posts.join(hot.select("token"), "token").groupBy(*SET).agg(F.sort_array(F.collect_list("token")).alias("hots")), "hot-sets")
+    marked = written(frequent.join(hot.select("token"), "token").groupBy(*SET).agg(F.sort_array(F.collect_list("token")).alias("hots")), "hot-sets")
     held = items_of(ends(pairs).union(marked.select(*SET)).distinct(), found, rows)
     named = held.join(marked, SET, "left")
     links = written(verified(pairs, named), "line-links")
