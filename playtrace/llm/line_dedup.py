@@ -35,7 +35,7 @@ HASH_BITS = 55
 SPACE = r"[\x20\x09-\x0D]+"
 SET = ["k", "sig"]
 #: Words from which a line is long.
-LONG = 48
+LONG = 24
 #: A hot token is in the prefixes of more sets than this, and than one set in so many; its sets are compared in chunks of about so many.
 HOT, HOT_SHARE, CHUNK = 128, 256, 128
 
@@ -120,7 +120,9 @@ def candidates(index: DataFrame, both_closed: Column | None = None) -> DataFrame
     # with na <= nb at most na / 9 tokens of a are outside b; one condition on both sides, so that both are read from one shuffle
     ordered = F.when((ia + 1) * (NUM + DEN) <= na * (DEN - NUM) + NUM + DEN, (na < nb) | tie)
     reach = F.least(ia, ib) + F.least(na - ia, nb - ib) >= need(na, nb)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & ordered & near(side("a"), side("b")) & reach & (F.lit(True) if both_closed is None else ~both_closed))
+    # the test that most pairs fail stands first
+    alike = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) * (NUM + DEN) <= (na + nb) * (DEN - NUM)
+    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & alike & ordered & near(side("a"), side("b")) & reach & (F.lit(True) if both_closed is None else ~both_closed))
     return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
 
 
