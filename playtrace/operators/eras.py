@@ -126,20 +126,22 @@ def segments(vectors: DataFrame, every: DataFrame, distances: DataFrame, points:
 
 def title(first: F.col, second: F.col, share1, share2, months, start, end):
     """An era's name from its leading artists' names and shares."""
-    bare = [F.regexp_replace(x, r"(?i)^(the|a|an)\s+", "") for x in (first, second)]
+    # a name that is nothing but an article stays as it is
+    bare = [F.coalesce(F.nullif(F.trim(F.regexp_replace(x, r"(?i)^(the|a|an)\s+", "")), F.lit("")), x) for x in (first, second)]
     suffix = F.when(months <= 5, " Period").when(months <= 17, " Era").otherwise(" Years")
-    pair = F.concat(bare[0], F.lit(" & "), bare[1], suffix)
+    single, pair = F.concat(F.lit("The "), bare[0], suffix), F.concat(F.lit("The "), bare[0], F.lit(" / "), bare[1], suffix)
     years = F.when(F.substring(start, 1, 4) == F.substring(end, 1, 4), F.substring(start, 1, 4)).otherwise(F.concat(F.substring(start, 1, 4), F.lit("–"), F.substring(end, 1, 4)))
+    years = F.concat(F.lit("The "), years, F.lit(" Stretch"))
     second_strong = second.isNotNull() & (share2 >= 0.13) & (share2 >= 0.55 * share1)
     return (
-        F.when((share1 >= 0.24) & second_strong, pair).when(share1 >= 0.24, F.concat(bare[0], suffix)).when(second.isNotNull() & (share1 + share2 >= 0.30), pair).otherwise(years)
+        F.when((share1 >= 0.24) & second_strong, pair).when(share1 >= 0.24, single).when(second.isNotNull() & (share1 + share2 >= 0.30), pair).otherwise(years)
     )
 
 
 def era_measures(found: DataFrame, months: DataFrame, key: str, name=None) -> DataFrame:
-    """Eras with totals, leading entities (8 by time), accent (cycles over five) and title. The eras are few and broadcast."""
+    """Eras with totals, leading entities (8 by time), accent (cycles over five) and title. """
     name = F.col(key).cast("string") if name is None else name
-    inside = months.join(F.broadcast(found), (F.col("ym") >= F.col("start_ym")) & (F.col("ym") <= F.col("end_ym")))
+    inside = months.join(found, (F.col("ym") >= F.col("start_ym")) & (F.col("ym") <= F.col("end_ym")))
     by = inside.groupBy("era", key).agg(F.sum("ms_played").alias("ms_played"), F.sum("q_plays").alias("q_plays"))
     by = by.withColumn("rn", F.row_number().over(Window.partitionBy("era").orderBy(F.desc("ms_played"), key))).withColumn("total", F.sum("ms_played").over(Window.partitionBy("era"))).withColumn("name", name)
     share = F.when(F.col("total") > 0, F.col("ms_played") / F.col("total")).otherwise(0.0)

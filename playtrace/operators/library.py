@@ -29,7 +29,7 @@ def seeded(old: DataFrame) -> DataFrame:
 
 def tag_usage(tags: DataFrame, track_tags: DataFrame) -> DataFrame:
     used = track_tags.groupBy("tag_id").agg(F.countDistinct("track_id").alias("uses"))
-    return tags.join(F.broadcast(used), "tag_id", "left").fillna(0, ["uses"])
+    return tags.join(used, "tag_id", "left").fillna(0, ["uses"])
 
 
 def track_summaries(tracks: DataFrame, artists: DataFrame, albums: DataFrame, stats: DataFrame) -> DataFrame:

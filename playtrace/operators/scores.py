@@ -37,10 +37,10 @@ def sections(found: DataFrame, limit: int, of: str = "track", artists: str = "ar
         ("destroyed", kinds == of, [F.desc("window_plays"), F.desc("intensity")], "window_plays"),
         ("artistBinges", (kinds == artists) & (F.col("share") >= 0.30), [F.desc("intensity")], "intensity"),
         ("albumAddictions", kinds == albums, [F.desc("intensity")], "intensity"),
-        ("oneHit", (kinds == of) & (F.col("share") >= 0.6) & (F.col("after_share") <= 0.12), [F.desc("intensity")], "share"),
+        ("oneHit", (kinds == of) & (F.col("share") >= 0.6) & (F.col("after_share") <= 0.12), [F.desc("share"), F.desc("window_plays")], "share"),
         ("fastestHundred", (kinds == of) & F.col("days_to_100").isNotNull(), [F.asc("days_to_100")], "days_to_100"),
         ("mostIntenseWeek", kinds == of, [F.desc("peak_week")], "peak_week"),
-        ("longest", (kinds == of) & (F.col("longest_run") >= 3), [F.desc("longest_run")], "longest_run"),
+        ("longest", (kinds == of) & (F.col("longest_run") >= 3), [F.desc("longest_run"), F.desc("lifetime_plays")], "longest_run"),
     ]
     parts = []
     for name, where, order, value in lists:

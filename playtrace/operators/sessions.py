@@ -60,8 +60,9 @@ SORTS = {
 }
 
 
-def session_list(sessions: DataFrame, sort: str, limit: int, offset: int = 0) -> DataFrame:
+def session_list(sessions: DataFrame, sort: str, limit: int, offset: int = 0, by: str | None = "listener") -> DataFrame:
+    """A page of sessions; ``by`` names the column within which sessions are numbered, and settles ties."""
     column, ascending = SORTS[sort]
     least = 6 if sort in ("diverse", "repetitive") else 2
     order = F.col(column).asc() if ascending else F.col(column).desc()
-    return sessions.filter(F.col("events") >= least).orderBy(order, "start_ts", "session").offset(offset).limit(limit)
+    return sessions.filter(F.col("events") >= least).orderBy(order, "start_ts", "session", *([by] if by else [])).offset(offset).limit(limit)

@@ -252,13 +252,13 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = long_view(spark, sf_dir)
     tracks, artists, albums, days = rollups.track_stats(e, LOST_NOW), rollups.artist_stats(e, LOST_NOW), rollups.album_stats(e, LOST_NOW), rollups.daily(e)
     lost = scores.lost_favourites(e, LOST_NOW).filter("score > 0")
-    album_obsessions = scores.obsessions(e, "album")
+    track_obsessions = scores.obsessions(e, "track")
     streak = sequences.daily_streak(days)
     tops = [
         ("mostPlayedTrack", tracks, "track_id", F.desc("q_plays"), "q_plays"), ("mostPlayedArtist", artists, "artist_id", F.desc("ms_played"), "ms_played"), ("mostPlayedAlbum", albums, "album_id", F.desc("ms_played"), "q_plays"),
         ("longestDay", days, "local_date", F.desc("ms_played"), "ms_played"), ("busiestDay", days, "local_date", F.desc("plays"), "plays"), ("longestStreak", streak, "from_date", F.desc("days"), "days"),
-        ("fastestFifty", album_obsessions.filter("days_to_50 IS NOT NULL"), "id", F.asc("days_to_50"), "days_to_50"), ("biggestComeback", lost_gap(e), "id", F.desc("gap_days"), "gap_days"),
-        ("longestLost", lost, "id", F.asc("last_ts"), "days_since"), ("biggestObsession", album_obsessions, "id", F.desc("intensity"), "window_plays"), ("mostActiveYear", rollups.yearly(e), "year", F.desc("ms_played"), "plays"),
+        ("fastestFifty", track_obsessions.filter("days_to_50 IS NOT NULL"), "id", F.asc("days_to_50"), "days_to_50"), ("biggestComeback", lost_gap(e), "id", F.desc("gap_days"), "gap_days"),
+        ("longestLost", lost, "id", F.asc("last_ts"), "days_since"), ("biggestObsession", track_obsessions, "id", F.desc("intensity"), "window_plays"), ("mostActiveYear", rollups.yearly(e), "year", F.desc("ms_played"), "plays"),
     ]
     rows = [df.orderBy(order, F.asc(key)).limit(1).select(F.lit(name).alias("record"), F.col(key).cast("string").alias("id"), F.col(value).cast("long").alias("value")) for name, df, key, order, value in tops]
     return reduce(DataFrame.unionByName, rows)

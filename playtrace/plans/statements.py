@@ -236,7 +236,7 @@ STATEMENTS: dict[str, str] = {
     ),
     "q03_sessions_by_listener": _with("SELECT listener, start_ts, end_ts, events FROM base", *SESSIONS[:2]),
     "q04_session_stats": _with(f"SELECT * REPLACE ({_round('diversity')} AS diversity) FROM sess", *SESSIONS),
-    "l07_session_list": _with("SELECT listener, session, start_ts, ms_played, events FROM sess WHERE events >= 2 ORDER BY ms_played DESC, start_ts, session LIMIT 50 OFFSET 10", *SESSIONS),
+    "l07_session_list": _with("SELECT listener, session, start_ts, ms_played, events FROM sess WHERE events >= 2 ORDER BY ms_played DESC, start_ts, session, listener LIMIT 50 OFFSET 10", *SESSIONS),
     "q06_obsessions_artist": _obsession_rows("artist"),
     "q06_obsessions_album": _obsession_rows("album"),
     "q08_lost_favourites": _with("SELECT id, q_plays, peak_plays, longest_gap_days, days_since, rejected_by, " + ", ".join(f"{_round(k)} AS {k}" for k in _DIMS) + ", score FROM lost", *LOST),
@@ -261,7 +261,7 @@ STATEMENTS: dict[str, str] = {
     "j05_share_of_best": _with("SELECT *, max(q_plays) OVER (PARTITION BY artist_id) AS best FROM owned", OWNED),
     "j06_top_track_of_artist": _with("SELECT artist_id, track_id AS top_track FROM owned QUALIFY row_number() OVER (PARTITION BY artist_id ORDER BY q_plays DESC, track_id) = 1", OWNED),
     "j08_events_in_sessions": _with(
-        "SELECT l.listener AS owner, l.session, count(*) AS events, CAST(sum(CAST(s.listener = l.listener AS INT)) AS BIGINT) AS own FROM (SELECT * FROM sess WHERE events >= 2 ORDER BY ms_played DESC, start_ts, session LIMIT 20) l JOIN s ON s.ts_ms BETWEEN l.start_ts AND l.end_ts GROUP BY ALL", *SESSIONS
+        "SELECT l.listener AS owner, l.session, count(*) AS events, CAST(sum(CAST(s.listener = l.listener AS INT)) AS BIGINT) AS own FROM (SELECT * FROM sess WHERE events >= 2 ORDER BY ms_played DESC, start_ts, session, listener LIMIT 20) l JOIN s ON s.ts_ms BETWEEN l.start_ts AND l.end_ts GROUP BY ALL", *SESSIONS
     ),
     "l01_top_tracks": _with("SELECT track_id, q_plays, ms_played FROM tracks ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 50", TRACKS),
     "l01_top_tracks_year": _with(f"SELECT track_id, CAST(sum(q) AS BIGINT) AS q_plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM e WHERE {_YEAR98} GROUP BY track_id ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 50"),
@@ -308,8 +308,8 @@ STATEMENTS: dict[str, str] = {
 
 _SECTIONS = (
     ("destroyed", "album", "true", "window_plays DESC, intensity DESC", "window_plays"), ("artistBinges", "artist", "share >= 0.30::DOUBLE", "intensity DESC", "intensity"), ("albumAddictions", "album", "true", "intensity DESC", "intensity"),
-    ("oneHit", "album", "share >= 0.6::DOUBLE AND after_share <= 0.12::DOUBLE", "intensity DESC", "share"), ("fastestHundred", "album", "days_to_100 IS NOT NULL", "days_to_100", "days_to_100"),
-    ("mostIntenseWeek", "album", "true", "peak_week DESC", "peak_week"), ("longest", "album", "longest_run >= 3", "longest_run DESC", "longest_run"),
+    ("oneHit", "album", "share >= 0.6::DOUBLE AND after_share <= 0.12::DOUBLE", "share DESC, window_plays DESC", "share"), ("fastestHundred", "album", "days_to_100 IS NOT NULL", "days_to_100", "days_to_100"),
+    ("mostIntenseWeek", "album", "true", "peak_week DESC", "peak_week"), ("longest", "album", "longest_run >= 3", "longest_run DESC, lifetime_plays DESC", "longest_run"),
 )
 
 STATEMENTS["l05_obsession_sections"] = _with(
@@ -321,11 +321,11 @@ STATEMENTS["l05_obsession_sections"] = _with(
 _TOPS = (
     ("mostPlayedTrack", "tracks", "track_id", "q_plays DESC", "q_plays"), ("mostPlayedArtist", "artists", "artist_id", "ms_played DESC", "ms_played"), ("mostPlayedAlbum", "albums", "album_id", "ms_played DESC", "q_plays"),
     ("longestDay", "days", "local_date", "ms_played DESC", "ms_played"), ("busiestDay", "days", "local_date", "plays DESC", "plays"), ("longestStreak", "streak", "from_date", "days DESC", "days"),
-    ("fastestFifty", "(SELECT * FROM album_obs WHERE days_to_50 IS NOT NULL)", "id", "days_to_50", "days_to_50"), ("biggestComeback", "(SELECT gaps.* FROM gaps JOIN tracks ON track_id = id WHERE q_plays >= 15 AND gap_days >= 180)", "id", "gap_days DESC", "gap_days"),
-    ("longestLost", "(SELECT * FROM lost WHERE score > 0)", "id", "last_ts", "days_since"), ("biggestObsession", "album_obs", "id", "intensity DESC", "window_plays"), ("mostActiveYear", "years", "year", "ms_played DESC", "plays"),
+    ("fastestFifty", "(SELECT * FROM track_obs WHERE days_to_50 IS NOT NULL)", "id", "days_to_50", "days_to_50"), ("biggestComeback", "(SELECT gaps.* FROM gaps JOIN tracks ON track_id = id WHERE q_plays >= 15 AND gap_days >= 180)", "id", "gap_days DESC", "gap_days"),
+    ("longestLost", "(SELECT * FROM lost WHERE score > 0)", "id", "last_ts", "days_since"), ("biggestObsession", "track_obs", "id", "intensity DESC", "window_plays"), ("mostActiveYear", "years", "year", "ms_played DESC", "plays"),
 )
 STATEMENTS["l04_records"] = _with(
     " UNION ALL ".join(f"(SELECT '{name}' AS record, CAST({key} AS VARCHAR) AS id, CAST({value} AS BIGINT) AS value FROM {source} ORDER BY {order}, {key} LIMIT 1)" for name, source, key, order, value in _TOPS),
-    *LOST, ARTISTS, ALBUMS, DAYS, YEARS, *_obsessions("album"),
+    *LOST, ARTISTS, ALBUMS, DAYS, YEARS, *_obsessions("track"),
     "streak AS (SELECT count(*) AS days, min(local_date) AS from_date FROM (SELECT local_date, CAST(local_date AS DATE) - CAST(row_number() OVER (ORDER BY local_date) AS INT) AS g FROM days) GROUP BY g)",
 )

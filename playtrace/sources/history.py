@@ -22,8 +22,12 @@ from pyspark.sql import types as T
 from playtrace.config import DEFAULTS, Settings
 
 #: Names of history files, and of files in an export that are something else. Fixed values of the export's format.
-HISTORY = (r"Streaming_?History", r"endsong", r"StreamingHistory_music")
-OTHER = (r"Userdata", r"Payments?", r"Playlist", r"YourLibrary", r"SearchQueries", r"Inferences", r"Follow", r"Identity", r"Marquee", r"__MACOSX", r"^\._")
+HISTORY = (r"streaming[_-]?history", r"^endsong[_-]?\d*\.json$", r"StreamingHistory[_-]?music")
+OTHER = (
+    r"Userdata\.json$", r"Identity\.json$", r"Payments\.json$", r"Follow\.json$", r"Inferences\.json$", r"SearchQueries\.json$", r"Playlist\d*\.json$", r"YourLibrary\.json$", r"Marquee\.json$",
+)
+#: Folders and names of resource forks in archives. Fixed values.
+FORKS = (r"^__MACOSX/", r"/\._")
 MOST_BYTES = 512 * 1024 * 1024
 #: Fields of both generations. Fixed values of the export's format.
 FIELDS = (
@@ -49,11 +53,13 @@ class SourceError(Exception):
 
 def looks_like_history(name: str) -> bool:
     base = name.rsplit("/", 1)[-1]
-    return any(re.search(x, base, re.I) for x in HISTORY) and not is_other(name)
+    return base.lower().endswith(".json") and any(re.search(x, base, re.I) for x in HISTORY) and not is_other(name)
 
 
 def is_other(name: str) -> bool:
-    return any(re.search(x, part, re.I) for part in name.split("/") for x in OTHER)
+    """Whether a path, or the path inside an archive, is a file of another kind."""
+    inner = name.rsplit("!", 1)[-1]
+    return any(re.search(x, inner, re.I) for x in OTHER) or any(re.search(x, inner) for x in FORKS)
 
 
 def natural(name: str) -> list:
@@ -84,7 +90,7 @@ def records_of(content: bytes) -> list | None:
     if not isinstance(rows, list) or not rows:
         return None
     head = rows[:25]
-    tracks = ("master_metadata_track_name", "trackName", "spotify_track_uri", "episode_name", "audiobook_title")
+    tracks = ("master_metadata_track_name", "trackName", "spotify_track_uri", "episode_name")
     hits = sum(isinstance(r, dict) and ("ts" in r or "endTime" in r) and any(k in r for k in tracks) for r in head)
     return rows if hits >= max(1, len(head) // 2) else None
 
@@ -106,7 +112,13 @@ def raw_records(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                for name, body in unzip(path, content):
+                try:
+                    parts = list(unzip(path, content))
+                except SourceError:
+                    # a row that is rejected tells of the archive; the other files go on
+                    yield pd.DataFrame([[path, hashlib.sha256(content).hexdigest(), -1, False, *[None] * len(FIELDS)]], columns=["file", "file_hash", "row", "is_object", *FIELDS])
+                    continue
+                for name, body in parts:
                     rows = None if is_other(name) else records_of(body)
                     if rows is None:
                         continue
@@ -125,7 +137,7 @@ def raw_records(files: DataFrame) -> DataFrame:
 def one_copy_per_file(raw: DataFrame, seen: DataFrame | None = None) -> DataFrame:
     """Drop files whose content came before, in this run (the first name stays) or in ``seen`` (file_hash)."""
     first = raw.groupBy("file_hash").agg(F.min("file").alias("file"))
-    kept = raw.join(F.broadcast(first) if seen is None else first.join(seen.select("file_hash"), "file_hash", "left_anti"), ["file_hash", "file"], "left_semi")
+    kept = raw.join(first if seen is None else first.join(seen.select("file_hash"), "file_hash", "left_anti"), ["file_hash", "file"], "left_semi")
     return kept
 
 
@@ -195,22 +207,27 @@ def unit_hash(text: Column, salt: str) -> Column:
 
 def normalised(raw: DataFrame, s: Settings = DEFAULTS, drop_private: bool = False) -> DataFrame:
     """All records with their event columns and ``reject_reason``, null for the good ones."""
-    stamp = F.coalesce(trimmed("ts"), trimmed("endTime"), trimmed("offline_timestamp"))
-    ts = timestamp_ms(stamp)
-    track, artist = F.coalesce(trimmed("master_metadata_track_name"), trimmed("trackName")), F.coalesce(trimmed("master_metadata_album_artist_name"), trimmed("artistName"))
+    # the first field that is there counts, even if it is blank
+    stamp = F.nullif(F.coalesce("ts", "endTime", "offline_timestamp"), F.lit(""))
+    ts = timestamp_ms(F.trim(stamp))
+
+    def first(*names: str) -> Column:
+        return F.nullif(F.trim(F.coalesce(*names)), F.lit(""))
+
+    track, artist = first("master_metadata_track_name", "trackName"), first("master_metadata_album_artist_name", "artistName")
     incognito = F.coalesce(boolean("incognito_mode"), F.lit(False))
 
     def some(*names: str) -> Column:
-        return F.coalesce(*[trimmed(x) for x in names]).isNotNull()
+        return F.coalesce(*[F.nullif(F.col(x), F.lit("")) for x in names]).isNotNull()
 
     reason = (
-        F.when(~F.col("is_object"), "not-an-object").when(some("episode_name", "episode_show_name", "spotify_episode_uri"), "podcast").when(some("audiobook_title", "audiobook_chapter_title"), "audiobook")
+        F.when(F.col("row") < 0, "corrupt-archive").when(~F.col("is_object"), "not-an-object").when(some("episode_name", "episode_show_name", "spotify_episode_uri"), "podcast").when(some("audiobook_title", "audiobook_chapter_title"), "audiobook")
         .when(stamp.isNull(), "missing-timestamp").when(ts.isNull() | (ts <= 0), "invalid-timestamp").when(track.isNull(), "missing-track").when(artist.isNull(), "missing-artist")
         .when(F.lit(drop_private) & incognito, "incognito-excluded")
     )
     uri, country = trimmed("spotify_track_uri"), trimmed("conn_country")
     return raw.select(
-        "file", "file_hash", "row", reason.alias("reject_reason"), ts.alias("ts_ms"), track.alias("track_name"), artist.alias("artist_name"), F.coalesce(trimmed("master_metadata_album_album_name"), trimmed("albumName")).alias("album_name"),
+        "file", "file_hash", "row", reason.alias("reject_reason"), ts.alias("ts_ms"), track.alias("track_name"), artist.alias("artist_name"), first("master_metadata_album_album_name", "albumName").alias("album_name"),
         F.when(uri.startswith(TRACK_URI), uri).alias("uri"), milliseconds(F.coalesce("ms_played", "msPlayed"), s.most_ms).alias("ms_played"), platform_family(trimmed("platform")).alias("platform"),
         F.when(F.length(country) <= 4, F.upper(country)).alias("country"), trimmed("reason_start").alias("reason_start"), trimmed("reason_end").alias("reason_end"),
         boolean("shuffle").alias("shuffle"), boolean("skipped").alias("skipped"), boolean("offline").alias("offline"), incognito.alias("incognito"),

@@ -123,9 +123,10 @@ def test_era_titles(spark):
         second = F.lit(n2) if n2 else F.lit(None).cast("string")
         return value(spark, eras.title(F.lit(n1), second, F.lit(s1), F.lit(s2), F.lit(months), F.lit(a), F.lit(b)))
 
-    assert made("The Owls", "Fox", 0.6, 0.1, 4) == "Owls Period"
-    assert made("Owls", "A Fox", 0.35, 0.3, 12) == "Owls & Fox Era"
-    assert made("Owls", "Fox", 0.09, 0.08, 20) == "2019–2020"
+    assert made("The Owls", "Fox", 0.6, 0.1, 4) == "The Owls Period"
+    assert made("Owls", "A Fox", 0.35, 0.3, 12) == "The Owls / Fox Era"
+    assert made("Owls", "Fox", 0.09, 0.08, 20) == "The 2019–2020 Stretch"
+    assert made("The ", None, 0.5, 0.0, 20, "2019-01", "2019-12") == "The The  Years"
 
 
 def test_library(spark):
