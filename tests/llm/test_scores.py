@@ -233,3 +233,19 @@ def test_presence_kernel_equals_sets():
 def test_nothing_to_learn_from(spark):
     assert {r["lang_pred"] for r in language.identify(table(spark, ["a", "b"], [None, None])).collect()} == {"und"}
     assert language.identify(table(spark, [])).count() == 0
+
+
+def test_samples_never_vanish_and_do_not_depend_on_partitions(spark):
+    from playtrace.llm import sampling
+
+    assert sampling.share(5 * 10**10, 2000) * 5 * 10**10 == pytest.approx(5000)
+    rows = spark.range(20_000).selectExpr("id % 9000 AS doc_id", "concat('t', id) AS text")
+    picks = [[tuple(r) for r in sampling.spread(rows.repartition(n), "doc_id", 50).collect()] for n in (1, 7)]
+    assert picks[0] == picks[1] and len({k for k, _ in picks[0]}) == 50
+
+
+def test_difference_hash_equals_plain_loops():
+    rng = np.random.default_rng(2)
+    tile = rng.integers(0, 256, (8, 9)).astype(np.uint8)
+    bits = "".join(str(int(tile[y, x + 1] > tile[y, x])) for y in range(8) for x in range(8))
+    assert media.difference_hash(media.read_npy(media.npy_bytes(tile))) == f"{int(bits, 2):016x}"
