@@ -50,4 +50,4 @@ class Settings:
 DEFAULTS = Settings()
 #: Clocks of the catalogue's queries, chosen where the gates separate the test rows.
 LOST_NOW = 1_028_160_000_000  # 2002-08-01
-GRAVEYARD_NOW = 1_062_374_400_000  # 2003-09-01
+GRAVEYARD_NOW = 1_067_904_000_000  # 2003-11-04

@@ -46,9 +46,15 @@ def canonical_album(events: DataFrame, album: str = "album_id") -> DataFrame:
 
 
 def rank_in_year(events: DataFrame, kind: str, s: Settings = DEFAULTS) -> DataFrame:
-    """Equal counts share a rank, and ranks after them are left out."""
+    """Equal counts share a rank, and ranks after them are left out.
+
+    A rank is one more than the entities with a larger count, so it comes from a histogram of counts: a row per year and
+    distinct count, which is about the square root of a year's plays at most, and no task holds all entities of a year.
+    """
     yearly = plays_by_year(events, kind, s)
-    return yearly.withColumn("rank_in_year", F.rank().over(Window.partitionBy("year").orderBy(F.desc("n"))))
+    larger = F.sum("entities").over(Window.partitionBy("year").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
+    ranks = yearly.groupBy("year", "n").agg(F.count(F.lit(1)).alias("entities")).withColumn("rank_in_year", 1 + F.coalesce(larger, F.lit(0)))
+    return yearly.join(ranks.drop("entities"), ["year", "n"]).select(*yearly.columns, "rank_in_year")
 
 
 def top_per_day(events: DataFrame, kind: str) -> DataFrame:

@@ -26,9 +26,13 @@ def _ms():
 
 
 def track_stats(events: DataFrame, now: int, s: Settings = DEFAULTS) -> DataFrame:
-    return p.visible(events, s).groupBy("track_id").agg(
-        _plays(), _q(s), p.count_if(~p.qualifying(s)).alias("short_plays"), F.sum(p.skip(s)).alias("skips"), _ms(), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"),
-        F.countDistinct("local_date").alias("distinct_days"), F.countDistinct("ym").alias("active_months"), p.count_if(p.recent(now, s)).alias("recent_plays"),
+    """Folded to a track's dates first, so that days are counted as rows and only one distinct count remains."""
+    dates = p.visible(events, s).groupBy("track_id", "local_date", "ym").agg(
+        _plays(), _q(s), p.count_if(~p.qualifying(s)).alias("short_plays"), F.sum(p.skip(s)).alias("skips"), _ms(), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"), p.count_if(p.recent(now, s)).alias("recent_plays"),
+    )
+    return dates.groupBy("track_id").agg(
+        *[F.sum(c).alias(c) for c in ("plays", "q_plays", "short_plays", "skips", "ms_played")], F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"),
+        F.count("local_date").alias("distinct_days"), F.countDistinct("ym").alias("active_months"), F.sum("recent_plays").alias("recent_plays"),
     )
 
 

@@ -49,12 +49,15 @@ def sections(found: DataFrame, limit: int, of: str = "track", artists: str = "ar
     return reduce(DataFrame.unionByName, parts)
 
 
-def lost_favourites(events: DataFrame, now: int, s: Settings = DEFAULTS) -> DataFrame:
-    """Every track with its five dimensions, score and, where it is gated out, the first gate that did so."""
+def lost_favourites(events: DataFrame, now: int, s: Settings = DEFAULTS, stats: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+    """Every track with its five dimensions, score and, where it is gated out, the first gate that did so.
+
+    ``stats`` and ``gaps`` are the marts of track_stats and longest_gap, where they are at hand.
+    """
     plays = sequences.qualifying_plays(events, "track", s)
-    stats = rollups.track_stats(events, now, s).withColumnRenamed("track_id", "id")
+    stats = (rollups.track_stats(events, now, s) if stats is None else stats).withColumnRenamed("track_id", "id")
     peak = sequences.densest(plays, 90).select("id", F.col("plays_in").alias("peak_plays"))
-    gap = sequences.longest_gap(plays).select("id", F.col("gap_days").alias("longest_gap_days"))
+    gap = (sequences.longest_gap(plays) if gaps is None else gaps).select("id", F.col("gap_days").alias("longest_gap_days"))
     rows = stats.join(peak, "id", "left").join(gap, "id", "left").fillna({"peak_plays": 0, "longest_gap_days": 0})
     q, n = F.col("q_plays"), F.col("plays")
     rows = rows.withColumn("days_since", F.floor((F.lit(now) - F.col("last_ts")) / DAY_MS))

@@ -27,6 +27,25 @@ def by_session_window(events: DataFrame, gap_minutes: int, by: str = "listener")
     return events.groupBy(by, F.session_window(ts, f"{gap_minutes} minutes").alias("w")).agg(F.min("ts_ms").alias("start_ts"), F.max("ts_ms").alias("end_ts"), F.count(F.lit(1)).alias("events")).drop("w")
 
 
+def across_listeners(events: DataFrame, gap_minutes: int | None = None, s: Settings = DEFAULTS, block_ms: int = 3_600_000) -> DataFrame:
+    """(session, start_ts, end_ts, events, ms_played) of one stream of all events, sessions numbered from 0.
+
+    Events are folded to their instants and joined to pieces within blocks of time, blocks side by side. The last window
+    runs over pieces, whose number is bounded by the calendar (one for each gap or block of the time covered), not by events.
+    """
+    gap = max(1, s.session_gap_minutes if gap_minutes is None else gap_minutes) * 60_000
+    instants = p.visible(events, s).groupBy("ts_ms").agg(F.count(F.lit(1)).alias("events"), F.sum("ms_played").alias("ms_played"))
+    instants = instants.withColumn("block", F.floor(F.col("ts_ms") / block_ms))
+    line = Window.partitionBy("block").orderBy("ts_ms")
+    fresh = F.coalesce((F.col("ts_ms") - F.lag("ts_ms").over(line) > gap).cast("int"), F.lit(0))
+    parts = [F.min("ts_ms").alias("start_ts"), F.max("ts_ms").alias("end_ts"), F.sum("events").alias("events"), F.sum("ms_played").alias("ms_played")]
+    pieces = instants.withColumn("fresh", fresh).withColumn("piece", F.sum("fresh").over(line)).groupBy("block", "piece").agg(*parts)
+    order = Window.orderBy("start_ts")
+    opens = F.coalesce((F.col("start_ts") - F.lag("end_ts").over(order) > gap).cast("int"), F.lit(0))
+    numbered = pieces.withColumn("opens", opens).withColumn("session", F.sum("opens").over(order))
+    return numbered.groupBy("session").agg(F.min("start_ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.sum("events").alias("events"), F.sum("ms_played").alias("ms_played"))
+
+
 def favourite(events: DataFrame, keys: list[str], column: str) -> DataFrame:
     """The most frequent value of each session, the one that came first among equals, with its count and the entropy."""
     counts = events.groupBy(*keys, column).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*ORDER)).alias("first"))

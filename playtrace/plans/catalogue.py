@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -12,8 +13,9 @@ from playtrace.config import DAY_MS, GRAVEYARD_NOW, LOST_NOW
 from playtrace.functions import predicates as p
 from playtrace.functions.curves import rounded
 from playtrace.operators import eras, peaks, rollups, rules, scores, search, sequences, sessions
-from playtrace.plans import statements
+from playtrace.plans import marts, pages, statements
 from playtrace.sources import history
+from playtrace.shared import shared_folder
 from playtrace.sources.testbed import long_view, short_view, table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -36,6 +38,22 @@ def on_short(name: str, f: Callable[[DataFrame], DataFrame]) -> None:
     QUERIES[name] = lambda spark, sf_dir: f(short_view(spark, sf_dir))
 
 
+_ARCHIVES: dict[tuple[str, str], marts.Archive] = {}
+
+
+def archive(spark: SparkSession, sf_dir: str) -> marts.Archive:
+    """The marts of the long view: rebuilt for the first page of an application, read by all later ones."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _ARCHIVES:
+        folder = f"{shared_folder(spark)}/archives/{key[0]}-{uuid.uuid4().hex}"
+        _ARCHIVES[key] = marts.rebuild(long_view(spark, sf_dir), folder, LOST_NOW, GRAVEYARD_NOW)
+    return _ARCHIVES[key]
+
+
+def on_archive(name: str, f: Callable[[marts.Archive], DataFrame]) -> None:
+    QUERIES[name] = lambda spark, sf_dir: f(archive(spark, sf_dir))
+
+
 def rounds(df: DataFrame, *columns: str, digits: int = 6) -> DataFrame:
     return df.withColumns({c: rounded(F.col(c), digits) for c in columns})
 
@@ -64,9 +82,9 @@ on_long("g18_month_totals", lambda e: rollups.month_totals(e, "1998-05"))
 
 @query("g14_facets")
 def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = long_view(spark, sf_dir)
-    years = e.filter(~F.col("incognito")).select(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value")).distinct().withColumn("n", F.lit(0).cast("long"))
-    top = rollups.artist_stats(e, LOST_NOW).orderBy(F.desc("q_plays"), "artist_id").limit(200)
+    built = archive(spark, sf_dir)
+    years = built.table("years").select(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value"), F.lit(0).cast("long").alias("n"))
+    top = built.table("artists").orderBy(F.desc("q_plays"), "artist_id").limit(200)
     return years.unionByName(top.select(F.lit("artist").alias("facet"), F.col("artist_id").cast("string").alias("value"), F.col("q_plays").alias("n")))
 
 
@@ -105,16 +123,16 @@ on_long("w18_previous_year", lambda e: peaks.versus_previous_year(rollups.yearly
 
 @query("w16_diversified")
 def diversified(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = long_view(spark, sf_dir)
-    owner = e.select("track_id", "artist_id").distinct()
+    built = archive(spark, sf_dir)
+    owner = built.events.select("track_id", "artist_id").distinct()
     order = [F.desc("score"), F.desc("q_plays"), F.asc("id")]
-    page = scores.lost_favourites(e, LOST_NOW).filter("score >= 30").orderBy(*order).limit(200)
+    page = built.table("lost").filter("score >= 30").orderBy(*order).limit(200)
     out = peaks.diversified(page.join(owner, page["id"] == owner["track_id"]), "artist_id", order, 2)
     return longs(out.select("position", "id", "artist_id", "score"), "position")
 
 
 # sessions
-on_short("q03_sessions_global", lambda e: sessions.sessionised(e.withColumn("listener", F.lit(1)), 10).groupBy("session").agg(F.min("ts_ms").alias("start_ts"), F.max("ts_ms").alias("end_ts"), F.count(F.lit(1)).alias("events")))
+on_short("q03_sessions_global", lambda e: sessions.across_listeners(e, 10).drop("ms_played"))
 on_short("q03_sessions_by_listener", lambda e: sessions.by_session_window(e, 360))
 on_short("q04_session_stats", lambda e: rounds(sessions.session_stats(e, 360), "diversity"))
 on_short("g17_session_averages", lambda e: rounds(sessions.session_averages(sessions.session_stats(e, 360)), "mean_events", "mean_ms"))
@@ -125,32 +143,32 @@ on_long("q06_obsessions_artist", lambda e: rounds(scores.obsessions(e, "artist")
 on_long("q06_obsessions_album", lambda e: rounds(scores.obsessions(e, "album"), "share", "plays_per_day", "after_share"))
 _LOST = ["id", "q_plays", "peak_plays", "longest_gap_days", "days_since", "rejected_by", "affinity", "dormancy", "peak", "engagement", "consistency", "score"]
 on_long("q08_lost_favourites", lambda e: rounds(scores.lost_favourites(e, LOST_NOW).select(*_LOST), "affinity", "dormancy", "peak", "engagement", "consistency"))
-on_long("r06_lost_count", lambda e: scores.lost_favourites(e, LOST_NOW).filter("score >= 30").agg(F.count(F.lit(1)).alias("n")))
+on_archive("r06_lost_count", lambda a: a.table("lost").filter("score >= 30").agg(F.count(F.lit(1)).alias("n")))
 for _kind in ("track", "artist", "album"):
     on_long(f"q10_graveyard_{_kind}", lambda e, k=_kind: scores.graveyard(e, k, GRAVEYARD_NOW))
-on_long("l06_graveyard_page", lambda e: reduce(DataFrame.unionByName, [scores.graveyard(e, k, GRAVEYARD_NOW).withColumn("id", F.col("id").cast("string")) for k in ("track", "album")]).filter("days_missing >= 800").orderBy(F.desc("score"), F.desc("q_plays"), "kind", "id").limit(100).select("kind", "id", "q_plays", "days_missing", "score"))
+on_archive("l06_graveyard_page", lambda a: reduce(DataFrame.unionByName, [a.table(f"graveyard_{k}").withColumn("id", F.col("id").cast("string")) for k in ("track", "album")]).filter("days_missing >= 800").orderBy(F.desc("score"), F.desc("q_plays"), "kind", "id").limit(100).select("kind", "id", "q_plays", "days_missing", "score"))
 on_long("q20_comebacks", lambda e: sequences.comebacks(sequences.qualifying_plays(e, "track")))
 
 
 @query("l05_obsession_sections")
 def obsession_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = long_view(spark, sf_dir)
-    found = scores.obsessions(e, "album").withColumn("id", F.col("id").cast("string")).unionByName(scores.obsessions(e, "artist").withColumn("id", F.col("id").cast("string")))
+    built = archive(spark, sf_dir)
+    found = reduce(DataFrame.unionByName, [built.table(f"obsessions_{k}").withColumn("id", F.col("id").cast("string")) for k in ("album", "artist")])
     return rounds(scores.sections(found, 10, of="album"), "value")
 
 
 @query("r05_deep_cuts")
 def deep_cuts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lost favourites well below their artist's most played track."""
-    e = long_view(spark, sf_dir)
-    owner = e.select(F.col("track_id").alias("id"), "artist_id").distinct()
-    rows = scores.lost_favourites(e, LOST_NOW).select("id", "q_plays", "score").join(owner, "id")
+    built = archive(spark, sf_dir)
+    owner = built.events.select(F.col("track_id").alias("id"), "artist_id").distinct()
+    rows = built.table("lost").select("id", "q_plays", "score").join(owner, "id")
     return rows.withColumn("best", F.max("q_plays").over(Window.partitionBy("artist_id"))).filter((F.col("score") >= 30) & (F.col("q_plays") < 0.6 * F.col("best")))
 
 
 # eras, over track vectors
 def _era_parts(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, ...]:
-    months = rollups.monthly(long_view(spark, sf_dir), "track")
+    months = archive(spark, sf_dir).table("monthly_track")
     vectors, every = eras.month_vectors(months, "track_id"), eras.calendar_months(months)
     distances = eras.boundaries(vectors, every)
     return months, vectors, every, distances
@@ -212,17 +230,13 @@ def anti(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("j05_share_of_best")
 def share_of_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each track's plays beside its artist's most played track."""
-    per = rollups_by_owner(long_view(spark, sf_dir))
+    per = marts.owned(long_view(spark, sf_dir))
     return per.withColumn("best", F.max("q_plays").over(Window.partitionBy("artist_id")))
 
 
-def rollups_by_owner(e: DataFrame) -> DataFrame:
-    return p.visible(e).groupBy("artist_id", "track_id").agg(p.count_if(p.qualifying()).alias("q_plays"))
-
-
 @query("j06_top_track_of_artist")
 def top_track(spark: SparkSession, sf_dir: str) -> DataFrame:
-    per = rollups_by_owner(long_view(spark, sf_dir))
+    per = archive(spark, sf_dir).table("owned")
     return per.groupBy("artist_id").agg(F.max_by("track_id", F.struct("q_plays", -F.col("track_id"))).alias("top_track"))
 
 
@@ -236,43 +250,41 @@ def events_in_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # lists and pages
-on_long("l01_top_tracks", lambda e: rollups.track_stats(e, LOST_NOW).orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(50).select("track_id", "q_plays", "ms_played"))
-on_long("l01_top_tracks_year", lambda e: p.visible(e).filter("year = 1998").groupBy("track_id").agg(p.count_if(p.qualifying()).alias("q_plays"), F.sum("ms_played").alias("ms_played")).orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(50))
-on_long("l02_top_artists", lambda e: rollups.artist_stats(e, LOST_NOW).orderBy(F.desc("ms_played"), "artist_id").limit(10).select("artist_id", "q_plays", "ms_played"))
-on_long("l03_top_albums", lambda e: rollups.album_stats(e, LOST_NOW).orderBy(F.desc("ms_played"), "album_id").limit(50).select("album_id", "q_plays", "ms_played"))
-on_long("r02_yearly_points", lambda e: rollups.yearly(e).select("year", "plays", "q_plays", "ms_played"))
-on_long("r10_months", lambda e: e.select("ym").distinct())
-on_long("r11_heatmap", lambda e: rollups.daily(e).filter("local_date BETWEEN '1998-01-01' AND '1998-12-31'").select("local_date", F.col("tracks").alias("value")))
-on_long("r12_bounds", lambda e: rollups.daily(e).agg(F.min("local_date").alias("first_date"), F.max("local_date").alias("last_date")))
+on_archive("l01_top_tracks", lambda a: a.table("tracks").orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(50).select("track_id", "q_plays", "ms_played"))
+on_archive("l01_top_tracks_year", lambda a: a.table("monthly_track").filter("ym LIKE '1998-%'").groupBy("track_id").agg(F.sum("q_plays").alias("q_plays"), F.sum("ms_played").alias("ms_played")).orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(50))
+on_archive("l02_top_artists", lambda a: a.table("artists").orderBy(F.desc("ms_played"), "artist_id").limit(10).select("artist_id", "q_plays", "ms_played"))
+on_archive("l03_top_albums", lambda a: a.table("albums").orderBy(F.desc("ms_played"), "album_id").limit(50).select("album_id", "q_plays", "ms_played"))
+on_archive("r02_yearly_points", lambda a: a.table("years").select("year", "plays", "q_plays", "ms_played"))
+on_archive("r10_months", lambda a: a.events.select("ym").distinct())
+on_archive("r11_heatmap", lambda a: a.table("days").filter("local_date BETWEEN '1998-01-01' AND '1998-12-31'").select("local_date", F.col("tracks").alias("value")))
+on_archive("r12_bounds", lambda a: a.table("days").agg(F.min("local_date").alias("first_date"), F.max("local_date").alias("last_date")))
 
 
 @query("l04_records")
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Superlatives as (record, id, value); one that nothing qualifies for is left out."""
-    e = long_view(spark, sf_dir)
-    tracks, artists, albums, days = rollups.track_stats(e, LOST_NOW), rollups.artist_stats(e, LOST_NOW), rollups.album_stats(e, LOST_NOW), rollups.daily(e)
-    lost = scores.lost_favourites(e, LOST_NOW).filter("score > 0")
-    track_obsessions = scores.obsessions(e, "track")
+    built = archive(spark, sf_dir)
+    tracks, artists, albums, days, years = (built.table(x) for x in ("tracks", "artists", "albums", "days", "years"))
+    lost = built.table("lost").filter("score > 0")
+    track_obsessions = built.table("obsessions_track")
+    gaps = built.table("track_gaps").join(tracks.filter("q_plays >= 15").select(F.col("track_id").alias("id")), "id").filter("gap_days >= 180")
+    longest = sessions.across_listeners(built.events)
     streak = sequences.daily_streak(days)
     tops = [
         ("mostPlayedTrack", tracks, "track_id", F.desc("q_plays"), "q_plays"), ("mostPlayedArtist", artists, "artist_id", F.desc("ms_played"), "ms_played"), ("mostPlayedAlbum", albums, "album_id", F.desc("ms_played"), "q_plays"),
         ("longestDay", days, "local_date", F.desc("ms_played"), "ms_played"), ("busiestDay", days, "local_date", F.desc("plays"), "plays"), ("longestStreak", streak, "from_date", F.desc("days"), "days"),
-        ("fastestFifty", track_obsessions.filter("days_to_50 IS NOT NULL"), "id", F.asc("days_to_50"), "days_to_50"), ("biggestComeback", lost_gap(e), "id", F.desc("gap_days"), "gap_days"),
-        ("longestLost", lost, "id", F.asc("last_ts"), "days_since"), ("biggestObsession", track_obsessions, "id", F.desc("intensity"), "window_plays"), ("mostActiveYear", rollups.yearly(e), "year", F.desc("ms_played"), "plays"),
+        ("fastestFifty", track_obsessions.filter("days_to_50 IS NOT NULL"), "id", F.asc("days_to_50"), "days_to_50"), ("fastestHundred", track_obsessions.filter("days_to_100 IS NOT NULL"), "id", F.asc("days_to_100"), "days_to_100"),
+        ("biggestComeback", gaps, "id", F.desc("gap_days"), "gap_days"),
+        ("longestLost", lost, "id", F.asc("last_ts"), "days_since"), ("biggestObsession", track_obsessions, "id", F.desc("intensity"), "window_plays"), ("mostActiveYear", years, "year", F.desc("ms_played"), "plays"), ("longestSession", longest, "start_ts", F.desc("ms_played"), "ms_played"),
     ]
     rows = [df.orderBy(order, F.asc(key)).limit(1).select(F.lit(name).alias("record"), F.col(key).cast("string").alias("id"), F.col(value).cast("long").alias("value")) for name, df, key, order, value in tops]
     return reduce(DataFrame.unionByName, rows)
 
 
-def lost_gap(e: DataFrame) -> DataFrame:
-    stats = rollups.track_stats(e, LOST_NOW).filter("q_plays >= 15").select(F.col("track_id").alias("id"))
-    return sequences.longest_gap(sequences.qualifying_plays(e, "track")).join(stats, "id").filter("gap_days >= 180")
-
-
 @query("r03_rediscovery")
 def rediscovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The day's pick among the 60 best lost favourites. The date's digest chooses, so a day always gives the same one."""
-    top = scores.lost_favourites(long_view(spark, sf_dir), LOST_NOW).filter("score >= 30").orderBy(F.desc("score"), F.desc("q_plays"), "id").limit(60)
+    top = archive(spark, sf_dir).table("lost").filter("score >= 30").orderBy(F.desc("score"), F.desc("q_plays"), "id").limit(60)
     order = Window.orderBy(F.desc("score"), F.desc("q_plays"), "id")
     digest = F.conv(F.substring(F.md5(F.lit("2002-08-01").cast("binary")), 1, 8), 16, 10).cast("long")
     numbered = top.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy())).withColumn("i", F.row_number().over(order) - 1)
@@ -284,8 +296,8 @@ def rediscovery(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r04_on_this_day")
 def on_this_day(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Dates of other years with today's month and day, with the most played track of each by all plays."""
-    e = long_view(spark, sf_dir)
-    days = rollups.daily(e).filter(F.col("local_date").endswith("-06-15") & (F.col("local_date") != "2001-06-15"))
+    built = archive(spark, sf_dir)
+    e, days = built.events, built.table("days").filter(F.col("local_date").endswith("-06-15") & (F.col("local_date") != "2001-06-15"))
     top = peaks.top_per_day(e.filter(F.substring("local_date", 6, 5) == "06-15"), "track").select("local_date", F.col("track_id").alias("top_track"))
     return days.join(top, "local_date", "left").select("local_date", "plays", "ms_played", "top_track")
 
@@ -293,15 +305,15 @@ def on_this_day(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r07_rewind_year")
 def rewind_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row for 1998: totals, best month and day, late share, new tracks, and the year before."""
-    e = long_view(spark, sf_dir)
-    year = F.col("year") == 1998
-    totals = rollups.yearly(e).filter(year)
-    months = rollups.monthly(e.filter(year), "artist").groupBy("ym").agg(F.sum("ms_played").alias("ms"))
+    built = archive(spark, sf_dir)
+    e, year = built.events, F.col("year") == 1998
+    totals = built.table("years").filter(year)
+    months = built.table("monthly_artist").filter("ym LIKE '1998-%'").groupBy("ym").agg(F.sum("ms_played").alias("ms"))
     best_month = months.agg(F.max_by("ym", F.struct("ms", -F.regexp_replace("ym", "-", "").cast("int"))).alias("best_month"))
-    best_day = rollups.daily(e.filter(year)).agg(F.max_by("local_date", F.struct("ms_played", -F.regexp_replace("local_date", "-", "").cast("int"))).alias("best_day"))
+    best_day = built.table("days").filter("local_date LIKE '1998-%'").agg(F.max_by("local_date", F.struct("ms_played", -F.regexp_replace("local_date", "-", "").cast("int"))).alias("best_day"))
     late = e.filter(year).agg((p.count_if(p.night()) / F.count(F.lit(1))).alias("late_share"))
-    first = rollups.track_stats(e, LOST_NOW).filter(F.year(F.timestamp_millis("first_ts")) == 1998).agg(F.count(F.lit(1)).alias("new_tracks"))
-    before = rollups.yearly(e).filter("year = 1997").agg(F.max("plays").alias("previous_plays"))
+    first = built.table("tracks").filter(F.year(F.timestamp_millis("first_ts")) == 1998).agg(F.count(F.lit(1)).alias("new_tracks"))
+    before = built.table("years").filter("year = 1997").agg(F.max("plays").alias("previous_plays"))
     # every side is one row
     return rounds(totals.crossJoin(best_month).crossJoin(best_day).crossJoin(late).crossJoin(first).crossJoin(before), "late_share")
 
@@ -309,23 +321,23 @@ def rewind_year(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r07_vanished")
 def vanished(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks of 2001 that were played often and last that year, a year or more ago."""
-    e = long_view(spark, sf_dir)
-    per = rollups.monthly(e.filter("year = 2001"), "track").groupBy("track_id").agg(F.sum("q_plays").alias("year_plays")).filter("year_plays >= 5")
+    built = archive(spark, sf_dir)
+    per = built.table("monthly_track").filter("ym LIKE '2001-%'").groupBy("track_id").agg(F.sum("q_plays").alias("year_plays")).filter("year_plays >= 5")
     low, high = 978_307_200_000, 1_009_843_200_000
-    last = rollups.track_stats(e, GRAVEYARD_NOW).filter((F.col("last_ts") >= low) & (F.col("last_ts") < high) & (F.col("last_ts") <= GRAVEYARD_NOW - 365 * DAY_MS))
+    last = built.table("tracks").filter((F.col("last_ts") >= low) & (F.col("last_ts") < high) & (F.col("last_ts") <= GRAVEYARD_NOW - 365 * DAY_MS))
     return per.join(last.select("track_id", "last_ts"), "track_id").orderBy(F.desc("year_plays"), "track_id").limit(12)
 
 
 @query("r08_rewind_month")
 def rewind_month(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = long_view(spark, sf_dir).filter("ym = '1998-05'")
+    e = archive(spark, sf_dir).events.filter("year = 1998 AND ym = '1998-05'")
     return e.groupBy("track_id").agg(p.count_if(p.qualifying()).alias("q_plays"), F.sum("ms_played").alias("ms_played")).orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(12)
 
 
 @query("r09_random_month")
 def random_month(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The month that seed 4242 picks of those with 20 qualifying plays."""
-    months = rollups.monthly(long_view(spark, sf_dir), "artist").groupBy("ym").agg(F.sum("q_plays").alias("q_plays")).filter("q_plays >= 20")
+    months = archive(spark, sf_dir).table("monthly_artist").groupBy("ym").agg(F.sum("q_plays").alias("q_plays")).filter("q_plays >= 20")
     numbered = months.withColumn("i", F.row_number().over(Window.orderBy("ym")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy()))
     return numbered.filter(F.col("i") == F.lit(4242) % F.col("n")).select("ym", "q_plays")
 
@@ -342,38 +354,60 @@ def session_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("r15_track_detail")
 def track_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Track 7 in one row, and its gap and comeback."""
-    e = long_view(spark, sf_dir).filter("track_id = 7")
-    gap = sequences.longest_gap(sequences.qualifying_plays(e, "track")).select("gap_days", "gap_from", "gap_to")
-    return rollups.track_stats(e, LOST_NOW).crossJoin(gap)  # one row each
+    built = archive(spark, sf_dir)
+    gap = built.table("track_gaps").filter("id = 7").select("gap_days", "gap_from", "gap_to")
+    return built.table("tracks").filter("track_id = 7").crossJoin(gap)  # one row each
 
 
 @query("r16_insights")
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What stands out about each artist: plays at night, and one track that outweighs the others."""
-    e = long_view(spark, sf_dir)
-    best = rollups_by_owner(e).groupBy("artist_id").agg(F.max("q_plays").alias("best"), F.sum("q_plays").alias("total"))
-    rows = rollups.artist_stats(e, LOST_NOW).join(best, "artist_id")
+    built = archive(spark, sf_dir)
+    best = built.table("owned").groupBy("artist_id").agg(F.max("q_plays").alias("best"), F.sum("q_plays").alias("total"))
+    rows = built.table("artists").join(best, "artist_id")
     return rows.select("artist_id", ((F.col("night_plays") >= 40) & (F.col("night_plays") >= 0.4 * F.col("plays"))).alias("nocturnal"), (F.col("best") >= 0.3 * F.col("total")).alias("one_track"), "night_plays", "best")
 
 
 @query("r17_album_detail")
 def album_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = long_view(spark, sf_dir).filter("album_id = 'Brand#2|ECONOMY'")
+    e = archive(spark, sf_dir).events.filter("album_id = 'Brand#2|ECONOMY'")
     return e.groupBy("track_id").agg(F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms_played")).orderBy(F.desc("plays"), "track_id").limit(25)
 
 
 @query("r19_library")
 def library(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks whose name holds a text in any case, by name."""
-    stats = rollups.track_stats(long_view(spark, sf_dir), LOST_NOW)
+    stats = archive(spark, sf_dir).table("tracks")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("name"))
     return stats.join(parts, "track_id").filter(F.col("name").ilike("%RED%")).orderBy(F.lower("name"), "track_id").limit(100).select("track_id", "name", "q_plays")
 
 
+# further parts of the pages
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(track_id, name, artist_id, artist) of the test tables' parts."""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("name"), F.substring("p_brand", 7, 9).cast("long").alias("artist_id"), F.col("p_brand").alias("artist"))
+
+
+for _filter, _text in (("oldFavorites", ""), ("forgottenAlbums", ""), ("deepCuts", ""), ("all", "red")):
+    QUERIES[f"r05_lost_{_filter}"] = lambda s, d, f=_filter, t=_text: pages.lost_page(archive(s, d), _names(s, d), f, LOST_NOW, t)
+on_archive("l02_top_artists_year", lambda a: pages.top_of_year(a, "artist", 1998))
+on_archive("l03_top_albums_year", lambda a: pages.top_of_year(a, "album", 1998))
+on_archive("r01_overview", pages.overview)
+on_archive("r07_first_heard", lambda a: pages.first_heard(a, 788_918_400_000, 820_454_400_000))
+on_archive("r07_obsession", lambda a: pages.obsession_between(a, 694_224_000_000, 883_612_800_000))
+on_archive("r08_month_artists", lambda a: pages.month_artists(a, "1998-05"))
+on_archive("r08_month_days", lambda a: pages.month_days(a, "1998-05"))
+on_archive("r15_track_points", lambda a: pages.track_points(a, 7))
+on_archive("r16_artist_lists", lambda a: pages.artist_lists(a, 2))
+on_archive("r17_album_months", lambda a: pages.album_months(a, "Brand#2|ECONOMY"))
+on_short("r13_day_artist", lambda e: pages.day_artist(e, "2024-01-03"))
+on_short("r13_day_sessions", lambda e: pages.day_sessions(sessions.session_stats(e, 360), "2024-01-03").select("listener", "session", "start_ts", "events", "ms_played"))
+
+
 # rules
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = long_view(spark, sf_dir)
-    lost = scores.lost_favourites(e, LOST_NOW).select(F.col("id").alias("track_id"), "q_plays", "plays", "ms_played", "skips", "first_ts", "last_ts", "score")
+    built = archive(spark, sf_dir)
+    e, lost = built.events, built.table("lost").select(F.col("id").alias("track_id"), "q_plays", "plays", "ms_played", "skips", "first_ts", "last_ts", "score")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.when(F.col("p_size") > 25, F.col("p_name")).alias("tags"), (F.col("p_size") % 2).alias("favorite"))
     best = peaks.peak_year(e, "track").select("track_id", "peak_year")
     return lost.join(parts, "track_id").join(best, "track_id", "left").withColumn("retired", F.lit(None).cast("int"))

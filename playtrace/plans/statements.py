@@ -321,11 +321,53 @@ STATEMENTS["l05_obsession_sections"] = _with(
 _TOPS = (
     ("mostPlayedTrack", "tracks", "track_id", "q_plays DESC", "q_plays"), ("mostPlayedArtist", "artists", "artist_id", "ms_played DESC", "ms_played"), ("mostPlayedAlbum", "albums", "album_id", "ms_played DESC", "q_plays"),
     ("longestDay", "days", "local_date", "ms_played DESC", "ms_played"), ("busiestDay", "days", "local_date", "plays DESC", "plays"), ("longestStreak", "streak", "from_date", "days DESC", "days"),
-    ("fastestFifty", "(SELECT * FROM track_obs WHERE days_to_50 IS NOT NULL)", "id", "days_to_50", "days_to_50"), ("biggestComeback", "(SELECT gaps.* FROM gaps JOIN tracks ON track_id = id WHERE q_plays >= 15 AND gap_days >= 180)", "id", "gap_days DESC", "gap_days"),
-    ("longestLost", "(SELECT * FROM lost WHERE score > 0)", "id", "last_ts", "days_since"), ("biggestObsession", "track_obs", "id", "intensity DESC", "window_plays"), ("mostActiveYear", "years", "year", "ms_played DESC", "plays"),
+    ("fastestFifty", "(SELECT * FROM track_obs WHERE days_to_50 IS NOT NULL)", "id", "days_to_50", "days_to_50"), ("fastestHundred", "(SELECT * FROM track_obs WHERE days_to_100 IS NOT NULL)", "id", "days_to_100", "days_to_100"), ("biggestComeback", "(SELECT gaps.* FROM gaps JOIN tracks ON track_id = id WHERE q_plays >= 15 AND gap_days >= 180)", "id", "gap_days DESC", "gap_days"),
+    ("longestLost", "(SELECT * FROM lost WHERE score > 0)", "id", "last_ts", "days_since"), ("biggestObsession", "track_obs", "id", "intensity DESC", "window_plays"), ("mostActiveYear", "years", "year", "ms_played DESC", "plays"), ("longestSession", "streams", "start_ts", "ms_played DESC", "ms_played"),
 )
 STATEMENTS["l04_records"] = _with(
-    " UNION ALL ".join(f"(SELECT '{name}' AS record, CAST({key} AS VARCHAR) AS id, CAST({value} AS BIGINT) AS value FROM {source} ORDER BY {order}, {key} LIMIT 1)" for name, source, key, order, value in _TOPS),
+    " UNION ALL ".join(f"(SELECT '{name}' AS record, CAST({key} AS VARCHAR) AS id, CAST({value} AS BIGINT) AS value FROM {source} x ORDER BY {order}, x.{key} LIMIT 1)" for name, source, key, order, value in _TOPS),
     *LOST, ARTISTS, ALBUMS, DAYS, YEARS, *_obsessions("track"),
     "streak AS (SELECT count(*) AS days, min(local_date) AS from_date FROM (SELECT local_date, CAST(local_date AS DATE) - CAST(row_number() OVER (ORDER BY local_date) AS INT) AS g FROM days) GROUP BY g)",
+    """streams AS (SELECT min(ts_ms) AS start_ts, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM (SELECT *, sum(fresh) OVER (ORDER BY ts_ms RANGE UNBOUNDED PRECEDING) AS g FROM (
+      SELECT ts_ms, ms_played, coalesce(CAST(ts_ms - lag(ts_ms) OVER (ORDER BY ts_ms) > 1800000 AS INT), 0) AS fresh FROM e)) GROUP BY g)""",
 )
+
+_OLDEST = "SELECT id, q_plays, score FROM lost l WHERE score >= 30"
+_PAGE = "ORDER BY score DESC, q_plays DESC, id LIMIT 50"
+_CANONICAL = "held AS (SELECT track_id, album_id FROM (SELECT track_id, album_id, count(*) AS n FROM a WHERE album_id IS NOT NULL GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY n DESC, album_id) = 1)"
+_POINT = "count(*) AS plays, CAST(sum(q) AS BIGINT) AS q_plays, CAST(sum(ms_played) AS BIGINT) AS ms_played"
+STATEMENTS |= {
+    "r05_lost_oldFavorites": _with(f"{_OLDEST} AND q_plays >= 40 {_PAGE}", *LOST),
+    "r05_lost_forgottenAlbums": _with(f"{_OLDEST} AND id IN (SELECT track_id FROM held JOIN album_grave g ON g.id = album_id) {_PAGE}", *LOST, _CANONICAL, *_graveyard("album")),
+    "r05_lost_deepCuts": _with(f"{_OLDEST} AND q_plays < 0.6::DOUBLE * (SELECT max(b.q_plays) FROM owned b JOIN owned mine USING (artist_id) WHERE mine.track_id = l.id) {_PAGE}", *LOST, OWNED),
+    "r05_lost_all": _with(f"{_OLDEST} AND EXISTS (SELECT 1 FROM part WHERE p_partkey = l.id AND (p_name ILIKE '%red%' OR p_brand ILIKE '%red%')) {_PAGE}", *LOST),
+    "l02_top_artists_year": _with(f"SELECT artist_id, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM e WHERE {_YEAR98} GROUP BY artist_id ORDER BY ms_played DESC, artist_id LIMIT 50"),
+    "l03_top_albums_year": _with(f"SELECT album_id, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM a WHERE {_YEAR98} AND album_id IS NOT NULL GROUP BY album_id ORDER BY ms_played DESC, album_id LIMIT 50"),
+    "r01_overview": _with(
+        """SELECT 'count' AS section, 'track' AS id, count(DISTINCT track_id) AS value FROM e UNION ALL SELECT 'count', 'artist', count(DISTINCT artist_id) FROM e UNION ALL SELECT 'count', 'album', count(DISTINCT album_id) FROM e
+        UNION ALL SELECT 'year', CAST(year AS VARCHAR), ms_played FROM years UNION ALL (SELECT 'track', CAST(track_id AS VARCHAR), q_plays FROM tracks ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 5)""", TRACKS, YEARS
+    ),
+    "r07_first_heard": _with(
+        " UNION ALL ".join(f"(SELECT '{k}' AS kind, CAST({k}_id AS VARCHAR) AS id, first_ts, q_plays FROM {k}s WHERE first_ts >= 788918400000 AND first_ts < 820454400000 ORDER BY q_plays DESC, {k}_id LIMIT 12)" for k in ("artist", "track")), ARTISTS, TRACKS
+    ),
+    "r07_obsession": _with("SELECT id, window_start, window_plays, intensity FROM track_obs WHERE window_start >= 694224000000 AND window_start < 883612800000 ORDER BY intensity DESC, id LIMIT 1", *_obsessions("track")),
+    "r08_month_artists": _with(f"SELECT artist_id, {_POINT} FROM e WHERE ym = '1998-05' GROUP BY artist_id ORDER BY ms_played DESC, artist_id LIMIT 12"),
+    "r08_month_days": _with("SELECT local_date, plays, q_plays, ms_played, tracks FROM days WHERE local_date LIKE '1998-05-%'", DAYS),
+    "r13_day_artist": _with("SELECT artist_id, count(*) AS plays FROM s WHERE local_date = '2024-01-03' GROUP BY artist_id ORDER BY plays DESC, artist_id LIMIT 1"),
+    "r13_day_sessions": _with("SELECT listener, session, start_ts, events, ms_played FROM sess WHERE local_date = '2024-01-03'", *SESSIONS),
+    "r15_track_points": _with(
+        " UNION ALL ".join(f"SELECT '{unit}' AS unit, {at} AS at, {_POINT} FROM {source} WHERE track_id = 7 GROUP BY ALL" for unit, at, source in (("month", "ym", "e"), ("year", "substr(ym, 1, 4)", "e"), ("hour", "printf('%02d', hour)", "a")))
+    ),
+    "r16_artist_lists": _with(
+        """(SELECT 'track' AS kind, CAST(track_id AS VARCHAR) AS id, q_plays AS value FROM tracks WHERE track_id IN (SELECT track_id FROM owned WHERE artist_id = 2) ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 12)
+        UNION ALL (SELECT 'album', album_id, ms_played FROM albums WHERE album_id IN (SELECT album_id FROM held JOIN owned USING (track_id) WHERE artist_id = 2) ORDER BY ms_played DESC, album_id LIMIT 8)""", TRACKS, ALBUMS, OWNED, _CANONICAL
+    ),
+    "r17_album_months": _with("SELECT ym, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM a WHERE album_id = 'Brand#2|ECONOMY' GROUP BY ym"),
+    # BM25 with k1 = 1.2 and b = 0.75 for the word "small" and the prefix "ring", doubled and weighted by kind
+    "t04_search_rank": f"""WITH docs AS (SELECT kind, id, list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM (
+        SELECT 'track' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_brand AS body FROM part UNION ALL SELECT DISTINCT 'artist', p_brand, p_brand FROM part)),
+      counted AS (SELECT kind, id, len(words)::DOUBLE AS length, len(list_filter(words, lambda x: x = 'small'))::DOUBLE AS tf0, len(list_filter(words, lambda x: starts_with(x, 'ring')))::DOUBLE AS tf1 FROM docs),
+      totals AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean, count(*) FILTER (tf0 > 0)::DOUBLE AS df0, count(*) FILTER (tf1 > 0)::DOUBLE AS df1 FROM counted),
+      scored AS (SELECT kind, id, {" + ".join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))" for i in (0, 1))} AS t FROM counted, totals WHERE tf0 > 0 AND tf1 > 0)
+      SELECT kind, id, {_round("t")} AS text_score, {_round("2 * t * CASE kind WHEN 'artist' THEN 1.15::DOUBLE ELSE 1 END")} AS score FROM scored""",
+}
