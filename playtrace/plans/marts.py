@@ -30,7 +30,8 @@ class Archive:
 
     @property
     def events(self) -> DataFrame:
-        return self.table("events")
+        """By year. The schema comes from a table without rows, since no events leave no file to infer it from."""
+        return self.spark.read.schema(self.table("events_shape").schema).parquet(f"{self.folder}/events")
 
 
 def owned(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -48,6 +49,7 @@ def rebuild(events: DataFrame, folder: str, lost_now: int, graveyard_now: int, s
     def put(name: str, df: DataFrame, *by: str) -> None:
         df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}")
 
+    put("events_shape", events.limit(0))
     put("events", events.repartitionByRange("ts_ms").sortWithinPartitions("ts_ms"), "year")
     e = archive.events
     first: dict[str, Callable[[], DataFrame]] = {
