@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
-from playtrace.llm import conversations, line_dedup, mixing
+from playtrace.llm import conversations, line_dedup, mixing, ranking
 from playtrace.llm import queries as q
 
 
@@ -12,5 +12,5 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op2_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_conversations": conversations.ORACLE}
+    sql = {"op2_line_dedup": line_dedup.ORACLE, "op9_mixing": mixing.ORACLE, "op11_conversations": conversations.ORACLE, "op12_ranked_search": ranking.ORACLE}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
