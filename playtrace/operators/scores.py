@@ -12,21 +12,30 @@ from playtrace.functions import curves as c
 from playtrace.operators import peaks, rollups, sequences
 
 
-def obsessions(events: DataFrame, kind: str, s: Settings = DEFAULTS, least_plays: int | None = None) -> DataFrame:
-    """Entities with enough plays and a dense month. Candidates are cut before any window is sorted."""
+#: Windows and counts of the sequence fold that scores read.
+FOLD_DAYS, FOLD_COUNTS = (7, 30, 90), (50, 100)
+
+
+def folds(events: DataFrame, kind: str, s: Settings = DEFAULTS) -> DataFrame:
+    """The sequence fold of all entities of a kind, for obsessions, lost favourites, gaps and comebacks."""
+    return sequences.folded(sequences.qualifying_plays(events, kind, s), FOLD_DAYS, FOLD_COUNTS)
+
+
+def obsessions(events: DataFrame, kind: str, s: Settings = DEFAULTS, least_plays: int | None = None, fold: DataFrame | None = None, months: DataFrame | None = None) -> DataFrame:
+    """Entities with enough plays and a dense month. ``fold`` and ``months`` are the sequence fold and monthly counts (id, ym, n), where at hand."""
+    days = s.obsession_window_days
     plays = sequences.qualifying_plays(events, kind, s)
+    fold = sequences.folded(plays, (7, days), FOLD_COUNTS) if fold is None else fold
+    months = plays.groupBy("id", "ym").agg(F.count(F.lit(1)).alias("n")) if months is None else months
     least = s.obsession_least_plays[kind] if least_plays is None else least_plays
-    counts = plays.groupBy("id").agg(F.count(F.lit(1)).alias("lifetime_plays")).filter(F.col("lifetime_plays") >= least)
-    plays = plays.join(counts.select("id"), "id", "left_semi")
-    days = s.obsession_window_days
-    main = sequences.densest(plays, days).filter(F.col("plays_in") >= s.obsession_least_window_plays)
-    week = sequences.densest(plays, 7).select("id", F.col("plays_in").alias("peak_week"))
-    joined = reduce(lambda a, b: a.join(b, "id"), [main, counts, week, sequences.days_to_nth(plays), sequences.monthly_run(plays)])
-    span = F.greatest(F.lit(1.0), (F.col("to_ts") - F.col("from_ts")) / DAY_MS)
+    dense = fold.filter((F.col("n") >= least) & (F.col(f"d{days}_in") >= s.obsession_least_window_plays))
+    joined = dense.join(sequences.longest_monthly_run(months), "id", "left")
+    n, inside, start, end, after = F.col("n"), F.col(f"d{days}_in"), F.col(f"d{days}_from"), F.col(f"d{days}_to"), F.col(f"d{days}_after")
+    span = F.greatest(F.lit(1.0), (end - start) / DAY_MS)
     return joined.select(
-        F.lit(kind).alias("kind"), "id", F.col("from_ts").alias("window_start"), F.col("to_ts").alias("window_end"), F.col("plays_in").alias("window_plays"), "lifetime_plays",
-        (F.col("plays_in") / F.col("lifetime_plays")).alias("share"), (F.col("plays_in") / span).alias("plays_per_day"), "plays_after", (F.col("plays_after") / F.col("lifetime_plays")).alias("after_share"),
-        c.intensity(F.col("plays_in"), F.col("lifetime_plays"), days).alias("intensity"), "days_to_50", "days_to_100", "longest_run", "peak_week",
+        F.lit(kind).alias("kind"), "id", start.alias("window_start"), end.alias("window_end"), inside.alias("window_plays"), n.alias("lifetime_plays"),
+        (inside / n).alias("share"), (inside / span).alias("plays_per_day"), after.alias("plays_after"), (after / n).alias("after_share"),
+        c.intensity(inside, n, days).alias("intensity"), *sequences.days_to(fold, FOLD_COUNTS), F.coalesce("longest_run", F.lit(0)).alias("longest_run"), F.col("d7_in").alias("peak_week"),
     )
 
 
@@ -49,16 +58,15 @@ def sections(found: DataFrame, limit: int, of: str = "track", artists: str = "ar
     return reduce(DataFrame.unionByName, parts)
 
 
-def lost_favourites(events: DataFrame, now: int, s: Settings = DEFAULTS, stats: DataFrame | None = None, gaps: DataFrame | None = None) -> DataFrame:
+def lost_favourites(events: DataFrame, now: int, s: Settings = DEFAULTS, stats: DataFrame | None = None, fold: DataFrame | None = None) -> DataFrame:
     """Every track with its five dimensions, score and, where it is gated out, the first gate that did so.
 
-    ``stats`` and ``gaps`` are the marts of track_stats and longest_gap, where they are at hand.
+    ``stats`` and ``fold`` are the marts of track_stats and of the sequence fold, where they are at hand.
     """
-    plays = sequences.qualifying_plays(events, "track", s)
     stats = (rollups.track_stats(events, now, s) if stats is None else stats).withColumnRenamed("track_id", "id")
-    peak = sequences.densest(plays, 90).select("id", F.col("plays_in").alias("peak_plays"))
-    gap = (sequences.longest_gap(plays) if gaps is None else gaps).select("id", F.col("gap_days").alias("longest_gap_days"))
-    rows = stats.join(peak, "id", "left").join(gap, "id", "left").fillna({"peak_plays": 0, "longest_gap_days": 0})
+    fold = sequences.folded(sequences.qualifying_plays(events, "track", s), (90,)) if fold is None else fold
+    peak = fold.select("id", F.col("d90_in").alias("peak_plays"), F.floor(F.col("gap_ms") / DAY_MS).alias("longest_gap_days"))
+    rows = stats.join(peak, "id", "left").fillna({"peak_plays": 0, "longest_gap_days": 0})
     q, n = F.col("q_plays"), F.col("plays")
     rows = rows.withColumn("days_since", F.floor((F.lit(now) - F.col("last_ts")) / DAY_MS))
     rejected = (

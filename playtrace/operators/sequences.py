@@ -5,12 +5,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.config import DAY_MS, DEFAULTS, Settings
 from playtrace.functions import predicates as p
-from playtrace.operators.peaks import first_of
 from playtrace.operators.rollups import KEYS
 
 
@@ -19,33 +18,78 @@ def qualifying_plays(events: DataFrame, kind: str, s: Settings = DEFAULTS) -> Da
     return p.visible(events, s).filter(p.qualifying(s) & F.col(key).isNotNull()).select(F.col(key).alias("id"), "ts_ms", "ym")
 
 
-def densest(plays: DataFrame, days: int) -> DataFrame:
-    """Most plays in any closed interval of ``days`` days: id, plays_in, from_ts, to_ts, plays_after; the earliest wins ties.
+#: Days of a block of time. An entity's blocks are worked on side by side, so that one with half of all plays spreads.
+BLOCK_DAYS = 180
+
+
+def folded(plays: DataFrame, days: tuple[int, ...] = (), counts: tuple[int, ...] = ()) -> DataFrame:
+    """All sequence measures of each entity from one repartition and one sort of its plays.
 
-    The count of an interval is the difference of two running counts, so its cost doesn't grow with the interval.
+    id, n, first_ts, last_ts, gap_ms, gap_from, gap_to (the first of the longest silences; 0 and nulls without one); for each
+    window of ``days`` d{days}_in, d{days}_from, d{days}_to, d{days}_after (most plays in a closed interval of that length, the
+    earliest of equals); for each of ``counts`` nth_{count}, the time of that play.
+
+    Plays lie in blocks of time. A block also gets the plays that its windows reach back to, and knows from the table of blocks
+    how many plays came before it, so that blocks are independent and their results merge to one row.
     """
-    line = Window.partitionBy("id").orderBy("ts_ms")
-    upto = F.count(F.lit(1)).over(line.rangeBetween(Window.unboundedPreceding, Window.currentRow))
-    before = F.count(F.lit(1)).over(line.rangeBetween(Window.unboundedPreceding, -days * DAY_MS - 1))
-    best = first_of(plays.select("id", "ts_ms", (upto - before).alias("plays_in")), "id", F.desc("plays_in"), "ts_ms")
-    best = best.select("id", "plays_in", F.col("ts_ms").alias("to_ts"))
-    near = plays.join(best, "id").filter(F.col("ts_ms") >= F.col("to_ts") - days * DAY_MS)
-    return near.groupBy("id", "plays_in", "to_ts").agg(F.min("ts_ms").alias("from_ts"), p.count_if(F.col("ts_ms") > F.col("to_ts")).alias("plays_after"))
+    size = BLOCK_DAYS * DAY_MS
+    block = F.floor(F.col("ts_ms") / size)
+    table = plays.groupBy("id", block.alias("block")).agg(F.count(F.lit(1)).alias("n"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"))
+    # a row per entity and block: the calendar bounds them
+    earlier = Window.partitionBy("id").orderBy("block")
+    table = table.select(
+        "id", "block", "n", "first_ts", "last_ts", F.lag("last_ts").over(earlier).alias("last_before"), F.coalesce(F.sum("n").over(earlier.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before")
+    )
+    reach = F.floor((F.col("ts_ms") + max(days, default=0) * DAY_MS) / size)
+    dealt = plays.select("id", "ts_ms", block.alias("own_block"), F.explode(F.sequence(block, reach)).alias("block"))
+    dealt = dealt.select("id", "block", "ts_ms", (F.col("own_block") == F.col("block")).alias("own")).repartition("id", "block").sortWithinPartitions("id", "block", "ts_ms")
+    rows = dealt.join(table.hint("shuffle_hash"), ["id", "block"])  # the build side has a row per block, and the sort stays
+    line = Window.partitionBy("id", "block").orderBy("ts_ms")
+    upto = line.rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.col("before") + F.sum(F.col("own").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = rows.select(
+        "*", F.lag("ts_ms").over(line).alias("previous"), number.alias("number"), (F.col("before") + F.sum(F.col("own").cast("long")).over(upto)).alias("upto"),
+        *[x for d in days for w in [line.rangeBetween(-d * DAY_MS, Window.currentRow)] for x in (F.count(F.lit(1)).over(w).alias(f"in_{d}"), F.min("ts_ms").over(w).alias(f"from_{d}"))],
+    ).filter("own")
+    since = F.coalesce(F.when(F.col("ts_ms") == F.col("first_ts"), F.greatest("previous", "last_before")).otherwise(F.col("previous")), F.col("last_before"))
+    gap = F.when(F.col("ts_ms") > since, F.struct((F.col("ts_ms") - since).alias("gap"), (-F.col("ts_ms")).alias("m"), since.alias("since")))
+    blocks = rows.groupBy("id", "block").agg(
+        F.first("n").alias("n"), F.first("first_ts").alias("first_ts"), F.first("last_ts").alias("last_ts"), F.max(gap).alias("gap"),
+        *[F.max(F.struct(f"in_{d}", (-F.col("ts_ms")).alias("m"), f"from_{d}", "upto")).alias(f"best_{d}") for d in days], *[F.min(F.when(F.col("number") == c, F.col("ts_ms"))).alias(f"nth_{c}") for c in counts],
+    )
+    merged = blocks.groupBy("id").agg(
+        F.sum("n").alias("n"), F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts"), F.max("gap").alias("gap"), *[F.max(f"best_{d}").alias(f"best_{d}") for d in days], *[F.min(f"nth_{c}").alias(f"nth_{c}") for c in counts],
+    )
+    spans = [x for d in days for b in [F.col(f"best_{d}")] for x in (b[f"in_{d}"].alias(f"d{d}_in"), b[f"from_{d}"].alias(f"d{d}_from"), (-b["m"]).alias(f"d{d}_to"), (F.col("n") - b["upto"]).alias(f"d{d}_after"))]
+    return merged.select("id", "n", "first_ts", "last_ts", F.coalesce("gap.gap", F.lit(0)).alias("gap_ms"), F.col("gap.since").alias("gap_from"), (-F.col("gap.m")).alias("gap_to"), *spans, *[f"nth_{c}" for c in counts])
+
+
+def densest_of(folds: DataFrame, days: int) -> DataFrame:
+    return folds.select("id", F.col(f"d{days}_in").alias("plays_in"), F.col(f"d{days}_to").alias("to_ts"), F.col(f"d{days}_from").alias("from_ts"), F.col(f"d{days}_after").alias("plays_after"))
+
+
+def densest(plays: DataFrame, days: int) -> DataFrame:
+    """Most plays in any closed interval of ``days`` days: id, plays_in, from_ts, to_ts, plays_after; the earliest wins ties."""
+    return densest_of(folded(plays, (days,)), days)
+
+
+def gaps_of(folds: DataFrame) -> DataFrame:
+    return folds.select("id", "gap_ms", F.floor(F.col("gap_ms") / DAY_MS).alias("gap_days"), "gap_from", "gap_to")
 
 
 def longest_gap(plays: DataFrame) -> DataFrame:
     """id, gap_ms, gap_days (floored), gap_from, gap_to: the first of the longest silences; 0 and nulls without one."""
-    gaps = plays.withColumn("gap_from", F.lag("ts_ms").over(Window.partitionBy("id").orderBy("ts_ms"))).withColumn("gap_ms", F.col("ts_ms") - F.col("gap_from"))
-    some = F.coalesce(F.col("gap_ms") > 0, F.lit(False))
-    best = gaps.groupBy("id").agg(F.max(F.when(some, F.struct("gap_ms", (-F.col("ts_ms")).alias("m"), "gap_from"))).alias("g"))
-    return best.select("id", F.coalesce("g.gap_ms", F.lit(0)).alias("gap_ms"), F.floor(F.coalesce("g.gap_ms", F.lit(0)) / DAY_MS).alias("gap_days"), F.col("g.gap_from").alias("gap_from"), (-F.col("g.m")).alias("gap_to"))
+    return gaps_of(folded(plays))
 
 
-def days_to_nth(plays: DataFrame, counts: tuple[int, ...] = (50, 100)) -> DataFrame:
+def days_to(folds: DataFrame, counts: tuple[int, ...]) -> list[Column]:
     """Whole days from the first to the n-th play; null with fewer plays."""
-    numbered = plays.withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("ts_ms")))
-    nth = [F.floor((F.max(F.when(F.col("rn") == n, F.col("ts_ms"))) - F.min("ts_ms")) / DAY_MS).alias(f"days_to_{n}") for n in counts]
-    return numbered.groupBy("id").agg(*nth)
+    return [F.floor((F.col(f"nth_{n}") - F.col("first_ts")) / DAY_MS).alias(f"days_to_{n}") for n in counts]
+
+
+def days_to_nth(plays: DataFrame, counts: tuple[int, ...] = (50, 100)) -> DataFrame:
+    folds = folded(plays, (), counts)
+    return folds.select("id", *days_to(folds, counts))
 
 
 def milestones(plays: DataFrame, counts: tuple[int, ...]) -> DataFrame:
@@ -58,12 +102,16 @@ def month_number(ym):
     return F.substring(ym, 1, 4).cast("int") * 12 + F.substring(ym, 6, 2).cast("int")
 
 
-def monthly_run(plays: DataFrame) -> DataFrame:
-    """(id, longest_run): most calendar months in a row with a fifth of the best month's plays, two at least."""
-    months = plays.groupBy("id", "ym").agg(F.count(F.lit(1)).alias("n")).withColumn("peak", F.max("n").over(Window.partitionBy("id")))
-    strong = months.filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("peak") * 0.2)))
+def longest_monthly_run(months: DataFrame) -> DataFrame:
+    """(id, longest_run) from counts (id, ym, n): most calendar months in a row with a fifth of the best month's plays, two at least."""
+    strong = months.withColumn("peak", F.max("n").over(Window.partitionBy("id"))).filter(F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("peak") * 0.2)))
     island = month_number(F.col("ym")) - F.row_number().over(Window.partitionBy("id").orderBy("ym"))
-    runs = strong.withColumn("island", island).groupBy("id", "island").agg(F.count(F.lit(1)).alias("run")).groupBy("id").agg(F.max("run").alias("longest_run"))
+    return strong.withColumn("island", island).groupBy("id", "island").agg(F.count(F.lit(1)).alias("run")).groupBy("id").agg(F.max("run").alias("longest_run"))
+
+
+def monthly_run(plays: DataFrame) -> DataFrame:
+    """(id, longest_run) of all entities, 0 for those without a strong month."""
+    runs = longest_monthly_run(plays.groupBy("id", "ym").agg(F.count(F.lit(1)).alias("n")))
     return plays.select("id").distinct().join(runs, "id", "left").select("id", F.coalesce("longest_run", F.lit(0)).alias("longest_run"))
 
 
