@@ -27,6 +27,11 @@ def plays_by_year(events: DataFrame, kind: str, s: Settings = DEFAULTS) -> DataF
     return p.visible(events, s).filter(F.col(key).isNotNull()).groupBy(key, "year").agg(p.count_if(p.qualifying(s)).alias("n"))
 
 
+def all_plays_by_year(events: DataFrame, key: str, s: Settings = DEFAULTS) -> DataFrame:
+    """Visible plays of any length of each key and year."""
+    return p.visible(events, s).groupBy(key, "year").agg(F.count(F.lit(1)).alias("n"))
+
+
 def peak_year(events: DataFrame, kind: str, s: Settings = DEFAULTS) -> DataFrame:
     key = KEYS[kind]
     best = first_of(plays_by_year(events, kind, s), key, F.desc("n"), "year")
@@ -51,7 +56,11 @@ def rank_in_year(events: DataFrame, kind: str, s: Settings = DEFAULTS) -> DataFr
     A rank is one more than the entities with a larger count, so it comes from a histogram of counts: a row per year and
     distinct count, which is about the square root of a year's plays at most, and no task holds all entities of a year.
     """
-    yearly = plays_by_year(events, kind, s)
+    return ranks_of(plays_by_year(events, kind, s))
+
+
+def ranks_of(yearly: DataFrame) -> DataFrame:
+    """Rows of an entity, year and count n with ``rank_in_year``."""
     larger = F.sum("entities").over(Window.partitionBy("year").orderBy(F.desc("n")).rowsBetween(Window.unboundedPreceding, -1))
     ranks = yearly.groupBy("year", "n").agg(F.count(F.lit(1)).alias("entities")).withColumn("rank_in_year", 1 + F.coalesce(larger, F.lit(0)))
     return yearly.join(ranks.drop("entities"), ["year", "n"]).select(*yearly.columns, "rank_in_year")

@@ -86,13 +86,25 @@ def lost_favourites(events: DataFrame, now: int, s: Settings = DEFAULTS, stats:
     return rows.withColumn("score", F.when(open_, c.tenths(100 * total)).otherwise(0.0))
 
 
-def graveyard(events: DataFrame, kind: str, now: int, s: Settings = DEFAULTS) -> DataFrame:
-    """Entities once played a lot and not for years, with their rank in their best year."""
-    key = rollups.KEYS[kind]
-    least = s.graveyard_least_plays[kind]
-    stats = rollups.stats(events, kind, now, s).filter((F.col("q_plays") >= least) & (F.col("last_ts") <= now - s.graveyard_days * DAY_MS) & (F.col("recent_plays") <= s.graveyard_most_recent))
-    best = peaks.album_peak(events, s).select(key, "peak_year") if kind == "album" else peaks.peak_year(events, kind, s).select(key, "peak_year")
-    ranks = peaks.rank_in_year(events, kind, s).select(key, F.col("year").alias("peak_year"), F.col("rank_in_year").alias("rank_at_peak"))
-    rows = stats.join(best, key, "left").join(ranks, [key, "peak_year"], "left")
+def graveyard_of(stats: DataFrame, yearly: DataFrame, kind: str, now: int, s: Settings = DEFAULTS, album_months: DataFrame | None = None) -> DataFrame:
+    """Entities once played a lot and not for years, with their rank in their best year.
+
+    ``stats`` has each entity's numbers, ``yearly`` its qualifying plays n by year, ``album_months`` those of albums by month.
+    """
+    key, least = rollups.KEYS[kind], s.graveyard_least_plays[kind]
+    rows = stats.filter((F.col("q_plays") >= least) & (F.col("last_ts") <= now - s.graveyard_days * DAY_MS) & (F.col("recent_plays") <= s.graveyard_most_recent))
+    if album_months is None:
+        best = peaks.first_of(yearly, key, F.desc("n"), "year").select(key, F.col("year").alias("peak_year"))
+    else:
+        # an album's best year is that of its best month
+        best = peaks.first_of(album_months, key, F.desc("q_plays"), "ym").select(key, F.substring("ym", 1, 4).cast("int").alias("peak_year"))
+    ranks = peaks.ranks_of(yearly).select(key, F.col("year").alias("peak_year"), F.col("rank_in_year").alias("rank_at_peak"))
+    rows = rows.join(best, key, "left").join(ranks, [key, "peak_year"], "left")
     days = F.floor((F.lit(now) - F.col("last_ts")) / DAY_MS)
     return rows.select(F.lit(kind).alias("kind"), F.col(key).alias("id"), "q_plays", "last_ts", days.alias("days_missing"), "peak_year", F.col("rank_at_peak").cast("long").alias("rank_at_peak"), c.graveyard(F.col("q_plays"), days, F.col("rank_at_peak"), least).alias("score"))
+
+
+def graveyard(events: DataFrame, kind: str, now: int, s: Settings = DEFAULTS) -> DataFrame:
+    """The same from events."""
+    months = rollups.monthly(events, "album", s) if kind == "album" else None
+    return graveyard_of(rollups.stats(events, kind, now, s), peaks.plays_by_year(events, kind, s), kind, now, s, months)

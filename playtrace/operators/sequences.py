@@ -122,8 +122,13 @@ def daily_streak(days: DataFrame) -> DataFrame:
     return runs.orderBy(F.desc("days"), "from_date").limit(1).drop("island")
 
 
-def comebacks(plays: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
-    """Entities whose longest silence was long and was followed by enough plays, the returning one included."""
-    gaps = longest_gap(plays).filter(F.col("gap_days") >= s.comeback_gap_days)
-    after = plays.join(gaps, "id").filter((F.col("ts_ms") >= F.col("gap_to")) & (F.col("ts_ms") <= F.col("gap_to") + s.comeback_window_days * DAY_MS))
+def comebacks_after(plays: DataFrame, gaps: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """Entities whose longest silence (``gaps``) was long and was followed by enough plays, the returning one included."""
+    long = gaps.filter(F.col("gap_days") >= s.comeback_gap_days).select("id", "gap_days", "gap_from", "gap_to")
+    after = plays.select("id", "ts_ms").join(long, "id").filter((F.col("ts_ms") >= F.col("gap_to")) & (F.col("ts_ms") <= F.col("gap_to") + s.comeback_window_days * DAY_MS))
     return after.groupBy("id", "gap_days", "gap_from", "gap_to").agg(F.count(F.lit(1)).alias("plays_after")).filter(F.col("plays_after") >= s.comeback_least_plays)
+
+
+def comebacks(plays: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """The same from plays alone."""
+    return comebacks_after(plays, longest_gap(plays), s)

@@ -73,15 +73,14 @@ def session_averages(sessions: DataFrame) -> DataFrame:
     return sessions.agg(F.count(F.lit(1)).alias("sessions"), F.coalesce(F.avg("events"), F.lit(0.0)).alias("mean_events"), F.coalesce(F.avg("ms_played"), F.lit(0.0)).alias("mean_ms"))
 
 
-#: Orders of the session list, each ending in a unique key.
+#: Orders of the session list, all descending; the session's start and number settle what is left.
 SORTS = {
-    "recent": ("start_ts", False), "longest": ("ms_played", False), "most": ("events", False), "diverse": ("diversity", False), "repetitive": ("max_repeats", False),
+    "recent": ("start_ts",), "longest": ("ms_played",), "most": ("events",), "diverse": ("diversity", "artists"), "repetitive": ("max_repeats", "events"),
 }
 
 
 def session_list(sessions: DataFrame, sort: str, limit: int, offset: int = 0, by: str | None = "listener") -> DataFrame:
     """A page of sessions; ``by`` names the column within which sessions are numbered, and settles ties."""
-    column, ascending = SORTS[sort]
     least = 6 if sort in ("diverse", "repetitive") else 2
-    order = F.col(column).asc() if ascending else F.col(column).desc()
-    return sessions.filter(F.col("events") >= least).orderBy(order, "start_ts", "session", *([by] if by else [])).offset(offset).limit(limit)
+    order = [F.desc(c) for c in SORTS[sort]]
+    return sessions.filter(F.col("events") >= least).orderBy(*order, "start_ts", "session", *([by] if by else [])).offset(offset).limit(limit)

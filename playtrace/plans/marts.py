@@ -1,37 +1,179 @@
-"""The analytics rebuild: events and every mart written once to a folder, so that pages read small tables.
+"""The archive: events and folds by month, marts over them, and a manifest that says which of them belong together.
 
-Events lie by year, each file a range of time, so that a page of a year or a month reads those files only. Marts of the first
-group are computed from the written events; those of the second also read marts of the first.
+Events and their folds (counts by track and date, by track and hour) lie by year, month and version. A mart is derived from
+the folds, not from the events; only what depends on the order of plays or on instants reads events. So an import that
+touches a few months writes those months anew, folds them, and derives the marts from small tables, while sequence measures are
+computed again for the entities that it touched. Nothing is overwritten: new months and marts have a version of their own,
+and readers see them once a manifest with the next number is in place. A reader keeps the version that it opened.
 """
 
 from __future__ import annotations
 
+import hashlib
+import json
+import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass, field
+from functools import reduce
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from playtrace.config import DEFAULTS, Settings
+import playtrace
+from playtrace.config import DAY_MS, DEFAULTS, Settings
 from playtrace.functions import predicates as p
-from playtrace.operators import peaks, rollups, scores, sequences
+from playtrace.operators import peaks, rollups, scores, sequences, sessions
+from playtrace.shared import discard, written
+from playtrace.sources import history
+
+#: Tables that lie by month.
+MONTHLY = ("events", "by_day", "by_hour")
+
+
+def engine() -> str:
+    """A name for the code that builds marts: other code, other marts."""
+    root = Path(playtrace.__file__).parent
+    files = [x for part in ("config.py", "functions", "operators", "plans", "sources") for x in sorted([root / part] if part.endswith(".py") else (root / part).glob("*.py"))]
+    return hashlib.sha256(b"".join(x.read_bytes() for x in files)).hexdigest()[:16]
+
+
+@dataclass(frozen=True)
+class Manifest:
+    """What belongs together: the version of each month, that of the marts, and what they were made from."""
+
+    number: int = 0
+    months: dict = field(default_factory=dict)
+    marts: str = ""
+    schemas: dict = field(default_factory=dict)
+    engine: str = ""
+    source: str = ""
+    settings: dict = field(default_factory=dict)
+    clocks: tuple = (0, 0)
+    made_ms: int = 0
 
 
 @dataclass(frozen=True)
 class Archive:
-    """A folder of written events and marts."""
+    """A folder of months and marts, read as one manifest names them."""
 
     spark: SparkSession
     folder: str
+    manifest: Manifest
 
     def table(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.folder}/{name}")
+        return self.spark.read.parquet(f"{self.folder}/marts/{self.manifest.marts}/{name}")
+
+    def by_month(self, name: str, months: set[str] | None = None) -> DataFrame:
+        """A table that lies by month; Spark reads only the folders of the manifest's versions."""
+        versions: dict[str, list[str]] = {}
+        for ym, version in sorted(self.manifest.months.items()):
+            if months is None or ym in months:
+                versions.setdefault(version, []).append(ym)
+        known = reduce(lambda a, b: a | b, [(F.col("version") == v) & F.col("ym").isin(yms) for v, yms in versions.items()], F.lit(False))
+        schema = T.StructType.fromJson(json.loads(self.manifest.schemas[name]))
+        return self.spark.read.schema(schema.add("version", "string")).parquet(f"{self.folder}/{name}").filter(known).drop("version")
 
     @property
     def events(self) -> DataFrame:
-        """By year. The schema comes from a table without rows, since no events leave no file to infer it from."""
-        return self.spark.read.schema(self.table("events_shape").schema).parquet(f"{self.folder}/events")
+        return self.by_month("events")
+
+
+def _files(spark: SparkSession, path: str):
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where, where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def manifests(spark: SparkSession, folder: str) -> list[int]:
+    where, files = _files(spark, f"{folder}/manifests")
+    names = [x.getPath().getName() for x in files.listStatus(where)] if files.exists(where) else []
+    return sorted(int(x[:-5]) for x in names if x.endswith(".json") and x[:-5].isdigit())
+
+
+def opened(spark: SparkSession, folder: str) -> Archive | None:
+    """The archive as its last manifest names it; None where there is none."""
+    numbers = manifests(spark, folder)
+    if not numbers:
+        return None
+    text = spark.read.text(f"{folder}/manifests/{numbers[-1]:08d}.json", wholetext=True).first()[0]
+    held = json.loads(text)
+    return Archive(spark, folder, Manifest(**held | {"clocks": tuple(held["clocks"])}))
+
+
+def _publish(spark: SparkSession, folder: str, manifest: Manifest) -> Archive:
+    """Put a manifest in place by a rename, which readers see whole or not at all; fails if another has its number."""
+    where, files = _files(spark, f"{folder}/manifests/{manifest.number:08d}.json")
+    draft, _ = _files(spark, f"{folder}/manifests/.{uuid.uuid4().hex}")
+    out = files.create(draft, False)
+    out.write(bytearray(json.dumps(asdict(manifest)).encode()))
+    out.close()
+    if files.exists(where) or not files.rename(draft, where):
+        files.delete(draft, False)
+        raise RuntimeError(f"another rebuild has published {where}")
+    return Archive(spark, folder, manifest)
+
+
+def stale(archive: Archive | None, source: str, lost_now: int, graveyard_now: int, s: Settings = DEFAULTS) -> bool:
+    """Whether marts must be made anew: other code, settings, clocks or sources, or none yet."""
+    m = archive and archive.manifest
+    return not m or (m.engine, m.source, m.settings, tuple(m.clocks)) != (engine(), source, json.loads(json.dumps(asdict(s))), (lost_now, graveyard_now))
+
+
+# ---- folds: what marts need of a month
+
+
+def by_day(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    return events.groupBy("year", "ym", "local_date", "track_id", "artist_id", "album_id", "incognito").agg(
+        F.count(F.lit(1)).alias("plays"), p.count_if(p.qualifying(s)).alias("q_plays"), F.sum(p.skip(s)).alias("skips"), F.sum("ms_played").alias("ms_played"), p.count_if(p.night()).alias("night_plays"), F.min("ts_ms").alias("first_ts"), F.max("ts_ms").alias("last_ts"),
+    )
+
+
+def by_hour(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    return events.groupBy("year", "ym", "track_id", "hour", "dow", "incognito").agg(F.count(F.lit(1)).alias("plays"), p.count_if(p.qualifying(s)).alias("q_plays"), F.sum("ms_played").alias("ms_played"))
+
+
+_SUMS = ("plays", "q_plays", "skips", "ms_played")
+
+
+def _sums(*columns: str):
+    return [F.sum(c).alias(c) for c in columns]
+
+
+def _span():
+    return [F.min("first_ts").alias("first_ts"), F.max("last_ts").alias("last_ts")]
+
+
+def recents(events: DataFrame, kind: str, now: int, s: Settings = DEFAULTS) -> DataFrame:
+    """(key, recent_plays): qualifying plays of the last days before ``now``; only the months they lie in are read."""
+    key, since = rollups.KEYS[kind], now - s.recent_days * DAY_MS
+    # a zone shifts a month's edge by a day at most
+    first = time.strftime("%Y-%m", time.gmtime((since - DAY_MS) / 1000))
+    late = p.visible(events.filter(F.col("ym") >= first), s).filter(p.recent(now, s) & F.col(key).isNotNull())
+    return late.groupBy(key).agg(F.count(F.lit(1)).alias("recent_plays"))
+
+
+def track_stats(days: DataFrame, recent: DataFrame) -> DataFrame:
+    dates = days.groupBy("track_id", "local_date", "ym").agg(*_sums(*_SUMS), *_span())
+    rows = dates.groupBy("track_id").agg(*_sums(*_SUMS), *_span(), F.count("local_date").alias("distinct_days"), F.countDistinct("ym").alias("active_months"))
+    rows = rows.withColumn("short_plays", F.col("plays") - F.col("q_plays")).join(recent, "track_id", "left").fillna(0, ["recent_plays"])
+    return rows.select("track_id", "plays", "q_plays", "short_plays", "skips", "ms_played", "first_ts", "last_ts", "distinct_days", "active_months", "recent_plays")
+
+
+def artist_stats(days: DataFrame, recent: DataFrame) -> DataFrame:
+    rows = days.groupBy("artist_id").agg(*_sums(*_SUMS), *_span(), F.countDistinct("track_id").alias("tracks"), F.countDistinct("album_id").alias("albums"), F.countDistinct("local_date").alias("distinct_days"), *_sums("night_plays"))
+    rows = rows.join(recent, "artist_id", "left").fillna(0, ["recent_plays"])
+    return rows.select("artist_id", *_SUMS, "first_ts", "last_ts", "tracks", "albums", "distinct_days", "recent_plays", "night_plays")
+
+
+def album_stats(days: DataFrame, recent: DataFrame) -> DataFrame:
+    rows = days.filter("album_id IS NOT NULL").groupBy("album_id").agg(*_sums(*_SUMS), *_span(), F.countDistinct("track_id").alias("tracks"))
+    return rows.join(recent, "album_id", "left").fillna(0, ["recent_plays"]).select("album_id", *_SUMS, "first_ts", "last_ts", "tracks", "recent_plays")
+
+
+_STATS = {"track": track_stats, "artist": artist_stats, "album": album_stats}
 
 
 def owned(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
@@ -39,31 +181,144 @@ def owned(events: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
     return p.visible(events, s).groupBy("artist_id", "track_id").agg(p.count_if(p.qualifying(s)).alias("q_plays"))
 
 
-def rebuild(events: DataFrame, folder: str, lost_now: int, graveyard_now: int, s: Settings = DEFAULTS, at_once: int = 4) -> Archive:
-    """Write ``events`` and all marts below ``folder``; at most ``at_once`` marts are built side by side.
+def derived(a: Archive, put: Callable[[str, DataFrame], None], sequence: Callable[[str], DataFrame], s: Settings, at_once: int) -> None:
+    """Write every mart of an archive whose months are written. ``sequence`` gives the sequence fold of a kind."""
+    lost_now, graveyard_now = a.manifest.clocks
+    all_days, hours, events = a.by_month("by_day"), a.by_month("by_hour"), a.events
+    days = p.visible(all_days, s)
 
-    An empty table gives empty marts. A rebuild over an older one replaces it table by table.
-    """
-    archive = Archive(events.sparkSession, folder)
-
-    def put(name: str, df: DataFrame, *by: str) -> None:
-        df.write.mode("overwrite").option("compression", "zstd").partitionBy(*by).parquet(f"{folder}/{name}")
-
-    put("events_shape", events.limit(0))
-    put("events", events.repartitionByRange("ts_ms").sortWithinPartitions("ts_ms"), "year")
-    e = archive.events
-    first: dict[str, Callable[[], DataFrame]] = {
-        "tracks": lambda: rollups.track_stats(e, lost_now, s), "artists": lambda: rollups.artist_stats(e, lost_now, s), "albums": lambda: rollups.album_stats(e, lost_now, s),
-        "days": lambda: rollups.daily(e, s), "years": lambda: rollups.yearly(e, s), "monthly_track": lambda: rollups.monthly(e, "track", s), "monthly_artist": lambda: rollups.monthly(e, "artist", s),
-        "owned": lambda: owned(e, s), "track_album": lambda: peaks.canonical_album(e), "track_gaps": lambda: sequences.longest_gap(sequences.qualifying_plays(e, "track", s)),
-        **{f"obsessions_{k}": lambda k=k: scores.obsessions(e, k, s) for k in rollups.KEYS}, **{f"graveyard_{k}": lambda k=k: scores.graveyard(e, k, graveyard_now, s) for k in rollups.KEYS},
+    def monthly(kind: str) -> DataFrame:
+        key = rollups.KEYS[kind]
+        return days.filter(F.col(key).isNotNull()).groupBy(key, "ym").agg(*_sums("plays", "q_plays", "ms_played"))
+
+    def gone(kind: str) -> DataFrame:
+        key = rollups.KEYS[kind]
+        recent = recents(events, kind, graveyard_now, s)
+        stats = a.table(f"{kind}s").drop("recent_plays").join(recent, key, "left").fillna(0, ["recent_plays"])
+        months = a.table(f"monthly_{kind}")
+        yearly = months.groupBy(key, F.substring("ym", 1, 4).cast("int").alias("year")).agg(F.sum("q_plays").alias("n"))
+        return scores.graveyard_of(stats, yearly, kind, graveyard_now, s, months if kind == "album" else None)
+
+    def obsessed(kind: str) -> DataFrame:
+        months = a.table(f"monthly_{kind}").filter("q_plays > 0").select(F.col(rollups.KEYS[kind]).alias("id"), "ym", F.col("q_plays").alias("n"))
+        return scores.obsessions(events, kind, s, fold=a.table(f"sequence_{kind}"), months=months)
+
+    def peak_month(kind: str) -> DataFrame:
+        key = rollups.KEYS[kind]
+        best = peaks.first_of(a.table(f"monthly_{kind}"), key, F.desc("q_plays"), F.desc("plays"), "ym")
+        return best.select(key, F.col("ym").alias("peak_ym"), F.col("q_plays").alias("peak_ym_plays"))
+
+    held = all_days.filter("album_id IS NOT NULL")
+    first = {
+        **{f"{k}s": lambda k=k: _STATS[k](days, recents(events, k, lost_now, s)) for k in _STATS}, **{f"monthly_{k}": lambda k=k: monthly(k) for k in _STATS}, **{f"sequence_{k}": lambda k=k: sequence(k) for k in _STATS},
+        "days": lambda: days.groupBy("local_date").agg(*_sums("plays", "q_plays", "ms_played"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"), *_span()),
+        "years": lambda: days.groupBy("year").agg(*_sums("plays", "q_plays", "ms_played"), F.countDistinct("track_id").alias("tracks"), F.countDistinct("artist_id").alias("artists"), F.countDistinct("album_id").alias("albums"), F.countDistinct("local_date").alias("distinct_days")),
+        "owned": lambda: days.groupBy("artist_id", "track_id").agg(*_sums("plays", "q_plays")),
+        "track_album": lambda: peaks.first_of(held.groupBy("track_id", "album_id").agg(*_sums("plays")), "track_id", F.desc("plays"), "album_id"),
+        "album_tracks": lambda: held.groupBy("album_id", "track_id").agg(*_sums("plays", "q_plays", "ms_played")),
+        "album_months": lambda: held.groupBy("album_id", "ym").agg(*_sums("plays", "q_plays", "ms_played")),
+        "track_hours": lambda: hours.groupBy("track_id", "hour").agg(*_sums("plays", "q_plays", "ms_played")),
+        "hours": lambda: p.visible(hours, s).groupBy("hour", "dow").agg(*_sums("plays", "ms_played")),
+        "played_years": lambda: reduce(DataFrame.unionByName, [all_days.filter(F.col(c).isNotNull()).select(F.lit(k).alias("kind"), F.col(c).cast("string").alias("id"), "year").distinct() for k, c in rollups.KEYS.items()]),
+        "sessions": lambda: sessions.across_listeners(events, s=s),
     }
-    second: dict[str, Callable[[], DataFrame]] = {
-        "track_peak_month": lambda: peaks.first_of(archive.table("monthly_track"), "track_id", F.desc("q_plays"), F.desc("plays"), "ym").select("track_id", F.col("ym").alias("peak_ym"), F.col("q_plays").alias("peak_ym_plays")),
-        "lost": lambda: scores.lost_favourites(e, lost_now, s, archive.table("tracks"), archive.table("track_gaps")),
+    second = {
+        **{f"obsessions_{k}": lambda k=k: obsessed(k) for k in _STATS}, **{f"graveyard_{k}": lambda k=k: gone(k) for k in _STATS}, **{f"{k}_peak_month": lambda k=k: peak_month(k) for k in ("track", "artist")},
+        "lost": lambda: scores.lost_favourites(events, lost_now, s, a.table("tracks"), a.table("sequence_track")),
     }
     with ThreadPoolExecutor(at_once) as pool:
         for group in (first, second):
             for done in [pool.submit(lambda n=name, f=make: put(n, f())) for name, make in group.items()]:
                 done.result()
-    return archive
+
+
+def search_attributes(a: Archive, flags: DataFrame, tagged: DataFrame) -> DataFrame:
+    """(kind, id, ...) of what search filters and ranks by: numbers of tracks, artists and albums, the years they were played in,
+    and of tracks the score as lost favourite, flags (id, favorite, retired) and tags (id, tag)."""
+    none = F.lit(None).cast("double").alias("lost_score")
+    parts = []
+    for kind, key in rollups.KEYS.items():
+        rows = a.table(f"{kind}s").select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id"), F.col("q_plays").alias("plays"), "ms_played", "first_ts", "last_ts")
+        if kind == "track":
+            rows = rows.join(a.table("lost").select(F.col("id").cast("string").alias("id"), F.col("score").alias("lost_score")), "id", "left").join(flags, "id", "left")
+            rows = rows.join(tagged.groupBy("id").agg(F.collect_set("tag").alias("tags")), "id", "left")
+        else:
+            rows = rows.select("*", none, F.lit(None).cast("boolean").alias("favorite"), F.lit(None).cast("boolean").alias("retired"), F.lit(None).cast("array<string>").alias("tags"))
+        parts.append(rows)
+    # a row per entity and year; the calendar bounds the years of one
+    years = a.table("played_years").groupBy("kind", "id").agg(F.collect_set("year").alias("years"))
+    return years.join(reduce(DataFrame.unionByName, parts), ["kind", "id"], "full")
+
+
+def _write_months(events: DataFrame, folder: str, version: str, s: Settings) -> dict[str, str]:
+    """Write whole months under a version, and their folds. The schemas of the three tables."""
+    spark, schemas = events.sparkSession, {}
+
+    def put(name: str, df: DataFrame) -> None:
+        parts = ["year", "ym"]
+        df = df.select(*[c for c in df.columns if c not in parts], *parts)
+        schemas[name] = df.schema.json()
+        df.withColumn("version", F.lit(version)).write.mode("append").option("compression", "zstd").partitionBy(*parts, "version").parquet(f"{folder}/{name}")
+
+    put("events", events.repartitionByRange("ts_ms").sortWithinPartitions("ts_ms"))
+    back = spark.read.schema(T.StructType.fromJson(json.loads(schemas["events"])).add("version", "string")).parquet(f"{folder}/events").filter(F.col("version") == version).drop("version")
+    put("by_day", by_day(back, s))
+    put("by_hour", by_hour(back, s))
+    return schemas
+
+
+def _months(rows: DataFrame) -> list[str]:
+    """The calendar bounds their number."""
+    return sorted(r.ym for r in rows.select("ym").distinct().collect())
+
+
+def _with_marts(a: Archive, sequence: Callable[[str], DataFrame], s: Settings, at_once: int) -> Archive:
+    def put(name: str, df: DataFrame) -> None:
+        df.write.option("compression", "zstd").parquet(f"{a.folder}/marts/{a.manifest.marts}/{name}")
+
+    derived(a, put, sequence, s, at_once)
+    return _publish(a.spark, a.folder, a.manifest)
+
+
+def rebuild(events: DataFrame, folder: str, lost_now: int, graveyard_now: int, s: Settings = DEFAULTS, at_once: int = 4, source: str = "") -> Archive:
+    """Write ``events``, their folds and all marts below ``folder``; at most ``at_once`` marts are built side by side.
+
+    An empty table gives empty marts. Readers of an older version go on reading it.
+    """
+    spark, version = events.sparkSession, uuid.uuid4().hex
+    schemas = _write_months(events, folder, version, s)
+    number = (manifests(spark, folder) or [0])[-1] + 1
+    months = {ym: version for ym in _months(spark.read.schema(T.StructType.fromJson(json.loads(schemas["by_day"])).add("version", "string")).parquet(f"{folder}/by_day").filter(F.col("version") == version))}
+    a = Archive(spark, folder, Manifest(number, months, version, schemas, engine(), source, json.loads(json.dumps(asdict(s))), (lost_now, graveyard_now), int(time.time() * 1000)))
+    return _with_marts(a, lambda kind: scores.folds(a.events, kind, s), s, at_once)
+
+
+def updated(a: Archive, new: DataFrame, identity: list[str], order: list[str] | None = None, s: Settings = DEFAULTS, at_once: int = 4) -> Archive:
+    """Add the events of ``new`` that the archive doesn't have: only the months that they lie in are written and folded again.
+
+    Lifetime marts come from the folds of all months. Sequence measures are computed again for entities that have a new event
+    and kept for all others. The result's marts equal those of a full rebuild. Nothing new leaves the archive as it is.
+    """
+    touched = set(_months(new))
+    old = a.by_month("events", touched)
+    added = written(history.merged(new, old, identity, order or identity), "added")
+    months = set(_months(added))
+    if not months:
+        discard(added)
+        return a
+    version = uuid.uuid4().hex
+    whole = a.by_month("events", months)
+    schemas = _write_months(whole.unionByName(added.select(*whole.columns)), a.folder, version, s)
+    fresh = Manifest(a.manifest.number + 1, a.manifest.months | {ym: version for ym in months}, version, schemas, engine(), a.manifest.source, json.loads(json.dumps(asdict(s))), a.manifest.clocks, int(time.time() * 1000))
+    b = Archive(a.spark, a.folder, fresh)
+
+    def sequence(kind: str) -> DataFrame:
+        key = rollups.KEYS[kind]
+        ids = added.select(F.col(key).alias("id")).filter("id IS NOT NULL").distinct()
+        again = b.events.join(ids.withColumnRenamed("id", key), key, "left_semi")
+        kept = a.table(f"sequence_{kind}").join(ids, "id", "left_anti")
+        return kept.unionByName(scores.folds(again, kind, s))
+
+    out = _with_marts(b, sequence, s, at_once)
+    discard(added)
+    return out

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from playtrace.config import DAY_MS, DEFAULTS, Settings
 from playtrace.functions import predicates as p
+from playtrace.operators import peaks, sequences
 from playtrace.operators.rollups import KEYS
 from playtrace.plans.marts import Archive
 
@@ -68,11 +69,66 @@ def day_sessions(sessions: DataFrame, date: str) -> DataFrame:
 def track_points(a: Archive, track: int) -> DataFrame:
     """(unit, at, plays, q_plays, ms_played) of a track by month, by year and by hour of the day; hours count private plays too."""
     months = a.table("monthly_track").filter(F.col("track_id") == track)
-    hours = a.events.filter(F.col("track_id") == track).select(F.lit("hour").alias("unit"), F.format_string("%02d", "hour").alias("at"), F.lit(1).alias("plays"), p.qualifying().cast("int").alias("q_plays"), "ms_played")
+    hours = a.table("track_hours").filter(F.col("track_id") == track).select(F.lit("hour").alias("unit"), F.format_string("%02d", "hour").alias("at"), "plays", "q_plays", "ms_played")
     points = [months.select(F.lit(unit).alias("unit"), F.substring("ym", 1, size).alias("at"), "plays", "q_plays", "ms_played") for unit, size in (("month", 7), ("year", 4))]
     return reduce(DataFrame.unionByName, [*points, hours]).groupBy("unit", "at").agg(*[F.sum(c).alias(c) for c in ("plays", "q_plays", "ms_played")])
 
 
+def milestones(a: Archive, tracks: DataFrame | None = None, s: Settings = DEFAULTS) -> DataFrame:
+    """(track_id, kind, ts_ms, n, days): each track's timeline, from detectors that look at different marts.
+
+    first-heard; play-count (the n-th qualifying play, ``days`` after the first); peak-month (at its first instant in UTC, with
+    its plays); longest-absence (90 days or more, at its begin); comeback (with plays after it); last-heard. ``tracks`` has the
+    track_ids to look at, by default all. Nth plays are read from all events, private ones too; their number is bounded by the
+    track's visible plays.
+    """
+    none = F.lit(None).cast("long")
+
+    def only(df: DataFrame) -> DataFrame:
+        return df if tracks is None else df.join(tracks.select("track_id"), "track_id", "left_semi")
+
+    def row(kind: str, ts: Column, n: Column = none, days: Column = none) -> list[Column]:
+        return [F.lit(kind).alias("kind"), ts.cast("long").alias("ts_ms"), n.cast("long").alias("n"), days.cast("long").alias("days")]
+
+    stats = only(a.table("tracks"))
+    gaps = only(sequences.gaps_of(a.table("sequence_track")).withColumnRenamed("id", "track_id"))
+    plays = only(a.events.filter(p.qualifying(s)).select("track_id", "ts_ms"))
+    nth = sequences.milestones(plays.withColumnRenamed("track_id", "id"), tuple(n for n in s.milestones if n > 1)).withColumnRenamed("id", "track_id")
+    nth = nth.join(stats.select("track_id", "q_plays", "first_ts"), "track_id").filter("n <= q_plays")
+    peak = only(a.table("track_peak_month"))
+    came = sequences.comebacks_after(plays.withColumnRenamed("track_id", "id"), gaps.withColumnRenamed("track_id", "id"), s).withColumnRenamed("id", "track_id")
+    first_day = F.unix_date(F.to_date(F.concat("peak_ym", F.lit("-01")))).cast("long") * DAY_MS
+    parts = [
+        stats.select("track_id", *row("first-heard", F.col("first_ts"))),
+        nth.select("track_id", *row("play-count", F.col("ts_ms"), F.col("n"), F.floor((F.col("ts_ms") - F.col("first_ts")) / DAY_MS))),
+        peak.select("track_id", *row("peak-month", first_day, F.col("peak_ym_plays"))),
+        gaps.filter("gap_days >= 90").select("track_id", *row("longest-absence", F.col("gap_from"), days=F.col("gap_days"))),
+        came.select("track_id", *row("comeback", F.col("gap_to"), F.col("plays_after"), F.col("gap_days"))),
+        stats.select("track_id", *row("last-heard", F.col("last_ts"))),
+    ]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def artist_insights(a: Archive, s: Settings = DEFAULTS) -> DataFrame:
+    """What stands out about each artist, one row each; nulls where there is no such silence or span.
+
+    A silence of 180 days, with the plays since it ended (a return from five on; private plays count); the shortest span of years
+    with 70 percent of the plays, in percent; whether 40 percent of 40 plays or more are at night; whether one track has 30
+    percent of the plays.
+    """
+    gaps = sequences.gaps_of(a.table("sequence_artist")).filter("gap_days >= 180").select(F.col("id").alias("artist_id"), "gap_days", "gap_to")
+    since = a.events.select("artist_id", "ts_ms").join(gaps.select("artist_id", "gap_to"), "artist_id").filter("ts_ms >= gap_to").groupBy("artist_id").agg(F.count(F.lit(1)).alias("plays_since"))
+    years = a.table("monthly_artist").groupBy("artist_id", F.substring("ym", 1, 4).cast("int").alias("year")).agg(F.sum("plays").alias("n"))
+    spans = peaks.tight_span(years.join(years.groupBy("artist_id").count().filter("count >= 2"), "artist_id", "left_semi"), "artist_id")
+    spans = spans.select("artist_id", "from_year", "to_year", F.floor(100 * F.col("plays") / F.col("total") + 0.5).alias("percent"))
+    best = a.table("owned").groupBy("artist_id").agg(F.max("plays").alias("best"), F.sum("plays").alias("total"))
+    rows = a.table("artists").join(best, "artist_id", "left").join(gaps, "artist_id", "left").join(since, "artist_id", "left").join(spans, "artist_id", "left")
+    return rows.select(
+        "artist_id", "gap_days", "plays_since", F.when(F.col("gap_days").isNotNull(), F.coalesce("plays_since", F.lit(0)) >= 5).alias("returned"), "from_year", "to_year", "percent",
+        ((F.col("plays") >= 40) & (F.col("night_plays") >= 0.4 * F.col("plays"))).alias("nocturnal"), (F.col("best") >= 0.3 * F.col("total")).alias("one_track"), "night_plays", "best",
+    )
+
+
 def artist_lists(a: Archive, artist: int, tracks: int = 12, albums: int = 8) -> DataFrame:
     """(kind, id, value): an artist's tracks by qualifying plays and the albums of those tracks by time."""
     owned = a.table("owned").filter(F.col("artist_id") == artist).select("track_id")
@@ -84,7 +140,7 @@ def artist_lists(a: Archive, artist: int, tracks: int = 12, albums: int = 8) ->
 
 def album_months(a: Archive, album: str) -> DataFrame:
     """An album's months, private plays included, as all pages of one album count them."""
-    return a.events.filter(F.col("album_id") == album).groupBy("ym").agg(F.count(F.lit(1)).alias("plays"), F.sum("ms_played").alias("ms_played"))
+    return a.table("album_months").filter(F.col("album_id") == album).select("ym", "plays", "q_plays", "ms_played")
 
 
 def lost_page(a: Archive, names: DataFrame, which: str, now: int, text: str = "", limit: int = 50, offset: int = 0, s: Settings = DEFAULTS) -> DataFrame:

@@ -173,6 +173,18 @@ _RULED = [*LOST, _by_year("track_id"), """ruled AS (SELECT l.*, p_brand AS artis
   FROM lost l JOIN part ON p_partkey = l.id LEFT JOIN (SELECT track_id, year AS peak_year FROM y QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY n DESC, year) = 1) b ON b.track_id = l.id)"""]
 _YEAR98 = "year = 1998"
 
+
+
+def _cumulated(key: str) -> str:
+    return f"c AS (SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY year) AS upto, sum(n) OVER (PARTITION BY {key}) AS total, count(*) OVER (PARTITION BY {key}) AS years, row_number() OVER (PARTITION BY {key} ORDER BY year) AS i FROM y)"
+
+
+def _tight(key: str) -> str:
+    return f"""SELECT * FROM (SELECT a.{key}, a.year AS from_year, b.year AS to_year, b.i - a.i + 1 AS span, CAST(b.upto - a.upto + a.n AS BIGINT) AS plays, CAST(a.total AS BIGINT) AS total, a.years
+          FROM c a JOIN c b ON a.{key} = b.{key} AND a.i <= b.i WHERE a.total > 0 AND b.upto - a.upto + a.n >= 0.7::DOUBLE * a.total)
+        QUALIFY row_number() OVER (PARTITION BY {key} ORDER BY span, plays DESC, from_year) = 1 AND span <= greatest(2, ceil(years / 2))"""
+
+
 STATEMENTS: dict[str, str] = {
     "g01_track_stats": _with("FROM tracks", TRACKS),
     "g02_artist_stats": _with("FROM artists", ARTISTS),
@@ -224,12 +236,7 @@ STATEMENTS: dict[str, str] = {
     "w16_diversified": _with(
         "SELECT row_number() OVER (ORDER BY w > 2, score DESC, q_plays DESC, id) AS position, id, artist_id, score FROM (SELECT *, row_number() OVER (PARTITION BY artist_id ORDER BY score DESC, q_plays DESC, id) AS w FROM (SELECT * FROM lost WHERE score >= 30 ORDER BY score DESC, q_plays DESC, id LIMIT 200) JOIN (SELECT DISTINCT track_id AS t, artist_id FROM a) ON t = id)", *LOST
     ),
-    "w17_year_span": _with(
-        """SELECT track_id, from_year, to_year, span, plays, total FROM (SELECT a.track_id, a.year AS from_year, b.year AS to_year, b.i - a.i + 1 AS span, CAST(b.upto - a.upto + a.n AS BIGINT) AS plays, CAST(a.total AS BIGINT) AS total, a.years
-          FROM c a JOIN c b ON a.track_id = b.track_id AND a.i <= b.i WHERE a.total > 0 AND b.upto - a.upto + a.n >= 0.7::DOUBLE * a.total)
-        QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY span, plays DESC, from_year) = 1 AND span <= greatest(2, ceil(years / 2))""",
-        _by_year("track_id"), "c AS (SELECT *, sum(n) OVER (PARTITION BY track_id ORDER BY year) AS upto, sum(n) OVER (PARTITION BY track_id) AS total, count(*) OVER (PARTITION BY track_id) AS years, row_number() OVER (PARTITION BY track_id ORDER BY year) AS i FROM y)",
-    ),
+    "w17_year_span": _with(f"SELECT track_id, from_year, to_year, span, plays, total FROM ({_tight('track_id')})", "y AS (SELECT track_id, year, count(*) AS n FROM e GROUP BY ALL)", _cumulated("track_id")),
     "w18_previous_year": _with("SELECT a.year, a.plays, a.ms_played, b.plays AS previous_plays, b.ms_played AS previous_ms FROM years a LEFT JOIN years b ON b.year = a.year - 1", YEARS),
     "q03_sessions_global": _with(
         "SELECT session, min(ts_ms) AS start_ts, max(ts_ms) AS end_ts, count(*) AS events FROM (SELECT *, CAST(sum(fresh) OVER (ORDER BY ts_ms, event_id) AS BIGINT) AS session FROM (SELECT *, coalesce(CAST(ts_ms - lag(ts_ms) OVER (ORDER BY ts_ms, event_id) > 600000 AS INT), 0) AS fresh FROM s)) GROUP BY session"
@@ -263,12 +270,12 @@ STATEMENTS: dict[str, str] = {
     "j08_events_in_sessions": _with(
         "SELECT l.listener AS owner, l.session, count(*) AS events, CAST(sum(CAST(s.listener = l.listener AS INT)) AS BIGINT) AS own FROM (SELECT * FROM sess WHERE events >= 2 ORDER BY ms_played DESC, start_ts, session, listener LIMIT 20) l JOIN s ON s.ts_ms BETWEEN l.start_ts AND l.end_ts GROUP BY ALL", *SESSIONS
     ),
-    "l01_top_tracks": _with("SELECT track_id, q_plays, ms_played FROM tracks ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 50", TRACKS),
+    "l01_top_tracks": _with("SELECT track_id, q_plays, ms_played FROM tracks WHERE q_plays > 0 ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 50", TRACKS),
     "l01_top_tracks_year": _with(f"SELECT track_id, CAST(sum(q) AS BIGINT) AS q_plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM e WHERE {_YEAR98} GROUP BY track_id ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 50"),
-    "l02_top_artists": _with("SELECT artist_id, q_plays, ms_played FROM artists ORDER BY ms_played DESC, artist_id LIMIT 10", ARTISTS),
-    "l03_top_albums": _with("SELECT album_id, q_plays, ms_played FROM albums ORDER BY ms_played DESC, album_id LIMIT 50", ALBUMS),
+    "l02_top_artists": _with("SELECT artist_id, q_plays, ms_played FROM artists WHERE q_plays > 0 ORDER BY ms_played DESC, artist_id LIMIT 10", ARTISTS),
+    "l03_top_albums": _with("SELECT album_id, q_plays, ms_played FROM albums WHERE q_plays > 0 ORDER BY ms_played DESC, album_id LIMIT 50", ALBUMS),
     "r02_yearly_points": _with("SELECT year, plays, q_plays, ms_played FROM years", YEARS),
-    "r10_months": _with("SELECT DISTINCT ym FROM a"),
+    "r10_months": _with("SELECT DISTINCT ym FROM e"),
     "r11_heatmap": _with("SELECT local_date, tracks AS value FROM days WHERE local_date BETWEEN '1998-01-01' AND '1998-12-31'", DAYS),
     "r12_bounds": _with("SELECT min(local_date) AS first_date, max(local_date) AS last_date FROM days", DAYS),
     "r03_rediscovery": _with(
@@ -283,15 +290,37 @@ STATEMENTS: dict[str, str] = {
         YEARS, DAYS, TRACKS,
     ),
     "r07_vanished": _with(
-        f"SELECT track_id, CAST(sum(q) AS BIGINT) AS year_plays, any_value(last_ts) AS last_ts FROM e JOIN (SELECT track_id, max(ts_ms) AS last_ts FROM e GROUP BY track_id) USING (track_id) WHERE year = 2001 AND last_ts >= 978307200000 AND last_ts < 1009843200000 AND last_ts <= {GRAVEYARD_NOW - 365 * DAY_MS} GROUP BY track_id HAVING sum(q) >= 5 ORDER BY year_plays DESC, track_id LIMIT 12"
+        f"SELECT track_id, CAST(sum(q) AS BIGINT) AS year_plays, any_value(last_ts) AS last_ts FROM e JOIN (SELECT track_id, max(ts_ms) AS last_ts FROM e GROUP BY track_id) USING (track_id) WHERE year = 2001 AND last_ts >= 978307200000 AND last_ts < 1009843200000 AND last_ts <= {GRAVEYARD_NOW - 365 * DAY_MS} GROUP BY track_id HAVING sum(q) >= 10 ORDER BY year_plays DESC, track_id LIMIT 12"
     ),
-    "r08_rewind_month": _with("SELECT track_id, CAST(sum(q) AS BIGINT) AS q_plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM a WHERE ym = '1998-05' GROUP BY track_id ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 12"),
+    "r08_rewind_month": _with("SELECT track_id, CAST(sum(q) AS BIGINT) AS q_plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM e WHERE ym = '1998-05' GROUP BY track_id ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 12"),
     "r09_random_month": _with("SELECT ym, q_plays FROM (SELECT *, row_number() OVER (ORDER BY ym) - 1 AS i, count(*) OVER () AS n FROM (SELECT ym, CAST(sum(q) AS BIGINT) AS q_plays FROM e GROUP BY ym HAVING sum(q) >= 20)) WHERE i = 4242 % n"),
     "r13_day_detail": _with("SELECT track_id, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM s WHERE local_date = '2024-01-03' GROUP BY track_id ORDER BY plays DESC, ms_played DESC, track_id LIMIT 20"),
-    "r14_session_detail": _with("SELECT event_id, ts_ms, track_id, ms_played, CASE WHEN artist_id = 'error' THEN 1::BIGINT ELSE 0::BIGINT END AS skip FROM marked WHERE listener = 8 AND session = 3", SESSIONS[0]),
+    "r14_session_detail": _with(
+        "SELECT event_id, ts_ms, track_id, ms_played, CASE WHEN artist_id = 'error' THEN 1::BIGINT ELSE 0::BIGINT END AS skip FROM s WHERE ts_ms BETWEEN (SELECT start_ts FROM base WHERE listener = 8 AND session = 3) AND (SELECT end_ts FROM base WHERE listener = 8 AND session = 3)",
+        *SESSIONS[:2],
+    ),
+    "l07_sessions_diverse": _with(f"SELECT listener, session, {_round('diversity')} AS diversity, artists, max_repeats, events FROM sess WHERE events >= 6 ORDER BY sess.diversity DESC, artists DESC, start_ts, session, listener LIMIT 40", *SESSIONS),
+    "l07_sessions_repetitive": _with(f"SELECT listener, session, {_round('diversity')} AS diversity, artists, max_repeats, events FROM sess WHERE events >= 6 ORDER BY max_repeats DESC, events DESC, start_ts, session, listener LIMIT 40", *SESSIONS),
+    "q09_artist_gaps": _with("FROM gaps", _plays("artist"), GAPS),
+    "r15_milestones": _with(
+        f"""SELECT track_id, 'first-heard' AS kind, first_ts AS ts_ms, NULL::BIGINT AS n, NULL::BIGINT AS days FROM tracks
+        UNION ALL SELECT track_id, 'last-heard', last_ts, NULL, NULL FROM tracks
+        UNION ALL SELECT t.track_id, 'play-count', r.ts_ms, rn, CAST(floor((r.ts_ms - first_ts) / {DAY_MS}.0::DOUBLE) AS BIGINT)
+          FROM (SELECT track_id, ts_ms, row_number() OVER (PARTITION BY track_id ORDER BY ts_ms) AS rn FROM a WHERE q = 1) r JOIN tracks t USING (track_id) WHERE rn IN (10, 25, 50, 100, 250, 500, 1000) AND rn <= t.q_plays
+        UNION ALL SELECT track_id, 'peak-month', epoch_ms(CAST(ym || '-01' AS TIMESTAMP)), n, NULL FROM (
+          SELECT track_id, ym, CAST(sum(q) AS BIGINT) AS n FROM e GROUP BY track_id, ym QUALIFY row_number() OVER (PARTITION BY track_id ORDER BY sum(q) DESC, count(*) DESC, ym) = 1)
+        UNION ALL SELECT id, 'longest-absence', gap_from, NULL, gap_days FROM gaps WHERE gap_days >= 90
+        UNION ALL SELECT * FROM (SELECT id, 'comeback', gap_to, (SELECT count(*) FROM a WHERE a.track_id = gaps.id AND q = 1 AND ts_ms BETWEEN gap_to AND gap_to + {90 * DAY_MS}) AS n, gap_days FROM gaps WHERE gap_days >= 180) WHERE n >= 5""",
+        TRACKS, _plays("track"), GAPS,
+    ),
     "r15_track_detail": _with("SELECT t.*, gap_days, gap_from, gap_to FROM tracks t JOIN gaps ON id = track_id WHERE track_id = 7", TRACKS, _plays("track"), GAPS),
     "r16_insights": _with(
-        "SELECT artist_id, night_plays >= 40 AND night_plays >= 0.4::DOUBLE * plays AS nocturnal, best >= 0.3::DOUBLE * total AS one_track, night_plays, best FROM artists JOIN (SELECT artist_id, max(q_plays) AS best, sum(q_plays) AS total FROM owned GROUP BY artist_id) USING (artist_id)", ARTISTS, OWNED
+        f"""SELECT artist_id, gap_days, plays_since, CASE WHEN gap_days IS NOT NULL THEN coalesce(plays_since, 0) >= 5 END AS returned, from_year, to_year, CAST(floor(100.0::DOUBLE * b.plays / b.total + 0.5) AS BIGINT) AS percent,
+        x.plays >= 40 AND night_plays >= 0.4::DOUBLE * x.plays AS nocturnal, best >= 0.3::DOUBLE * o.total AS one_track, night_plays, best
+        FROM artists x JOIN (SELECT artist_id, max(n) AS best, sum(n) AS total FROM (SELECT artist_id, track_id, count(*) AS n FROM e GROUP BY ALL) GROUP BY artist_id) o USING (artist_id)
+        LEFT JOIN (SELECT id AS artist_id, gap_days, (SELECT count(*) FROM a WHERE a.artist_id = gaps.id AND ts_ms >= gap_to) AS plays_since FROM gaps WHERE gap_days >= 180) USING (artist_id)
+        LEFT JOIN ({_tight("artist_id")}) b USING (artist_id)""",
+        ARTISTS, _plays("artist"), GAPS, "y AS (SELECT *, count(*) OVER (PARTITION BY artist_id) AS held FROM (SELECT artist_id, year, count(*) AS n FROM e GROUP BY ALL) QUALIFY held >= 2)", _cumulated("artist_id"),
     ),
     "r17_album_detail": _with("SELECT track_id, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM a WHERE album_id = 'Brand#2|ECONOMY' GROUP BY track_id ORDER BY plays DESC, track_id LIMIT 25"),
     "r19_library": _with("SELECT track_id, p_name AS name, q_plays FROM tracks JOIN part ON p_partkey = track_id WHERE p_name ILIKE '%RED%' ORDER BY lower(p_name), track_id LIMIT 100", TRACKS),
@@ -299,8 +328,6 @@ STATEMENTS: dict[str, str] = {
     "c02_rules_any": _with(f"SELECT id AS track_id, q_plays FROM ruled WHERE ms_played / 60000.0::DOUBLE > 120 OR coalesce(peak_year, 0) = 1999 OR ({LOST_NOW} - last_ts) / {DAY_MS}.0::DOUBLE >= 900", *_RULED),
     "c03_rules_text": _with("SELECT id AS track_id, q_plays FROM ruled WHERE artist ILIKE '%brand#1%' AND NOT coalesce(tags, '') ILIKE '%RED%' AND lower(album) <> 'economy'", *_RULED),
     "t02_document_tokens": "SELECT token, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(text), '[^\\p{L}\\p{N}]+')) AS token FROM documents) WHERE token <> '' GROUP BY token ORDER BY n DESC, token LIMIT 100",
-    "t03_search_match": """SELECT kind, id FROM (SELECT 'track' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_brand AS body FROM part UNION SELECT DISTINCT 'artist', p_brand, p_brand FROM part)
-      WHERE list_contains(string_split_regex(lower(body), '[^a-z0-9]+'), 'red') AND list_contains(string_split_regex(lower(body), '[^a-z0-9]+'), 'brand') AND len(list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda x: starts_with(x, '1'))) > 0""",
     "s16_dedup": _with("SELECT year, count(*) AS events FROM (SELECT DISTINCT year, ts_ms, artist_id, track_id, ms_played, reason_end FROM a) GROUP BY year"),
     "x01_incremental_merge": _with("SELECT year, count(*) AS events FROM (SELECT DISTINCT year, ts_ms, artist_id, track_id, ms_played, reason_end FROM a WHERE year = 1999) GROUP BY year"),
     "s20_reject_tally": f"SELECT {_STAMP} AS reject_reason, count(*) AS n FROM events WHERE event_id % 7 <> 0 GROUP BY ALL",
@@ -362,12 +389,5 @@ STATEMENTS |= {
         """(SELECT 'track' AS kind, CAST(track_id AS VARCHAR) AS id, q_plays AS value FROM tracks WHERE track_id IN (SELECT track_id FROM owned WHERE artist_id = 2) ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 12)
         UNION ALL (SELECT 'album', album_id, ms_played FROM albums WHERE album_id IN (SELECT album_id FROM held JOIN owned USING (track_id) WHERE artist_id = 2) ORDER BY ms_played DESC, album_id LIMIT 8)""", TRACKS, ALBUMS, OWNED, _CANONICAL
     ),
-    "r17_album_months": _with("SELECT ym, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM a WHERE album_id = 'Brand#2|ECONOMY' GROUP BY ym"),
-    # BM25 with k1 = 1.2 and b = 0.75 for the word "small" and the prefix "ring", doubled and weighted by kind
-    "t04_search_rank": f"""WITH docs AS (SELECT kind, id, list_filter(string_split_regex(lower(body), '[^a-z0-9]+'), lambda x: x <> '') AS words FROM (
-        SELECT 'track' AS kind, CAST(p_partkey AS VARCHAR) AS id, p_name || ' ' || p_brand AS body FROM part UNION ALL SELECT DISTINCT 'artist', p_brand, p_brand FROM part)),
-      counted AS (SELECT kind, id, len(words)::DOUBLE AS length, len(list_filter(words, lambda x: x = 'small'))::DOUBLE AS tf0, len(list_filter(words, lambda x: starts_with(x, 'ring')))::DOUBLE AS tf1 FROM docs),
-      totals AS (SELECT count(*)::DOUBLE AS n, avg(length) AS mean, count(*) FILTER (tf0 > 0)::DOUBLE AS df0, count(*) FILTER (tf1 > 0)::DOUBLE AS df1 FROM counted),
-      scored AS (SELECT kind, id, {" + ".join(f"ln(1 + (n - df{i} + 0.5::DOUBLE) / (df{i} + 0.5::DOUBLE)) * tf{i} * 2.2::DOUBLE / (tf{i} + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * length / mean))" for i in (0, 1))} AS t FROM counted, totals WHERE tf0 > 0 AND tf1 > 0)
-      SELECT kind, id, {_round("t")} AS text_score, {_round("2 * t * CASE kind WHEN 'artist' THEN 1.15::DOUBLE ELSE 1 END")} AS score FROM scored""",
+    "r17_album_months": _with("SELECT ym, count(*) AS plays, CAST(sum(q) AS BIGINT) AS q_plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM a WHERE album_id = 'Brand#2|ECONOMY' GROUP BY ym"),
 }

@@ -8,6 +8,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from playtrace.config import DEFAULTS, Settings
 from playtrace.functions import predicates as p
+from playtrace.plans import marts
 from playtrace.sources import history
 
 
@@ -29,16 +30,36 @@ def daily(stream: DataFrame, s: Settings = DEFAULTS, late: str = "1 day") -> Dat
 
 
 def merge_into(stream: DataFrame, archive: str, checkpoint: str, identity: list[str] = history.IDENTITY, order: list[str] | None = None) -> StreamingQuery:
-    """Append each batch's new identities to the Parquet archive; a batch that runs again adds nothing."""
+    """Append each batch's new identities to the Parquet archive, which lies by ``ym`` where events have it; a batch that runs again adds nothing.
+
+    An identity holds the event's time, so that a batch is compared with the months that it touches and no others are read.
+    """
 
     def batch(rows: DataFrame, _: int) -> None:
         spark = rows.sparkSession
-        try:
-            old = spark.read.parquet(archive)
-        except Exception as missing:  # the first batch finds no archive
-            if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
-                raise
-            old = None
-        history.merged(rows, old, identity, order or ["ts_ms"]).write.mode("append").parquet(archive)
+        parts = ["ym"] if "ym" in rows.columns else []
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(archive)
+        old = None
+        if where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            old = spark.read.schema(rows.schema).parquet(archive)
+            if parts:
+                # the calendar bounds their number
+                old = old.filter(F.col("ym").isin([r.ym for r in rows.select("ym").distinct().collect()]))
+        history.merged(rows, old, identity, order or ["ts_ms"]).write.mode("append").partitionBy(*parts).parquet(archive)
+
+    return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def keep_up(stream: DataFrame, folder: str, checkpoint: str, identity: list[str], order: list[str] | None = None, s: Settings = DEFAULTS) -> StreamingQuery:
+    """Bring the archive at ``folder`` up to date with each batch: its months are folded again, its entities' sequences too.
+
+    A batch that runs again adds nothing, and pages go on reading the version that they opened.
+    """
+
+    def batch(rows: DataFrame, _: int) -> None:
+        held = marts.opened(rows.sparkSession, folder)
+        if held is None:
+            raise ValueError(f"no archive at {folder}")
+        marts.updated(held, rows, identity, order, s)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

@@ -1,14 +1,16 @@
 """The rebuild, ranks from histograms and sessions across listeners against plain versions."""
 
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from playtrace.config import DAY_MS
-from playtrace.operators import peaks, rollups, sessions
+from playtrace.config import DAY_MS, Settings
+from playtrace.operators import peaks, rollups, scores, sequences, sessions
 from playtrace.plans import marts, pages
 from playtrace.sources.testbed import calendar
+from playtrace.streaming import live
 
 SCHEMA = "ts_ms long, track_id long, artist_id long, album_id string, ms_played long, skipped boolean, reason_end string, incognito boolean, listener long"
 
@@ -67,3 +69,123 @@ def test_rebuild_and_pages(spark, tmp_path, rows):
         assert (page.count() == 0 or rows) or page.columns == ["section", "id", "value"]
     with pytest.raises(ValueError):
         pages.lost_page(built, names, "none such", now)
+
+
+MARTS = (
+    "tracks", "artists", "albums", "monthly_track", "monthly_artist", "monthly_album", "sequence_track", "sequence_artist", "sequence_album", "days", "years", "owned", "track_album", "album_tracks", "album_months",
+    "track_hours", "hours", "played_years", "sessions", "obsessions_track", "obsessions_artist", "obsessions_album", "graveyard_track", "graveyard_artist", "graveyard_album", "track_peak_month", "artist_peak_month", "lost",
+)
+IDENTITY = ["ts_ms", "track_id", "artist_id", "ms_played", "listener"]
+LOOSE = Settings(obsession_least_plays={"track": 3, "artist": 3, "album": 3}, obsession_least_window_plays=1, graveyard_least_plays={"track": 2, "artist": 2, "album": 2}, lost_least_plays=2)
+NOW = 2000 * DAY_MS
+
+
+def files(folder, name):
+    return {str(x.relative_to(folder)): x.stat().st_mtime_ns for x in (folder / name).rglob("*.parquet")}
+
+
+def rows_of(archive, name):
+    return sorted(map(str, archive.table(name).collect()))
+
+
+@pytest.mark.parametrize("late", ["some", "only known events"])
+def test_a_late_file_touches_its_months_only(spark, tmp_path, late):
+    rows = list({(x[0], x[1], x[2], x[4], x[8]): x for x in some_rows(500)}.values())
+    days = lambda x: x[0] // DAY_MS
+    new = [x for x in rows if 40 <= days(x) < 50 or 410 <= days(x) < 415]
+    old = [x for x in rows if x not in new]
+    whole = marts.rebuild(events(spark, rows), str(tmp_path / "whole"), NOW, NOW, LOOSE)
+    folder = tmp_path / "archive"
+    before = marts.rebuild(events(spark, old), str(folder), NOW, NOW, LOOSE)
+    kept = {n: files(folder, n) for n in marts.MONTHLY}
+    had = rows_of(before, "tracks")
+    if late != "some":
+        assert marts.updated(before, events(spark, old[:50]), IDENTITY, s=LOOSE) is before
+        assert marts.manifests(spark, str(folder)) == [1]
+        return
+    after = marts.updated(before, events(spark, new + old[:20]), IDENTITY, s=LOOSE)
+    for n in marts.MONTHLY:
+        now = files(folder, n)
+        assert kept[n].items() <= now.items(), "no file of the older version changes"
+        fresh = {re.search("ym=([0-9-]+)", x)[1] for x in now.keys() - kept[n].keys()}
+        assert fresh == {r.ym for r in events(spark, new).select("ym").distinct().collect()}
+    assert sorted(map(str, after.events.select(sorted(after.events.columns)).collect())) == sorted(map(str, whole.events.select(sorted(after.events.columns)).collect()))
+    for name in MARTS:
+        assert rows_of(after, name) == rows_of(whole, name), name
+    assert rows_of(before, "tracks") == had and before.events.count() == len(old), "a reader keeps its version"
+    assert marts.opened(spark, str(folder)).manifest == after.manifest and after.manifest.number == 2
+
+
+def test_marts_equal_those_from_events(spark, tmp_path):
+    e = events(spark, some_rows(600, seed=11))
+    a = marts.rebuild(e, str(tmp_path), NOW, NOW, LOOSE)
+    same = {
+        "artists": rollups.artist_stats(e, NOW, LOOSE), "albums": rollups.album_stats(e, NOW, LOOSE), "days": rollups.daily(e, LOOSE), "years": rollups.yearly(e, LOOSE), "hours": rollups.hourly(e, LOOSE), "monthly_album": rollups.monthly(e, "album", LOOSE),
+        "sessions": sessions.across_listeners(e, s=LOOSE), "lost": scores.lost_favourites(e, NOW, LOOSE), **{f"graveyard_{k}": scores.graveyard(e, k, NOW, LOOSE) for k in rollups.KEYS}, **{f"obsessions_{k}": scores.obsessions(e, k, LOOSE) for k in rollups.KEYS},
+    }
+    for name, want in same.items():
+        got = a.table(name)
+        assert rows_of(a, name) == sorted(map(str, want.select(got.columns).collect())), name
+        assert got.columns and (not name.startswith(("obs", "grave")) or got.count())
+
+
+def test_staleness_and_versions(spark, tmp_path):
+    folder, e = str(tmp_path), events(spark, some_rows(60))
+    assert marts.stale(marts.opened(spark, folder), "a", NOW, NOW)
+    a = marts.rebuild(e, folder, NOW, NOW, source="a")
+    assert not marts.stale(marts.opened(spark, folder), "a", NOW, NOW)
+    assert marts.stale(a, "b", NOW, NOW) and marts.stale(a, "a", NOW + 1, NOW) and marts.stale(a, "a", NOW, NOW, LOOSE)
+    b = marts.rebuild(e.filter("track_id = 1"), folder, NOW, NOW, source="b")
+    assert a.table("tracks").count() > 1 and b.table("tracks").count() == 1 and marts.opened(spark, folder).table("tracks").count() == 1
+    with pytest.raises(RuntimeError):
+        marts._publish(spark, folder, b.manifest)
+
+
+def test_months_are_pruned(spark, tmp_path):
+    a = marts.rebuild(events(spark, some_rows(80)), str(tmp_path), NOW, NOW)
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plan = a.events.filter("ym = '1970-02'")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    held = re.search(r"PartitionFilters: \[(.*?)\], PushedFilters", plan)[1]
+    assert "1970-02" in held and "version" in held
+
+
+def test_a_stream_keeps_an_archive_up_to_date(spark, tmp_path):
+    rows = list({(x[0], x[1], x[2], x[4], x[8]): x for x in some_rows(200)}.values())
+    folder = str(tmp_path / "archive")
+    marts.rebuild(events(spark, rows[:100]), folder, NOW, NOW)
+    events(spark, rows[80:]).coalesce(1).write.parquet(str(tmp_path / "in"))
+    schema = spark.read.parquet(str(tmp_path / "in")).schema
+    for _ in range(2):
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        live.keep_up(stream, folder, str(tmp_path / f"check{_}"), IDENTITY).awaitTermination()
+    got, want = marts.opened(spark, folder), marts.rebuild(events(spark, rows), str(tmp_path / "whole"), NOW, NOW)
+    assert got.manifest.number == 2 and rows_of(got, "artists") == rows_of(want, "artists")
+
+
+@pytest.mark.parametrize("days", [(7,), (30, 200), (400,)])
+def test_folded_sequences(spark, days):
+    r = random.Random(sum(days))
+    plays = [(k, r.randrange(1500) * DAY_MS // 2) for k in range(4) for _ in range((1, 5, 120, 400)[k])]
+    plays += plays[-60:]  # repeated instants
+    got = {x.id: x for x in sequences.folded(spark.createDataFrame(plays, "id int, ts_ms long"), days, (5, 100)).collect()}
+    for k in range(4):
+        times = sorted(t for i, t in plays if i == k)
+        x = got[k]
+        assert (x.n, x.first_ts, x.last_ts) == (len(times), times[0], times[-1])
+        gap = max(((b - a, -b, a) for a, b in zip(times, times[1:], strict=False) if b > a), default=None)
+        assert (x.gap_ms, x.gap_from, x.gap_to) == ((gap[0], gap[2], -gap[1]) if gap else (0, None, None))
+        for d in days:
+            best = max((sum(t - d * DAY_MS <= u <= t for u in times), -t) for t in times)
+            inside = [u for u in times if -best[1] - d * DAY_MS <= u <= -best[1]]
+            assert (x[f"d{d}_in"], x[f"d{d}_to"], x[f"d{d}_from"], x[f"d{d}_after"]) == (best[0], -best[1], inside[0], sum(u > -best[1] for u in times))
+        assert [x[f"nth_{n}"] for n in (5, 100)] == [times[n - 1] if n <= len(times) else None for n in (5, 100)]
+
+
+def test_folded_sequences_sort_plays_once_and_spread_one_entity(spark):
+    plays = spark.range(4000).select((F.col("id") % 2).alias("id"), (F.col("id") * DAY_MS // 2).alias("ts_ms"))
+    df = sequences.folded(plays, (7, 30, 90), (50,))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert len(re.findall(r"\bSort \[.*ts_ms", plan)) == 1
+    assert "ShuffledHashJoin" in plan
