@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import json
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from playtrace.functions.curves import ratio
+from playtrace.operators.rules import STARTERS
 
-#: Tags that a new archive starts with: (name, icon, colour).
-DEFAULT_TAGS = (("Comfort", "heart", "rose"), ("Focus", "target", "blue"), ("Road", "map", "amber"), ("Night", "moon", "violet"), ("Summer", "sun", "yellow"), ("Gym", "bolt", "green"), ("Rain", "cloud", "slate"), ("Childhood", "star", "teal"))
+#: Tags that a new archive starts with: (name, icon, colour). Fixed values.
+DEFAULT_TAGS = (
+    ("Love", "Heart", "#B4685E"), ("All-Time Favourite", "Star", "#D6B06A"), ("Nostalgia", "Hourglass", "#96768F"), ("Night", "Moon", "#7C8BA3"),
+    ("Workout", "Flame", "#C08F72"), ("Driving", "Car", "#8CA595"), ("Production Reference", "SlidersHorizontal", "#7E9384"), ("Retired", "Archive", "#6E6961"),
+)
 
 
 def upserted(old: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
@@ -27,6 +32,14 @@ def seeded(old: DataFrame) -> DataFrame:
     return old if not old.isEmpty() else old.sparkSession.createDataFrame([(i + 1, *t) for i, t in enumerate(DEFAULT_TAGS)], old.schema)
 
 
+def seeded_collections(old: DataFrame) -> DataFrame:
+    """The starting collections as (name, description, match, rules), if there are none; ``rules`` is JSON."""
+    if not old.isEmpty():
+        return old
+    rows = [(name, about, match, json.dumps([vars(r) for r in held])) for name, about, match, held in STARTERS]
+    return old.sparkSession.createDataFrame(rows, old.schema)
+
+
 def tag_usage(tags: DataFrame, track_tags: DataFrame) -> DataFrame:
     used = track_tags.groupBy("tag_id").agg(F.countDistinct("track_id").alias("uses"))
     return tags.join(used, "tag_id", "left").fillna(0, ["uses"])

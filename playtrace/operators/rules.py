@@ -98,9 +98,9 @@ def collection(tracks: DataFrame, rules: list[Rule], match: str, now: int) -> Da
     return tracks.filter(compile_rules(rules, match, now)).orderBy(F.desc("q_plays"), "track_id")
 
 
-#: Collections that a new archive starts with: (name, match, rules).
+#: Collections that a new archive starts with: (name, description, match, rules). Fixed values.
 STARTERS = (
-    ("Forgotten gems", "all", (Rule("qualifyingPlays", "gte", 15), Rule("daysSinceLastPlay", "gte", 730), Rule("skipRate", "lt", 20))),
-    ("All-time staples", "all", (Rule("qualifyingPlays", "gte", 100),)),
-    ("Marked", "any", (Rule("favorite", "isTrue", True), Rule("tag", "contains", "keep"))),
-)
+    ("Lost Classics", "Heavily played, rarely skipped, and silent for years.", "all", (Rule("plays", "gt", "30"), Rule("daysSinceLastPlay", "gt", "1095"), Rule("skipRate", "lt", "20"))),
+    ("Forgotten 2010s", "Discovered between 2010 and 2019, untouched since 2023.", "all", (Rule("firstHeardYear", "between", "2010", "2019"), Rule("lastHeardYear", "lt", "2023"), Rule("plays", "gte", "10"))),
+    ("Still Standing", "Songs that have never left your rotation.", "all", (Rule("plays", "gte", "25"), Rule("daysSinceLastPlay", "lt", "120"))),
+)

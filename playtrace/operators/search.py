@@ -167,20 +167,21 @@ def _words(query: str) -> list[str]:
 
 
 def matching(index: Index, query: str) -> DataFrame:
-    """(kind, id) of documents that hold every token; an empty query matches all."""
+    """(kind, id) of documents that hold every token. Nothing to look for gives no row."""
     words = _words(query)
-    return _hits(index, words, None).select("kind", "id") if words else index.documents.select("kind", "id")
+    return _hits(index, words, None).select("kind", "id") if words else index.documents.select("kind", "id").limit(0)
 
 
 def ranked(index: Index, query: str, documents: DataFrame | None = None) -> DataFrame:
     """(kind, id, text_score, score) of documents that hold every token, of those in ``documents`` where given (with their plays).
 
     Document frequencies are those of the whole index. The score is twice the text's, and ln(1 + plays) where plays are given.
+    Nothing to look for lists the given documents.
     """
     words = _words(query)
     boost = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in BOOST.items() for x in kv]), F.col("kind")), F.lit(1.0))
     if not words:
-        scored = (index.documents if documents is None else documents).withColumn("text_score", F.lit(0.0))
+        scored = (index.documents.select("kind", "id").limit(0) if documents is None else documents).withColumn("text_score", F.lit(0.0))
     else:
         df = index.postings(words).select("kind", "id", "n").distinct().groupBy("n").agg(F.count(F.lit(1)).alias("df"))
         rows = _hits(index, words, documents).select("kind", "id", "length", F.explode("hits").alias("h")).select("kind", "id", "length", "h.n", "h.tf")

@@ -495,9 +495,9 @@ def _search_index(spark: SparkSession, sf_dir: str) -> search.Index:
     return _INDEXES[key]
 
 
-def on_search(name: str, text: str, limit: int = 60, **filters: object) -> None:
+def on_search(name: str, text: str, limit: int = 60, now: int = LOST_NOW, **filters: object) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        page = search.found(_search_index(spark, sf_dir), text, search.Filters(**filters), LOST_NOW, limit)
+        page = search.found(_search_index(spark, sf_dir), text, search.Filters(**filters), now, limit)
         return rounds(page.select("kind", "id", "plays", "score"), "score", digits=4)
 
     QUERIES[name] = run
@@ -510,15 +510,15 @@ on_search("t06_browse", "", kinds=("artist", "tag", "collection", "era"))
 on_search("t06_kinds", "small", kinds=("album", "collection"))
 on_search("t06_min_plays", "brand", min_plays=25, kinds=("track", "era"))
 on_search("t06_year", "red", year=1999)
-on_search("t06_first_heard", "ring", first_from=1993, first_to=1994)
+on_search("t06_first_heard", "", first_from=1996, first_to=1997)
 on_search("t06_last_heard", "ring", last_from=2000, last_to=2001)
 on_search("t06_artist", "", artist=7)
 on_search("t06_tag", "blue", tag="3")
 on_search("t06_lost", "", min_lost=45.0)
-on_search("t06_favorite", "green", status="favorite")
-on_search("t06_retired", "green", status="retired")
+on_search("t06_favorite", "cold", status="favorite")
+on_search("t06_retired", "hot", status="retired")
 on_search("t06_dormant", "brand", status="dormant")
-on_search("t06_active", "gear", status="active")
+on_search("t06_active", "gear", now=1_008_000_000_000, status="active")
 
 
 @query("t02_document_tokens")

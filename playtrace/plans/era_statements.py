@@ -130,13 +130,13 @@ STATEMENTS = {
     "t06_kinds": _searched("small", "kind IN ('album', 'collection')"),
     "t06_min_plays": _searched("brand", "kind IN ('track', 'era') AND plays >= 25"),
     "t06_year": _searched("red", f"NOT {_ENTITY} OR {_PLAYED}"),
-    "t06_first_heard": _searched("ring", "year(make_timestamp(first_ts * 1000)) BETWEEN 1993 AND 1994"),
+    "t06_first_heard": _searched("", "year(make_timestamp(first_ts * 1000)) BETWEEN 1996 AND 1997"),
     "t06_last_heard": _searched("ring", "year(make_timestamp(last_ts * 1000)) BETWEEN 2000 AND 2001"),
     "t06_artist": _searched("", "artist = 7"),
     "t06_tag": _searched("blue", "kind = 'track' AND size % 25 = 3"),
     "t06_lost": _searched("", "kind = 'track' AND lost >= 45"),
-    "t06_favorite": _searched("green", "kind = 'track' AND size % 2 = 0"),
-    "t06_retired": _searched("green", "kind = 'track' AND size % 5 = 0"),
+    "t06_favorite": _searched("cold", "kind = 'track' AND size % 2 = 0"),
+    "t06_retired": _searched("hot", "kind = 'track' AND size % 5 = 0"),
     "t06_dormant": _searched("brand", f"{LOST_NOW} - last_ts >= {365 * DAY_MS}"),
-    "t06_active": _searched("gear", f"{LOST_NOW} - last_ts <= {180 * DAY_MS}"),
+    "t06_active": _searched("gear", f"1008000000000 - last_ts <= {180 * DAY_MS}"),
 }

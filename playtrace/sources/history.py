@@ -11,7 +11,9 @@ import io
 import json
 import re
 import unicodedata
+import uuid
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -67,20 +69,41 @@ def natural(name: str) -> list:
     return [(0, int(x), "") if x.isdigit() else (1, 0, x.lower()) for x in re.split(r"(\d+)", name) if x]
 
 
-def unzip(name: str, content: bytes) -> Iterator[tuple[str, bytes]]:
-    """The JSON entries of an archive, or the file itself."""
-    if not name.lower().endswith(".zip"):
-        yield name, content
-        return
+#: What the zip library raises for archives and entries that are damaged, encrypted or packed by an unknown method.
+_ZIP_FAULTS = (zipfile.BadZipFile, zlib.error, EOFError, RuntimeError, NotImplementedError, OSError, ValueError)
+
+
+def natural_key(name: Column) -> Column:
+    """Text under which names sort as ``natural`` does: lower case, each number padded to twenty digits."""
+    parts = F.regexp_extract_all(F.lower(name), F.lit(r"(\d+|\D+)"), 1)
+    return F.array_join(F.transform(parts, lambda x: F.when(x.rlike(r"^\d+$"), F.lpad(x, 20, "0")).otherwise(x)), "")
+
+
+def zip_entries(name: str, content: bytes) -> Iterator[str]:
+    """Names of an archive's JSON entries that are not too large, from its directory alone."""
     try:
         with zipfile.ZipFile(io.BytesIO(content)) as archive:
-            for entry in archive.infolist():
-                if entry.filename.lower().endswith(".json") and entry.file_size <= MOST_BYTES:
-                    yield f"{name}!{entry.filename}", archive.read(entry)
-    except zipfile.BadZipFile as bad:
+            yield from (x.filename for x in archive.infolist() if x.filename.lower().endswith(".json") and x.file_size <= MOST_BYTES)
+    except _ZIP_FAULTS as bad:
         raise SourceError("CORRUPT_ARCHIVE", name) from bad
 
 
+def unzip(name: str, content: bytes, wanted=lambda _: True) -> Iterator[tuple[str, bytes | SourceError]]:
+    """The wanted JSON entries of an archive one by one, or the file itself. An entry that can't be read comes as its error."""
+    if not name.lower().endswith(".zip"):
+        yield name, content
+        return
+    for entry in list(zip_entries(name, content)):
+        if not wanted(f"{name}!{entry}"):
+            continue
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                body: bytes | SourceError = archive.read(entry)
+        except _ZIP_FAULTS:
+            body = SourceError("CORRUPT_ARCHIVE", f"{name}!{entry}")
+        yield f"{name}!{entry}", body
+
+
 def records_of(content: bytes) -> list | None:
     """The records of a file that is a JSON array and looks like a history by its first records; else None."""
     try:
@@ -96,40 +119,109 @@ def records_of(content: bytes) -> list | None:
 
 
 RAW = "file string, file_hash string, row long, is_object boolean, " + ", ".join(f"`{f}` string" for f in FIELDS)
+_RAW_NAMES = ["file", "file_hash", "row", "is_object", *FIELDS]
+#: Folders below the selected one that are looked into.
+DEPTH = 8
+
 
+def read_files(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, content) of all files below ``paths``, listed and read by the executors."""
+    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(list(paths)).select("path", "content")
 
-def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """(path, content) of all files below ``path``, listed and read by the executors."""
-    return spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
 
+def listed(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, name) of what a selection offers: JSON files, not too large nor too deep, and the JSON entries of archives.
 
-def raw_records(files: DataFrame) -> DataFrame:
+    Of JSON files only names are read, of archives the directories. A path that doesn't exist is an error; an archive that can't
+    be opened is offered under its own name, so that its fault is told.
+    """
+    for path in paths:
+        where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+        if not where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where):
+            raise SourceError("NOT_FOUND", path)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    # the path below the selected folder, of several that hold it the deepest; a selected file stands alone
+    roots = [x.rstrip("/").split(":/")[-1].lstrip("/") for x in paths]
+    ways = [F.when(F.col("path").endswith(r), F.substring_index("path", "/", -1)).otherwise(F.substring_index("path", f"{r}/", -1)) for r in roots]
+    below = F.array_min(F.array(*[F.struct(F.length(w).alias("n"), w.alias("w")) for w in ways]))["w"]
+    files = reader.load(list(paths)).select("path", "length", below.alias("below"))
+    files = files.filter((F.size(F.split("below", "/")) - 1 <= DEPTH) & ~F.col("below").rlike(r"(^|/)(__MACOSX|\.[^/]*)/"))
+    loose = files.filter(F.lower("path").endswith(".json") & (F.col("length") <= MOST_BYTES)).select("path", F.col("path").alias("name"))
+
+    def entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                try:
+                    names = [f"{path}!{x}" for x in zip_entries(path, content)]
+                except SourceError:
+                    names = [path]
+                yield pd.DataFrame({"path": path, "name": names})
+
+    zips = reader.option("pathGlobFilter", "*.[zZ][iI][pP]").load(list(paths)).select("path", "content").mapInPandas(entries, "path string, name string")
+    other = F.lit(False)
+    inner = F.substring_index("name", "!", -1)
+    for x in OTHER:
+        other = other | inner.rlike(f"(?i){x}")
+    for x in FORKS:
+        other = other | inner.rlike(x)
+    return loose.unionByName(zips).filter(~other)
+
+
+def chosen(offered: DataFrame) -> DataFrame:
+    """Of what is offered the files with a history's name if there is one in the whole selection, else all; archives with a fault stay."""
+    base = F.substring_index(F.substring_index("name", "!", -1), "/", -1)
+    history = F.lit(False)
+    for x in HISTORY:
+        history = history | base.rlike(f"(?i){x}")
+    marked = offered.withColumn("named", F.lower(base).endswith(".json") & history).withColumn("fault", F.lower("name").endswith(".zip"))
+    any_named = marked.agg(F.coalesce(F.max("named"), F.lit(False)).alias("any_named"))
+    return marked.join(F.broadcast(any_named)).filter(F.col("named") | F.col("fault") | ~F.col("any_named")).select("path", "name", natural_key(base).alias("place"))  # one row
+
+
+def selection(spark: SparkSession, *paths: str) -> DataFrame:
+    """Raw records of the chosen files of a selection; contents of others are not read. ``place`` is a file's natural order."""
+    names = chosen(listed(spark, *paths))
+    # paths are what Spark's driver lists for any scan
+    wanted = names.select("path", "name", "place").collect()
+    if not wanted:
+        return spark.createDataFrame([], RAW + ", place string")
+    known = {r.name for r in wanted}
+    raw = raw_records(read_files(spark, *sorted({r.path for r in wanted})), known)
+    places = spark.createDataFrame([(r.name, r.place) for r in wanted], "file string, place string")
+    return raw.join(F.broadcast(places), "file")  # a row per chosen file, as listed
+
+
+def raw_records(files: DataFrame, wanted: set[str] | None = None) -> DataFrame:
     """One row per record: its file, the file's SHA-256, its place, and every known field as text (JSON for what isn't text).
 
-    Files are independent, so each is handled where it lies; files that are no history give no row.
+    Files are independent, so each is handled where it lies, one entry of an archive at a time; files that are no history give
+    no row, and an archive or an entry that can't be read gives one that is rejected. ``wanted`` names the files to look at.
     """
 
+    def fault(name: str, content: bytes) -> pd.DataFrame:
+        return pd.DataFrame([[name, hashlib.sha256(content).hexdigest(), -1, False, *[None] * len(FIELDS)]], columns=_RAW_NAMES)
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
-                    parts = list(unzip(path, content))
+                    for name, body in unzip(path, content, lambda x: not is_other(x) and (wanted is None or x in wanted)):
+                        if isinstance(body, SourceError):
+                            yield fault(name, content)
+                            continue
+                        rows = None if is_other(name) or (wanted is not None and name not in wanted) else records_of(body)
+                        if rows is None:
+                            continue
+                        digest = hashlib.sha256(body).hexdigest()
+                        for begin in range(0, len(rows), 20_000):
+                            out = []
+                            for i, r in enumerate(rows[begin : begin + 20_000], begin):
+                                known = r if isinstance(r, dict) else {}
+                                values = [known.get(f) for f in FIELDS]
+                                out.append([name, digest, i, isinstance(r, dict), *(v if v is None or isinstance(v, str) else json.dumps(v) for v in values)])
+                            yield pd.DataFrame(out, columns=_RAW_NAMES)
                 except SourceError:
-                    # a row that is rejected tells of the archive; the other files go on
-                    yield pd.DataFrame([[path, hashlib.sha256(content).hexdigest(), -1, False, *[None] * len(FIELDS)]], columns=["file", "file_hash", "row", "is_object", *FIELDS])
-                    continue
-                for name, body in parts:
-                    rows = None if is_other(name) else records_of(body)
-                    if rows is None:
-                        continue
-                    digest = hashlib.sha256(body).hexdigest()
-                    for begin in range(0, len(rows), 20_000):
-                        out = []
-                        for i, r in enumerate(rows[begin : begin + 20_000], begin):
-                            known = r if isinstance(r, dict) else {}
-                            values = [known.get(f) for f in FIELDS]
-                            out.append([name, digest, i, isinstance(r, dict), *(v if v is None or isinstance(v, str) else json.dumps(v) for v in values)])
-                        yield pd.DataFrame(out, columns=["file", "file_hash", "row", "is_object", *FIELDS])
+                    yield fault(path, content)
 
     return files.mapInPandas(run, RAW)
 
@@ -227,7 +319,7 @@ def normalised(raw: DataFrame, s: Settings = DEFAULTS, drop_private: bool = Fals
     )
     uri, country = trimmed("spotify_track_uri"), trimmed("conn_country")
     return raw.select(
-        "file", "file_hash", "row", reason.alias("reject_reason"), ts.alias("ts_ms"), track.alias("track_name"), artist.alias("artist_name"), first("master_metadata_album_album_name", "albumName").alias("album_name"),
+        *(["place"] if "place" in raw.columns else []), "file", "file_hash", "row", reason.alias("reject_reason"), ts.alias("ts_ms"), track.alias("track_name"), artist.alias("artist_name"), first("master_metadata_album_album_name", "albumName").alias("album_name"),
         F.when(uri.startswith(TRACK_URI), uri).alias("uri"), milliseconds(F.coalesce("ms_played", "msPlayed"), s.most_ms).alias("ms_played"), platform_family(trimmed("platform")).alias("platform"),
         F.when(F.length(country) <= 4, F.upper(country)).alias("country"), trimmed("reason_start").alias("reason_start"), trimmed("reason_end").alias("reason_end"),
         boolean("shuffle").alias("shuffle"), boolean("skipped").alias("skipped"), boolean("offline").alias("offline"), incognito.alias("incognito"),
@@ -255,7 +347,7 @@ def keyed(rows: DataFrame) -> DataFrame:
 
 def merged(new: DataFrame, old: DataFrame | None = None, identity: list[str] = IDENTITY, order: list[str] | None = None) -> DataFrame:
     """The rows of ``new`` to append: the first of each identity, none that ``old`` has. Identity, not its hash, decides."""
-    first = Window.partitionBy(*identity).orderBy(*(order or ["file", "row"]))
+    first = Window.partitionBy(*identity).orderBy(*(order or [*(["place"] if "place" in new.columns else []), "file", "row"]))
     fresh = new.withColumn("rn", F.row_number().over(first)).filter("rn = 1").drop("rn")
     if old is None:
         return fresh
@@ -293,10 +385,57 @@ def csv_safe(c: Column) -> Column:
     return F.when(c.rlike(r"^[=+\-@\t\r]"), F.concat(F.lit("'"), c)).otherwise(c)
 
 
-def write_csv(tracks: DataFrame, path: str) -> None:
-    """One file of UTF-8 with CRLF line ends, most played first. The sort makes a single ordered part on purpose."""
-    text = [F.col(n) if t != "string" else csv_safe(F.col(n)).alias(n) for n, t in tracks.dtypes]
-    tracks.select(*text).orderBy(F.desc("q_plays")).coalesce(1).write.mode("overwrite").option("header", True).option("lineSep", "\r\n").option("escape", '"').csv(path)
+def csv_cell(c: Column, kind: str) -> Column:
+    """A value as a spreadsheet takes it: nothing for null, whole numbers without a fraction, quotes where they are needed."""
+    text = F.when(c == F.floor(c), F.floor(c).cast("string")).otherwise(c.cast("string")) if kind in ("double", "float") else c.cast("string")
+    safe = csv_safe(F.coalesce(text, F.lit("")))
+    return F.when(safe.rlike('[",\n]'), F.concat(F.lit('"'), F.regexp_replace(safe, '"', '""'), F.lit('"'))).otherwise(safe)
+
+
+BOM = "\ufeff".encode()
+
+
+def write_csv(rows: DataFrame, path: str, *order: Column) -> int:
+    """One file: a byte-order mark, a header, and the rows in order with CRLF between lines. Returns its number of bytes.
+
+    Executors write the rows as ordered parts, dealt by range; the file system then copies the parts one after the other, so no
+    task and not the driver holds them. ``order`` should end in a unique key.
+    """
+    spark = rows.sparkSession
+    line = F.concat_ws(",", *[csv_cell(F.col(n), t) for n, t in rows.dtypes])
+    parts = f"{path}.parts-{uuid.uuid4().hex}"
+    ordered = rows.repartitionByRange(*order).sortWithinPartitions(*order) if order else rows
+    ordered.select(line.alias("value")).write.option("lineSep", "\r\n").text(parts)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, folder = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(parts)
+    files = target.getFileSystem(conf)
+    found = sorted((x.getPath().getName(), x.getLen(), x.getPath()) for x in files.listStatus(folder) if x.getPath().getName().startswith("part-") and x.getLen())
+    out = files.create(target, True)
+    try:
+        out.write(bytearray(BOM + ",".join(rows.columns).encode()))
+        if found:
+            out.write(bytearray(b"\r\n"))
+        for i, (_, size, part) in enumerate(found):
+            held = files.open(part)
+            # the last line ends without a break
+            jvm.org.apache.commons.io.IOUtils.copyLarge(held, out, 0, size - 2 * (i == len(found) - 1))
+            held.close()
+    finally:
+        out.close()
+    files.delete(folder, True)
+    return files.getFileStatus(target).getLen()
+
+
+def track_rows(tracks: DataFrame) -> DataFrame:
+    """The columns of a track export, from tracks with track_name, artist_name, album_name, uri and their numbers."""
+
+    def at(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.date_format(F.timestamp_millis(c), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
+
+    return tracks.select(
+        F.col("track_name").alias("track"), F.col("artist_name").alias("artist"), F.col("album_name").alias("album"), F.coalesce("plays", F.lit(0)).alias("plays"), F.coalesce("q_plays", F.lit(0)).alias("qualifying_plays"),
+        F.floor(F.coalesce("ms_played", F.lit(0)) / 60_000 + 0.5).alias("minutes_played"), at("first_ts").alias("first_heard"), at("last_ts").alias("last_heard"), "peak_year", F.coalesce("score", F.lit(0.0)).alias("lost_favorite_score"), F.col("uri").alias("spotify_uri"),
+    )
 
 
 def export_json(events: DataFrame, path: str) -> None:

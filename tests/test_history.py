@@ -107,11 +107,121 @@ def test_names_of_files():
     assert sorted(["f10", "f2", "f1"], key=history.natural) == ["f1", "f2", "f10"]
 
 
-def test_csv_guards_formulas(spark, tmp_path):
-    df = spark.createDataFrame([("=1+1", 3), ("plain, text", 5)], "name string, q_plays long")
-    history.write_csv(df, str(tmp_path / "out"))
-    part = next((tmp_path / "out").glob("part-*.csv")).read_bytes()
-    assert part == b'name,q_plays\r\n"plain, text",5\r\n\'=1+1,3\r\n'
+def test_csv_equals_a_plain_writer(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    rows = [("=1+1", 3, 61.0), ("plain, text", 5, 0.5), ('say "hi"', 5, None), ("two\nlines", 4, -2.0), (None, 1, 7.25), *[(f"Läng {i}", 0, float(i)) for i in range(500)]]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "id int, name string, q_plays long, score double").repartition(7)
+    size = history.write_csv(df, str(tmp_path / "out.csv"), F.desc("q_plays"), F.asc("id"))
+
+    def cell(x):
+        text = "" if x is None else str(int(x)) if isinstance(x, float) and x == int(x) else str(x)
+        text = f"'{text}" if text[:1] in tuple("=+-@\t\r") else text
+        return '"' + text.replace('"', '""') + '"' if set(text) & set('",\n') else text
+
+    lines = ["id,name,q_plays,score", *(",".join(map(cell, (i, *r))) for i, r in sorted(enumerate(rows), key=lambda x: (-x[1][1], x[0])))]
+    want = b"\xef\xbb\xbf" + "\r\n".join(lines).encode()
+    assert (tmp_path / "out.csv").read_bytes() == want and size == len(want)
+    assert [x.name for x in tmp_path.iterdir() if not x.name.endswith(".crc")] == ["out.csv"]
+    history.write_csv(df.limit(0), str(tmp_path / "none.csv"), F.desc("q_plays"))
+    assert (tmp_path / "none.csv").read_bytes() == b"\xef\xbb\xbfid,name,q_plays,score"
+
+
+def test_track_rows(spark):
+    df = spark.createDataFrame([("Song", "Band", None, None, 3, 2, 89_999, 1_000, 1_588_327_200_000, 2020, 61.0), ("New", "Band", "Disc", "u", None, None, None, None, None, None, None)], "track_name string, artist_name string, album_name string, uri string, plays long, q_plays long, ms_played long, first_ts long, last_ts long, peak_year int, score double")
+    a, b = history.track_rows(df).collect()
+    assert tuple(a) == ("Song", "Band", None, 3, 2, 1, "1970-01-01T00:00:01.000Z", "2020-05-01T10:00:00.000Z", 2020, 61.0, None)
+    assert tuple(b) == ("New", "Band", "Disc", 0, 0, 0, None, None, None, 0.0, "u")
+
+
+def hour(i):
+    return GOOD | {"ts": f"2020-05-{1 + i // 24:02d}T{i % 24:02d}:00:00Z"}
+
+
+def test_only_named_files_of_the_whole_selection_are_read(spark, tmp_path):
+    one, two, deep = tmp_path / "one", tmp_path / "two", tmp_path / "one" / "/".join("abcdefghi")
+    for x in (one / ".hidden", two, deep):
+        x.mkdir(parents=True)
+    written(one, "renamed.json", [hour(0)])
+    written(two, "Streaming_History_10.json", [hour(1)])
+    written(two, "Streaming_History_2.json", [hour(1), hour(2)])
+    written(two, "notes.json", [hour(3)])
+    written(deep, "Streaming_History_9.json", [hour(4)])
+    written(one / ".hidden", "Streaming_History_7.json", [hour(5)])
+    with zipfile.ZipFile(two / "export.ZIP", "w") as z:
+        z.writestr("my/endsong_1.json", json.dumps([hour(6)]))
+        z.writestr("my/other.json", json.dumps([hour(7)]))
+        z.writestr("__MACOSX/my/endsong_2.json", json.dumps([hour(8)]))
+    (two / "bad.zip").write_bytes(b"no archive")
+    rows = history.normalised(history.selection(spark, str(one), str(two)))
+    got = {(r.file.rsplit("/", 1)[-1], r.row, r.reject_reason) for r in rows.collect()}
+    assert got == {("Streaming_History_10.json", 0, None), ("Streaming_History_2.json", 0, None), ("Streaming_History_2.json", 1, None), ("endsong_1.json", 0, None), ("bad.zip", -1, "corrupt-archive")}
+    kept = history.merged(history.keyed(rows)).filter("hour(timestamp_millis(ts_ms)) = 1").collect()
+    assert [r.file.rsplit("/", 1)[-1] for r in kept] == ["Streaming_History_2.json"], "2 stands before 10"
+    assert {r.file.rsplit("/", 1)[-1] for r in history.selection(spark, str(one)).collect()} == {"renamed.json"}
+    with pytest.raises(history.SourceError) as e:
+        history.selection(spark, str(tmp_path / "nowhere"))
+    assert e.value.code == "NOT_FOUND"
+
+
+def test_faults_inside_archives_cost_their_entries_only(spark, tmp_path):
+    path = tmp_path / "export.zip"
+    body = json.dumps([hour(i) for i in range(40)])
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("endsong_1.json", body)
+        z.writestr("endsong_2.json", json.dumps([hour(50)]))
+        z.writestr("endsong_3.json", json.dumps([hour(51)]))
+    data = bytearray(path.read_bytes())
+    at = data.index(b"endsong_1.json") + len("endsong_1.json")
+    data[at + 5 : at + 25] = b"\xff" * 20  # the deflated bytes
+    flags = [i for i in range(len(data)) if data[i : i + 4] == b"PK\x01\x02"][2] + 8
+    data[flags] |= 1  # an encrypted entry
+    path.write_bytes(bytes(data))
+    got = sorted((r.file.rsplit("!", 1)[-1], str(r.reject_reason)) for r in history.normalised(history.selection(spark, str(tmp_path))).collect())
+    assert got == [("endsong_1.json", "corrupt-archive"), ("endsong_2.json", "None"), ("endsong_3.json", "corrupt-archive")]
+
+
+def test_the_ledger_survives_a_crash(spark, tmp_path, monkeypatch):
+    from playtrace.sources import ledger
+
+    source, folder = tmp_path / "in", str(tmp_path / "archive")
+    source.mkdir()
+    written(source, "endsong_1.json", [hour(i) for i in range(30)])
+    append = ledger._append
+
+    def crash(spark, folder, row):
+        if row[1] == "complete":
+            raise OSError("gone")
+        append(spark, folder, row)
+
+    monkeypatch.setattr(ledger, "_append", crash)
+    with pytest.raises(OSError):
+        ledger.bring_in(spark, folder, "first", 1_000, str(source))
+    monkeypatch.undo()
+    assert spark.read.parquet(f"{folder}/events").count() == 30 and ledger.seen(spark, folder).count() == 0
+    again = ledger.bring_in(spark, folder, "second", 2_000, str(source)).first()
+    assert (again.events_found, again.events_inserted, again.events_duplicate, again.state) == (30, 0, 30, "complete")
+    assert spark.read.parquet(f"{folder}/events").count() == 30 and ledger.seen(spark, folder).count() == 1
+    written(source, "endsong_2.json", [hour(i) for i in range(28, 40)] + [{"no": "record"}])
+    third = ledger.bring_in(spark, folder, "third", 3_000, str(source)).first()
+    assert (third.file_count, third.events_found, third.events_inserted, third.events_duplicate, third.events_invalid) == (2, 13, 10, 2, 1)
+    assert [(r.import_id, r.state, r.finished_ms) for r in ledger.recent(spark, folder).collect()] == [("third", "complete", 3_000), ("second", "complete", 2_000), ("first", "started", None)]
+    assert ledger.recent(spark, folder, 1).count() == 1
+
+
+def test_entities_calendar_and_export(spark, tmp_path):
+    rows = [hour(0), hour(1) | {"master_metadata_track_name": "SONG", "spotify_track_uri": None}, hour(2) | {"master_metadata_album_album_name": "Disc"}, hour(3) | {"master_metadata_album_artist_name": "bänd"}]
+    written(tmp_path, "endsong_1.json", rows)
+    events = history.keyed(history.normalised(history.selection(spark, str(tmp_path))))
+    artists, albums, tracks = history.entities(events)
+    assert sorted(r["name"] for r in artists.collect()) == ["Band"] or sorted(r["name"] for r in artists.collect()) == ["Band", "bänd"]
+    assert [r["name"] for r in albums.collect()] == ["Disc"]
+    assert {(r["name"], r["uri"]) for r in tracks.collect()} == {("Song", "spotify:track:1")}
+    late = history.localised(events, "Asia/Tokyo").orderBy("ts_ms").first()
+    assert (late.local_date, late.ym, late.year, late.hour, late.dow) == ("2020-05-01", "2020-05", 2020, 9, 5)
+    history.export_json(events, str(tmp_path / "back"))
+    back = history.keyed(history.normalised(history.raw_records(spark.read.text(str(tmp_path / "back")).selectExpr("'endsong_9.json' AS path", "CAST(concat('[', value, ']') AS BINARY) AS content"))))
+    assert sorted(x.fingerprint for x in back.collect()) == sorted(x.fingerprint for x in events.collect())
 
 
 def test_streaming_merge_and_rollups(spark, tmp_path):

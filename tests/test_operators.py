@@ -95,15 +95,48 @@ def test_rules(spark):
         hit(("mood", "eq", 1))
 
 
-def test_search(spark):
-    entries = spark.createDataFrame([("track", "1", "AC/DC Thunder"), ("artist", "2", "Björk"), ("track", "3", "thunder road road")], "kind string, id string, body string")
-    index = search.postings(entries)
+ENTRY = "kind string, id string, title string, subtitle string, artist_id long"
+KNOWN = "kind string, id string, " + search.ATTRIBUTES
+
+
+@pytest.fixture(scope="module")
+def index(spark, tmp_path_factory):
+    entries = [("track", "1", "AC/DC", "Thunder", 1), ("artist", "2", "Björk", "", 2), ("track", "3", "thunder road road", "", 1), ("album", "4", "Road & Sky", "Björk", 2), ("era", "5", "The Road Years", "2001-01 - 2002-02", None), ("tag", "6", "Road", "", None), ("collection", "7", "Дорога road", "", None)]
+    known = [("track", "1", 9, 5, 978_307_200_000, 1_009_843_200_000, 40.0, True, None, ["a"], [2001]), ("track", "3", 2, 5, 1_009_843_200_000, 1_020_000_000_000, 10.0, False, True, ["a", "b"], [2002]), ("artist", "2", 7, 5, 978_307_200_000, 1_020_000_000_000, None, None, None, None, [2001, 2002])]
+    return search.build(str(tmp_path_factory.mktemp("index") / "one"), spark.createDataFrame(entries, ENTRY), spark.createDataFrame(known, KNOWN))
+
+
+def test_search(index):
     ids = lambda q: sorted(r["id"] for r in search.matching(index, q).collect())
-    assert ids("AC/DC") == ["1"] and ids("bjork") == ["2"] and ids("thun") == ["1", "3"] and ids("***") == [] and ids("road thunder x") == []
-    assert search.ranked(index, "road").first()["id"] == "3"
+    assert ids("AC/DC") == ["1"] and ids("bjork") == ["2", "4"] and ids("thun") == ["1", "3"] and ids("***") == [] and ids("road thunder x") == []
+    assert ids("alder & ash") == [] and ids("road & sky") == ["4"] and ids("дор") == ["7"]
+    assert search.ranked(index, "thunder road").first()["id"] == "3"
     assert search.ranked(index, "***").count() == 0
 
 
+@pytest.mark.parametrize(("query", "filters", "want"), [
+    ("road", {}, "34567"), ("", {}, "1234567"), ("***", {"kinds": ("era", "tag")}, "56"), ("road", {"kinds": ("track", "album")}, "34"), ("", {"min_plays": 2}, "123"), ("", {"year": 2001}, "12567"),
+    ("", {"first_from": 2001, "first_to": 2001}, "12"), ("", {"last_from": 2002}, "123"), ("", {"last_to": 2001}, ""), ("", {"artist": 2}, "24"), ("", {"tag": "b"}, "3"), ("", {"min_lost": 20.0}, "1"),
+    ("thunder", {"status": "favorite"}, "1"), ("", {"status": "retired"}, "3"), ("", {"status": "dormant"}, "1"), ("", {"status": "active"}, "23"),
+])
+def test_search_filters(index, query, filters, want):
+    found = search.found(index, query, search.Filters(**filters), 1_009_843_200_000 + 365 * D if filters.get("status") != "active" else 1_020_000_000_000 + 180 * D, 50).collect()
+    assert "".join(sorted(r["id"] for r in found)) == want
+    assert [r["score"] for r in found] == sorted((r["score"] for r in found), reverse=True)
+
+
+def test_search_pages_and_reads_its_letters_only(index):
+    whole = [r["id"] for r in search.found(index, "road", search.Filters(), 0, 50).collect()]
+    assert [r["id"] for r in search.found(index, "road", search.Filters(), 0, 2, 2).collect()] == whole[2:4]
+    with pytest.raises(ValueError):
+        search.Filters(status="none such").condition(0)
+    spark = index.spark
+    spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
+    plan = search.ranked(index, "sky road")._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.maxMetadataStringLength")
+    assert "PartitionFilters: [letter" in plan and "IN (r,s)" in plan
+
+
 def test_era_settling_follows_the_order_of_steps():
     a, b = {"x": 1.0}, {"y": 1.0}
     months = [a] * 6 + [b] * 6
@@ -136,6 +169,8 @@ def test_library(spark):
     assert library.removed(old, new, ["id"]).collect() == [(1, "a")]
     empty = spark.createDataFrame([], "tag_id int, name string, icon string, color string")
     assert library.seeded(empty).count() == 8 and library.seeded(library.seeded(empty)).count() == 8
+    sets = library.seeded_collections(spark.createDataFrame([], "name string, description string, match string, rules string"))
+    assert [r["name"] for r in sets.collect()] == ["Lost Classics", "Forgotten 2010s", "Still Standing"] and library.seeded_collections(sets).count() == 3
     tracks = spark.createDataFrame([(1, "Bell", "X"), (2, "apple", "Y")], "track_id int, name string, artist string")
     flags = spark.createDataFrame([(1, 1, 0)], "track_id int, favorite int, retired int")
     tags = spark.createDataFrame([(2, 5)], "track_id int, tag_id int")
