@@ -45,12 +45,18 @@ def folded(plays: DataFrame, days: tuple[int, ...] = (), counts: tuple[int, ...]
     dealt = dealt.select("id", "block", "ts_ms", (F.col("own_block") == F.col("block")).alias("own")).repartition("id", "block").sortWithinPartitions("id", "block", "ts_ms")
     rows = dealt.join(table.hint("shuffle_hash"), ["id", "block"])  # the build side has a row per block, and the sort stays
     line = Window.partitionBy("id", "block").orderBy("ts_ms")
-    upto = line.rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    number = F.col("before") + F.sum(F.col("own").cast("long")).over(line.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    # only frames that begin with the block: Spark carries them on from row to row, while it adds up a sliding one anew for each
+    upto, rows_upto = line.rangeBetween(Window.unboundedPreceding, Window.currentRow), line.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    owned = F.col("own").cast("long")
     rows = rows.select(
-        "*", F.lag("ts_ms").over(line).alias("previous"), number.alias("number"), (F.col("before") + F.sum(F.col("own").cast("long")).over(upto)).alias("upto"),
-        *[x for d in days for w in [line.rangeBetween(-d * DAY_MS, Window.currentRow)] for x in (F.count(F.lit(1)).over(w).alias(f"in_{d}"), F.min("ts_ms").over(w).alias(f"from_{d}"))],
-    ).filter("own")
+        "*", F.lag("ts_ms").over(line).alias("previous"), F.lead("ts_ms").over(line).alias("next"), (F.col("before") + F.sum(owned).over(rows_upto)).alias("number"), (F.col("before") + F.sum(owned).over(upto)).alias("upto"),
+        F.count(F.lit(1)).over(upto).alias("all_upto"), F.min("ts_ms").over(rows_upto).alias("begin"),
+    )
+    for d in days:
+        gone = line.rangeBetween(Window.unboundedPreceding, -d * DAY_MS - 1)
+        # what follows the last play before the window is its first
+        rows = rows.withColumns({f"in_{d}": F.col("all_upto") - F.count(F.lit(1)).over(gone), f"from_{d}": F.coalesce(F.max("next").over(gone), F.col("begin"))})
+    rows = rows.filter("own")
     since = F.coalesce(F.when(F.col("ts_ms") == F.col("first_ts"), F.greatest("previous", "last_before")).otherwise(F.col("previous")), F.col("last_before"))
     gap = F.when(F.col("ts_ms") > since, F.struct((F.col("ts_ms") - since).alias("gap"), (-F.col("ts_ms")).alias("m"), since.alias("since")))
     blocks = rows.groupBy("id", "block").agg(

@@ -156,7 +156,7 @@ on_long("q08_lost_favourites", lambda e: rounds(scores.lost_favourites(e, LOST_N
 on_archive("r06_lost_count", lambda a: a.table("lost").filter("score >= 30").agg(F.count(F.lit(1)).alias("n")))
 for _kind in ("track", "artist", "album"):
     on_long(f"q10_graveyard_{_kind}", lambda e, k=_kind: scores.graveyard(e, k, GRAVEYARD_NOW))
-on_archive("l06_graveyard_page", lambda a: reduce(DataFrame.unionByName, [a.table(f"graveyard_{k}").withColumn("id", F.col("id").cast("string")) for k in ("track", "album")]).filter("days_missing >= 800").orderBy(F.desc("score"), F.desc("q_plays"), "kind", "id").limit(100).select("kind", "id", "q_plays", "days_missing", "score"))
+on_archive("l06_graveyard_page", lambda a: reduce(DataFrame.unionByName, [a.table(f"graveyard_{k}").withColumn("id", F.col("id").cast("string")) for k in ("track", "album", "artist")]).filter("days_missing >= 800").orderBy(F.desc("score"), F.desc("q_plays"), "kind", "id").limit(100).select("kind", "id", "q_plays", "days_missing", "score"))
 on_long("q20_comebacks", lambda e: sequences.comebacks(sequences.qualifying_plays(e, "track")))
 
 
@@ -289,7 +289,8 @@ on_archive("l02_top_artists", lambda a: a.table("artists").filter("q_plays > 0")
 on_archive("l03_top_albums", lambda a: a.table("albums").filter("q_plays > 0").orderBy(F.desc("ms_played"), "album_id").limit(50).select("album_id", "q_plays", "ms_played"))
 on_archive("r02_yearly_points", lambda a: a.table("years").select("year", "plays", "q_plays", "ms_played"))
 on_archive("r10_months", lambda a: a.table("monthly_artist").select("ym").distinct())
-on_archive("r11_heatmap", lambda a: a.table("days").filter("local_date BETWEEN '1998-01-01' AND '1998-12-31'").select("local_date", F.col("tracks").alias("value")))
+for _name, _metric in (("r11_heatmap", "tracks"), ("r11_heatmap_plays", "plays"), ("r11_heatmap_ms", "ms_played")):
+    on_archive(_name, lambda a, m=_metric: pages.heatmap(a, "1998-01-01", "1998-12-31", m))
 on_archive("r12_bounds", lambda a: a.table("days").agg(F.min("local_date").alias("first_date"), F.max("local_date").alias("last_date")))
 
 
@@ -326,13 +327,7 @@ def rediscovery(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.filter(F.col("i") == F.pmod(digest, F.col("n"))).select("id", "score", "days_since", reason.alias("reason"))
 
 
-@query("r04_on_this_day")
-def on_this_day(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dates of other years with today's month and day, with the most played track of each by all plays."""
-    built = archive(spark, sf_dir)
-    e, days = built.events, built.table("days").filter(F.col("local_date").endswith("-06-15") & (F.col("local_date") != "2001-06-15"))
-    top = peaks.top_per_day(e.filter(F.substring("local_date", 6, 5) == "06-15"), "track").select("local_date", F.col("track_id").alias("top_track"))
-    return days.join(top, "local_date", "left").select("local_date", "plays", "ms_played", "top_track")
+on_archive("r04_on_this_day", lambda a: pages.on_this_day(a, "06-15", "2001-06-15"))
 
 
 @query("r07_rewind_year")
@@ -438,6 +433,11 @@ on_archive("r01_overview", pages.overview)
 on_archive("r07_first_heard", lambda a: pages.first_heard(a, 788_918_400_000, 820_454_400_000))
 on_archive("r07_obsession", lambda a: pages.obsession_between(a, 694_224_000_000, 883_612_800_000))
 on_archive("r08_month_artists", lambda a: pages.month_artists(a, "1998-05"))
+on_archive("r07_year_months", lambda a: pages.year_months(a, 1998))
+on_archive("r07_year_hours", lambda a: pages.year_hours(a, 1998))
+on_archive("r08_new_artists", lambda a: pages.new_artists(a, 788_918_400_000, 791_596_800_000))
+on_short("q04_session_cards", lambda e: rounds(pages.session_cards(sessions.session_stats(e, 360)), "value"))
+QUERIES["s19_highlights"] = lambda s, d: pages.highlights(archive(s, d), LOST_NOW, written(QUERIES["q19_eras"](s, d), "era-list"))
 on_archive("r08_month_days", lambda a: pages.month_days(a, "1998-05"))
 on_archive("r15_track_points", lambda a: pages.track_points(a, 7))
 on_archive("r16_artist_lists", lambda a: pages.artist_lists(a, 2))

@@ -123,6 +123,11 @@ STATEMENTS = {
     "r18_eras_at": _recursive(
         "SELECT d.listener, d.ym, era, title FROM (SELECT DISTINCT o_custkey % 4 AS listener, strftime(CAST(o_orderdate AS DATE) + INTERVAL 36 MONTH, '%Y-%m') AS ym FROM orders) d LEFT JOIN eras r ON r.listener = d.listener AND d.ym BETWEEN start_ym AND end_ym", *SETTLED
     ),
+    "s19_highlights": _recursive(
+        f"""SELECT 'years' AS card, max(year)::BIGINT - min(year) + 1 AS a, min(year)::BIGINT AS b FROM e UNION ALL (SELECT 'biggestYear', year, CAST(floor(sum(ms_played) / 3600000.0::DOUBLE + 0.5) AS BIGINT) FROM e GROUP BY year ORDER BY sum(ms_played) DESC, year LIMIT 1)
+        UNION ALL SELECT 'lostFavorites', n, CAST(greatest(1, floor(({LOST_NOW} - oldest) / {365 * DAY_MS}.0::DOUBLE)) AS BIGINT) FROM (SELECT count(*) FILTER (score >= 30) AS n, min(last_ts) AS oldest FROM lost WHERE score > 0) WHERE n > 0
+        UNION ALL SELECT 'totalTime', CAST(floor(sum(ms_played) / 3600000.0::DOUBLE + 0.5) AS BIGINT), CAST(floor(sum(ms_played) / {DAY_MS}.0::DOUBLE + 0.5) AS BIGINT) FROM e UNION ALL SELECT 'eras', count(*), NULL FROM eras""", *LOST, *SETTLED
+    ),
     "t03_search_match": _searched("red brand 1", limit=None).replace(f"SELECT kind, id, {_round('t')} AS text_score, {_round('score')} AS score FROM ranked", "SELECT kind, id FROM ranked"),
     "t04_search_rank": _searched("small ring", plays=False, limit=None),
     "t06_all": _searched("brand 1"),

@@ -19,11 +19,81 @@ def text_id(column: str) -> Column:
 
 
 def overview(a: Archive, limit: int = 5) -> DataFrame:
-    """(section, id, value): numbers of tracks, artists and albums, each year's time and the most played tracks."""
+    """(section, id, value): numbers of tracks, artists and albums, lifetime totals, each year's time and the most played tracks."""
     counts = [a.table(f"{k}s").agg(F.count(F.lit(1)).alias("value")).select(F.lit("count").alias("section"), F.lit(k).alias("id"), "value") for k in KEYS]
     years = a.table("years").select(F.lit("year").alias("section"), text_id("year"), F.col("ms_played").alias("value"))
     top = a.table("tracks").orderBy(F.desc("q_plays"), F.desc("ms_played"), "track_id").limit(limit)
-    return reduce(DataFrame.unionByName, [*counts, years, top.select(F.lit("track").alias("section"), text_id("track_id"), F.col("q_plays").alias("value"))])
+    life = a.table("years").agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("plays", "q_plays", "ms_played", "distinct_days")])
+    lifetime = [life.select(F.lit("lifetime").alias("section"), F.lit(c).alias("id"), F.col(c).alias("value")) for c in life.columns]
+    streams = a.by_month("by_day").agg(F.coalesce(F.sum("plays"), F.lit(0)).alias("value")).select(F.lit("lifetime").alias("section"), F.lit("streams").alias("id"), "value")
+    return reduce(DataFrame.unionByName, [*counts, *lifetime, streams, years, top.select(F.lit("track").alias("section"), text_id("track_id"), F.col("q_plays").alias("value"))])
+
+
+def on_this_day(a: Archive, month_day: str, today: str | None = None) -> DataFrame:
+    """Dates of other years with this month and day, with the artist and the track of most plays, private ones too.
+
+    Of the months' folds only those of that month are read.
+    """
+    days = a.table("days").filter(F.col("local_date").endswith(f"-{month_day}") & (F.col("local_date") != (today or "")))
+    folds = a.by_month("by_day", {ym for ym in a.manifest.months if ym.endswith(f"-{month_day[:2]}")}).filter(F.col("local_date").endswith(f"-{month_day}"))
+    out = days.select("local_date", "plays", "q_plays", "ms_played")
+    for kind in ("artist", "track"):
+        counts = folds.groupBy("local_date", KEYS[kind]).agg(F.sum("plays").alias("n"))
+        best = peaks.first_of(counts, "local_date", F.desc("n"), KEYS[kind]).select("local_date", F.col(KEYS[kind]).alias(f"top_{kind}"), F.col("n").alias(f"top_{kind}_plays"))
+        out = out.join(best, "local_date", "left")
+    return out
+
+
+def heatmap(a: Archive, low: str, high: str, metric: str) -> DataFrame:
+    """(local_date, value) of the days between two dates; ``metric`` is ms_played, plays or tracks."""
+    if metric not in ("ms_played", "plays", "tracks"):
+        raise ValueError(f"no such metric: {metric}")
+    return a.table("days").filter(F.col("local_date").between(low, high)).select("local_date", F.col(metric).alias("value"))
+
+
+def year_months(a: Archive, year: int) -> DataFrame:
+    """The months of a year that have plays."""
+    return a.table("monthly_artist").filter(F.col("ym").startswith(f"{year}-")).groupBy("ym").agg(*[F.sum(c).alias(c) for c in ("plays", "q_plays", "ms_played")])
+
+
+def year_hours(a: Archive, year: int) -> DataFrame:
+    """24 rows: plays by hour of the day in a year, private ones too."""
+    folds = a.by_month("by_hour", {ym for ym in a.manifest.months if ym.startswith(f"{year}-")})
+    seen = folds.groupBy("hour").agg(F.sum("plays").alias("plays"), F.sum("ms_played").alias("ms_played"))
+    hours = a.spark.range(24).select(F.col("id").cast("int").alias("hour"))
+    return hours.join(F.broadcast(seen), "hour", "left").fillna(0)  # 24 rows at most
+
+
+def new_artists(a: Archive, low: int, high: int, limit: int = 10) -> DataFrame:
+    """The most played of the artists first heard in low <= ts < high."""
+    return a.table("artists").filter((F.col("first_ts") >= low) & (F.col("first_ts") < high)).orderBy(F.desc("q_plays"), "artist_id").limit(limit).select("artist_id", "q_plays")
+
+
+def session_cards(sessions: DataFrame) -> DataFrame:
+    """(card, listener, session, value): the longest, the most diverse and the most repetitive session."""
+    cards = (("longest", 2, ("ms_played",)), ("mostDiverse", 6, ("diversity", "artists")), ("mostRepetitive", 6, ("max_repeats", "events")))
+    parts = [sessions.filter(F.col("events") >= least).orderBy(*[F.desc(c) for c in order], "start_ts", "listener", "session").limit(1).select(F.lit(name).alias("card"), "listener", "session", F.col(order[0]).cast("double").alias("value")) for name, least, order in cards]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def highlights(a: Archive, now: int, eras: DataFrame, s: Settings = DEFAULTS) -> DataFrame:
+    """(card, a, b): years covered, the year of most time, lost favourites, all time in hours and days, the number of eras.
+
+    A card that nothing stands behind is left out.
+    """
+
+    def card(df: DataFrame, name: str, first: Column, second: Column) -> DataFrame:
+        return df.select(F.lit(name).alias("card"), first.cast("long").alias("a"), second.cast("long").alias("b"))
+
+    years = a.table("years")
+    bounds = years.agg(F.min("year").alias("lo"), F.max("year").alias("hi")).filter("lo IS NOT NULL")
+    lost = a.table("lost").filter("score > 0").agg(F.sum((F.col("score") >= s.lost_least_score).cast("long")).alias("n"), F.min("last_ts").alias("oldest")).filter("n > 0")
+    total = a.table("tracks").agg(F.coalesce(F.sum("ms_played"), F.lit(0)).alias("ms"))
+    return reduce(DataFrame.unionByName, [
+        card(bounds, "years", F.col("hi") - F.col("lo") + 1, F.col("lo")), card(years.orderBy(F.desc("ms_played"), "year").limit(1), "biggestYear", F.col("year"), F.floor(F.col("ms_played") / 3_600_000 + 0.5)),
+        card(lost, "lostFavorites", F.col("n"), F.greatest(F.lit(1), F.floor((F.lit(now) - F.col("oldest")) / (365 * DAY_MS)))), card(total, "totalTime", F.floor(F.col("ms") / 3_600_000 + 0.5), F.floor(F.col("ms") / DAY_MS + 0.5)),
+        card(eras.agg(F.count(F.lit(1)).alias("n")).filter("n > 0"), "eras", F.col("n"), F.lit(None)),
+    ])
 
 
 def top_of_year(a: Archive, kind: str, year: int, limit: int = 50) -> DataFrame:

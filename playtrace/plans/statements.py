@@ -250,8 +250,8 @@ STATEMENTS: dict[str, str] = {
     "r06_lost_count": _with("SELECT count(*) AS n FROM lost WHERE score >= 30", *LOST),
     **{f"q10_graveyard_{k}": _with(f"SELECT kind, id, q_plays, last_ts, days_missing, peak_year, rank_at_peak, score FROM {k}_grave", *_graveyard(k)) for k in KEYS},
     "l06_graveyard_page": _with(
-        "SELECT kind, CAST(id AS VARCHAR) AS id, q_plays, days_missing, score FROM (SELECT kind, CAST(id AS VARCHAR) AS id, q_plays, days_missing, score FROM track_grave UNION ALL SELECT kind, id, q_plays, days_missing, score FROM album_grave) WHERE days_missing >= 800 ORDER BY score DESC, q_plays DESC, kind, id LIMIT 100",
-        *_graveyard("track"), *_graveyard("album"),
+        "SELECT kind, CAST(id AS VARCHAR) AS id, q_plays, days_missing, score FROM (SELECT kind, CAST(id AS VARCHAR) AS id, q_plays, days_missing, score FROM track_grave UNION ALL SELECT kind, id, q_plays, days_missing, score FROM album_grave UNION ALL SELECT kind, CAST(id AS VARCHAR), q_plays, days_missing, score FROM artist_grave) WHERE days_missing >= 800 ORDER BY score DESC, q_plays DESC, kind, id LIMIT 100",
+        *_graveyard("track"), *_graveyard("album"), *_graveyard("artist"),
     ),
     "q20_comebacks": _with(f"SELECT * FROM (SELECT g.id, gap_days, gap_from, gap_to, (SELECT count(*) FROM pl WHERE pl.id = g.id AND ts_ms >= gap_to AND ts_ms <= gap_to + {90 * DAY_MS}) AS plays_after FROM gaps g WHERE gap_days >= 180) WHERE plays_after >= 5", _plays("track"), GAPS),
     "r05_deep_cuts": _with("SELECT * FROM (SELECT l.id, q_plays, score, artist_id, max(q_plays) OVER (PARTITION BY artist_id) AS best FROM lost l JOIN (SELECT DISTINCT track_id AS t, artist_id FROM a) ON t = l.id) WHERE score >= 30 AND q_plays < 0.6::DOUBLE * best", *LOST),
@@ -282,7 +282,18 @@ STATEMENTS: dict[str, str] = {
         "SELECT id, score, days_since, CASE WHEN days_since // 365 >= 5 THEN 'years5' WHEN days_since // 365 >= 2 THEN 'years2' ELSE 'quiet' END AS reason FROM (SELECT *, row_number() OVER (ORDER BY score DESC, q_plays DESC, id) - 1 AS i, count(*) OVER () AS n FROM (SELECT * FROM lost WHERE score >= 30 ORDER BY score DESC, q_plays DESC, id LIMIT 60)) WHERE i = ('0x' || substr(md5('2002-08-01'), 1, 8))::BIGINT % n", *LOST
     ),
     "r04_on_this_day": _with(
-        "SELECT local_date, plays, ms_played, track_id AS top_track FROM days LEFT JOIN (SELECT local_date, track_id FROM (SELECT local_date, track_id, count(*) AS n FROM a GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY local_date ORDER BY n DESC, track_id) = 1) USING (local_date) WHERE local_date LIKE '%-06-15' AND local_date <> '2001-06-15'", DAYS
+        "SELECT local_date, plays, q_plays, ms_played, top_artist, top_artist_plays, top_track, top_track_plays FROM days"
+        + "".join(f" LEFT JOIN (SELECT local_date, {k}_id AS top_{k}, n AS top_{k}_plays FROM (SELECT local_date, {k}_id, count(*) AS n FROM a GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY local_date ORDER BY n DESC, {k}_id) = 1) USING (local_date)" for k in ("artist", "track"))
+        + " WHERE local_date LIKE '%-06-15' AND local_date <> '2001-06-15'", DAYS
+    ),
+    "r11_heatmap_plays": _with("SELECT local_date, plays AS value FROM days WHERE local_date BETWEEN '1998-01-01' AND '1998-12-31'", DAYS),
+    "r11_heatmap_ms": _with("SELECT local_date, ms_played AS value FROM days WHERE local_date BETWEEN '1998-01-01' AND '1998-12-31'", DAYS),
+    "r07_year_months": _with("SELECT ym, count(*) AS plays, CAST(sum(q) AS BIGINT) AS q_plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM e WHERE year = 1998 GROUP BY ym"),
+    "r07_year_hours": _with("SELECT CAST(h AS INTEGER) AS hour, count(a.hour) AS plays, CAST(coalesce(sum(ms_played), 0) AS BIGINT) AS ms_played FROM (SELECT unnest(generate_series(0, 23)) AS h) LEFT JOIN a ON a.hour = h AND a.year = 1998 GROUP BY h"),
+    "r08_new_artists": _with("SELECT artist_id, q_plays FROM artists WHERE first_ts >= 788918400000 AND first_ts < 791596800000 ORDER BY q_plays DESC, artist_id LIMIT 10", ARTISTS),
+    "q04_session_cards": _with(
+        " UNION ALL ".join(f"(SELECT '{n}' AS card, listener, session, {_round(v + '::DOUBLE')} AS value FROM sess WHERE events >= {k} ORDER BY {o}, start_ts, listener, session LIMIT 1)" for n, v, k, o in (
+            ("longest", "ms_played", 2, "ms_played DESC"), ("mostDiverse", "diversity", 6, "diversity DESC, artists DESC"), ("mostRepetitive", "max_repeats", 6, "max_repeats DESC, events DESC"))), *SESSIONS
     ),
     "r07_rewind_year": _with(
         f"""SELECT years.*, (SELECT ym FROM (SELECT ym, sum(ms_played) AS ms FROM e WHERE {_YEAR98} GROUP BY ym) ORDER BY ms DESC, ym LIMIT 1) AS best_month, (SELECT local_date FROM days WHERE local_date LIKE '1998-%' ORDER BY ms_played DESC, local_date LIMIT 1) AS best_day,
@@ -372,7 +383,8 @@ STATEMENTS |= {
     "l03_top_albums_year": _with(f"SELECT album_id, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM a WHERE {_YEAR98} AND album_id IS NOT NULL GROUP BY album_id ORDER BY ms_played DESC, album_id LIMIT 50"),
     "r01_overview": _with(
         """SELECT 'count' AS section, 'track' AS id, count(DISTINCT track_id) AS value FROM e UNION ALL SELECT 'count', 'artist', count(DISTINCT artist_id) FROM e UNION ALL SELECT 'count', 'album', count(DISTINCT album_id) FROM e
-        UNION ALL SELECT 'year', CAST(year AS VARCHAR), ms_played FROM years UNION ALL (SELECT 'track', CAST(track_id AS VARCHAR), q_plays FROM tracks ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 5)""", TRACKS, YEARS
+        UNION ALL SELECT 'lifetime', 'streams', count(*) FROM a UNION ALL SELECT 'lifetime', 'plays', count(*) FROM e UNION ALL SELECT 'lifetime', 'q_plays', CAST(sum(q) AS BIGINT) FROM e UNION ALL SELECT 'lifetime', 'ms_played', CAST(sum(ms_played) AS BIGINT) FROM e UNION ALL SELECT 'lifetime', 'distinct_days', count(*) FROM days
+        UNION ALL SELECT 'year', CAST(year AS VARCHAR), ms_played FROM years UNION ALL (SELECT 'track', CAST(track_id AS VARCHAR), q_plays FROM tracks ORDER BY q_plays DESC, ms_played DESC, track_id LIMIT 5)""", TRACKS, YEARS, DAYS
     ),
     "r07_first_heard": _with(
         " UNION ALL ".join(f"(SELECT '{k}' AS kind, CAST({k}_id AS VARCHAR) AS id, first_ts, q_plays FROM {k}s WHERE first_ts >= 788918400000 AND first_ts < 820454400000 ORDER BY q_plays DESC, {k}_id LIMIT 12)" for k in ("artist", "track")), ARTISTS, TRACKS
