@@ -227,10 +227,14 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     def dot(a: str, b: str):
         return F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda s, x: s + x)
 
-    q = v.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"))
-    pairs = v.join(q, F.col("vec_id") != F.col("query_id"))
-    cosine = dot("x", "q") / F.sqrt(dot("x", "x") * dot("q", "q"))
-    return rounds(pairs.select("query_id", "vec_id", cosine.alias("cosine")).filter("cosine >= 0.25"), "cosine")
+    unit = v.withColumn("norm", F.sqrt(dot("x", "x"))).filter("norm > 0").select("vec_id", F.transform("x", lambda x: x / F.col("norm")).alias("x"))
+    # queries in blocks of a bounded size: a vector meets one block at a time, and no side is broadcast whole
+    blocks = max(1, -(-unit.filter("vec_id % 50 = 0").count() // 2048))
+    q = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
+    q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("held"))
+    met = unit.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block")).join(F.broadcast(q) if blocks == 1 else q, "block")  # one block: 2048 vectors
+    pairs = met.select("vec_id", "x", F.explode("held").alias("h")).select(F.col("h.query_id").alias("query_id"), "vec_id", dot("x", "h.q").alias("cosine"))
+    return rounds(pairs.filter("query_id <> vec_id AND cosine >= 0.25"), "cosine")
 
 
 # joins
@@ -449,9 +453,10 @@ on_short("r13_day_sessions", lambda e: pages.day_sessions(sessions.session_stats
 # rules
 def _tracks(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = archive(spark, sf_dir)
-    e, lost = built.events, built.table("lost").select(F.col("id").alias("track_id"), "q_plays", "plays", "ms_played", "skips", "first_ts", "last_ts", "score")
+    lost = built.table("lost").select(F.col("id").alias("track_id"), "q_plays", "plays", "ms_played", "skips", "first_ts", "last_ts", "score")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_brand").alias("artist"), F.col("p_type").alias("album"), F.when(F.col("p_size") > 25, F.col("p_name")).alias("tags"), (F.col("p_size") % 2).alias("favorite"))
-    best = peaks.peak_year(e, "track").select("track_id", "peak_year")
+    years = built.table("monthly_track").groupBy("track_id", F.substring("ym", 1, 4).cast("int").alias("year")).agg(F.sum("q_plays").alias("n"))
+    best = peaks.first_of(years, "track_id", F.desc("n"), "year").select("track_id", F.col("year").alias("peak_year"))
     return lost.join(parts, "track_id").join(best, "track_id", "left").withColumn("retired", F.lit(None).cast("int"))
 
 
