@@ -232,7 +232,7 @@ def cosine_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = max(1, -(-unit.filter("vec_id % 50 = 0").count() // 2048))
     q = unit.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("x").alias("q"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block"))
     q = q.groupBy("block").agg(F.collect_list(F.struct("query_id", "q")).alias("held"))
-    met = unit.select("vec_id", "x", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("long").alias("block")).join(F.broadcast(q) if blocks == 1 else q, "block")  # one block: 2048 vectors
+    met = unit.select("vec_id", "x", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block")).join(F.broadcast(q) if blocks == 1 else q, "block")  # one block: 2048 vectors
     pairs = met.select("vec_id", "x", F.explode("held").alias("h")).select(F.col("h.query_id").alias("query_id"), "vec_id", dot("x", "h.q").alias("cosine"))
     return rounds(pairs.filter("query_id <> vec_id AND cosine >= 0.25"), "cosine")
 

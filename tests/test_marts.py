@@ -183,7 +183,7 @@ def test_folded_sequences(spark, days):
 
 
 def test_folded_sequences_sort_plays_once_and_spread_one_entity(spark):
-    plays = spark.range(4000).select((F.col("id") % 2).alias("id"), (F.col("id") * DAY_MS // 2).alias("ts_ms"))
+    plays = spark.range(4000).select((F.col("id") % 2).alias("id"), (F.col("id") * (DAY_MS // 2)).alias("ts_ms"))
     df = sequences.folded(plays, (7, 30, 90), (50,))
     df.collect()
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
