@@ -488,7 +488,7 @@ def _text_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reduce(DataFrame.unionByName, [tracks, artists, albums, era, tags, sets])
 
 
-def _search_index(spark: SparkSession, sf_dir: str) -> search.Index:
+def search_index(spark: SparkSession, sf_dir: str) -> search.Index:
     """The index of the archive, written with its marts by the first search of an application."""
     key = (spark.sparkContext.applicationId, sf_dir)
     if key not in _INDEXES:
@@ -502,14 +502,14 @@ def _search_index(spark: SparkSession, sf_dir: str) -> search.Index:
 
 def on_search(name: str, text: str, limit: int = 60, now: int = LOST_NOW, **filters: object) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        page = search.found(_search_index(spark, sf_dir), text, search.Filters(**filters), now, limit)
+        page = search.found(search_index(spark, sf_dir), text, search.Filters(**filters), now, limit)
         return rounds(page.select("kind", "id", "plays", "score"), "score", digits=4)
 
     QUERIES[name] = run
 
 
-QUERIES["t03_search_match"] = lambda s, d: search.matching(_search_index(s, d), "red brand 1").select("kind", "id")
-QUERIES["t04_search_rank"] = lambda s, d: rounds(search.ranked(_search_index(s, d), "small ring").select("kind", "id", "text_score", "score"), "text_score", "score")
+QUERIES["t03_search_match"] = lambda s, d: search.matching(search_index(s, d), "red brand 1").select("kind", "id")
+QUERIES["t04_search_rank"] = lambda s, d: rounds(search.ranked(search_index(s, d), "small ring").select("kind", "id", "text_score", "score"), "text_score", "score")
 on_search("t06_all", "brand 1")
 on_search("t06_browse", "", kinds=("artist", "tag", "collection", "era"))
 on_search("t06_kinds", "small", kinds=("album", "collection"))
