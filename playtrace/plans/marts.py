@@ -336,3 +336,26 @@ def updated(a: Archive, new: DataFrame, identity: list[str], order: list[str] |
     out = _with_marts(b, sequence, s, at_once)
     discard(added)
     return out
+
+
+def swept(a: Archive, keep: int = 2, older_than_ms: int = 3_600_000) -> int:
+    """Delete months and marts that none of the last ``keep`` manifests names, and older manifests; the number of deleted folders.
+
+    Folders younger than ``older_than_ms`` stay, as a rebuild that isn't published yet may have written them. Readers of older
+    versions must have ended.
+    """
+    spark, numbers = a.spark, manifests(a.spark, a.folder)
+    held, before, gone = [], int(time.time() * 1000) - older_than_ms, 0
+    for number in numbers[-keep:]:
+        held.append(json.loads(spark.read.text(f"{a.folder}/manifests/{number:08d}.json", wholetext=True).first()[0]))
+    named = {(ym, version) for m in held for ym, version in m["months"].items()}
+    for pattern, used in [("marts/*", lambda x: x.getName() in {m["marts"] for m in held}), *[(f"{n}/year=*/ym=*/version=*", lambda x: (x.getParent().getName()[3:], x.getName()[8:]) in named) for n in MONTHLY]]:
+        where, files = _files(spark, f"{a.folder}/{pattern}")
+        for x in files.globStatus(where) or []:
+            if x.getModificationTime() < before and not used(x.getPath()):
+                files.delete(x.getPath(), True)
+                gone += 1
+    for number in numbers[:-keep]:
+        where, files = _files(spark, f"{a.folder}/manifests/{number:08d}.json")
+        files.delete(where, False)
+    return gone

@@ -178,17 +178,53 @@ def chosen(offered: DataFrame) -> DataFrame:
     return marked.join(F.broadcast(any_named)).filter(F.col("named") | F.col("fault") | ~F.col("any_named")).select("path", "name", natural_key(base).alias("place"))  # one row
 
 
-def selection(spark: SparkSession, *paths: str) -> DataFrame:
-    """Raw records of the chosen files of a selection; contents of others are not read. ``place`` is a file's natural order."""
-    names = chosen(listed(spark, *paths))
-    # paths are what Spark's driver lists for any scan
-    wanted = names.select("path", "name", "place").collect()
+def hashed(files: DataFrame, wanted: set[str]) -> DataFrame:
+    """(path, file, file_hash) of the wanted files and entries, without a look at their records. A fault has the archive's hash."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, content in zip(pdf["path"], pdf["content"], strict=True):
+                out = []
+                try:
+                    for name, body in unzip(path, content, lambda x: x in wanted):
+                        if name in wanted:
+                            out.append((path, name, hashlib.sha256(content if isinstance(body, SourceError) else body).hexdigest()))
+                except SourceError:
+                    out.append((path, path, hashlib.sha256(content).hexdigest()))
+                yield pd.DataFrame(out, columns=["path", "file", "file_hash"])
+
+    return files.mapInPandas(run, "path string, file string, file_hash string")
+
+
+def picked(spark: SparkSession, *paths: str) -> DataFrame:
+    """(path, file, place, file_hash) of the chosen files of a selection."""
+    wanted = chosen(listed(spark, *paths)).collect()  # paths, which Spark's driver lists for any scan
     if not wanted:
-        return spark.createDataFrame([], RAW + ", place string")
-    known = {r.name for r in wanted}
-    raw = raw_records(read_files(spark, *sorted({r.path for r in wanted})), known)
+        return spark.createDataFrame([], "path string, file string, place string, file_hash string")
     places = spark.createDataFrame([(r.name, r.place) for r in wanted], "file string, place string")
-    return raw.join(F.broadcast(places), "file")  # a row per chosen file, as listed
+    return hashed(read_files(spark, *sorted({r.path for r in wanted})), {r.name for r in wanted}).join(places, "file").select("path", "file", "place", "file_hash")
+
+
+def unseen(files: DataFrame, seen: DataFrame | None = None) -> DataFrame:
+    """Of files with equal contents the first in natural order, and none whose contents are in ``seen`` (file_hash)."""
+    first = files.withColumn("rn", F.row_number().over(Window.partitionBy("file_hash").orderBy("place", "file"))).filter("rn = 1").drop("rn")
+    return first if seen is None else first.join(seen.select("file_hash"), "file_hash", "left_anti").select(*files.columns)
+
+
+def records_in(spark: SparkSession, files: DataFrame) -> DataFrame:
+    """Raw records of picked files, with ``place``; contents of other files are not read."""
+    known = files.select("path", "file", "place").collect()  # as listed
+    if not known:
+        return spark.createDataFrame([], RAW + ", place string")
+    raw = raw_records(read_files(spark, *sorted({r.path for r in known})), {r.file for r in known})
+    places = spark.createDataFrame([(r.file, r.place) for r in known], "file string, place string")
+    return raw.join(places, "file")
+
+
+def selection(spark: SparkSession, *paths: str) -> DataFrame:
+    """Raw records of the chosen files of a selection. ``place`` is a file's natural order."""
+    wanted = chosen(listed(spark, *paths)).select("path", F.col("name").alias("file"), "place")
+    return records_in(spark, wanted)
 
 
 def raw_records(files: DataFrame, wanted: set[str] | None = None) -> DataFrame:

@@ -50,14 +50,14 @@ def recent(spark: SparkSession, folder: str, limit: int = 25) -> DataFrame:
 
 
 def bring_in(spark: SparkSession, folder: str, import_id: str, at_ms: int, *paths: str, zone: str = "UTC", drop_private: bool = False, s: Settings = DEFAULTS) -> DataFrame:
-    """Import a selection into ``folder``/events: one row with the counts. Files that a completed import has seen aren't parsed for events again.
+    """Import a selection into ``folder``/events: one row with the counts. Files that a completed import has seen are hashed but not parsed.
 
     Events lie by month; new ones are compared with the months that they touch.
     """
     _append(spark, folder, (import_id, "started", at_ms, ", ".join(paths), None, None, None, None, None))
-    raw = written(history.selection(spark, *paths), "raw")
-    fresh = history.one_copy_per_file(raw, seen(spark, folder))
-    rows = written(history.normalised(fresh, s, drop_private), "normalised")
+    files = written(history.picked(spark, *paths), "picked")
+    fresh = written(history.unseen(files, seen(spark, folder)), "fresh")
+    rows = written(history.normalised(history.records_in(spark, fresh), s, drop_private), "normalised")
     events = history.localised(history.keyed(rows), zone)
     where = f"{folder}/events"
     old = None
@@ -67,10 +67,10 @@ def bring_in(spark: SparkSession, folder: str, import_id: str, at_ms: int, *path
         old = spark.read.schema(events.schema).parquet(where).filter(F.col("ym").isin(months))
     added = written(history.merged(events, old), "added")
     added.write.mode("append").partitionBy("ym").parquet(where)
-    by_file = raw.groupBy("file", "file_hash").agg(F.count(F.lit(1)).alias("events_found")).join(fresh.select("file", "file_hash").distinct().withColumn("taken", F.lit(True)), ["file", "file_hash"], "left")
+    found = rows.groupBy("file").agg(F.count(F.lit(1)).alias("events_found"))
+    by_file = files.join(fresh.select("file", F.lit(True).alias("taken")), "file", "left").join(found, "file", "left").fillna(0, ["events_found"])
     by_file.select(F.lit(import_id).alias("import_id"), "file", "file_hash", "events_found", F.col("taken").isNull().alias("skipped")).write.mode("append").parquet(f"{folder}/files")
     report = history.import_report(rows, added).first()
-    files = raw.select("file", "file_hash").distinct().count()
-    _append(spark, folder, (import_id, "complete", at_ms, ", ".join(paths), files, report["found"], report["inserted"], report["duplicate"], report["invalid"]))
-    discard(raw, rows, added)
+    _append(spark, folder, (import_id, "complete", at_ms, ", ".join(paths), files.count(), report["found"], report["inserted"], report["duplicate"], report["invalid"]))
+    discard(files, fresh, rows, added)
     return recent(spark, folder).filter(F.col("import_id") == import_id)

@@ -203,10 +203,14 @@ def test_the_ledger_survives_a_crash(spark, tmp_path, monkeypatch):
     assert (again.events_found, again.events_inserted, again.events_duplicate, again.state) == (30, 0, 30, "complete")
     assert spark.read.parquet(f"{folder}/events").count() == 30 and ledger.seen(spark, folder).count() == 1
     written(source, "endsong_2.json", [hour(i) for i in range(28, 40)] + [{"no": "record"}])
+    (source / "copy.json").write_bytes((source / "endsong_1.json").read_bytes())  # not named, not looked at
+    (source / "endsong_10.json").write_bytes((source / "endsong_2.json").read_bytes())
     third = ledger.bring_in(spark, folder, "third", 3_000, str(source)).first()
-    assert (third.file_count, third.events_found, third.events_inserted, third.events_duplicate, third.events_invalid) == (2, 13, 10, 2, 1)
+    assert (third.file_count, third.events_found, third.events_inserted, third.events_duplicate, third.events_invalid) == (3, 13, 10, 2, 1)
     assert [(r.import_id, r.state, r.finished_ms) for r in ledger.recent(spark, folder).collect()] == [("third", "complete", 3_000), ("second", "complete", 2_000), ("first", "started", None)]
     assert ledger.recent(spark, folder, 1).count() == 1
+    took = ledger._table(spark, folder, "files", ledger.FILES).filter("import_id = 'third'").collect()
+    assert {(r.file.rsplit("/", 1)[-1], r.events_found, r.skipped) for r in took} == {("endsong_1.json", 0, True), ("endsong_2.json", 13, False), ("endsong_10.json", 0, True)}
 
 
 def test_entities_calendar_and_export(spark, tmp_path):

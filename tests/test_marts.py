@@ -141,6 +141,21 @@ def test_staleness_and_versions(spark, tmp_path):
         marts._publish(spark, folder, b.manifest)
 
 
+def test_sweeping_keeps_what_the_last_manifests_name(spark, tmp_path):
+    rows = list({(x[0], x[1], x[2], x[4], x[8]): x for x in some_rows(120)}.values())
+    folder = str(tmp_path)
+    first = marts.rebuild(events(spark, rows[:60]), folder, NOW, NOW)
+    last = marts.updated(marts.updated(first, events(spark, rows[60:90]), IDENTITY), events(spark, rows[90:]), IDENTITY)
+    tracks = rows_of(last, "tracks")
+    assert marts.swept(last, keep=1) == 0, "all folders are young"
+    assert marts.swept(last, keep=1, older_than_ms=-60_000) > 2
+    assert marts.manifests(spark, folder) == [3] and [x.name for x in (tmp_path / "marts").iterdir()] == [last.manifest.marts]
+    again = marts.opened(spark, folder)
+    assert rows_of(again, "tracks") == tracks and again.events.count() == len(rows)
+    versions = {(x.parent.name[3:], x.name[8:]) for x in (tmp_path / "events").glob("year=*/ym=*/version=*")}
+    assert versions == set(again.manifest.months.items())
+
+
 def test_months_are_pruned(spark, tmp_path):
     a = marts.rebuild(events(spark, some_rows(80)), str(tmp_path), NOW, NOW)
     spark.conf.set("spark.sql.maxMetadataStringLength", 4000)
