@@ -1,15 +1,17 @@
 """MinHash near-dedup of whole texts: BagMinHash signatures of five-word shingle multisets, banding, exact verification.
 
 BagMinHash. A shingle that occurs w times is a Poisson process over the weights up to w. The weights are cut at whole
-numbers; the process runs over a hierarchy of intervals, (0, 1], (1, 2], (2, 4], (4, 8] and so on, each with the rate of
-its width, and inside an interval a point falls on a unit cell. Points come in ascending order, each on one of M
+numbers; the process runs over a ladder of dyadic intervals, (0, 1], (1, 2], (2, 4], (4, 8] and so on, each with the rate of
+its width, and inside an interval a point falls on a unit cell and is rejected above w. The ladder and the rejection stand in
+for processes that are split level by level; they draw points of the same distribution. Points come in ascending order, each on one of M
 components, which keeps the least; a process ends at the first point above the text's largest component. Two texts agree
 in a component with a probability equal to their weighted Jaccard similarity.
 
 Search. Equal texts are one node. Nodes that share a band of the signature share a bucket. No bucket is gathered:
 each node is compared with leaders of its buckets, and verified links join nodes to components; then every pair of
 one bucket that is still in different components, and whose signatures don't exclude a link, is verified too. So pairs
-within a component are not expanded, and no link between components is left out. Before that, the shingles that only one
+within a component are not expanded. Links between components are left out with the probabilities that the README states:
+those of banding, and 4.3e-8 at a similarity of exactly 0.8 by the comparison of signatures. Before that, the shingles that only one
 text of the remaining buckets has are counted: they can't be part of an overlap, so they bound each text's similarity; and
 parities of each multiset bound the difference of two. Neither bound excludes a link, and variants of one text that differ
 too much for one are never paired. Verification counts both multisets.

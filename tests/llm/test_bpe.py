@@ -65,3 +65,14 @@ def test_decoding_written_ids(spark, texts):
 
 def test_empty_table(spark):
     assert bpe.digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_packing_has_the_ids_of_the_other_library():
+    """Packing takes its ids from the ranks where a text has no special token; they are those of its vocabulary file."""
+    from playtrace.llm import packing
+
+    held, r = packing.encoder(), random.Random(9)
+    texts = ["".join(r.choice(ALPHABET) for _ in range(r.randint(0, 40))) for _ in range(3000)]
+    texts += [f"a{chr(p)}b {chr(p)}1{chr(p)} {chr(p)}{chr(p)}!{chr(p)}" for p in [*range(1, 0x3400), *range(0xA000, 0xD800, 11), *range(0xF900, 0x11000), *range(0x1F300, 0x1FA00, 3)]]
+    for text in texts:
+        assert held.ids(text) == held.exact.encode(text, add_special_tokens=False).ids, text
