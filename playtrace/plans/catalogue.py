@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from playtrace.config import DAY_MS, GRAVEYARD_NOW, LOST_NOW
 from playtrace.functions import predicates as p
 from playtrace.functions.curves import rounded
-from playtrace.operators import eras, peaks, rollups, rules, scores, search, sequences, sessions
+from playtrace.operators import eras, library, peaks, rollups, rules, scores, search, sequences, sessions
 from playtrace.plans import era_statements, marts, pages, statements
 from playtrace.sources import history
 from playtrace.shared import shared_folder, written
@@ -93,7 +93,17 @@ def facets(spark: SparkSession, sf_dir: str) -> DataFrame:
     built = archive(spark, sf_dir)
     years = built.table("years").select(F.lit("year").alias("facet"), F.col("year").cast("string").alias("value"), F.lit(0).cast("long").alias("n"))
     top = built.table("artists").orderBy(F.desc("q_plays"), "artist_id").limit(200)
-    return years.unionByName(top.select(F.lit("artist").alias("facet"), F.col("artist_id").cast("string").alias("value"), F.col("q_plays").alias("n")))
+    return years.unionByName(top.select(F.lit("artist").alias("facet"), F.col("artist_id").cast("string").alias("value"), F.col("q_plays").alias("n"))).unionByName(_tag_facet(spark, sf_dir))
+
+
+def _tag_facet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sizes of parts as tags, with the number of parts that bear each."""
+    tags = table(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("int").alias("tag_id"), F.col("n_name").alias("name"))
+    return library.tag_usage(tags, _part_tags(spark, sf_dir)).select(F.lit("tag").alias("facet"), F.col("name").alias("value"), F.col("uses").alias("n"))
+
+
+def _part_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "part").filter("p_size > 10").select(F.col("p_partkey").alias("track_id"), (F.col("p_size") % 40).cast("int").alias("tag_id"))
 
 
 @query("g15_usage_counts")
@@ -415,8 +425,26 @@ def album_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("track_id", "plays", "ms_played").orderBy(F.desc("plays"), "track_id").limit(25)
 
 
+def on_library(name: str, limit: int = 60, **page: object) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        parts = table(spark, sf_dir, "part")
+        names = parts.select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("name"), F.col("p_brand").alias("artist"))
+        flags = parts.select(F.col("p_partkey").alias("track_id"), (F.col("p_size") % 2).alias("favorite"), (F.col("p_size") % 3).alias("retired"))
+        rows = names.join(archive(spark, sf_dir).table("tracks"), "track_id")
+        return library.listed(rows, flags, _part_tags(spark, sf_dir), **page).limit(limit).select("track_id", "name", "artist", "q_plays", "last_ts")
+
+    QUERIES[name] = run
+
+
+on_library("r19_library_plays", status="favorite", sort="q_plays", descending=True)
+on_library("r19_library_recent", status="tagged", sort="last_ts", descending=True)
+on_library("r19_library_first", status="untagged", sort="first_ts")
+on_library("r19_library_time", tag=12, sort="ms_played", descending=True)
+on_library("r19_library_artist", text="BLUE", status="retired", sort="artist")
+
+
 @query("r19_library")
-def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+def library_by_name(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks whose name holds a text in any case, by name."""
     stats = archive(spark, sf_dir).table("tracks")
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("track_id"), F.col("p_name").alias("name"))

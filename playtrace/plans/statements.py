@@ -175,6 +175,10 @@ _YEAR98 = "year = 1998"
 
 
 
+def _library(where: str, order: str) -> str:
+    return _with(f"SELECT track_id, p_name AS name, p_brand AS artist, q_plays, last_ts FROM tracks JOIN part ON p_partkey = track_id WHERE {where} ORDER BY {order}, track_id LIMIT 60", TRACKS)
+
+
 def _cumulated(key: str) -> str:
     return f"c AS (SELECT *, sum(n) OVER (PARTITION BY {key} ORDER BY year) AS upto, sum(n) OVER (PARTITION BY {key}) AS total, count(*) OVER (PARTITION BY {key}) AS years, row_number() OVER (PARTITION BY {key} ORDER BY year) AS i FROM y)"
 
@@ -209,7 +213,7 @@ STATEMENTS: dict[str, str] = {
     "g13_clock": _with(
         f"SELECT CAST(sum(plays) AS BIGINT) AS plays, CAST(sum(w) AS BIGINT) AS weekend_plays, CAST(sum(plays) - sum(w) AS BIGINT) AS weekday_plays, min_by(hour, struct_pack(a := -plays, b := hour)) AS peak_hour, {_round('sum(CASE WHEN hour < 5 THEN plays ELSE 0 END) / sum(plays)::DOUBLE')} AS after_midnight_share FROM (SELECT hour, CAST(sum(plays) AS BIGINT) AS plays, CAST(sum(CASE WHEN dow IN (0, 6) THEN plays ELSE 0 END) AS BIGINT) AS w FROM hours GROUP BY hour)", HOURS
     ),
-    "g14_facets": _with("SELECT DISTINCT 'year' AS facet, CAST(year AS VARCHAR) AS value, 0::BIGINT AS n FROM e UNION ALL (SELECT 'artist', CAST(artist_id AS VARCHAR), q_plays FROM artists ORDER BY q_plays DESC, artist_id LIMIT 200)", ARTISTS),
+    "g14_facets": _with("SELECT DISTINCT 'year' AS facet, CAST(year AS VARCHAR) AS value, 0::BIGINT AS n FROM e UNION ALL (SELECT 'artist', CAST(artist_id AS VARCHAR), q_plays FROM artists ORDER BY q_plays DESC, artist_id LIMIT 200) UNION ALL SELECT 'tag', n_name, (SELECT count(*) FROM part WHERE p_size > 10 AND p_size % 40 = n_nationkey) FROM nation", ARTISTS),
     "g15_usage_counts": "SELECT n_name, count(s_suppkey) AS uses FROM nation LEFT JOIN supplier ON s_nationkey = n_nationkey AND s_acctbal > 5000 GROUP BY n_name",
     "g16_joined_names": "SELECT n_regionkey, string_agg(n_name, ' | ' ORDER BY n_name) AS names FROM nation GROUP BY n_regionkey",
     "g17_session_averages": _with(f"SELECT count(*) AS sessions, {_round('avg(events)')} AS mean_events, {_round('avg(ms_played)')} AS mean_ms FROM sess", *SESSIONS),
@@ -334,6 +338,11 @@ STATEMENTS: dict[str, str] = {
         ARTISTS, _plays("artist"), GAPS, "y AS (SELECT *, count(*) OVER (PARTITION BY artist_id) AS held FROM (SELECT artist_id, year, count(*) AS n FROM e GROUP BY ALL) QUALIFY held >= 2)", _cumulated("artist_id"),
     ),
     "r17_album_detail": _with("SELECT track_id, count(*) AS plays, CAST(sum(ms_played) AS BIGINT) AS ms_played FROM a WHERE album_id = 'Brand#2|ECONOMY' GROUP BY track_id ORDER BY plays DESC, track_id LIMIT 25"),
+    "r19_library_plays": _library("p_size % 2 = 1", "q_plays DESC"),
+    "r19_library_recent": _library("p_size > 10", "last_ts DESC"),
+    "r19_library_first": _library("p_size <= 10", "first_ts"),
+    "r19_library_time": _library("p_size > 10 AND p_size % 40 = 12", "ms_played DESC"),
+    "r19_library_artist": _library("p_size % 3 = 1 AND (p_name ILIKE '%blue%' OR p_brand ILIKE '%blue%')", "lower(p_brand)"),
     "r19_library": _with("SELECT track_id, p_name AS name, q_plays FROM tracks JOIN part ON p_partkey = track_id WHERE p_name ILIKE '%RED%' ORDER BY lower(p_name), track_id LIMIT 100", TRACKS),
     "c01_rules_all": _with("SELECT id AS track_id, q_plays FROM ruled WHERE q_plays >= 20 AND 100.0::DOUBLE * skips / plays < 60 AND year(make_timestamp(first_ts * 1000)) BETWEEN 1990 AND 1996 AND favorite = 1", *_RULED),
     "c02_rules_any": _with(f"SELECT id AS track_id, q_plays FROM ruled WHERE ms_played / 60000.0::DOUBLE > 120 OR coalesce(peak_year, 0) = 1999 OR ({LOST_NOW} - last_ts) / {DAY_MS}.0::DOUBLE >= 900", *_RULED),
