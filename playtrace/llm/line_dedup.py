@@ -36,8 +36,10 @@ SPACE = r"[\x20\x09-\x0D]+"
 SET = ["k", "sig"]
 #: Words from which a line is long.
 LONG = 24
-#: A hot token is in the prefixes of more sets than this, and than one set in so many; its sets are compared in chunks of about so many.
-HOT, HOT_SHARE, CHUNK = 128, 256, 128
+#: A hot token is in the prefixes of more sets than HOT and than one set in HOT_SHARE, or of more than MOST_HOT whatever the table's size.
+HOT, HOT_SHARE, MOST_HOT = 128, 256, 4096
+#: Sets of a hot token are compared in chunks of about CHUNK; tokens of over CHUNKS chunks have larger ones, up to MOST_CHUNK.
+CHUNK, CHUNKS, MOST_CHUNK = 128, 64, 1024
 
 
 def rarity(docs: DataFrame, text: str) -> tuple[Column, float]:
@@ -201,16 +203,20 @@ def tallied(hot: DataFrame, members: DataFrame) -> DataFrame:
     """(k, sig, earliest, links) of all links between sets that share a hot token, compared in blocks.
 
     ``hot`` has (token, sets); ``members`` (token, k, sig, sig1, sig2, n, first, items, hots), hots being the sorted hot
-    tokens of the set's prefix. The sets of a token are dealt to chunks of about CHUNK by their hash, and each pair of chunks
-    is one row, in which every set of one chunk is compared with every set of the other: links are counted there, and no row
-    is made for a pair. A pair counts at the least hot token that it shares.
+    tokens of the set's prefix. The sets of a token are dealt to chunks by their hash, and each pair of chunks is one row, in
+    which every set of one chunk is compared with every set of the other: links are counted there, and no row is made for a
+    pair. The pairs of chunks are numbered before any set joins them, so that those of one token spread over tasks. A pair
+    counts at the least hot token that it shares.
     """
-    chunks = F.ceil(F.col("sets") / CHUNK)
+    size = F.least(F.greatest(F.col("sets") / CHUNKS, F.lit(CHUNK)), F.lit(MOST_CHUNK))
+    chunks = F.ceil(F.col("sets") / size).cast("int")
     dealt = members.join(hot, "token").withColumn("chunk", F.pmod(F.xxhash64(*SET), chunks).cast("int"))
-    sides = dealt.groupBy("token", "chunk", "sets").agg(F.collect_list(F.struct(*SET, "sig1", "sig2", "n", "first", "items", "hots", F.get("hots", F.lit(0)).alias("least"))).alias("side"))
+    sides = dealt.groupBy("token", "chunk").agg(F.collect_list(F.struct(*SET, "sig1", "sig2", "n", "first", "items", "hots", F.get("hots", F.lit(0)).alias("least"))).alias("side"))
     sides = written(sides, "hot-chunks")
     other = sides.select("token", F.col("chunk").alias("o_chunk"), F.col("side").alias("o_side"))
-    pairs = sides.join(other, "token").filter("chunk <= o_chunk").repartition(F.col("token"), F.col("chunk"), F.col("o_chunk"))
+    numbered = hot.select("token", chunks.alias("chunks")).select("token", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    numbered = numbered.repartition(F.col("token"), F.col("chunk")).select("token", "chunk", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("o_chunk"))
+    pairs = numbered.repartition(F.col("token"), F.col("chunk"), F.col("o_chunk")).join(sides, ["token", "chunk"]).join(other, ["token", "o_chunk"])
 
     def alike(a: Column, b: Column) -> Column:
         """Whether the bitmaps allow a match: its sets differ in a ninth of their words at most."""
@@ -264,10 +270,11 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool
 def every_link(found: DataFrame, rows: DataFrame, most: float) -> DataFrame:
     """(k, sig, earliest, links) over all links. Hot tokens are compared in blocks, others by a join; ``most`` is as from ``rarity``.
 
-    A token is hot that is in the prefixes of over HOT sets and of one set in HOT_SHARE, so that few tokens ever are.
+    A token is hot that is in the prefixes of over HOT sets and of one set in HOT_SHARE, so that few tokens of a small table
+    are; the bound never exceeds MOST_HOT, so that no token of a large one has more than MOST_HOT^2 / 2 pairs in a task.
     """
     posts = postings(found)
-    least = max(HOT, found.count() // HOT_SHARE)
+    least = min(MOST_HOT, max(HOT, found.count() // HOT_SHARE))
     # a bucket of words has at least as many as its token has sets, so tokens of rarer classes can't be hot
     frequent = posts.filter(F.col("token") >= (min(15, int(16 * math.log2(least + 1) / most)) << HASH_BITS))
     hot = written(frequent.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > least), "hot-tokens")

@@ -245,9 +245,11 @@ def test_deduped_equals_report(spark):
         assert r["text"] == want
 
 
-def test_lines_that_share_hot_tokens_are_linked_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(line_dedup, "HOT", 3)
-    monkeypatch.setattr(line_dedup, "CHUNK", 4)
+@pytest.mark.parametrize("bound", [{"HOT": 3, "CHUNK": 4}, {"MOST_HOT": 3, "CHUNK": 2, "CHUNKS": 5, "MOST_CHUNK": 4}])
+def test_lines_that_share_hot_tokens_are_linked_in_blocks(spark, monkeypatch, bound):
+    """A token is hot by the table's share of sets, and by MOST_HOT at any size of the table."""
+    for name, value in bound.items():
+        monkeypatch.setattr(line_dedup, name, value)
     base = [f"w{i}" for i in range(20)]
     texts = [" ".join(base[: j % 20] + [f"x{j}"] + base[j % 20 + 1 :]) for j in range(30)] + [" ".join(base), "a b c d", "a b c d e", "a b c d f"]
     sets = [frozenset(t.split()) for t in texts]
