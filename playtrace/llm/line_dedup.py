@@ -65,15 +65,14 @@ def hashes(line: Column) -> Column:
     return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
-def token(word: Column, classes: Column) -> Column:
-    """Rarity class above, hash below, in one long."""
-    h = F.xxhash64(word)
+def token(h: Column, classes: Column) -> Column:
+    """Rarity class above, hash below, in one long, of a word's hash."""
     return F.shiftleft(F.get(classes, h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
 
 def tokens(line: Column, classes: Column) -> Column:
     """The sorted distinct tokens of a line's words, the rarest first."""
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: token(w, classes))), token(F.lit(""), classes)))
+    return F.sort_array(F.transform(hashes(line), lambda h: token(h, classes)))
 
 
 def parity(items: Column, one) -> Column:
@@ -82,9 +81,9 @@ def parity(items: Column, one) -> Column:
 
 
 def bitmaps(items: Column) -> list[Column]:
-    """One bitmap of all tokens; for long lines, which fill it, two more of the tokens with and without bit 6."""
-    halves = [F.when(F.size(items) >= LONG, parity(items, lambda x, half=half: (x.bitwiseAND(64) == half).cast("long"))).otherwise(0) for half in (0, 64)]
-    return [parity(items, lambda x: F.lit(1).cast("long")).alias("sig"), *(h.cast("long").alias(f"sig{j}") for j, h in enumerate(halves, 1))]
+    """One bitmap of all tokens; for long lines, which fill it, one more of the tokens without bit 6. The two differ in that of the tokens with bit 6."""
+    half = F.when(F.size(items) >= LONG, parity(items, lambda x: (x.bitwiseAND(64) == 0).cast("long"))).otherwise(F.lit(0).cast("long"))
+    return [parity(items, lambda x: F.lit(1).cast("long")).alias("sig"), half.alias("sig1")]
 
 
 def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -106,12 +105,12 @@ def sets(rows: DataFrame, classes: Column, ends: bool) -> DataFrame:
         "id", "th", "line", *[x.alias(name) for name, x in more.items()], F.xxhash64("items").alias("k"), *bitmaps(F.col("items")), n.alias("n"),
         F.slice("items", F.lit(1), n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1).alias("prefix"),
     )
-    return measured.groupBy(*SET).agg(*[F.min(x).alias(x) for x in ("n", "sig1", "sig2", *more)], F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("lines"), F.min(F.struct("id", "th", "line")).alias("first"))
+    return measured.groupBy(*SET).agg(*[F.min(x).alias(x) for x in ("n", "sig1", *more)], F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("lines"), F.min(F.struct("id", "th", "line")).alias("first"))
 
 
 def postings(found: DataFrame, *more: str) -> DataFrame:
-    """(token, at, k, sig, sig1, sig2, n, more): the prefix of each set that can match another; one of under DEN - 1 words can't."""
-    return found.filter(F.col("n") >= DEN - 1).select(*SET, "sig1", "sig2", "n", *more, F.posexplode("prefix").alias("at", "token"))
+    """(token, at, k, sig, sig1, n, more): the prefix of each set that can match another; one of under DEN - 1 words can't."""
+    return found.filter(F.col("n") >= DEN - 1).select(*SET, "sig1", "n", *more, F.posexplode("prefix").alias("at", "token"))
 
 
 def candidates(index: DataFrame, both_closed: Column | None = None) -> DataFrame:
@@ -142,15 +141,15 @@ def near(a: Callable[[str], Column], b: Callable[[str], Column]) -> Column:
     """Whether lengths and bitmaps allow a match; ``a`` and ``b`` give a side's values by name."""
     na, nb = a("n"), b("n")
     most = na + nb - 2 * need(na, nb)
-    apart = {x: F.bit_count(a(x).bitwiseXOR(b(x))) for x in ("sig", "sig1", "sig2")}
-    # the further bitmaps of a long and a short line tell nothing
-    return (na * NUM <= nb * DEN) & (nb * NUM <= na * DEN) & (apart["sig"] <= most) & ((F.least(na, nb) < LONG) | (apart["sig1"] + apart["sig2"] <= most))
+    whole, half = (a(x).bitwiseXOR(b(x)) for x in ("sig", "sig1"))
+    # the halves of a long and a short line tell nothing
+    return (na * NUM <= nb * DEN) & (nb * NUM <= na * DEN) & (F.bit_count(whole) <= most) & ((F.least(na, nb) < LONG) | (F.bit_count(half) + F.bit_count(whole.bitwiseXOR(half)) <= most))
 
 
 def first_candidates(found: DataFrame) -> DataFrame:
     """Each set (a) with the earliest and the most frequent set (b) of those with the same least or greatest hash, if it is earlier and can match: four pairs a set at most."""
-    blocks = found.select(*SET, "sig1", "sig2", "n", "lines", F.col("first").alias("place"), F.explode(F.array("lo", "hi")).alias("block"))
-    leader = F.struct("place", *SET, "sig1", "sig2", "n")
+    blocks = found.select(*SET, "sig1", "n", "lines", F.col("first").alias("place"), F.explode(F.array("lo", "hi")).alias("block"))
+    leader = F.struct("place", *SET, "sig1", "n")
     leaders = F.array(F.min(leader), F.min(F.struct(-F.col("lines"), leader.alias("l")))["l"])
     first = blocks.groupBy("block").agg(leaders.alias("f")).select("block", F.explode(F.array_distinct("f")).alias("f")).select("block", "f.*")
     pairs = blocks.alias("a").join(first.alias("b"), (F.col("a.block") == F.col("b.block")) & (F.col("b.place") < F.col("a.place")) & near(side("a"), side("b")))
@@ -202,7 +201,7 @@ def ended(links: DataFrame, found: DataFrame) -> DataFrame:
 def tallied(hot: DataFrame, members: DataFrame) -> DataFrame:
     """(k, sig, earliest, links) of all links between sets that share a hot token, compared in blocks.
 
-    ``hot`` has (token, sets); ``members`` (token, k, sig, sig1, sig2, n, first, items, hots), hots being the sorted hot
+    ``hot`` has (token, sets); ``members`` (token, k, sig, sig1, n, first, items, hots), hots being the sorted hot
     tokens of the set's prefix. The sets of a token are dealt to chunks by their hash, and each pair of chunks is one row, in
     which every set of one chunk is compared with every set of the other: links are counted there, and no row is made for a
     pair. The pairs of chunks are numbered before any set joins them, so that those of one token spread over tasks. A pair
@@ -211,7 +210,7 @@ def tallied(hot: DataFrame, members: DataFrame) -> DataFrame:
     size = F.least(F.greatest(F.col("sets") / CHUNKS, F.lit(CHUNK)), F.lit(MOST_CHUNK))
     chunks = F.ceil(F.col("sets") / size).cast("int")
     dealt = members.join(hot, "token").withColumn("chunk", F.pmod(F.xxhash64(*SET), chunks).cast("int"))
-    sides = dealt.groupBy("token", "chunk").agg(F.collect_list(F.struct(*SET, "sig1", "sig2", "n", "first", "items", "hots", F.get("hots", F.lit(0)).alias("least"))).alias("side"))
+    sides = dealt.groupBy("token", "chunk").agg(F.collect_list(F.struct(*SET, "sig1", "n", "first", "items", "hots", F.get("hots", F.lit(0)).alias("least"))).alias("side"))
     sides = written(sides, "hot-chunks")
     other = sides.select("token", F.col("chunk").alias("o_chunk"), F.col("side").alias("o_side"))
     numbered = hot.select("token", chunks.alias("chunks")).select("token", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
@@ -288,7 +287,7 @@ def every_link(found: DataFrame, rows: DataFrame, most: float) -> DataFrame:
     release(found.sparkSession)
     out = ended(links, found)
     if not hot.isEmpty():
-        members = held.join(marked, SET).join(found.select(*SET, "sig1", "sig2", "n", "first"), SET).withColumn("token", F.explode("hots"))
+        members = held.join(marked, SET).join(found.select(*SET, "sig1", "n", "first"), SET).withColumn("token", F.explode("hots"))
         out = out.union(written(tallied(hot, members), "hot-links").select(*out.columns))
     return out.groupBy(*SET).agg(F.min("earliest").alias("earliest"), F.sum("links").alias("links"))
 
