@@ -37,9 +37,9 @@ SET = ["k", "sig"]
 #: Words from which a line is long.
 LONG = 24
 #: A hot token is in the prefixes of more sets than HOT and than one set in HOT_SHARE, or of more than MOST_HOT whatever the table's size.
-HOT, HOT_SHARE, MOST_HOT = 128, 256, 4096
+HOT, HOT_SHARE, MOST_HOT = 128, 256, 8192
 #: Sets of a hot token are compared in chunks of about CHUNK; tokens of over CHUNKS chunks have larger ones, up to MOST_CHUNK.
-CHUNK, CHUNKS, MOST_CHUNK = 128, 64, 1024
+CHUNK, CHUNKS, MOST_CHUNK = 128, 16, 1024
 
 
 def rarity(docs: DataFrame, text: str) -> tuple[Column, float]:
