@@ -47,6 +47,10 @@ PARITIES = 16
 SUMS = [f"p{j}" for j in range(PARITIES)]
 #: A leader is tried first only up to this many; a pair beyond is left to the comparison of what remains.
 LIKELY = 32
+#: About so many pairs of one text are verified in one task, and so many nodes of one bucket compared with the rest of it; others go to further slices.
+PAIR_SLICE, BUCKET_SLICE = 512, 512
+#: Keys over which the pairs of one text are spread to learn its number of slices.
+SALTS = 64
 
 
 def bag(words: textops.Words, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -247,6 +251,29 @@ def _led(members: DataFrame, order, more=None) -> DataFrame:
     return best.select(F.least("a", "x.b").alias("a"), F.greatest("a", "x.b").alias("b")).distinct()
 
 
+def with_texts(pairs: DataFrame, held: DataFrame) -> DataFrame:
+    """(a, b, text_a, text_b) of pairs (a, b) whose nodes have a text in ``held``.
+
+    A text in more than PAIR_SLICE pairs, such as a leader's, is copied once for each slice of about as many of them, so that
+    its pairs spread over tasks.
+    """
+    node = F.explode(F.array("a", "b")).alias("node")
+    hot = written(pairs.select(node).groupBy("node").agg(F.ceil(F.count(F.lit(1)) / PAIR_SLICE).cast("int").alias("slices")).filter("slices > 1"), "hot-texts")
+    plain = hot.isEmpty()
+    texts = held.select("node", "text", F.lit(0).alias("slice")) if plain else held.join(hot, "node", "left").select("node", "text", F.explode(F.sequence(F.lit(0), F.coalesce("slices", F.lit(1)) - 1)).alias("slice"))
+    for x, other in ("ab", "ba"):
+        if plain:
+            pairs = pairs.withColumn(f"slice_{x}", F.lit(0))
+            continue
+        told = hot.select(F.col("node").alias(x), "slices", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+        salted = pairs.withColumn("salt", F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")).join(told, [x, "salt"], "left")
+        # hashed with another seed than the salt, so that a salt's pairs spread over all slices
+        pairs = salted.withColumn(f"slice_{x}", F.coalesce(F.pmod(F.xxhash64(other, F.lit(1)), "slices").cast("int"), F.lit(0))).drop("salt", "slices")
+    for x in "ab":
+        pairs = pairs.join(texts.select(F.col("node").alias(x), F.col("slice").alias(f"slice_{x}"), F.col("text").alias(f"text_{x}")), [x, f"slice_{x}"])
+    return pairs.select("a", "b", "text_a", "text_b")
+
+
 def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
     """(node, root) of all nodes in links, or None. ``prints``: one row per node; ``texts``: (node, text), repeats allowed.
 
@@ -265,8 +292,7 @@ def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
     def check(pairs: DataFrame, name: str) -> None:
         nonlocal roots
         pairs = written(pairs, name)
-        joined = pairs.join(held.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a").join(held.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
-        links = written(similarities(joined).filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links")
+        links = written(similarities(with_texts(pairs, held)).filter(F.col("similarity") >= SIMILARITY).select("a", "b"), "near-links")
         if not links.isEmpty():
             roots = contracted(links, roots)
         discard(pairs, links)
@@ -294,11 +320,14 @@ def link_nodes(prints: DataFrame, texts: DataFrame) -> DataFrame | None:
     discard(left)
     # of each bucket's components the one with most nodes is only compared with the others
     sizes = open_.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("k"))
-    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots")).filter("roots > 1").select("bucket", F.col("x.root").alias("main"))
+    largest = sizes.groupBy("bucket").agg(F.max(F.struct("k", "root")).alias("x"), F.count(F.lit(1)).alias("roots"), F.sum("k").alias("all")).filter("roots > 1").select("bucket", F.col("x.root").alias("main"), F.ceil(F.col("all") / BUCKET_SLICE).cast("int").alias("slices"))
     inner = written(open_.join(largest, "bucket"), "rest-buckets")
     discard(open_)
     once = (F.col("i.root") == F.col("i.main")) | (F.col("o.node") < F.col("i.node"))
-    rest = inner.filter("root <> main").alias("o").join(inner.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= MOST_DIFFERENT) & may & once)
+    # one side of a bucket is dealt to slices, the other meets every slice
+    dealt = inner.filter("root <> main").withColumn("slice", F.pmod(F.xxhash64("node"), "slices").cast("int"))
+    whole = inner.withColumn("slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)))
+    rest = dealt.alias("o").join(whole.alias("i"), (F.col("o.bucket") == F.col("i.bucket")) & (F.col("o.slice") == F.col("i.slice")) & (F.col("o.root") != F.col("i.root")) & (different("o", "i") <= MOST_DIFFERENT) & may & once)
     check(rest.select(F.least("o.node", "i.node").alias("a"), F.greatest("o.node", "i.node").alias("b")).distinct(), "rest-pairs")
     discard(inner, held)
     return roots

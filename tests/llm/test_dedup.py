@@ -38,7 +38,11 @@ def variants(seed=3, n_texts=12, n_copies=6):
     return out
 
 
-def test_near_classes_equal_brute_force(spark):
+@pytest.mark.parametrize("slices", [{}, {"PAIR_SLICE": 1, "BUCKET_SLICE": 1, "SALTS": 2}, {"PAIR_SLICE": 3, "BUCKET_SLICE": 2, "ROUNDS": 0}])
+def test_near_classes_equal_brute_force(spark, monkeypatch, slices):
+    """Also with texts and buckets dealt to many slices."""
+    for name, value in slices.items():
+        monkeypatch.setattr(near_dup, name, value)
     texts = [*variants(), "same text", "same text", "", "", None, None, "a b", "a b c d e", "#! ?"]
     got = {r["doc_id"]: r["class_id"] for r in near_dup.classes(table(spark, texts)).collect()}
     parent = list(range(len(texts)))
@@ -59,6 +63,17 @@ def test_near_classes_equal_brute_force(spark):
     assert got == {i: root(i) for i in range(len(texts))}
 
 
+@pytest.mark.parametrize("most", [1, 4, 100])
+def test_pairs_meet_their_texts_once_however_hot_one_is(spark, monkeypatch, most):
+    monkeypatch.setattr(near_dup, "PAIR_SLICE", most)
+    name = lambda i: bytes([i])
+    pairs = [(name(0), name(i)) for i in range(1, 30)] + [(name(i), name(40)) for i in range(1, 20)] + [(name(41), name(42)), (name(1), name(99))]
+    texts = [(name(i), f"text {i}") for i in range(60)]
+    got = near_dup.with_texts(spark.createDataFrame(pairs, "a binary, b binary"), spark.createDataFrame(texts, "node binary, text string")).collect()
+    # the last pair has a node without a text
+    assert sorted((bytes(r["a"]), bytes(r["b"]), r["text_a"], r["text_b"]) for r in got) == sorted((a, b, f"text {a[0]}", f"text {b[0]}") for a, b in pairs[:-1])
+
+
 def signed(texts):
     words = textops.words_of(pa.array(texts, pa.string()))
     return near_dup.signatures(words.n_texts, *near_dup.bag(words, words.hashes()))
