@@ -123,10 +123,31 @@ def candidates(index: DataFrame, both_closed: Column | None = None) -> DataFrame
     reach = F.least(ia, ib) + F.least(na - ia, nb - ib) >= need(na, nb)
     # the test that most pairs fail stands first
     alike = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) * (NUM + DEN) <= (na + nb) * (DEN - NUM)
-    pairs = a.join(b, (F.col("a.token") == F.col("b.token")) & alike & ordered & near(side("a"), side("b")) & reach & (F.lit(True) if both_closed is None else ~both_closed))
+    same = F.col("a.token") == F.col("b.token")
+    if "cell" in index.columns:
+        # two sets of one chunk meet in all cells of it, and count in that of the chunk with itself
+        same = same & (F.col("a.cell") == F.col("b.cell")) & ((F.col("a.chunk") != F.col("b.chunk")) | (F.col("a.cell.lo") == F.col("a.cell.hi")))
+    pairs = a.join(b, same & alike & ordered & near(side("a"), side("b")) & reach & (F.lit(True) if both_closed is None else ~both_closed))
     return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
 
 
+def frequent(posts: DataFrame, least: int, most: float) -> DataFrame:
+    """The postings of tokens that can have over ``least``: a bucket of words has at least as many as its token has sets, so tokens of rarer classes can't."""
+    return posts.filter(F.col("token") >= (min(15, int(16 * math.log2(least + 1) / most)) << HASH_BITS))
+
+
+def hot_tokens(posts: DataFrame, least: int) -> DataFrame:
+    """(token, sets) of tokens with over ``least`` postings."""
+    return posts.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > least)
+
+
+def celled(index: DataFrame, hot: DataFrame) -> DataFrame:
+    """``index`` with a chunk and a cell: the sets of a hot token are dealt to chunks of about MOST_HOT, and each is in a cell for every chunk that it is compared with."""
+    chunks = F.coalesce(F.ceil(F.col("sets") / MOST_HOT), F.lit(1)).cast("int")
+    dealt = index.join(hot, "token", "left").withColumn("chunk", F.pmod(F.xxhash64(*SET), chunks).cast("int")).withColumn("o_chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return dealt.withColumn("cell", F.struct(F.least("chunk", "o_chunk").alias("lo"), F.greatest("chunk", "o_chunk").alias("hi"))).drop("sets", "o_chunk")
+
+
 def need(na: Column, nb: Column) -> Column:
     """The least overlap of matching sets: (na + nb) * NUM / (NUM + DEN), in whole numbers."""
     return F.floor(((na + nb) * NUM + NUM + DEN - 1) / (NUM + DEN))
@@ -243,6 +264,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool
 
     All links with ``every``; otherwise as many as tell which sets have an earlier match: each set is first compared with
     the earliest and the most frequent of those with its least or greatest hash, and two sets that both have an earlier match are left unpaired.
+    The sets of a token in over MOST_HOT prefixes are then joined by cells, so that no task has more than a cell's pairs.
     """
     rows = keyed(docs, key, text)
     classes, most = rarity(rows, "text")
@@ -263,6 +285,8 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool
     links = checked(first_candidates(found))
     done = written(links.select(F.col("a_k").alias("k"), F.col("a_sig").alias("sig"), F.lit(True).alias("closed")).distinct(), "line-matched")
     index = postings(found.join(done, SET, "left").withColumn("closed", F.coalesce("closed", F.lit(False))), "closed")
+    hot = written(hot_tokens(frequent(index, MOST_HOT, most), MOST_HOT), "hot-tokens")
+    index = index if hot.isEmpty() else celled(index, hot)
     return found, ended(links.union(checked(candidates(index, F.col("a.closed") & F.col("b.closed")))), found)
 
 
@@ -274,12 +298,11 @@ def every_link(found: DataFrame, rows: DataFrame, most: float) -> DataFrame:
     """
     posts = postings(found)
     least = min(MOST_HOT, max(HOT, found.count() // HOT_SHARE))
-    # a bucket of words has at least as many as its token has sets, so tokens of rarer classes can't be hot
-    frequent = posts.filter(F.col("token") >= (min(15, int(16 * math.log2(least + 1) / most)) << HASH_BITS))
-    hot = written(frequent.groupBy("token").agg(F.count(F.lit(1)).alias("sets")).filter(F.col("sets") > least), "hot-tokens")
+    often = frequent(posts, least, most)
+    hot = written(hot_tokens(often, least), "hot-tokens")
     pairs = written(candidates(posts.join(hot, "token", "left_anti")), "line-pairs")
     release(found.sparkSession)
-    marked = written(frequent.join(hot.select("token"), "token").groupBy(*SET).agg(F.sort_array(F.collect_list("token")).alias("hots")), "hot-sets")
+    marked = written(often.join(hot.select("token"), "token").groupBy(*SET).agg(F.sort_array(F.collect_list("token")).alias("hots")), "hot-sets")
     held = items_of(ends(pairs).union(marked.select(*SET)).distinct(), found, rows)
     named = held.join(marked, SET, "left")
     links = written(verified(pairs, named), "line-links")

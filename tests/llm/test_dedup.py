@@ -250,10 +250,15 @@ def test_later_occurrences_go(spark):
     assert passages.without_later(docs).columns == docs.columns
 
 
-def test_deduped_equals_report(spark):
+@pytest.mark.parametrize("most_hot", [1, 4, 8192])
+def test_deduped_equals_report(spark, monkeypatch, most_hot):
+    """Also with the sets of a token dealt to cells: at 1 and 4 nearly all of them are."""
+    monkeypatch.setattr(line_dedup, "MOST_HOT", most_hot)
     texts = [*some_lines(seed=11, n=80), None, ""]
+    want = lines_kept(texts)[0]
     docs = table(spark, texts)
     kept = {r["doc_id"]: set(r["kept"]) for r in line_dedup.line_report(docs).collect()}
+    assert kept == {i: set(x[0]) for i, x in want.items()}
     for r in line_dedup.deduped(docs).collect():
         text = texts[r["doc_id"]]
         want = None if text is None else "\n".join(x for j, x in enumerate(text.split("\n")) if j in kept[r["doc_id"]] or not x.split())
@@ -274,6 +279,17 @@ def test_lines_that_share_hot_tokens_are_linked_in_blocks(spark, monkeypatch, bo
     assert got == {i: (links[i], int(any(len(sets[i] & b) * 9 >= (len(sets[i]) + len(b)) * 4 for b in sets[:i]))) for i in range(len(texts))}
 
 
+def test_pairs_of_cells_are_the_pairs(spark, monkeypatch):
+    """Each candidate pair of the plain join comes from exactly one cell."""
+    monkeypatch.setattr(line_dedup, "MOST_HOT", 3)
+    rows = line_dedup.keyed(table(spark, some_lines(seed=8, n=40)), "doc_id", "text")
+    index = line_dedup.postings(line_dedup.sets(rows, line_dedup.rarity(rows, "text")[0], False))
+    cells = line_dedup.celled(index, line_dedup.hot_tokens(index, 3))
+    assert cells.count() > index.count()
+    names = lambda x: sorted(map(tuple, line_dedup.candidates(x).collect()))
+    assert names(cells) == names(index) != []
+
+
 def test_parities_never_exceed_the_difference_of_two_multisets():
     rng = np.random.default_rng(5)
     for _ in range(50):
