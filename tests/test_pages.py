@@ -1,5 +1,7 @@
 """Pages and small operators on rows that tell near definitions apart."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -117,3 +119,25 @@ def test_library_tables(spark):
     assert [(r.kind, r.name, r.secondary) for r in library.notes_with_subjects(notes, subjects).collect()] == [("album", "Disc", "Band"), ("track", None, None), ("artist", "Band", None)]
     tags = spark.createDataFrame([(1, "Love"), (2, "Night")], "tag_id int, name string")
     assert {r.tag_id: r.uses for r in library.tag_usage(tags, spark.createDataFrame([(7, 1), (7, 1), (8, 1)], "track_id int, tag_id int")).collect()} == {1: 2, 2: 0}
+
+
+def test_cosine_pairs_by_cells_equal_all_pairs(spark):
+    """Several chunks and blocks of queries; copies, vectors of zeros, nulls, other lengths and NaN."""
+    from random import Random
+
+    from playtrace.plans.catalogue import similar
+
+    r = Random(7)
+    rows = [(i, [r.gauss(0, 1) for _ in range(8)]) for i in range(700)]
+    rows = [(i, rows[50][1]) if i % 90 == 0 else (i, x) for i, x in rows] + [(700, [0.0] * 8), (750, None), (751, [None] * 8), (800, [1.0] * 5), (801, [2.0] * 5), (850, [float("nan")] * 8), (900, [])]
+    got = {(x.query_id, x.vec_id): x.cosine for x in similar(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), 0.25, 8).collect()}
+
+    def unit(x):
+        n = math.sqrt(sum(v * v for v in x))
+        return [v / n for v in x]
+
+    held = [(i, unit(x)) for i, x in rows if x and None not in x and any(x)]
+    want = {(i, j): sum(a * b for a, b in zip(x, y, strict=True)) for i, x in held if i % 50 == 0 for j, y in held if i != j and len(x) == len(y)}
+    want = {k: c for k, c in want.items() if not c < 0.25}
+    assert set(got) == set(want) and len(want) > 1000
+    assert all(math.isnan(c) or abs(c - got[k]) < 1e-6 for k, c in want.items())
