@@ -204,3 +204,46 @@ def test_folded_sequences_sort_plays_once_and_spread_one_entity(spark):
     plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
     assert len(re.findall(r"\bSort \[.*ts_ms", plan)) == 1
     assert "ShuffledHashJoin" in plan
+
+
+@pytest.mark.parametrize("days", [(7,), (30, 400)])
+def test_folded_sequences_of_large_and_small_entities(spark, days):
+    """Entities with over 100 plays lie in blocks, the others whole, and both as if they lay whole."""
+    r = random.Random(sum(days))
+    plays = [(k, r.randrange(1500) * DAY_MS // 2) for k in range(4) for _ in range((1, 5, 120, 400)[k])]
+    df = spark.createDataFrame(plays + plays[-60:], "id int, ts_ms long")
+    whole = sorted(map(str, sequences.folded(df, days, (5, 100)).collect()))
+    assert sorted(map(str, sequences.folded(df, days, (5, 100), most=100).collect())) == whole
+    assert sorted(map(str, sequences.folded(df, days, (5, 100), most=0).collect())) == whole
+
+
+@pytest.mark.parametrize("rows", [some_rows(300), []], ids=["some", "none"])
+def test_marts_on_demand(spark, tmp_path, rows):
+    """Only what is read is derived, and equals a full rebuild's; an update completes the folds."""
+    rows = list({(x[0], x[1], x[2], x[4], x[8]): x for x in rows}.values())
+    bare = spark.createDataFrame(rows, SCHEMA)
+    whole = marts.rebuild(calendar(bare), str(tmp_path / "whole"), NOW, NOW, LOOSE)
+    a = marts.rebuild(bare, str(tmp_path / "lazy"), NOW, NOW, LOOSE, parts=calendar, on_demand=True)
+    made = lambda: {x.name for x in (tmp_path / "lazy" / "marts").glob("*/*") if not x.name.startswith(".")}
+    assert made() == set() and not (tmp_path / "lazy" / "by_day").exists()
+    assert rows_of(a, "owned") == rows_of(whole, "owned") and made() == {"by_day", "owned"}
+    a = marts.opened(spark, str(tmp_path / "lazy"))
+    for name in MARTS:
+        assert rows_of(a, name) == rows_of(whole, name), name
+    assert pages.track_points(a, 1).count() == pages.track_points(whole, 1).count() and made() == {*MARTS, "by_day", "by_hour"}
+    for name in ("by_day", "by_hour"):
+        assert sorted(map(str, a.by_month(name, {"1970-02"}).collect())) == sorted(map(str, whole.by_month(name, {"1970-02"}).collect()))
+    late = events(spark, [(500 * DAY_MS + 1, 3, 1, "x", 40_000, None, None, False, 0)])
+    b, c = marts.updated(a, late, IDENTITY, s=LOOSE), marts.updated(whole, late, IDENTITY, s=LOOSE)
+    for name in ("tracks", "hours", "sequence_track", "lost"):
+        assert rows_of(b, name) == rows_of(c, name), name
+
+
+def test_folds_are_dealt_once(spark, tmp_path):
+    a = marts.rebuild(events(spark, some_rows(80)), str(tmp_path), NOW, NOW)
+    for fold in (marts.by_day, marts.by_hour):
+        df = fold(a.events)
+        df.collect()
+        assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[1].count("Exchange") == 1
+    df = marts.track_stats(a.by_month("by_day"), spark.createDataFrame([], "track_id long, recent_plays long"))
+    assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2, "the days, and the recent plays"
