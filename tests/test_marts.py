@@ -239,11 +239,20 @@ def test_marts_on_demand(spark, tmp_path, rows):
         assert rows_of(b, name) == rows_of(c, name), name
 
 
-def test_folds_are_dealt_once(spark, tmp_path):
+def test_tasks_of_folds_grow_with_the_rows(spark, monkeypatch):
+    e = events(spark, some_rows(200))
+    want = [sorted(map(str, fold(e).collect())) for fold in (marts.by_day, marts.by_hour)]
+    monkeypatch.setattr(marts, "TASK_ROWS", 20)
+    assert [sorted(map(str, fold(e).collect())) for fold in (marts.by_day, marts.by_hour)] == want
+    assert [fold(e).rdd.getNumPartitions() for fold in (marts.by_day, marts.by_hour)] == [10, 10]
+
+
+def test_folds_are_dealt_once(spark, tmp_path, monkeypatch):
     a = marts.rebuild(events(spark, some_rows(80)), str(tmp_path), NOW, NOW)
     for fold in (marts.by_day, marts.by_hour):
         df = fold(a.events)
         df.collect()
         assert df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[1].count("Exchange") == 1
+    monkeypatch.setattr(marts, "TASK_ROWS", 8)
     df = marts.track_stats(a.by_month("by_day"), spark.createDataFrame([], "track_id long, recent_plays long"))
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2, "the days, and the recent plays"
