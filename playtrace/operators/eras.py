@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.config import DEFAULTS, Settings
+from playtrace.operators.rollups import tasks_of
 from playtrace.operators.sequences import month_number
 
 MONTHS = 12
@@ -135,9 +136,11 @@ def title(first: F.col, second: F.col, share1, share2, months, start, end):
     )
 
 
-def _leading(found: DataFrame, months: DataFrame, key: str, order: list, most: int = 8) -> DataFrame:
-    """(listener, era, key, name, ms_played, q_plays, rn) of the entities that lead each era."""
+def _leading(found: DataFrame, months: DataFrame, key: str, order: list, most: int = 8, dealt: bool = False) -> DataFrame:
+    """(listener, era, key, name, ms_played, q_plays, rn) of the entities that lead each era. Many entities are ``dealt`` to bounded tasks."""
     inside = months.join(found.select("listener", "era", "start_ym", "end_ym"), "listener").filter((F.col("ym") >= F.col("start_ym")) & (F.col("ym") <= F.col("end_ym")))
+    if dealt:
+        inside = inside.select("listener", "era", key, "ms_played", "q_plays").repartition(tasks_of(months), "listener", key)
     by = inside.groupBy("listener", "era", key).agg(F.sum("ms_played").alias("ms_played"), F.sum("q_plays").alias("q_plays"))
     ranked = by.withColumn("rn", F.row_number().over(Window.partitionBy("listener", "era").orderBy(*order, key))).filter(F.col("rn") <= most)
     return ranked.withColumn("name", F.col(key).cast("string"))
@@ -163,7 +166,7 @@ def era_measures(found: DataFrame, artists: DataFrame, tracks: DataFrame, names:
     leaders = lead.groupBy(*era).agg(
         F.array_sort(F.collect_list(F.struct("rn", "name"))).alias("leaders"), *[F.max(F.when(F.col("rn") == i, share)).alias(f"share{i}") for i in (1, 2)], *[F.max(F.when(F.col("rn") == i, F.col("name"))).alias(f"name{i}") for i in (1, 2)]
     )
-    heard = _leading(found, tracks, "track_id", [F.desc("q_plays")]).groupBy(*era).agg(F.array_sort(F.collect_list(F.struct("rn", "name"))).alias("tracks"))
+    heard = _leading(found, tracks, "track_id", [F.desc("q_plays")], dealt=True).groupBy(*era).agg(F.array_sort(F.collect_list(F.struct("rn", "name"))).alias("tracks"))
     named = found.join(totals, era).join(leaders, era).join(heard, era).join(new, era, "left")
     label = title(F.col("name1"), F.col("name2"), F.col("share1"), F.coalesce("share2", F.lit(0.0)), F.col("months"), F.col("start_ym"), F.col("end_ym"))
     return named.select(
