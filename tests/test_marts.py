@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from playtrace.config import DAY_MS, Settings
-from playtrace.operators import peaks, rollups, scores, sequences, sessions
+from playtrace.operators import eras, peaks, rollups, scores, sequences, sessions
 from playtrace.plans import marts, pages
 from playtrace.sources.testbed import calendar
 from playtrace.streaming import live
@@ -256,3 +256,36 @@ def test_folds_are_dealt_once(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(marts, "TASK_ROWS", 8)
     df = marts.track_stats(a.by_month("by_day"), spark.createDataFrame([], "track_id long, recent_plays long"))
     assert df._jdf.queryExecution().executedPlan().toString().count("Exchange") == 2, "the days, and the recent plays"
+
+
+def test_tasks_of_events_and_marts_grow_with_the_rows(spark, tmp_path, monkeypatch):
+    """Whatever the session's number of shuffle partitions: events as they are written, and marts with nearly as many groups as rows."""
+    monkeypatch.setattr(marts, "TASK_ROWS", 20)
+    a = marts.rebuild(events(spark, some_rows(200)), str(tmp_path), NOW, NOW, LOOSE, on_demand=True)
+    assert len({x.name[:10] for x in (tmp_path / "events").rglob("part-*")}) > 4
+    first, _ = marts.makers(a, None, LOOSE)
+    days, hours = a.by_month("by_day").filter("NOT incognito").count(), a.by_month("by_hour").count()
+    for name, rows in (("monthly_track", days), ("track_hours", hours)):
+        assert first[name]().rdd.getNumPartitions() == -(-rows // 20) > 4, name
+    assert "Expand" not in first["days"]()._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_events_are_sorted_once_as_they_are_written(spark, tmp_path):
+    a = marts.rebuild(events(spark, some_rows(80)), str(tmp_path), NOW, NOW, on_demand=True)
+    done = spark._jsparkSession.sharedState().statusStore().executionsList()
+    plans = [done.apply(i).physicalPlanDescription() for i in range(done.size())]
+    written = next(x for x in reversed(plans) if "WriteFiles" in x and str(tmp_path) in x and "/events" in x)
+    assert len(re.findall(r"^.*\bSort \(", written.split("Initial Plan")[0], re.M)) == 1
+    assert a.events.count() == 80
+
+
+def test_sequences_and_eras_are_dealt_to_bounded_tasks(spark, monkeypatch):
+    monkeypatch.setattr(rollups, "TASK_ROWS", 100)
+    plays = spark.range(2000).select((F.col("id") % 7).alias("id"), (F.col("id") * (DAY_MS // 9)).alias("ts_ms"))
+    df = sequences.folded(plays, (7,), (5,))
+    assert "hashpartitioning(id#" in (plan := df._jdf.queryExecution().executedPlan().toString()) and ", 20), REPARTITION_BY_NUM" in plan
+    months = spark.range(2000).select(F.lit(1).alias("listener"), (F.col("id") % 900).alias("track_id"), F.lit("2001-02").alias("ym"), F.lit(1).alias("q_plays"), F.col("id").alias("ms_played"))
+    found = spark.createDataFrame([(1, 0, "2001-01", "2001-03")], "listener int, era long, start_ym string, end_ym string")
+    led = [eras._leading(found, months, "track_id", [F.desc("ms_played")], dealt=x) for x in (True, False)]
+    assert sorted(map(str, led[0].collect())) == sorted(map(str, led[1].collect()))
+    assert ", 20), REPARTITION_BY_NUM" in led[0]._jdf.queryExecution().executedPlan().toString()
