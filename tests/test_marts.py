@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from playtrace.config import DAY_MS, Settings
 from playtrace.operators import eras, peaks, rollups, scores, sequences, sessions
 from playtrace.plans import marts, pages
+from playtrace.sources import testbed
 from playtrace.sources.testbed import calendar
 from playtrace.streaming import live
 
@@ -289,3 +290,22 @@ def test_sequences_and_eras_are_dealt_to_bounded_tasks(spark, monkeypatch):
     led = [eras._leading(found, months, "track_id", [F.desc("ms_played")], dealt=x) for x in (True, False)]
     assert sorted(map(str, led[0].collect())) == sorted(map(str, led[1].collect()))
     assert ", 20), REPARTITION_BY_NUM" in led[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_lines_meet_many_parts_in_bounded_tasks(spark, monkeypatch):
+    """Where parts are too many to be sent whole, tasks grow with the lines and not with the session's shuffle partitions."""
+    few = testbed.long_view(spark, "/root/testdata/sf0.001")
+    want, lines = sorted(map(str, few.collect())), testbed.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    monkeypatch.setattr(testbed, "MOST_PARTS", 10)
+    monkeypatch.setattr(rollups, "TASK_ROWS", 500)
+    many = testbed.long_view(spark, "/root/testdata/sf0.001")
+    assert many.rdd.getNumPartitions() == -(-lines // 500) > 4
+    assert sorted(map(str, many.collect())) == want
+
+
+def test_days_are_folded_by_date_alone(spark):
+    """Year and month follow from the date: they are given, but not dealt or grouped by."""
+    df = marts.by_day(events(spark, some_rows(80)))
+    assert all((x.year, x.ym) == (int(x.local_date[:4]), x.local_date[:7]) for x in df.collect())
+    grouped = re.findall(r"HashAggregate\(keys=\[(.*?)\]", df._jdf.queryExecution().executedPlan().toString())
+    assert grouped and not any("ym#" in keys or "year#" in keys for keys in grouped)
