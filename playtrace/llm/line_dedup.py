@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +61,15 @@ def rarity(docs: DataFrame, text: str) -> tuple[Column, float]:
     return F.split(F.lit(listed["classes"]), ",").cast("array<bigint>"), top
 
 
+def split_words(line: Column) -> Column:
+    """A line's words, and empty strings between some. Most lines have no white space but blanks, which are found without a regular expression."""
+    odd = reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in "\t\n\x0b\f\r"])
+    return F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " "))
+
+
 def hashes(line: Column) -> Column:
     """The set of a line's words, as 64-bit hashes."""
-    return F.array_remove(F.array_distinct(F.transform(F.split(line, SPACE), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
+    return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
 
 
 def token(h: Column, classes: Column) -> Column:

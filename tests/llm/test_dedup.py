@@ -1,4 +1,5 @@
 import random
+import re
 from collections import Counter
 
 import numpy as np
@@ -300,3 +301,10 @@ def test_parities_never_exceed_the_difference_of_two_multisets():
         bits = near_dup.parities(text, textops.mix(element.astype(np.uint64)), count, 2)
         counts = [np.bincount(b, minlength=60) for b in bags]
         assert sum(bin(int(x) & (2**64 - 1)).count("1") for x in bits[0] ^ bits[1]) <= np.abs(counts[0] - counts[1]).sum()
+
+
+@pytest.mark.parametrize("text", ["a b", "  a  b ", "a\tb", "a\x0bb\x0cc\r", "\r", "", " ", "a\nb", "ä b c d", "\x1cb c", None])
+def test_words_are_split_at_ascii_white_space_with_and_without_a_pattern(spark, text):
+    got = spark.createDataFrame([(text,)], "x string").select(line_dedup.split_words(line_dedup.F.col("x"))).first()[0]
+    want = None if text is None else [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
+    assert (got if got is None else [w for w in got if w]) == want
