@@ -50,7 +50,8 @@ def rarity(docs: DataFrame, text: str) -> tuple[Column, float]:
     logarithm, up to the fullest bucket's.
     """
     spark = docs.sparkSession
-    words = docs.select(F.explode(F.split(F.col(text), SPACE)).alias("w")).select(F.xxhash64("w").bitwiseAND((1 << SKETCH_BITS) - 1).alias("bucket"))
+    lines = docs.select(F.explode(F.split(F.col(text), "\n")).alias("body"))
+    words = lines.select(F.explode(split_words(F.col("body"))).alias("w")).filter("w <> ''").select(F.xxhash64("w").bitwiseAND((1 << SKETCH_BITS) - 1).alias("bucket"))
     counts = written(words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "word-buckets")
     most = counts.agg(F.log2(F.max("n") + 2).alias("most"))  # one row
     classes = counts.crossJoin(most).select("bucket", F.floor(16 * F.log2(F.col("n") + 1) / F.col("most")).alias("class"))
@@ -74,7 +75,9 @@ def hashes(line: Column) -> Column:
 
 def token(h: Column, classes: Column) -> Column:
     """Rarity class above, hash below, in one long, of a word's hash."""
-    return F.shiftleft(F.get(classes, h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")), HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
+    # never null, as the class of every bucket is known; an array that may hold nulls is sorted and searched as objects
+    level = F.coalesce(F.get(classes, h.bitwiseAND((1 << SKETCH_BITS) - 1).cast("int")), F.lit(0).cast("long"))
+    return F.shiftleft(level, HASH_BITS).bitwiseOR(h.bitwiseAND((1 << HASH_BITS) - 1))
 
 
 def tokens(line: Column, classes: Column) -> Column:
@@ -101,14 +104,15 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 def sets(rows: DataFrame, classes: Column, ends: bool) -> DataFrame:
     """One row per distinct set of words of a line: k, sig, n, the other bitmaps, prefix, lines, first (id, th, line); with ``ends`` its least and greatest hash."""
-    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "body"))
-    # exploding an array of one keeps the optimizer from computing the tokens anew for each use
-    lines = lines.select("id", "th", "line", F.explode(F.array(tokens(F.col("body"), classes))).alias("items"))
+    # a filter on the tokens themselves would be moved below them and compute them anew
+    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "body")).filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    # used more than once, so the optimizer keeps the tokens in a projection of their own, which is generated code but for the functions of each word
+    lines = lines.select("id", "th", "line", tokens(F.col("body"), classes).alias("items"))
     n = F.size("items")
     # the low bits of a token are the word's hash
     low = F.transform("items", lambda x: x.bitwiseAND((1 << HASH_BITS) - 1))
     more = {"lo": F.array_min(low), "hi": F.array_max(low)} if ends else {}
-    measured = lines.filter(n > 0).select(
+    measured = lines.select(
         "id", "th", "line", *[x.alias(name) for name, x in more.items()], F.xxhash64("items").alias("k"), *bitmaps(F.col("items")), n.alias("n"),
         F.slice("items", F.lit(1), n - F.floor((n * NUM + DEN - 1) / DEN).cast("int") + 1).alias("prefix"),
     )
@@ -185,10 +189,11 @@ def first_candidates(found: DataFrame) -> DataFrame:
 
 
 def items_of(wanted: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
-    """(k, sig, items) of the wanted sets: the hashed words of their first lines."""
+    """(k, sig, place, items) of the wanted sets: their first lines and those lines' hashed words."""
     places = found.join(wanted, SET, "left_semi").groupBy(F.col("first.id").alias("id"), F.col("first.th").alias("th")).agg(F.collect_list(F.struct(F.col("first.line").alias("line"), *SET)).alias("wanted"))
-    once = rows.join(places, rows["id"].eqNullSafe(places["id"]) & (rows["th"] == places["th"])).select(F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
-    items = once.select("w.*", hashes(F.element_at("lines", F.col("w.line") + 1)).alias("items")).select(*SET, "items")
+    once = rows.join(places, rows["id"].eqNullSafe(places["id"]) & (rows["th"] == places["th"])).select(rows["id"], rows["th"], F.split("text", "\n").alias("lines"), F.explode("wanted").alias("w"))
+    place = F.struct("id", "th", F.col("w.line").alias("line")).alias("place")
+    items = once.select(*[F.col(f"w.{x}") for x in SET], place, hashes(F.element_at("lines", F.col("w.line") + 1)).alias("items"))
     # repeated rows would each give the same sets again
     held = written(items.dropDuplicates(SET), "line-items")
     release(held.sparkSession)
@@ -201,14 +206,14 @@ def ends(pairs: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, held: DataFrame) -> DataFrame:
-    """The pairs whose sets match; those of two sets with a hot token in common, which ``tallied`` compares, are left out."""
+    """The pairs whose sets match, with both first places; those of two sets with a hot token in common, which ``tallied`` compares, are left out."""
     hots = "hots" in held.columns
     for s in "ab":
-        known = held.select(*[F.col(x).alias(f"{s}_{x}") for x in SET], F.col("items").alias(f"{s}_items"), *([F.col("hots").alias(f"{s}_hots")] if hots else []))
+        known = held.select(*[F.col(x).alias(f"{s}_{x}") for x in SET], *[F.col(x).alias(f"{s}_{x}") for x in ("place", "items")], *([F.col("hots").alias(f"{s}_hots")] if hots else []))
         pairs = pairs.join(known, [f"{s}_{x}" for x in SET])
     if hots:
         pairs = pairs.filter(~F.coalesce(F.arrays_overlap("a_hots", "b_hots"), F.lit(False)))
-    return pairs.filter(matches(F.col("a_items"), F.col("b_items"))).select(*[f"{s}_{x}" for s in "ab" for x in SET])
+    return pairs.filter(matches(F.col("a_items"), F.col("b_items"))).select(*[f"{s}_{x}" for s in "ab" for x in [*SET, "place"]])
 
 
 def matches(a: Column, b: Column) -> Column:
@@ -216,14 +221,18 @@ def matches(a: Column, b: Column) -> Column:
     return F.size(F.array_intersect(a, b)) * (NUM + DEN) >= (F.size(a) + F.size(b)) * NUM
 
 
-def ended(links: DataFrame, found: DataFrame) -> DataFrame:
-    """(k, sig, earliest, links) of linked pairs: of each set the first place that matches it, and the number of its links."""
-    sides = links.select(F.explode(F.array(
-        F.struct(*[F.col(f"a_{x}").alias(x) for x in SET], *[F.col(f"b_{x}").alias(f"o_{x}") for x in SET]),
-        F.struct(*[F.col(f"b_{x}").alias(x) for x in SET], *[F.col(f"a_{x}").alias(f"o_{x}") for x in SET]),
-    )).alias("e")).select("e.*")
-    others = found.select(*[F.col(x).alias(f"o_{x}") for x in SET], F.col("first").alias("other"))
-    return sides.join(others, [f"o_{x}" for x in SET]).groupBy(*SET).agg(F.min("other").alias("earliest"), F.count(F.lit(1)).alias("links"))
+def told_ends(links: DataFrame) -> DataFrame:
+    """(k, sig, earliest, links) of linked pairs, at most one row for each end as either side: counted where the links lie, so no link is copied or joined."""
+    sides = [
+        links.groupBy(*[F.col(f"{mine}_{x}").alias(x) for x in SET]).agg(F.min(f"{other}_place").alias("earliest"), F.count(F.lit(1)).alias("links"))
+        for mine, other in ("ab", "ba")
+    ]
+    return sides[0].union(sides[1])
+
+
+def ended(told: DataFrame) -> DataFrame:
+    """(k, sig, earliest, links): of each set the first place that matches it, and the number of its links."""
+    return told.groupBy(*SET).agg(F.min("earliest").alias("earliest"), F.sum("links").alias("links"))
 
 
 def tallied(hot: DataFrame, members: DataFrame) -> DataFrame:
@@ -294,7 +303,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool
     index = postings(found.join(done, SET, "left").withColumn("closed", F.coalesce("closed", F.lit(False))), "closed")
     hot = written(hot_tokens(frequent(index, MOST_HOT, most), MOST_HOT), "hot-tokens")
     index = index if hot.isEmpty() else celled(index, hot)
-    return found, ended(links.union(checked(candidates(index, F.col("a.closed") & F.col("b.closed")))), found)
+    return found, ended(told_ends(links.union(checked(candidates(index, F.col("a.closed") & F.col("b.closed"))))))
 
 
 def every_link(found: DataFrame, rows: DataFrame, most: float) -> DataFrame:
@@ -315,11 +324,11 @@ def every_link(found: DataFrame, rows: DataFrame, most: float) -> DataFrame:
     links = written(verified(pairs, named), "line-links")
     discard(pairs)
     release(found.sparkSession)
-    out = ended(links, found)
+    out = told_ends(links)
     if not hot.isEmpty():
         members = held.join(marked, SET).join(found.select(*SET, "sig1", "n", "first"), SET).withColumn("token", F.explode("hots"))
         out = out.union(written(tallied(hot, members), "hot-links").select(*out.columns))
-    return out.groupBy(*SET).agg(F.min("earliest").alias("earliest"), F.sum("links").alias("links"))
+    return ended(out)
 
 
 def kept_lines(found: DataFrame, linked_ends: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from playtrace.llm import line_dedup, near_dup, passages, textops
 
@@ -308,3 +309,18 @@ def test_words_are_split_at_ascii_white_space_with_and_without_a_pattern(spark,
     got = spark.createDataFrame([(text,)], "x string").select(line_dedup.split_words(line_dedup.F.col("x"))).first()[0]
     want = None if text is None else [w for w in re.split(r"[\x20\x09-\x0D]+", text) if w]
     assert (got if got is None else [w for w in got if w]) == want
+
+
+def test_counting_links_copies_and_joins_none(spark):
+    sides = ", ".join(f"{s}_k long, {s}_sig long, {s}_place struct<id: long, th: long, line: int>" for s in "ab")
+    links = spark.createDataFrame([(1, 1, (5, 0, 0), 2, 2, (7, 0, 1)), (3, 3, (6, 0, 0), 1, 1, (5, 0, 0))], sides)
+    told = line_dedup.ended(line_dedup.told_ends(links))
+    assert sorted((x["k"], x["earliest"]["id"], x["links"]) for x in told.collect()) == [(1, 6, 2), (2, 5, 1), (3, 5, 1)]
+    plan = told._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate" not in plan and "Join" not in plan
+
+
+def test_sets_are_made_of_tokens_that_are_never_null(spark):
+    line = spark.createDataFrame([("b a  b",)], "body string")
+    items = line.select(line_dedup.tokens(F.col("body"), F.split(F.lit("0,1"), ",").cast("array<bigint>")).alias("items"))
+    assert not items.schema["items"].dataType.containsNull
