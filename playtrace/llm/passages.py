@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from playtrace.llm import textops
-from playtrace.shared import release, written
+from playtrace.shared import discard, release, written
 
 #: Fewest words of a passage; words of a gram; positions of a window; words that a match is extended by on each side.
 LEAST_WORDS, GRAM = 50, 25
@@ -304,6 +304,7 @@ def _repeated(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     starts = runs.join(mixed.select("block", "low"), "block").withColumn("start", F.col("low") + F.col("place"))
     ordered = starts.repartitionByRange("run", "first", "h1", "h2", "start").sortWithinPartitions("run", "first", "h1", "h2", "start")
     flagged = written(_flagged(ordered), "flagged-runs")
+    discard(runs)
     release(spark)
     told = flagged.filter("edge = 0").select("block", "bit", "again", "late", "before", "after")
     edges = flagged.filter("edge <> 0").select("edge", "run", "block", "bit", "mine").collect()  # two rows per partition
@@ -339,6 +340,7 @@ def passages(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     nodes = written(rows.groupBy("h1", "h2").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies")), "texts")
     wanted = grams.join(shared, "gram").groupBy("h1", "h2", "at").agg(F.min("id").alias("first"), *[F.first(x).alias(x) for x in ("gram", "low", "runs", "block")])
     wanted = written(wanted, "repeated-grams")
+    discard(grams)
     release(spark)
     listed = wanted.groupBy("h1", "h2").agg(F.sort_array(F.collect_list("at")).alias("items"))
     placed = listed.join(nodes.select("h1", "h2", "first"), ["h1", "h2"])

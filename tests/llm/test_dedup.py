@@ -7,6 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from playtrace import shared
 from playtrace.llm import line_dedup, near_dup, passages, textops
 
 SCHEMA = "doc_id long, text string, root string, n int"
@@ -324,3 +325,12 @@ def test_sets_are_made_of_tokens_that_are_never_null(spark):
     line = spark.createDataFrame([("b a  b",)], "body string")
     items = line.select(line_dedup.tokens(F.col("body"), F.split(F.lit("0,1"), ",").cast("array<bigint>")).alias("items"))
     assert not items.schema["items"].dataType.containsNull
+
+
+def test_passages_leave_no_table_that_nothing_reads(spark):
+    words = " ".join(f"w{i}" for i in range(80))
+    found = passages.passages(table(spark, [words, f"{words} and more"]))
+    assert found.count() == 2
+    folder = found.sparkSession.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{shared.shared_folder(spark)}/tables/{spark.sparkContext.applicationId}")
+    here = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
+    assert not [x.getPath().getName() for x in here if x.getPath().getName().startswith(("grams-", "runs-"))]
