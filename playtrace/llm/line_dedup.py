@@ -7,6 +7,10 @@ or so of the shorter one's. The join on that token keeps pairs that pass the len
 bound from the parity bitmaps of the sets; what remains is verified on the token sets themselves. A line goes if an earlier
 line (by key, then line number) matches it.
 
+Where all links are counted, sets that have a candidate are first told from the many that have none, without a row for a
+pair, and each of them joins the group of the most frequent set that it matches. Within a group links are counted by what
+its sets have other than the group's first; only sets of different groups are paired.
+
 Rarity comes from counts of all words in 2^17 hash buckets, so what the driver gathers and the plan carries has a fixed
 size; the result doesn't depend on it, as any order of tokens is exact. Words rarer than a bucket's noise (a 2^17th of all
 words) are ordered by hash.
@@ -20,12 +24,15 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import reduce
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from playtrace.shared import discard, release, written
+from playtrace import shared
+from playtrace.shared import discard
+
+written = partial(shared.written, tidy=True)
 
 #: The least similarity as a fraction.
 NUM, DEN = 4, 5
@@ -34,9 +41,17 @@ SKETCH_BITS = 17
 #: Low bits of a token that hold its hash; the bits above hold its rarity class.
 HASH_BITS = 55
 SPACE = r"[\x20\x09-\x0D]+"
+#: White space that split_words and worded don't expect.
+ODD = "\t\x0b\x0c\r"
 SET = ["k", "sig"]
-#: Words from which a line is long.
-LONG = 24
+#: Rarity classes, even steps of the logarithm of counts.
+CLASSES = 64
+#: Words from which a line is long: shorter ones don't fill a bitmap.
+LONG = 64
+#: Lengths of one band differ by less than this factor, which is over DEN / NUM, so that sets that match lie in one band or in neighbouring ones.
+BAND = 1.26
+#: Tokens of buckets with over so many words are dealt to bands; others have few sets to meet.
+FULL = 2048
 #: A hot token is in the prefixes of more sets than HOT and than one set in HOT_SHARE, or of more than MOST_HOT whatever the table's size.
 HOT, HOT_SHARE, MOST_HOT = 128, 256, 8192
 #: Sets of a hot token are compared in chunks of about CHUNK; tokens of over CHUNKS chunks have larger ones, up to MOST_CHUNK.
@@ -44,7 +59,7 @@ CHUNK, CHUNKS, MOST_CHUNK = 128, 16, 1024
 
 
 def rarity(docs: DataFrame, text: str) -> tuple[Column, float]:
-    """An array with a class of 0 to 15 for each bucket of words, growing with the number of its words in all documents; and the logarithm of class 16.
+    """An array with a class under CLASSES for each bucket of words, growing with the number of its words in all documents; and the logarithm of class CLASSES.
 
     The array is one constant of 2^SKETCH_BITS small numbers, whatever the table's size; classes are even steps of the
     logarithm, up to the fullest bucket's.
@@ -54,7 +69,7 @@ def rarity(docs: DataFrame, text: str) -> tuple[Column, float]:
     words = lines.select(F.explode(split_words(F.col("body"))).alias("w")).filter("w <> ''").select(F.xxhash64("w").bitwiseAND((1 << SKETCH_BITS) - 1).alias("bucket"))
     counts = written(words.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")), "word-buckets")
     most = counts.agg(F.log2(F.max("n") + 2).alias("most"))  # one row
-    classes = counts.crossJoin(most).select("bucket", F.floor(16 * F.log2(F.col("n") + 1) / F.col("most")).alias("class"))
+    classes = counts.crossJoin(most).select("bucket", F.floor(CLASSES * F.log2(F.col("n") + 1) / F.col("most")).alias("class"))
     every = spark.range(1 << SKETCH_BITS).withColumnRenamed("id", "bucket").join(classes, "bucket", "left").select("bucket", F.coalesce("class", F.lit(0)).alias("class"))
     top = most.first()["most"] or 1.0
     listed = every.agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bucket", "class"))), lambda x: x["class"].cast("string")), ",").alias("classes")).first()
@@ -64,10 +79,16 @@ def rarity(docs: DataFrame, text: str) -> tuple[Column, float]:
 
 def split_words(line: Column) -> Column:
     """A line's words, and empty strings between some. Most lines have no white space but blanks, which are found without a regular expression."""
-    odd = reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in "\t\n\x0b\f\r"])
+    odd = reduce(lambda a, b: a | b, [F.contains(line, F.lit(c)) for c in f"\n{ODD}"])
     return F.when(odd, F.split(line, SPACE)).otherwise(F.split(line, " "))
 
 
+def worded(text: Column) -> Column:
+    """The number of lines with a word. Where no line begins with white space, they are the lines that aren't empty."""
+    odd = reduce(lambda a, b: a | b, [F.contains(text, F.lit(c)) for c in [*ODD, "\n "]]) | F.startswith(text, F.lit(" "))
+    return F.when(odd, F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D][^\n]*"))).otherwise(F.size(F.array_remove(F.split(text, "\n"), "")))
+
+
 def hashes(line: Column) -> Column:
     """The set of a line's words, as 64-bit hashes."""
     return F.array_remove(F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w))), F.xxhash64(F.lit("")))
@@ -105,7 +126,7 @@ def keyed(docs: DataFrame, key: str, text: str) -> DataFrame:
 def sets(rows: DataFrame, classes: Column, ends: bool) -> DataFrame:
     """One row per distinct set of words of a line: k, sig, n, the other bitmaps, prefix, lines, first (id, th, line); with ``ends`` its least and greatest hash."""
     # a filter on the tokens themselves would be moved below them and compute them anew
-    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "body")).filter(F.col("body").rlike(r"[^\x20\x09-\x0D]"))
+    lines = rows.select("id", "th", F.posexplode(F.split("text", "\n")).alias("line", "body")).filter(F.ltrim("body", F.lit(f" \n{ODD}")) != "")
     # used more than once, so the optimizer keeps the tokens in a projection of their own, which is generated code but for the functions of each word
     lines = lines.select("id", "th", "line", tokens(F.col("body"), classes).alias("items"))
     n = F.size("items")
@@ -124,27 +145,69 @@ def postings(found: DataFrame, *more: str) -> DataFrame:
     return found.filter(F.col("n") >= DEN - 1).select(*SET, "sig1", "n", *more, F.posexplode("prefix").alias("at", "token"))
 
 
-def candidates(index: DataFrame, both_closed: Column | None = None) -> DataFrame:
-    """Pairs of sets (a the shorter one) that share a token of ``index`` and pass all filters."""
-    a, b = index.alias("a"), index.alias("b")
+def leads(n: Column, at: Column) -> Column:
+    """Whether a token at this place can be the first that a set shares with a longer one: with na <= nb at most na / 9 tokens of a are outside b."""
+    return (at + 1) * (NUM + DEN) <= n * (DEN - NUM) + NUM + DEN
+
+
+def rarest(least: int, most: float) -> int:
+    """The least token of the class of buckets with ``least`` words."""
+    return min(CLASSES - 1, int(CLASSES * math.log2(least + 1) / most)) << HASH_BITS
+
+
+def banded(index: DataFrame, most: float) -> DataFrame:
+    """``index`` with a key in place of its tokens: that, and for tokens of full buckets a band of lengths too.
+
+    A posting lies in its set's band, and low in the next one if it can lead there, so that few sets of other lengths meet.
+    """
+    band = F.floor(F.log(F.col("n")) / math.log(BAND)).cast("int")
+    keys = [F.xxhash64("token", x) for x in (band, band + 1)]
+    full = F.col("token") >= rarest(FULL, most)
+    places = F.when(full & leads(F.col("n"), F.col("at")), F.array(*keys)).otherwise(F.array(F.when(full, keys[0]).otherwise(F.col("token"))))
+    return index.select("*", F.posexplode(places).alias("low", "key")).drop("token")
+
+
+def sharing(index: DataFrame) -> tuple[Column, Column]:
+    """For postings a and b of one index: whether they share a token, and what filters that don't ask for an order say."""
     na, nb, ia, ib = F.col("a.n"), F.col("b.n"), F.col("a.at"), F.col("b.at")
-    tie = (na == nb) & ((F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.sig") < F.col("b.sig"))))
-    # with na <= nb at most na / 9 tokens of a are outside b; one condition on both sides, so that both are read from one shuffle
-    ordered = F.when((ia + 1) * (NUM + DEN) <= na * (DEN - NUM) + NUM + DEN, (na < nb) | tie)
     reach = F.least(ia, ib) + F.least(na - ia, nb - ib) >= need(na, nb)
     # the test that most pairs fail stands first
     alike = F.bit_count(F.col("a.sig").bitwiseXOR(F.col("b.sig"))) * (NUM + DEN) <= (na + nb) * (DEN - NUM)
-    same = F.col("a.token") == F.col("b.token")
+    key = "key" if "key" in index.columns else "token"
+    return F.col(f"a.{key}") == F.col(f"b.{key}"), alike & near(side("a"), side("b")) & reach
+
+
+def shorter() -> Column:
+    """Whether a is the shorter set, or the lesser of two of one length."""
+    na, nb = F.col("a.n"), F.col("b.n")
+    return (na < nb) | ((na == nb) & ((F.col("a.k") < F.col("b.k")) | ((F.col("a.k") == F.col("b.k")) & (F.col("a.sig") < F.col("b.sig")))))
+
+
+def paired(index: DataFrame) -> DataFrame:
+    """(k, sig) of the sets of a banded ``index`` that are in a pair of ``candidates``. A set's search ends with the first, and no row is made for a pair."""
+    a, b = index.alias("a"), index.alias("b")
+    same, passed = sharing(index)
+    other = (F.col("a.k") != F.col("b.k")) | (F.col("a.sig") != F.col("b.sig"))
+    ordered = F.when(shorter(), leads(F.col("a.n"), F.col("a.at")) & (F.col("b.low") == 0)).otherwise(leads(F.col("b.n"), F.col("b.at")) & (F.col("a.low") == 0))
+    return a.join(b, same & passed & other & ordered, "left_semi").select(*SET).distinct()
+
+
+def candidates(index: DataFrame, left_out: Column | None = None) -> DataFrame:
+    """Pairs of sets (a the shorter one) that share a token of ``index`` and pass all filters."""
+    a, b = index.alias("a"), index.alias("b")
+    same, passed = sharing(index)
+    # one condition on both sides, so that both are read from one shuffle
+    ordered = F.when(leads(F.col("a.n"), F.col("a.at")), shorter() & (F.col("b.low") == 0) if "low" in index.columns else shorter())
     if "cell" in index.columns:
         # two sets of one chunk meet in all cells of it, and count in that of the chunk with itself
         same = same & (F.col("a.cell") == F.col("b.cell")) & ((F.col("a.chunk") != F.col("b.chunk")) | (F.col("a.cell.lo") == F.col("a.cell.hi")))
-    pairs = a.join(b, same & alike & ordered & near(side("a"), side("b")) & reach & (F.lit(True) if both_closed is None else ~both_closed))
+    pairs = a.join(b, same & passed & ordered & (F.lit(True) if left_out is None else ~left_out))
     return pairs.select(*[F.col(f"{s}.{x}").alias(f"{s}_{x}") for s in "ab" for x in SET]).distinct()
 
 
 def frequent(posts: DataFrame, least: int, most: float) -> DataFrame:
     """The postings of tokens that can have over ``least``: a bucket of words has at least as many as its token has sets, so tokens of rarer classes can't."""
-    return posts.filter(F.col("token") >= (min(15, int(16 * math.log2(least + 1) / most)) << HASH_BITS))
+    return posts.filter(F.col("token") >= rarest(least, most))
 
 
 def hot_tokens(posts: DataFrame, least: int) -> DataFrame:
@@ -195,9 +258,7 @@ def items_of(wanted: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
     place = F.struct("id", "th", F.col("w.line").alias("line")).alias("place")
     items = once.select(*[F.col(f"w.{x}") for x in SET], place, hashes(F.element_at("lines", F.col("w.line") + 1)).alias("items"))
     # repeated rows would each give the same sets again
-    held = written(items.dropDuplicates(SET), "line-items")
-    release(held.sparkSession)
-    return held
+    return written(items.dropDuplicates(SET), "line-items")
 
 
 def ends(pairs: DataFrame) -> DataFrame:
@@ -235,38 +296,27 @@ def ended(told: DataFrame) -> DataFrame:
     return told.groupBy(*SET).agg(F.min("earliest").alias("earliest"), F.sum("links").alias("links"))
 
 
-def tallied(hot: DataFrame, members: DataFrame) -> DataFrame:
-    """(k, sig, earliest, links) of all links between sets that share a hot token, compared in blocks.
+def tallied(sizes: DataFrame, members: DataFrame, carried: list[str], hit: Callable[[Column, Column], Column]) -> DataFrame:
+    """(k, sig, earliest, links) of the links within each block of sets; ``hit`` says whether two different sets of a block match and count in it.
 
-    ``hot`` has (token, sets); ``members`` (token, k, sig, sig1, n, first, items, hots), hots being the sorted hot
-    tokens of the set's prefix. The sets of a token are dealt to chunks by their hash, and each pair of chunks is one row, in
-    which every set of one chunk is compared with every set of the other: links are counted there, and no row is made for a
-    pair. The pairs of chunks are numbered before any set joins them, so that those of one token spread over tasks. A pair
-    counts at the least hot token that it shares.
+    ``sizes`` has (block, sets); ``members`` (block, k, sig, first) and the ``carried`` columns, which ``hit`` reads. The sets
+    of a block are dealt to chunks by their hash, and each pair of chunks is one row, in which every set of one chunk is
+    compared with every set of the other: links are counted there, and no row is made for a pair. The pairs of chunks are
+    numbered before any set joins them, so that those of one block spread over tasks.
     """
     size = F.least(F.greatest(F.col("sets") / CHUNKS, F.lit(CHUNK)), F.lit(MOST_CHUNK))
     chunks = F.ceil(F.col("sets") / size).cast("int")
-    dealt = members.join(hot, "token").withColumn("chunk", F.pmod(F.xxhash64(*SET), chunks).cast("int"))
-    sides = dealt.groupBy("token", "chunk").agg(F.collect_list(F.struct(*SET, "sig1", "n", "first", "items", "hots", F.get("hots", F.lit(0)).alias("least"))).alias("side"))
-    sides = written(sides, "hot-chunks")
-    other = sides.select("token", F.col("chunk").alias("o_chunk"), F.col("side").alias("o_side"))
-    numbered = hot.select("token", chunks.alias("chunks")).select("token", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
-    numbered = numbered.repartition(F.col("token"), F.col("chunk")).select("token", "chunk", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("o_chunk"))
-    pairs = numbered.repartition(F.col("token"), F.col("chunk"), F.col("o_chunk")).join(sides, ["token", "chunk"]).join(other, ["token", "o_chunk"])
-
-    def alike(a: Column, b: Column) -> Column:
-        """Whether the bitmaps allow a match: its sets differ in a ninth of their words at most."""
-        return F.bit_count(a["sig"].bitwiseXOR(b["sig"])) * (NUM + DEN) <= (a["n"] + b["n"]) * (DEN - NUM)
+    dealt = members.join(sizes, "block").withColumn("chunk", F.pmod(F.xxhash64(*SET), chunks).cast("int"))
+    sides = dealt.groupBy("block", "chunk").agg(F.collect_list(F.struct("block", *SET, "first", *carried)).alias("side"))
+    sides = written(sides, "line-chunks")
+    other = sides.select("block", F.col("chunk").alias("o_chunk"), F.col("side").alias("o_side"))
+    numbered = sizes.select("block", chunks.alias("chunks")).select("block", "chunks", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"))
+    numbered = numbered.repartition(F.col("block"), F.col("chunk")).select("block", "chunk", F.explode(F.sequence("chunk", F.col("chunks") - 1)).alias("o_chunk"))
+    pairs = numbered.repartition(F.col("block"), F.col("chunk"), F.col("o_chunk")).join(sides, ["block", "chunk"]).join(other, ["block", "o_chunk"])
 
     def against(mine: Column, theirs: Column) -> Column:
         def one(a: Column) -> Column:
-            def hit(b: Column) -> Column:
-                """Whether two sets match and count here; the cheap tests stand first."""
-                same = a["least"] == b["least"]
-                here = same | (F.array_min(F.array_intersect(a["hots"], b["hots"])) == F.col("token"))
-                return (~same | (a["least"] == F.col("token"))) & (a["n"] * NUM <= b["n"] * DEN) & (b["n"] * NUM <= a["n"] * DEN) & alike(a, b) & here & ((a["k"] != b["k"]) | (a["sig"] != b["sig"])) & matches(a["items"], b["items"])
-
-            hits = F.filter(theirs, hit)
+            hits = F.filter(theirs, lambda b: hit(a, b) & ((a["k"] != b["k"]) | (a["sig"] != b["sig"])))
             return F.struct(a["k"].alias("k"), a["sig"].alias("sig"), F.array_min(F.transform(hits, lambda b: b["first"])).alias("earliest"), F.size(hits).cast("long").alias("links"))
 
         return F.filter(F.transform(mine, one), lambda x: x["links"] > 0)
@@ -275,6 +325,40 @@ def tallied(hot: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.select(F.explode(told).alias("t")).select("t.*")
 
 
+def hot_hit(a: Column, b: Column) -> Column:
+    """Whether two sets of different groups match and count at this hot token, the least that both have; the cheap tests stand first."""
+    same = a["least"] == b["least"]
+    here = same | (F.array_min(F.array_intersect(a["hots"], b["hots"])) == a["block"])
+    alike = F.bit_count(a["sig"].bitwiseXOR(b["sig"])) * (NUM + DEN) <= (a["n"] + b["n"]) * (DEN - NUM)
+    apart = (a["g_k"] != b["g_k"]) | (a["g_sig"] != b["g_sig"])
+    return (~same | (a["least"] == a["block"])) & (a["n"] * NUM <= b["n"] * DEN) & (b["n"] * NUM <= a["n"] * DEN) & alike & apart & here & matches(a["items"], b["items"])
+
+
+def group_hit(a: Column, b: Column) -> Column:
+    """Whether two sets of a group match. They differ in size(a.diff) + size(b.diff) - 2 * common words, at most (na + nb) / 9 if they match; ``over`` is by how much a set's part exceeds its share."""
+    over, most = a["over"] + b["over"], 2 * (NUM + DEN)
+    return (over <= 0) | ((F.least(F.size(a["diff"]), F.size(b["diff"])) * most >= over) & (F.size(F.array_intersect(a["diff"], b["diff"])) * most >= over))
+
+
+def chosen(index: DataFrame) -> DataFrame:
+    """(k, sig, g_k, g_sig): for each set the most frequent of the sets that stand first by frequency among those with one of its tokens, if it can match."""
+    first = index.groupBy("token").agg(F.max(F.struct("lines", *SET, "sig1", "n")).alias("f")).select("token", "f.*")
+    pairs = index.alias("a").join(first.alias("b"), (F.col("a.token") == F.col("b.token")) & near(side("a"), side("b")))
+    best = pairs.groupBy(*[F.col(f"a.{x}").alias(x) for x in SET]).agg(F.max(F.struct(*[F.col(f"b.{x}") for x in ("lines", *SET)])).alias("g"))
+    return best.select(*SET, *[F.col(f"g.{x}").alias(f"g_{x}") for x in SET])
+
+
+def grouped(some: DataFrame, held: DataFrame) -> DataFrame:
+    """``held`` with n, first, group (g_k, g_sig), diff and over: a set joins the group of the set that is ``chosen`` for it if the two match, and is alone in its own otherwise."""
+    picked = chosen(postings(some, "lines"))
+    of = held.select(*[F.col(x).alias(f"g_{x}") for x in SET], F.col("items").alias("g_items"))
+    mine = some.select(*SET, "n", "first").join(held.drop("place"), SET).join(picked, SET, "left").join(of, [f"g_{x}" for x in SET], "left")
+    fits = F.coalesce(matches(F.col("items"), F.col("g_items")), F.lit(False))
+    diff = F.when(fits, F.concat(F.array_except("items", "g_items"), F.array_except("g_items", "items"))).otherwise(F.array().cast("array<bigint>"))
+    told = mine.select(*SET, "n", "first", "items", *[F.when(fits, F.col(f"g_{x}")).otherwise(F.col(x)).alias(f"g_{x}") for x in SET], diff.alias("diff"))
+    return written(told.withColumn("over", F.size("diff") * (NUM + DEN) - F.col("n") * (DEN - NUM)), "line-groups")
+
+
 def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool = True) -> tuple[DataFrame, DataFrame]:
     """(sets, ends): every distinct line set with its first place; of those with links the earliest match and the number of links.
 
@@ -285,17 +369,14 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool
     rows = keyed(docs, key, text)
     classes, most = rarity(rows, "text")
     found = written(sets(rows, classes, not every), "line-sets")
-    release(found.sparkSession)
     if every:
         return found, every_link(found, rows, most)
 
     def checked(pairs: DataFrame) -> DataFrame:
         pairs = written(pairs, "line-pairs")
-        release(found.sparkSession)
         held = items_of(ends(pairs).distinct(), found, rows)
         links = written(verified(pairs, held), "line-links")
         discard(pairs, held)
-        release(found.sparkSession)
         return links
 
     links = checked(first_candidates(found))
@@ -307,7 +388,7 @@ def linked(docs: DataFrame, key: str = "doc_id", text: str = "text", every: bool
 
 
 def every_link(found: DataFrame, rows: DataFrame, most: float) -> DataFrame:
-    """(k, sig, earliest, links) over all links. Hot tokens are compared in blocks, others by a join; ``most`` is as from ``rarity``.
+    """(k, sig, earliest, links) over all links: those within a group and those at a hot token in blocks, others by a join. ``most`` is as from ``rarity``.
 
     A token is hot that is in the prefixes of over HOT sets and of one set in HOT_SHARE, so that few tokens of a small table
     are; the bound never exceeds MOST_HOT, so that no token of a large one has more than MOST_HOT^2 / 2 pairs in a task.
@@ -316,19 +397,26 @@ def every_link(found: DataFrame, rows: DataFrame, most: float) -> DataFrame:
     least = min(MOST_HOT, max(HOT, found.count() // HOT_SHARE))
     often = frequent(posts, least, most)
     hot = written(hot_tokens(often, least), "hot-tokens")
-    pairs = written(candidates(posts.join(hot, "token", "left_anti")), "line-pairs")
-    release(found.sparkSession)
     marked = written(often.join(hot.select("token"), "token").groupBy(*SET).agg(F.sort_array(F.collect_list("token")).alias("hots")), "hot-sets")
-    held = items_of(ends(pairs).union(marked.select(*SET)).distinct(), found, rows)
-    named = held.join(marked, SET, "left")
-    links = written(verified(pairs, named), "line-links")
-    discard(pairs)
-    release(found.sparkSession)
-    out = told_ends(links)
+    linkable = written(paired(banded(posts.join(hot.select("token"), "token", "left_anti"), most)).union(marked.select(*SET)).distinct(), "line-linkable")
+    some = written(found.join(linkable, SET, "left_semi"), "line-some")
+    held = items_of(linkable, some, rows)
+    members = grouped(some, held)
+    groups = members.select(*SET, "first", "diff", "over", F.struct("g_k", "g_sig").alias("block"))
+    sizes = written(groups.groupBy("block").agg(F.count(F.lit(1)).alias("sets")).filter("sets > 1"), "line-group-sizes")
+    inside = written(tallied(sizes, groups, ["diff", "over"], group_hit), "line-group-links")
+
+    index = postings(some.join(members.select(*SET, "g_k", "g_sig"), SET), "g_k", "g_sig").join(hot.select("token"), "token", "left_anti")
+    pairs = written(candidates(banded(index, most), (F.col("a.g_k") == F.col("b.g_k")) & (F.col("a.g_sig") == F.col("b.g_sig"))), "line-pairs")
+    links = written(verified(pairs, held.join(marked, SET, "left")), "line-links")
+    out = told_ends(links).unionByName(inside)
     if not hot.isEmpty():
-        members = held.join(marked, SET).join(found.select(*SET, "sig1", "n", "first"), SET).withColumn("token", F.explode("hots"))
-        out = out.union(written(tallied(hot, members), "hot-links").select(*out.columns))
-    return ended(out)
+        named = members.join(marked, SET).join(found.select(*SET, "sig1"), SET).withColumn("block", F.explode("hots")).withColumn("least", F.get("hots", F.lit(0)))
+        blocks = hot.withColumnRenamed("token", "block")
+        out = out.unionByName(written(tallied(blocks, named, ["n", "items", "hots", "least", "g_k", "g_sig"], hot_hit), "hot-links"))
+    told = written(ended(out), "line-ends")
+    discard(hot, marked, linkable, some, held, members, sizes, inside, pairs, links)
+    return told
 
 
 def kept_lines(found: DataFrame, linked_ends: DataFrame) -> DataFrame:
@@ -344,8 +432,7 @@ def line_report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     """One row per document: key, n_lines (with a word), n_removed, n_links, kept (line numbers, from 0)."""
     marks = kept_lines(*linked(docs, key, text))
     body = F.col(text).cast("string")
-    worded = F.regexp_count(body, F.lit(r"[^\x20\x09-\x0D][^\n]*"))  # one match for each line with a word
-    counted = docs.select(F.col(key).alias(key), F.xxhash64(body).alias("th"), F.when(body.isNull(), 0).otherwise(worded).alias("n_lines"))
+    counted = docs.select(F.col(key).alias(key), F.xxhash64(body).alias("th"), F.when(body.isNull(), 0).otherwise(worded(body)).alias("n_lines"))
     out = counted.alias("d").join(marks.alias("m"), F.col(f"d.{key}").eqNullSafe(F.col("m.id")) & (F.col("d.th") == F.col("m.th")), "left")
     kept = F.coalesce("kept", F.array().cast("array<int>"))
     return out.select(F.col(f"d.{key}").alias(key), "n_lines", (F.col("n_lines") - F.size(kept)).alias("n_removed"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), kept.alias("kept"))

@@ -312,6 +312,68 @@ def test_words_are_split_at_ascii_white_space_with_and_without_a_pattern(spark,
     assert (got if got is None else [w for w in got if w]) == want
 
 
+def family(n, seed=6, size=40):
+    """Variants of one line, the line itself twice, and some lines that match a few of them or none."""
+    draw = random.Random(seed)
+    base = [f"v{i}" for i in range(size)]
+    lines = [base, base]
+    for _ in range(n):
+        copy = list(base)
+        for _ in range(draw.randrange(1, 6)):
+            copy[draw.randrange(size)] = f"u{draw.randrange(30)}"
+        lines.append(copy)
+    return [" ".join(x) for x in [*lines, base[:34], base[4:], [*base[:20], *(f"o{i}" for i in range(20))], ["o1", "o2", "o3", "o4"]]]
+
+
+@pytest.mark.parametrize("bound", [{}, {"FULL": 0}, {"CHUNK": 4}, {"HOT": 20}, {"FULL": 0, "MOST_HOT": 30, "CHUNK": 8}])
+def test_links_within_a_family_are_counted_without_a_row_for_a_pair(spark, monkeypatch, bound):
+    """Also with lengths dealt to bands, several chunks a group, and tokens of the family that are hot."""
+    for name, value in bound.items():
+        monkeypatch.setattr(line_dedup, name, value)
+    rows, plain = {}, line_dedup.written
+
+    def counting(df, name, *more):
+        out = plain(df, name, *more)
+        rows[name] = out.count()
+        return out
+
+    monkeypatch.setattr(line_dedup, "written", counting)
+    texts = family(60)
+    want = lines_kept(texts)[0]
+    got = {r["doc_id"]: (r["kept"], r["n_links"]) for r in line_dedup.line_report(table(spark, texts)).collect()}
+    assert got == want
+    assert sum(x[1] for x in want.values()) > 1000 and rows["line-pairs"] < 100
+
+
+def test_bands_and_the_search_for_one_partner_lose_no_pair(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "FULL", 0)
+    rows = line_dedup.keyed(table(spark, [*some_lines(seed=21, n=60), *family(12)]), "doc_id", "text")
+    classes, most = line_dedup.rarity(rows, "text")
+    index = line_dedup.postings(line_dedup.sets(rows, classes, False))
+    bands = line_dedup.banded(index, most)
+    assert bands.filter("low = 1").count() > 0
+    pairs = sorted(map(tuple, line_dedup.candidates(index).collect()))
+    assert sorted(map(tuple, line_dedup.candidates(bands).collect())) == pairs != []
+    assert sorted(map(tuple, line_dedup.paired(bands).collect())) == sorted({x for p in pairs for x in (p[:2], p[2:])})
+
+
+def test_tables_written_tidily_leave_no_shuffle_files(spark):
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {name for name in (files.apply(i).getName() for i in range(files.size())) if name.startswith("shuffle_")}
+
+    rows, before = spark.range(1000).groupBy(F.expr("id % 7").alias("x")).count(), shuffled()
+    out = shared.written(rows, "tidy", tidy=True)
+    assert shuffled() <= before
+    assert out.count() == 7 and spark.conf.get(shared.TIDY, None) is None
+
+
+@pytest.mark.parametrize("text", ["a\nb", "", "\n\n", "a\n\nb c\n", " \na", "a\n \nb", "a\n b", "a\r\n\r\nb", "\t\na", "ä\n\x0b", "\x1c\nb", None])
+def test_lines_with_a_word_are_counted_with_and_without_a_pattern(spark, text):
+    got = spark.createDataFrame([(text,)], "x string").select(line_dedup.worded(F.col("x"))).first()[0]
+    assert got == (None if text is None else sum(bool(re.search(r"[^\x20\x09-\x0D]", x)) for x in text.split("\n")))
+
+
 def test_counting_links_copies_and_joins_none(spark):
     sides = ", ".join(f"{s}_k long, {s}_sig long, {s}_place struct<id: long, th: long, line: int>" for s in "ab")
     links = spark.createDataFrame([(1, 1, (5, 0, 0), 2, 2, (7, 0, 1)), (3, 3, (6, 0, 0), 1, 1, (5, 0, 0))], sides)
